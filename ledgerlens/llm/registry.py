@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import decontamination, packed_binary, packing, quality_rules, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op5_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
+    "op8_packed_binary": packed_binary.query,
+    "op10_decontamination": decontamination.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontamination": decontamination.SQL,
+}
