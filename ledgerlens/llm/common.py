@@ -51,14 +51,14 @@ def with_prefix_offsets(counts: DataFrame, key: str, count: str, out: str, block
     instead of one per key.
     """
     blocked = counts.withColumn("_block", F.floor(F.col(key) / block))
-    blocks = blocked.groupBy("_block").agg(F.sum(count).alias("_n"))
+    blocks = blocked.groupBy("_block").agg(F.sum(count).alias("_block_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("_block_n").over(before), F.lit(0)).alias("_block_base"))
     within = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (
         blocked.join(blocks, "_block")
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum(count).over(within), F.lit(0)))
-        .drop("_block", "_base")
+        .withColumn(out, F.col("_block_base") + F.coalesce(F.sum(count).over(within), F.lit(0)))
+        .drop("_block", "_block_base")
     )
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, packed_binary, packing, quality_rules, token_counts
+from . import decontamination, license_scans, packed_binary, packing, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op3_sharding": sharding.query,
+    "op4_license_scans": license_scans.query,
     "op5_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
     "op8_packed_binary": packed_binary.query,
