@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scans, packed_binary, packing, quality_rules, sharding, token_counts
+from . import decontamination, license_scans, ngram_join, packed_binary, packing, quality_rules, sharding, token_counts
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -11,9 +11,11 @@ QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op7_token_counts": token_counts.query,
     "op8_packed_binary": packed_binary.query,
+    "op9_ngram_join": ngram_join.query,
     "op10_decontamination": decontamination.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_ngram_join": ngram_join.query,
     "op10_decontamination": decontamination.SQL,
 }
