@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,29 @@ def utf8_size(text: Column) -> Column:
 
 def empty_like(df: DataFrame) -> DataFrame:
     return df.limit(0)
+
+
+def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[..., tuple]], inputs: list[str]) -> DataFrame:
+    """Adds ``fields`` from a Python function of the input cells, one Arrow batch at a time.
+
+    ``make`` runs once in each task and returns the function. Columns named like a field
+    are replaced, all others pass through untouched, of whatever type.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    out = {f.name for f in fields}
+    kept = [i for i, c in enumerate(df.columns) if c not in out]
+    at = [df.columns.index(c) for c in inputs]
+    schema = T.StructType([df.schema[i] for i in kept] + fields)
+    names, kinds = schema.names, [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches):
+        of = make()
+        for batch in batches:
+            cells = [of(*row) for row in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
+            columns = list(zip(*cells, strict=True)) or [()] * len(kinds)
+            added = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *added], names)
+
+    return df.mapInArrow(run, schema)

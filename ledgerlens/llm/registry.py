@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scans, ngram_join, packed_binary, packing, quality_rules, sharding, token_counts
+from . import decontamination, license_scans, ngram_join, packed_binary, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_toxicity": toxicity.query,
     "op3_sharding": sharding.query,
     "op4_license_scans": license_scans.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_quality_classifier": quality_classifier.query,
     "op7_token_counts": token_counts.query,
     "op8_packed_binary": packed_binary.query,
     "op9_ngram_join": ngram_join.query,
