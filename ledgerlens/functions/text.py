@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The two blocks of Chinese characters that tokens and language guesses use.
 CJK = "一-鿿㐀-䶿"
@@ -31,13 +32,13 @@ def overlap_form(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, PUNCTUATION, ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC, which has no built-in function."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def compatibility_characters(text: pd.Series) -> pd.Series:
     """Distinct characters that NFKC changes, in order of appearance."""
     return text.map(lambda s: [] if s is None else list(dict.fromkeys(c for c in s if unicodedata.normalize("NFKC", c) != c)))

@@ -39,7 +39,7 @@ def statement_sources(files: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """path, text: whole files as UTF-8, bad bytes replaced (A1)."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

@@ -79,7 +79,7 @@ def stitched(cells: list[str]) -> list[str]:
     """Numbers that markup cut apart: "$" and "1", or "(3,552" and ")", become one cell (F16)."""
     out: list[str] = []
     for c in (x for x in cells if x):
-        if out and c == ")" and out[-1].startswith("("):
+        if out and c == ")" and out[-1].count("(") > out[-1].count(")"):
             out[-1] += ")"
         elif out and out[-1] in ("$", "¥", "€", "£", "HK$", "US$") and re.match(r"^[(\d—–-]", c):
             out[-1] = out[-1] + " " + c
