@@ -10,8 +10,9 @@ fragment by fragment and summed.
 
 Only components are asked for, so not all pairs of a group are compared: each list of
 documents with a common rare n-gram is first compared with a few leaders; then, for
-exactness, each document outside its list's largest component is compared with all documents
-of other components in that list.
+exactness, each document outside its list's most common component is compared with all
+documents of other components in that list. Lists leave out pairs that the places of the
+common n-gram in the two orders show to share too little.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_wire(out)])
 
 
-_DOCS = "rid long, doc_id long, n long, key binary, prefix array<long>, segments array<array<long>>"
+_DOCS = "rid long, doc_id long, n long, key binary, shared long, prefix array<long>, segments array<array<long>>"
 
 
 def _gather(bits: int):
@@ -220,9 +221,9 @@ def _gather(bits: int):
                 prefix = shared[: max(0, len(shared) - least + 1)].astype(np.int64).tolist()
                 part = (shared >> _U(40 + bits - PAIR_FRAGMENT_BITS)).astype(np.int64)
                 segments = [shared[part == f].astype(np.int64).tolist() for f in range(1 << PAIR_FRAGMENT_BITS)]
-            rows.append((about["block"] << 16 | i, doc_id, n, about["key"][16 * i : 16 * i + 16], prefix or None, segments if prefix else None))
+            rows.append((about["block"] << 16 | i, doc_id, n, about["key"][16 * i : 16 * i + 16], len(shared), prefix or None, segments if prefix else None))
         longs = pa.list_(pa.int64())
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), longs, pa.list_(longs)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), longs, pa.list_(longs)]
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _DOCS.split(", ")])
 
@@ -237,8 +238,12 @@ def gram_table(docs: DataFrame) -> DataFrame:
     return materialize(answered.groupBy("block").applyInArrow(_gather(bits), _DOCS), "grams")
 
 
-def _similar_sizes(m: Column, n: Column) -> Column:
-    return 100 * F.least(m, n) >= PERCENT * F.greatest(m, n)
+def _can_link(n: Column, rest: Column, m: Column, other_rest: Column) -> Column:
+    """Whether sets of n and m n-grams can link if the first they share has so many from it on in each.
+
+    Of a pair that links, the list of its first common n-gram passes; it is met there.
+    """
+    return (100 + PERCENT) * F.least(rest, other_rest) >= PERCENT * (n + m)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -250,33 +255,40 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("o") >= PERCENT * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
+def _met(near: DataFrame, others: str, *group: str) -> DataFrame:
+    """Distinct (a, b) of each rid and those of its array ``others`` of another component that it can link with."""
+    fit = F.filter(others, lambda x: (x["component"] != F.col("component")) & _can_link(F.col("n"), F.col("rest"), x["n"], x["rest"]))
+    met = near.select("rid", *group, F.transform(fit, lambda x: x["rid"]).alias("ys")).where(F.size("ys") > 0)
+    met = met.groupBy("rid", *group).agg(F.array_distinct(F.flatten(F.collect_set("ys"))).alias("ys"))
+    return met.select("rid", F.explode("ys").alias("y")).select(F.least("rid", "y").alias("a"), F.greatest("rid", "y").alias("b")).distinct()
+
+
 def _leader_pairs(lists: DataFrame, round_: int) -> DataFrame:
-    """Each list's members against LEADERS of them, the least by as many hashes."""
-    least = [F.min(F.struct(F.xxhash64(F.lit(round_ * LEADERS + k), "rid"), "rid", "n", "component")).alias(f"l{k}") for k in range(LEADERS)]
-    leaders = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), *least).where("c > 1").drop("c")
-    near = lists.join(leaders, "gram").select(
-        "rid", "n", "component", F.array(*(F.struct(F.col(f"l{k}.rid").alias("rid"), F.col(f"l{k}.n").alias("n"), F.col(f"l{k}.component").alias("component")) for k in range(LEADERS))).alias("ls")
-    )
-    fit = F.filter("ls", lambda x: (x["component"] != F.col("component")) & _similar_sizes(x["n"], F.col("n")))
-    met = near.select("rid", F.transform(fit, lambda x: x["rid"]).alias("ls")).where(F.size("ls") > 0)
-    met = met.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_set("ls"))).alias("ls"))
-    return met.select("rid", F.explode("ls").alias("l")).select(F.least("rid", "l").alias("a"), F.greatest("rid", "l").alias("b")).distinct()
+    """Each list's members against LEADERS of them.
+
+    Half are those with the most n-grams left from the common one on: the least changed of a group
+    of near copies, with the most links. The others are the least by a hash.
+    """
+    def leader(k: int) -> Column:
+        h = F.xxhash64(F.lit(round_ * LEADERS + k), "rid")
+        first = [(-F.col("rest")).alias("by")] if k % 2 == 0 else [F.lit(0).cast("long").alias("by")]
+        return F.min(F.struct(*first, h.alias("h"), "rid", "n", "rest", "component")).alias(f"l{k}")
+
+    leaders = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), *map(leader, range(LEADERS))).where("c > 1")
+    leaders = leaders.select("gram", F.array(*(F.col(f"l{k}") for k in range(LEADERS))).alias("ls"))
+    return _met(lists.join(leaders, "gram"), "ls")
 
 
 def _remaining_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of different components that share a list, each by an end outside the list's largest component."""
-    sizes = lists.select("rid", "component").distinct().groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
-    lists = lists.join(sizes, "component")
-    about = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("weight", "component"))["component"].alias("top"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = materialize(lists.join(about.where("lo <> hi").drop("lo", "hi"), "gram"), "mixed")
+    """All pairs of different components that a list lets link, each by an end outside the list's most common component."""
+    counts = lists.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m"))
+    about = counts.groupBy("gram").agg(F.sum("m").alias("c"), F.max(F.struct("m", "component"))["component"].alias("top"), F.count(F.lit(1)).alias("kinds"))
+    mixed = materialize(lists.join(about.where("kinds > 1").drop("kinds"), "gram"), "mixed")
     longest = mixed.agg(F.max("c")).first()[0] or 0
     parts = max(1, -(-longest // LIST_PART))
-    held = mixed.groupBy("gram", F.pmod(F.xxhash64("rid"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("rid", "n", "component")).alias("ys"))
-    outside = mixed.where("component <> top").select("gram", "rid", "n", "component").join(held, "gram")
-    fit = F.filter("ys", lambda y: (y["component"] != F.col("component")) & _similar_sizes(y["n"], F.col("n")))
-    met = outside.select("rid", "part", F.transform(fit, lambda y: y["rid"]).alias("ys")).where(F.size("ys") > 0)
-    met = met.groupBy("rid", "part").agg(F.array_distinct(F.flatten(F.collect_set("ys"))).alias("ys"))
-    return met.select("rid", F.explode("ys").alias("y")).select(F.least("rid", "y").alias("a"), F.greatest("rid", "y").alias("b")).distinct()
+    held = mixed.groupBy("gram", F.pmod(F.xxhash64("rid"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("rid", "n", "rest", "component")).alias("others"))
+    outside = mixed.where("component <> top").select("gram", "rid", "n", "rest", "component")
+    return _met(outside.join(held, "gram"), "others", "part")
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -300,8 +312,8 @@ def link_components(docs: DataFrame) -> DataFrame:
     classes = grams.where("n > 0").groupBy("key").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least_doc"))
     classes = materialize(classes, "classes")
     sets = grams.where(F.col("prefix").isNotNull()).join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    sets = materialize(sets.select("rid", "n", "prefix", "segments"), "sets")
-    rows = sets.select("rid", "n", F.explode("prefix").alias("gram"))
+    sets = materialize(sets.select("rid", "n", "shared", "prefix", "segments"), "sets")
+    rows = sets.select("rid", "n", "shared", F.posexplode("prefix").alias("at", "gram")).withColumn("rest", F.col("shared") - F.col("at")).drop("shared", "at")
     shared = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     rows = materialize(rows.join(shared, "gram"), "lists")
 
