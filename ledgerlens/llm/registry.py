@@ -18,6 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op9_ngram_join": ngram_join.query,
+    "op9_ngram_join": ngram_join.SQL,
     "op10_decontamination": decontamination.SQL,
 }
