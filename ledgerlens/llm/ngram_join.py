@@ -126,7 +126,7 @@ def _block_rows(block: int, docs: list[tuple[int | None, np.ndarray]], bits: int
     sent, sent_idx, weight, fragment = sent[order], sent_idx[order], weight[order], fragment[order]
     cuts = np.flatnonzero(np.r_[True, fragment[1:] != fragment[:-1]]).tolist() if len(sent) else []
     rows: list[tuple] = []
-    for a, b in zip(cuts, [*cuts[1:], len(sent)], strict=True):
+    for a, b in zip(cuts, [*cuts[1:], len(sent)], strict=False):
         marked = sent_idx[a:b] == HOT_MARK
         rows.append((block, int(fragment[a]), *_pack(sent[a:b], bits), sent_idx[a:b].tobytes(), weight[a:b][marked].tobytes(), None, None))
     sizes = np.array([len(h) for _, h in docs], "<u4").tobytes()

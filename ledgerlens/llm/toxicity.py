@@ -25,9 +25,9 @@ MAX_LABELLED = 8_000
 MAX_VOCABULARY = 512
 FOLDS = 5
 #: Lengths of word beginnings, in characters, that are signs of their own.
-PREFIXES = (5, 7)
+PREFIXES = (3, 5, 7)
 #: A flag needs this probability.
-THRESHOLD = 0.5
+THRESHOLD = 0.65
 
 
 @dataclass
@@ -71,7 +71,7 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def select_words(rows: list[np.ndarray], y: np.ndarray, most: int = MAX_VOCABULARY, min_docs: int = 3, min_score: float = 4.5) -> np.ndarray:
+def select_words(rows: list[np.ndarray], y: np.ndarray, most: int = MAX_VOCABULARY, min_docs: int = 3, min_score: float = 3.0) -> np.ndarray:
     """Words that more positive documents have than chance allows: the highest z of their log-odds."""
     if not y.any() or y.all():
         return np.empty(0, np.int64)
