@@ -60,24 +60,24 @@ def dcf(spark, sf_dir):
 
 @query(
     f"""WITH {_FLOWS}, g AS (SELECT w, g FROM (SELECT unnest([CAST(0.08 AS DOUBLE), 0.1, 0.12]) AS w), (SELECT unnest([CAST(0.02 AS DOUBLE), 0.03, 0.09]) AS g)),
-s AS (SELECT id, w, g, sum(fcff / pow(1 + w, i)) AS pv, arg_max(fcff, i) AS last, max(i) AS n FROM f, g WHERE id < 3 GROUP BY id, w, g)
+s AS (SELECT id, w, g, sum(fcff / pow(1 + w, i)) AS pv, arg_max(fcff, i) AS last, max(i) AS n FROM f, g GROUP BY id, w, g)
 SELECT id, w AS wacc, g AS growth, CASE WHEN g >= w THEN 'none' ELSE CAST(CAST(round(pv + last * (1 + g) / (w - g) / pow(1 + w, n) - net_debt - coalesce(minority_interest, 0) + coalesce(non_operating_assets, 0), 3) * 1000 AS BIGINT) AS VARCHAR) END AS equity_milli FROM s JOIN p USING (id)"""
 )
 def dcf_grid(spark, sf_dir):
     """Equity value over rates and growths; no value where growth reaches the rate."""
-    g = v.dcf_grid(PLANS.frame(spark).where("id < 3"), [0.08, 0.1, 0.12], [0.02, 0.03, 0.09])
+    g = v.dcf_grid(PLANS.frame(spark), [0.08, 0.1, 0.12], [0.02, 0.03, 0.09])
     return g.select("id", "wacc", "growth", F.when(F.isnan("equity_value"), "none").otherwise((F.round("equity_value", 3) * 1000).cast("long").cast("string")).alias("equity_milli"))
 
 
 @query(
-    f"""WITH {_FLOWS}, s AS (SELECT id, sum(fcff / pow(1 + wacc, i)) AS pv, arg_max(fcff, i) AS last, max(i) AS n FROM f WHERE id < 3 GROUP BY id),
+    f"""WITH {_FLOWS}, s AS (SELECT id, sum(fcff / pow(1 + wacc, i)) AS pv, arg_max(fcff, i) AS last, max(i) AS n FROM f GROUP BY id),
 b AS (SELECT p.*, pv, last, n, -net_debt - coalesce(minority_interest, 0) + coalesce(non_operating_assets, 0) AS bridge, least(1.0, wacc - 0.0001) AS top FROM p JOIN s USING (id)),
 r AS (SELECT *, (target_equity - bridge - pv) * pow(1 + wacc, n) AS tv, pv + last * (1 - 0.3) / (wacc + 0.3) / pow(1 + wacc, n) + bridge AS lo, pv + last * (1 + top) / (wacc - top) / pow(1 + wacc, n) + bridge AS hi FROM b)
 SELECT id, lo <= target_equity AND target_equity <= hi AS feasible, CASE WHEN lo <= target_equity AND target_equity <= hi THEN round((tv * wacc - last) / (tv + last), 6) END AS implied_growth FROM r"""
 )
 def reverse_dcf(spark, sf_dir):
     """The growth that a price implies, in closed form."""
-    return v.reverse_dcf(PLANS.frame(spark).where("id < 3")).select("id", "feasible", F.round("implied_growth", 6).alias("implied_growth"))
+    return v.reverse_dcf(PLANS.frame(spark)).select("id", "feasible", F.round("implied_growth", 6).alias("implied_growth"))
 
 
 MULTIPLES = Fixture(
