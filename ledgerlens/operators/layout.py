@@ -103,3 +103,35 @@ def column_roles(header: DataFrame, sheet: list[str]) -> DataFrame:
 def amount_statistics(cells: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Cells by status: ok, dash, empty, repaired, suspect."""
     return cells.select(*keys, amount(F.col(text))["status"].alias("status")).groupBy(*keys, "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+SIDE_GAP = 0.22
+
+
+def side_cut(cells: DataFrame, page: list[str]) -> DataFrame:
+    """page, cut: where a page of two tables side by side parts; NULL if it is one table.
+
+    The widest gap between column anchors, if it is SIDE_GAP or more, there are three columns or more, and text cells begin on both sides.
+    """
+    anchors = cells.groupBy(*page).agg(column_anchors(F.collect_list("x")).alias("_a"), F.collect_list(F.struct("x", "text")).alias("_c"))
+    gaps = F.transform(F.slice("_a", 2, F.greatest(F.size("_a") - 1, F.lit(0))), lambda x, i: F.struct((x - F.get("_a", i)).alias("gap"), x.alias("at")))
+    widest = F.array_max(gaps)
+    labels = lambda right: F.size(F.filter("_c", lambda c: ((c["x"] >= F.col("_w.at")) == F.lit(right)) & (F.length(c["text"]) >= 2) & ~looks_like_amount(c["text"])))
+    out = anchors.withColumn("_w", widest)
+    fits = (F.size("_a") >= 3) & (F.col("_w.gap") >= SIDE_GAP) & (labels(True) >= 2) & (labels(False) >= 2)
+    return out.select(*page, F.when(fits, F.col("_w.at")).alias("cut"))
+
+
+def split_sides(cells: DataFrame, cuts: DataFrame, page: list[str]) -> DataFrame:
+    """Cells with side 0 or 1."""
+    return cells.join(cuts, page, "left").withColumn("side", F.coalesce((F.col("x") >= F.col("cut")).cast("int"), F.lit(0))).drop("cut")
+
+
+def pick_pages(scores: DataFrame, doc: str, page: str, kinds: list[str]) -> DataFrame:
+    """doc, kind, page: for each statement the pages around its best one on which no other scores higher."""
+    from .asof import expand_from_anchor
+
+    rows = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("mine"), F.greatest(*(F.col(o) for o in kinds if o != k), F.lit(0)).alias("other")) for k in kinds)))
+    long = scores.select(doc, page, rows.alias("s")).select(doc, page, "s.*")
+    top = long.groupBy(doc, "kind").agg(F.max("mine").alias("_top")).where("_top > 0").drop("_top")
+    return expand_from_anchor(long.join(top, [doc, "kind"]), [doc, "kind"], page, "mine", (F.col("mine") > 0) & (F.col("mine") >= F.col("other"))).select(doc, "kind", page)

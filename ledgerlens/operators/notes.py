@@ -180,3 +180,38 @@ def statement_ranges(contents: DataFrame, doc: str, kind: str = "kind", page: st
 
     w = Window.partitionBy(doc).orderBy(page)
     return contents.select(doc, kind, F.col(page).alias("first"), (F.lead(page).over(w) - 1).alias("last"))
+
+
+#: How company names end, the full forms first.
+COMPANY_ENDS = (("股份有限公司", "集团有限公司", "有限公司"), ("公司", "集团"))
+_CODE = re.compile(r"(?:代码|代碼|code)\s*[:：]?\s*([0-9]{4,6})", re.I)
+
+
+def company_line(lines: list[str]) -> str | None:
+    """The line of a cover that names the company: a full legal form at once, else the first shorter one."""
+    second = None
+    for raw in lines:
+        line = raw.strip()
+        cut = re.match(r"(.{4,}(?:公司|集团))(?:2|２０)", line)
+        line = cut[1] if cut else line
+        if not 4 <= len(line) <= 40:
+            continue
+        if line.endswith(COMPANY_ENDS[0]):
+            return line
+        if second is None and line.endswith(COMPANY_ENDS[1]):
+            second = line
+    return second
+
+
+def cover_code(lines: list[str]) -> str | None:
+    """The security code that a cover states."""
+    return next((m[1] for x in lines if (m := _CODE.search(x))), None)
+
+
+def cover_facts(pages: DataFrame, doc: str, page: str = "page", text: str = "text") -> DataFrame:
+    """doc, company, code from the first two pages."""
+    lines = pages.where(F.col(page) <= 2).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t")))).alias("_p"))
+    split = lambda xs: [y for x in xs for y in (x["t"] or "").splitlines()]
+    name = F.pandas_udf(lambda s: pd.Series([company_line(split(x)) for x in s], dtype=object), T.StringType())
+    code = F.pandas_udf(lambda s: pd.Series([cover_code(split(x)) for x in s], dtype=object), T.StringType())
+    return lines.select(doc, name("_p").alias("company"), code("_p").alias("code"))
