@@ -96,7 +96,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[]
 
     def run(batches):
         of = make()
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             cells = [of(*row) for row in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
             columns = list(zip(*cells, strict=True)) or [()] * len(kinds)
             added = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]

@@ -32,7 +32,7 @@ NGRAM = 5
 #: Similarity in percent.
 PERCENT = 75
 BLOCK_DOCS = 4096
-BLOCK_GRAMS = 1_000_000
+BLOCK_GRAMS = 500_000
 #: N-grams that one fragment holds, about; a fragment is one group of one task.
 FRAGMENT_GRAMS = 1_000_000
 #: From so many documents of a block on, a common n-gram is sent once with its count.
@@ -53,7 +53,7 @@ class _Words(dict):
     """Hash of each word, kept for so many words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -180,7 +180,7 @@ class _WordWeights(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         a, b = _word_features(word)
         w = self[word] = float(self.weights[a] + self.weights[b])

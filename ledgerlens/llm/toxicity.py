@@ -169,7 +169,7 @@ class _Known(dict):
         self.known = known
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         signs = self[word] = tuple(h for h in word_signs(word) if h in self.known)
         return signs
