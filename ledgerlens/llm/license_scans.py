@@ -4,12 +4,14 @@ One scan with DataFrame functions. Words are lower-case runs of letters and digi
 runs of 5-word shingles that overlap by half; the signature of a window is, for each of
 BANDS constants c, the least of (shingle hash xor c). Bands have one row, so a window that
 shares a share J of shingles with a template window is found with probability
-1 - (1 - J) ** BANDS: 0.99998 at J = 0.75 and 0.996 at J = 0.5. Templates of fewer than LONG shingles
+1 - (1 - J) ** BANDS: 0.999 at J = 0.75 and 0.97 at J = 0.5. Templates of fewer than LONG shingles
 have windows of one shingle, where any shared shingle is a hit.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ SHINGLE = 5
 WINDOW = 8
 STRIDE = 4
 LONG = 12
-BANDS = 8
+BANDS = 5
 SIMILARITY = 0.75
 #: Bound on the words of all templates: their keys become part of the plan.
 MAX_TEMPLATE_WORDS = 20_000
@@ -58,13 +60,9 @@ def _constants() -> list[int]:
     return out
 
 
-def band_keys(h: Column, first: Column) -> Column:
-    """The keys of the window of hashes that begins at ``first``."""
-    def key(k: int, c: int) -> Column:
-        least = F.least(*(F.get(h, first + j).bitwiseXOR(F.lit(c)) for j in range(WINDOW)))
-        return F.xxhash64(F.lit(k), least)
-
-    return F.array(*(key(k, c) for k, c in enumerate(_constants())))
+def band_keys(window: Column) -> list[Column]:
+    """The key of each band for a window of WINDOW hashes; places past its end are NULL and don't count."""
+    return [F.least(*(F.get(window, F.lit(j)).bitwiseXOR(F.lit(c)) for j in range(WINDOW))) for c in _constants()]
 
 
 def _template_rows(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
@@ -75,7 +73,7 @@ def _template_rows(spark: SparkSession, templates: dict[str, list[str]]) -> Data
     frame = frame.select("template", "license", F.array_distinct(shingles(F.col("w"))).alias("wanted"), window_hashes(F.col("w"), SHINGLE).alias("h"))
     short = F.size("h") < LONG
     single = F.transform("h", lambda x, i: F.struct(x.alias("key"), i.alias("at")))
-    windows = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - WINDOW, F.lit(0))), lambda i: F.transform(band_keys(F.col("h"), i), lambda x: F.struct(x.alias("key"), i.alias("at")))))
+    windows = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - WINDOW, F.lit(0))), lambda i: F.transform(let(F.slice("h", i + 1, F.lit(WINDOW)), lambda s: F.array(*band_keys(s))), lambda x: F.struct(x.alias("key"), i.alias("at")))))
     return frame.where(F.size("h") > 0).select("*", F.explode(F.when(short, single).otherwise(windows)).alias("k")).select("template", "license", "wanted", F.size("h").alias("n"), "k.key", "k.at", short.alias("short"))
 
 
@@ -101,10 +99,18 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, similar
 
     def hits(h: Column) -> Column:
         at = lambda x, i: F.struct(x.alias("key"), i.cast("int").alias("at"))
-        short = F.filter(F.transform(h, at), lambda s: s["key"].isin(singles))
+        none = F.array().cast("array<struct<key:bigint,at:int>>")
+        # most texts have no hash of a short template: they are told by one pass without structs
+        short = F.when(F.exists(h, lambda x: x.isin(singles)), F.filter(F.transform(h, at), lambda s: s["key"].isin(singles))).otherwise(none)
         starts = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1, F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
-        long = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(band_keys(h, i), lambda x: x.isin(banded)), lambda x: at(x, i))))
-        return F.concat(short, long)
+
+        def of_window(s: Column, i: Column) -> Column:
+            keys = band_keys(s)
+            some = reduce(lambda a, b: a | b, (k.isin(banded) for k in keys))
+            return F.when(some, F.transform(F.filter(F.array(*keys), lambda x: x.isin(banded)), lambda x: at(x, i)))
+
+        windows = F.transform(starts, lambda i: let(F.slice(h, i + 1, F.lit(WINDOW)), lambda s: of_window(s, i)))
+        return F.concat(short, F.flatten(F.filter(windows, lambda x: x.isNotNull())))
 
     # the words stay one column, read by both the search and the check
     worded = docs.select(*kept, license_words(F.col(text)).alias(w), F.monotonically_increasing_id().alias(row))
