@@ -136,6 +136,12 @@ def unknown_citations(answers: DataFrame, allowed: Column, text: str = "text") -
     return answers.withColumn("cited", cited).withColumn("unknown", F.array_except("cited", allowed))
 
 
-def numbered(chunks: DataFrame, *order: str) -> DataFrame:
-    """Chunk ids S1, S2, … in the order given (A3): for a corpus of chunks that one task may number."""
-    return chunks.withColumn("chunk_id", F.concat(F.lit("S"), F.row_number().over(Window.orderBy(*order)).cast("string")))
+def numbered(chunks: DataFrame, path: str, number: str) -> DataFrame:
+    """Adds chunk_id: S1, S2, … over all files by path and number in the file (A3).
+
+    Files are counted first; the one ordered task sees a row for each file, not for each chunk.
+    """
+    before = Window.partitionBy(F.lit(0)).orderBy(path).rowsBetween(Window.unboundedPreceding, -1)
+    files = chunks.groupBy(path).agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    place = F.col("_base") + F.row_number().over(Window.partitionBy(path).orderBy(number))
+    return chunks.join(files, path).withColumn("chunk_id", F.concat(F.lit("S"), place.cast("string"))).select(*chunks.columns, "chunk_id")

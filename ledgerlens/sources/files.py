@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Kinds of material by suffix; for statements the earlier kind goes first.
 KINDS = {"pdf": ["pdf"], "excel": ["xlsx", "xls"], "html": ["htm", "html"], "text": ["txt", "md"]}
@@ -94,11 +93,6 @@ def flatten_facts(documents: DataFrame, json: str = "value") -> DataFrame:
     return rows.withColumns(dates)
 
 
-def numbered_by_file(chunks: DataFrame) -> DataFrame:
-    """Chunks with global ids S1, S2, … by path and number (A3)."""
-    return chunks.withColumn("chunk_id", F.concat(F.lit("S"), F.row_number().over(Window.orderBy("path", "chunk_no")).cast("string")))
-
-
 def write_index(chunks: DataFrame, path: str) -> None:
     """The chunk index, by source (B1)."""
     chunks.write.mode("overwrite").partitionBy("source").parquet(path)

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import retrieval
 from ledgerlens.sources import files, html, peers
 from ledgerlens.streaming import audit
 
@@ -79,7 +80,7 @@ def test_audit_log_round_trip_and_stream(spark, tmp_path):
 
 def test_index_and_cache(spark, tmp_path):
     c = spark.createDataFrame([("b", 1, "s"), ("a", 1, "s"), ("a", 2, "s")], "path string, chunk_no int, source string")
-    n = files.numbered_by_file(c)
+    n = retrieval.numbered(c, "path", "chunk_no")
     assert [r.chunk_id for r in n.orderBy("path", "chunk_no").collect()] == ["S1", "S2", "S3"]
     files.write_index(n, str(tmp_path / "i"))
     assert spark.read.parquet(str(tmp_path / "i")).where(F.col("source") == "s").count() == 3
