@@ -135,3 +135,43 @@ def pick_pages(scores: DataFrame, doc: str, page: str, kinds: list[str]) -> Data
     long = scores.select(doc, page, rows.alias("s")).select(doc, page, "s.*")
     top = long.groupBy(doc, "kind").agg(F.max("mine").alias("_top")).where("_top > 0").drop("_top")
     return expand_from_anchor(long.join(top, [doc, "kind"]), [doc, "kind"], page, "mine", (F.col("mine") > 0) & (F.col("mine") >= F.col("other"))).select(doc, "kind", page)
+
+
+#: Headers of note columns and of value columns.
+NOTE_HEADERS = "^(行次|附注|行号|序号|项目编号|no|note)$"
+VALUE_HEADERS = f"({CURRENT_WORDS}|{PRIOR_WORDS}|金额)"
+
+
+def header_rows(cells: DataFrame, sheet: list[str]) -> DataFrame:
+    """sheet, header: the first row with a note and a value header, else the first with most periods, two at least."""
+    v = F.lower(F.regexp_replace("value", r"\s", ""))
+    rows = cells.groupBy(*sheet, "r").agg(F.bool_or(v.rlike(NOTE_HEADERS)).alias("note"), F.bool_or(v.rlike(VALUE_HEADERS)).alias("val"), F.count_if(period_key(F.col("value")).isNotNull()).alias("periods"))
+    named = F.min(F.when(F.col("note") & F.col("val"), F.col("r")))
+    dated = F.max(F.when(F.col("periods") >= 2, F.struct("periods", (-F.col("r")).alias("r"))))
+    return rows.groupBy(*sheet).agg(F.coalesce(named, -dated["r"]).alias("header"))
+
+
+def grid_rows(cells: DataFrame, sheet: list[str]) -> DataFrame:
+    """sheet, r, label, current, prior: a grid below its header in the roles of its columns (W21, W28); rows without a label are left out."""
+    headed = cells.join(header_rows(cells, sheet).where("header is not null"), sheet)
+    roles = column_roles(headed.where(F.col("r") == F.col("header")), sheet)
+    body = headed.where(F.col("r") > F.col("header")).join(roles, sheet)
+    at = lambda c: F.max(F.when(c, F.col("value")))
+    out = body.groupBy(*sheet, "r").agg(at(F.col("c") == 0).alias("label"), at(F.col("c") == F.col("current")).alias("current_value"), at(F.col("c") == F.col("prior")).alias("prior_value"))
+    return out.where("label is not null").select(*sheet, "r", "label", F.col("current_value").alias("current"), F.col("prior_value").alias("prior"))
+
+
+def titled_range(pages: DataFrame, doc: str, titles: dict[str, list[str]], text: str = "text", rows: str = "numeric_rows") -> DataFrame:
+    """doc, kind, first, last: from the titled page with most numeric rows to the page before another statement's title."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    hit = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))
+    found = None
+    for kind, words in titles.items():
+        others = [w for k, ws in titles.items() if k != kind for w in ws]
+        marked = pages.select(doc, "page", hit(words).alias("own"), (hit(others) & ~hit(words)).alias("next"), F.col(rows).alias("n"))
+        start = marked.where("own").groupBy(doc).agg((-F.max(F.struct("n", (-F.col("page")).alias("p")))["p"]).alias("first"))
+        after = marked.join(start, doc).where(F.col("page") >= F.col("first"))
+        stop = F.min(F.when(F.col("next") & (F.col("page") > F.col("first")), F.col("page")))
+        one = after.groupBy(doc, "first").agg((F.coalesce(stop - 1, F.max("page"))).alias("last")).select(doc, F.lit(kind).alias("kind"), "first", "last")
+        found = one if found is None else found.unionByName(one)
+    return found
