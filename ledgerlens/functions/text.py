@@ -27,6 +27,21 @@ def tokenize(text: Column) -> Column:
     return F.concat(words, chars, bigrams)
 
 
+#: Radical characters that NFKC leaves, and the characters they stand for.
+RADICALS = "⺦⺰⻅⻆⻈⻉⻋⻌⻐⻓⻔⻙⻚⻛⻜⻠⻢⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻲⺜⺝⺞⺠⺣⺧⺨⺩⺪⺫⺮⺯⺶⺹⺽⻁⻄⻇⻊⻏⻗⻘⻣⻤⻱"
+RADICALS_AS = "丬纟见角讠贝车辶钅长门韦页风飞饣马鱼鸟卤麦黄黾齐齐齿齿龙龙龟日月歹民火牛犬玉疋目竹糸羊老臼虎西角足邑雨青骨鬼龟"
+
+
+def normal_form(text: Column) -> Column:
+    """NFKC, then radicals as the characters they stand for (F2); the same on the side of queries and of the index."""
+    return F.translate(nfkc(text), RADICALS, RADICALS_AS)
+
+
+def unmapped_radicals(text: Column) -> Column:
+    """Characters of the radical blocks that the normal form leaves."""
+    return F.array_distinct(F.regexp_extract_all(normal_form(text), F.lit("([⺀-⻿⼀-⿟])"), F.lit(1)))
+
+
 def overlap_form(text: Column) -> Column:
     """White space and punctuation stripped, lower case: the form in which texts are compared."""
     return F.lower(F.regexp_replace(text, PUNCTUATION, ""))

@@ -158,6 +158,56 @@ def page_scores(pages: DataFrame, markers: dict[str, list[list[str]]], text: str
     return pages
 
 
+#: Groups of words that mark the pages of each statement, in Chinese.
+PAGE_MARKERS = {
+    "balance": [
+        ["资产总计", "資產總額", "负债合计", "負債總額", "所有者权益合计", "權益總額", "负债和所有者权益总计", "资产净额", "資產淨額"],
+        ["流动资产合计", "非流动资产合计", "流动负债合计", "非流动负债合计", "流動資產淨額", "總資產減流動負債"],
+        ["货币资金", "应收账款", "存货", "固定资产", "应付账款", "短期借款", "現金及銀行結餘", "貿易應收款項", "存貨", "物業、廠房及設備"],
+    ],
+    "income": [
+        ["营业收入", "营业总收入", "产品销售收入", "营业收入合计", "营业额", "營業額", "收入", "收益"],
+        ["营业利润", "利润总额", "净利润", "除税前溢利", "年度溢利", "本年度溢利", "淨利潤", "利潤總額", "年內溢利", "除稅前溢利"],
+        ["营业成本", "税金及附加", "销售费用", "管理费用", "财务费用", "銷售成本", "行政開支", "融資成本", "銷售及分銷成本"],
+    ],
+    "cash_flow": [
+        ["经营活动产生的现金流量净额", "经营活动现金流量净额", "经营活动所用现金净额", "經營活動所得現金淨額", "經營活動所用現金淨額", "經營活動產生的現金流量淨額"],
+        ["投资活动产生的现金流量净额", "投资活动现金流量净额", "投资活动所用的现金净额", "投資活動所得現金淨額", "投資活動所用現金淨額", "投資活動產生的現金流量淨額"],
+        ["筹资活动产生的现金流量净额", "筹资活动现金流量净额", "融资活动所用的现金净额", "融資活動所得現金淨額", "融資活動所用現金淨額", "籌資活動產生的現金流量淨額"],
+        ["期初现金及现金等价物余额", "年初现金及现金等价物", "年初的现金及现金等价物", "於年初之現金及現金等價物", "年初之現金及現金等價物"],
+        ["期末现金及现金等价物余额", "年末现金及现金等价物", "年末的现金及现金等价物", "於年末之現金及現金等價物", "年末之現金及現金等價物"],
+    ],
+}
+#: The same in English.
+PAGE_MARKERS_EN = {
+    "balance": [
+        ["total assets", "total liabilities", "total equity", "net assets", "total liabilities and equity"],
+        ["current assets", "non-current assets", "current liabilities", "non-current liabilities", "net current assets", "total assets less current liabilities", "total equity attributable to equity shareholders"],
+        ["cash and cash equivalents", "cash and bank balances", "trade receivables", "inventories", "property, plant and equipment", "loans and advances", "insurance contract liabilities", "insurance contract assets", "reinsurance contract assets", "financial investments", "notes and bonds payable", "share capital", "retained earnings"],
+    ],
+    "income": [
+        ["operating income", "insurance revenue", "total income", "revenue", "total revenue", "turnover", "interest income", "investment income"],
+        ["profit before tax", "profit before taxation", "net profit", "profit for the year", "profit for the period", "loss for the year", "operating profit", "profit from operations"],
+        ["insurance service expenses", "operating expenses", "administrative expenses", "cost of sales", "finance costs", "income tax"],
+    ],
+    "cash_flow": [
+        ["net cash flows generated from operating activities", "net cash flows used in operating activities", "net cash generated from operating activities", "net cash used in operating activities", "net cash flows from operating activities", "net cash provided by operating activities"],
+        ["net cash flows used in investing activities", "net cash flows generated from investing activities", "net cash used in investing activities", "net cash flows from investing activities", "net cash provided by investing activities"],
+        ["net cash flows generated from financing activities", "net cash flows used in financing activities", "net cash used in financing activities", "net cash flows from financing activities", "net cash provided by financing activities"],
+        ["cash and cash equivalents at the beginning of the year", "cash and cash equivalents at beginning of year", "cash and cash equivalents at the beginning of the period", "cash and cash equivalents at beginning of period"],
+        ["cash and cash equivalents at the end of the year", "cash and cash equivalents at end of year", "cash and cash equivalents at the end of the period", "cash and cash equivalents at end of period"],
+    ],
+}
+
+
+def statement_scores(pages: DataFrame, text: str = "text") -> DataFrame:
+    """balance, income and cash_flow scores of each page: the greater of the two languages' (G26, K7, K8)."""
+    kinds = list(PAGE_MARKERS)
+    chinese = page_scores(pages, {f"_zh_{k}": g for k, g in PAGE_MARKERS.items()}, text)
+    both = page_scores(chinese, {f"_en_{k}": g for k, g in PAGE_MARKERS_EN.items()}, text)
+    return both.withColumns({k: F.greatest(f"_zh_{k}", f"_en_{k}") for k in kinds}).drop(*(f"_{x}_{k}" for x in ("zh", "en") for k in kinds))
+
+
 def accounts(spark: SparkSession) -> DataFrame:
     """The dimension of fields: field, statement, names, tags (K2, K3)."""
     return spark.createDataFrame([(a.name, a.statement, list(a.names), list(a.tags)) for a in ACCOUNTS], "field string, statement string, names array<string>, tags array<string>")

@@ -59,3 +59,8 @@ def test_dates_and_lists(spark):
         one(spark, identifiers.strict_report_date(F.col("c0")), "2023-12-30")
     with pytest.raises(ValueError, match="unknown duration"):
         identifiers.duration_between(F.lit(1), "decade")
+
+
+def test_radicals_become_characters(spark):
+    assert one(spark, text.normal_form(F.col("c0")), "⻔⼀①") == "门一1" and len(text.RADICALS) == len(text.RADICALS_AS) == 55
+    assert one(spark, text.unmapped_radicals(F.col("c0")), "⺀门") == ["⺀"]

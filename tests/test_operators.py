@@ -159,3 +159,9 @@ def test_parameters_flatten(spark):
     r = spark.sql("SELECT 1 AS id, map('q', 'x', 'codes', '[\"a\",\"b\"]') AS params")
     got = {(x.name, x.value) for x in audit.flatten_parameters(r, "id").collect()}
     assert got == {("q", "x"), ("codes[0]", "a"), ("codes[1]", "b")}
+
+
+def test_statement_pages_score_in_both_languages(spark):
+    p = spark.createDataFrame([(1, "资产总计 流动资产合计 货币资金"), (2, "Revenue; profit before tax; income tax"), (3, None)], "page int, text string")
+    got = {r.page: (r.balance, r.income, r.cash_flow) for r in statements.statement_scores(p).collect()}
+    assert got[1] == (303, 0, 0) and got[2][1] > 300 and got[3] == (0, 0, 0)
