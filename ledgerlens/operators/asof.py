@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, columns: list[str], lookback: Column | None = None, tie: str | None = None) -> DataFrame:
+def asof_backward(
+    left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, columns: list[str], lookback: Column | None = None, tie: str | None = None, slice_of: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Each left row with ``columns`` of the last right row of its keys at or before left_at.
 
     Rows of both sides are merged and the last right row is carried forward: one shuffle and one sort
@@ -15,13 +19,22 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_at: s
     would pair them all. ``lookback`` is how far left_at may lie after right_at; beyond it the columns
     are NULL. On equal times a right row counts, the greatest ``tie`` last. Left rows are kept, repeated
     ones too.
+
+    ``slice_of`` cuts time into slices that grow with it (a day of a timestamp): a key with very many rows is then
+    worked on by many tasks, each begun with the last right row of the slices before.
     """
     l = left.select(*left.columns, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"))
     found = F.struct(F.col(right_at).alias("_at"), *columns)
     r = right.where(F.col(right_at).isNotNull()).select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), (F.col(tie).cast("long") if tie else F.lit(None).cast("long")).alias("_tie"), found.alias("_found"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_slice", F.lit(0) if slice_of is None else slice_of(F.col("_at")))
+    w = Window.partitionBy(*keys, "_slice").orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     carried = both.withColumn("_last", F.last("_found", ignorenulls=True).over(w)).where("_side = 1")
+    if slice_of is not None:
+        slices = both.groupBy(*keys, "_slice").agg(F.max_by("_found", F.when(F.col("_side") == 0, F.struct("_at", "_tie"))).alias("_own"))
+        before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        brought = slices.withColumn("_brought", F.last("_own", ignorenulls=True).over(before)).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_s"), "_brought")
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        carried = carried.join(brought, [*same, F.col("_slice").eqNullSafe(F.col("_s"))], "left").withColumn("_last", F.coalesce("_last", "_brought"))
     fits = F.lit(True) if lookback is None else F.col("_last._at") >= F.col("_at") - lookback
     return carried.select(*left.columns, *(F.when(fits, F.col("_last")[c]).alias(c) for c in columns), F.when(fits, F.col("_last._at")).alias(f"{right_at}_found"))
 

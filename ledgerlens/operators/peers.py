@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MIN_PEERS = 3
 
@@ -22,19 +23,24 @@ def distribution(peers: DataFrame, keys: list[str], value: str, positive_only: b
     return out.select(*keys, "n", "min", F.col("_p")[0].alias("p25"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("p75"), "max", "mean", (F.col("n") >= MIN_PEERS).alias("enough"))
 
 
-def percentile_rank(targets: DataFrame, peers: DataFrame, keys: list[str], target: str, value: str, target_id: str) -> DataFrame:
+def percentile_rank(targets: DataFrame, peers: DataFrame, keys: list[str], target: str, value: str, target_id: str, parts: int = 64) -> DataFrame:
     """Share of peers at or below each target, NULL without peers.
 
-    Peers are counted by a window over both sides' values, not target by target: one sort of the keys' rows.
+    Peers are counted, not compared target by target. Each key's values are cut into about ``parts`` ranges at approximate
+    quantiles; ranges are summed, and only within a range are rows sorted, so a key that holds most rows is
+    spread over tasks. The counts are exact: equal values share a range.
     """
-    from pyspark.sql.window import Window
-
     t = targets.select(*keys, F.col(target_id).alias("_id"), F.col(target).cast("double").alias("_v"), F.lit(0).alias("_peer"))
     p = peers.where(F.col(value).isNotNull()).select(*keys, F.lit(None).cast(t.schema["_id"].dataType).alias("_id"), F.col(value).cast("double").alias("_v"), F.lit(1).alias("_peer"))
+    cuts = p.groupBy(*keys).agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 1000).alias("_cuts"))
+    placed = t.unionByName(p).join(cuts, keys, "left").withColumn("_part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0))).drop("_cuts")
+    sums = placed.groupBy(*keys, "_part").agg(F.sum("_peer").alias("_sum"))
     w = Window.partitionBy(*keys)
-    both = t.unionByName(p)
-    ranked = both.withColumn("_below", F.sum("_peer").over(w.orderBy("_v").rangeBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_peer").over(w))
-    return ranked.where("_peer = 0").select(*keys, F.col("_id").alias(target_id), F.when(F.col("_n") > 0, F.col("_below") / F.col("_n")).alias("share_at_or_below"), F.col("_n").alias("n_peers"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_sum").over(w)).drop("_sum")
+    inside = F.sum("_peer").over(Window.partitionBy(*keys, "_part").orderBy("_v").rangeBetween(Window.unboundedPreceding, 0))
+    ranked = placed.withColumn("_inside", inside).where("_peer = 0").join(sums, [*keys, "_part"])
+    share = F.when(F.col("_n") > 0, (F.col("_before") + F.col("_inside")) / F.col("_n"))
+    return ranked.select(*keys, F.col("_id").alias(target_id), share.alias("share_at_or_below"), F.col("_n").alias("n_peers"))
 
 
 def multiples(companies: DataFrame, price: str, shares: str, net_debt: str, denominators: dict[str, str]) -> DataFrame:

@@ -146,7 +146,7 @@ def asof_price(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
     buys = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bar"), "value", F.col("event_id").alias("seq"))
-    found = asof.asof_backward(clicks, buys, ["user_id"], "ts", "bar", ["value"], F.expr("INTERVAL 15 DAYS"), tie="seq")
+    found = asof.asof_backward(clicks, buys, ["user_id"], "ts", "bar", ["value"], F.expr("INTERVAL 15 DAYS"), tie="seq", slice_of=lambda at: at.cast("date"))
     return found.select("event_id", "user_id", F.round("value", 6).alias("price"))
 
 

@@ -45,6 +45,18 @@ def test_asof_keeps_rows_and_bounds_age(spark):
     assert [(r.k, r.t, r.v) for r in got] == [("a", 10, 2.0), ("a", 10, 2.0), ("a", 99, None), ("b", 5, None)]
 
 
+def test_sliced_asof_gives_the_same(spark):
+    import random
+
+    rng = random.Random(4)
+    left = spark.createDataFrame([(rng.choice("ab"), rng.randrange(300), i) for i in range(200)], "k string, t int, id int")
+    right = spark.createDataFrame([(rng.choice("abc"), rng.randrange(300), float(i), i) for i in range(60)], "k string, r int, v double, q int")
+    plain = asof.asof_backward(left, right, ["k"], "t", "r", ["v"], F.lit(40), "q")
+    sliced = asof.asof_backward(left, right, ["k"], "t", "r", ["v"], F.lit(40), "q", lambda x: F.floor(x / 7))
+    rows = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert rows(plain) == rows(sliced) and len(rows(plain)) == 200
+
+
 def test_restatement_after_the_date_stays_out(spark):
     f = spark.createDataFrame([("1", "2020", 1.0, "2021", 0), ("1", "2020", 2.0, "2023", 1)], "k string, end string, val double, filed string, seq int")
     as_filed = facts.disclosed_by(f, ["k"], F.lit("2022")).first().val
