@@ -16,6 +16,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Used for spark.checkpoint.dir only where the session has none (tests, single machine).
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/ledgerlens"
 
+#: Bytes of one Arrow batch between JVM and Python worker, about.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -79,6 +82,15 @@ def empty_like(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES, unless the session has its own bound: Spark counts rows by
+    default, and thousands of long texts in one batch are held several times over by JVM and worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[..., tuple]], inputs: list[str]) -> DataFrame:
     """Adds ``fields`` from a Python function of the input cells, one Arrow batch at a time.
 
@@ -88,6 +100,7 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[]
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_type
 
+    bounded_batches(df.sparkSession)
     out = {f.name for f in fields}
     kept = [i for i, c in enumerate(df.columns) if c not in out]
     at = [df.columns.index(c) for c in inputs]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import bounded_batches, materialize, table
 
 WINDOW = 10
 #: Bytes of item text for one automaton; more items are searched in blocks.
@@ -153,6 +153,7 @@ def _scan(docs: DataFrame, items: tuple[tuple[str, str], ...], text: str, window
             added = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(p) for p in positions), *added], names)
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(scan, schema)
 
 

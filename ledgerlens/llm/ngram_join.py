@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bounded_batches, materialize, table
 from .components import connected_components
 
 NGRAM = 5
@@ -153,6 +153,7 @@ def send_grams(docs: DataFrame, bits: int) -> DataFrame:
         if held:
             yield _wire(_block_rows(block, held, bits))
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(send, _WIRE)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 from .encoders import default_vocabulary, encoder
 
 CAPACITY = 1024
@@ -122,6 +122,7 @@ def pack_ids(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos: in
                     n_held = 0
         yield from flush()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, SCHEMA)
 
 

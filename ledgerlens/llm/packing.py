@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, materialize, table
+from .common import bounded_batches, free_name, materialize, table
 from .encoders import default_vocabulary, encoder
 
 CAPACITY = 1024
@@ -218,6 +218,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eo
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8_size
+from .common import bounded_batches, table, utf8_size
 from .encoders import counter, default_vocabulary
 
 
@@ -28,6 +28,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int
         for batch in batches:
             yield pd.Series([count(x) for x in batch], dtype="int64")
 
+    bounded_batches(df.sparkSession)
     return df.withColumns({"n_bytes": utf8_size(F.col(text)), "n_tokens": tokens(F.col(text))}).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
