@@ -87,11 +87,26 @@ r AS (SELECT item_id, doc_id, min(i) AS "at", count(*) + 23 AS "length" FROM m G
 SELECT item_id, doc_id, CAST("at" AS BIGINT) AS "at", CAST("length" AS BIGINT) AS "length" FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY "length" DESC, "at") AS k FROM r) WHERE k = 1"""
 )
 def overlap_scan(spark, sf_dir):
-    """Longest runs that benchmark items share with documents."""
+    """Longest runs that benchmark items share with documents, of 24 or more characters; overlap_scan_min8 has all."""
     found = overlap.longest_overlaps(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", value="text", size=24)
     return found.select("item_id", "doc_id", F.col("at").cast("long").alias("at"), F.col("length").cast("long").alias("length"))
 
 
+@query(
+    r"""WITH v AS (SELECT item_id, lower(regexp_replace(text, '[\s　，。、；：？！“”‘’（）《》【】,.;:?!"''()\[\]{}<>\-—_/\\|*#]+', '', 'g')) AS t FROM benchmark),
+c AS (SELECT doc_id, lower(regexp_replace(text, '[\s　，。、；：？！“”‘’（）《》【】,.;:?!"''()\[\]{}<>\-—_/\\|*#]+', '', 'g')) AS t FROM documents),
+vg AS (SELECT item_id, i, substr(t, i + 1, 8) AS g FROM (SELECT item_id, t, unnest(range(0, length(t) - 7)) AS i FROM v WHERE length(t) >= 8)),
+cg AS (SELECT doc_id, j, substr(t, j + 1, 8) AS g FROM (SELECT doc_id, t, unnest(range(0, length(t) - 7)) AS j FROM c WHERE length(t) >= 8)),
+m AS (SELECT item_id, doc_id, i, j - i AS dg, i - row_number() OVER (PARTITION BY item_id, doc_id, j - i ORDER BY i) AS run FROM vg JOIN cg USING (g)),
+r AS (SELECT item_id, doc_id, min(i) AS "at", count(*) + 7 AS "length" FROM m GROUP BY item_id, doc_id, dg, run)
+SELECT item_id, doc_id, CAST("at" AS BIGINT) AS "at", CAST("length" AS BIGINT) AS "length" FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY "length" DESC, "at") AS k FROM r) WHERE k = 1"""
+)
+def overlap_scan_min8(spark, sf_dir):
+    """Longest runs of 8 or more characters, the least that counts, that benchmark items share with documents."""
+    found = overlap.longest_overlaps(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", value="text")
+    return found.select("item_id", "doc_id", F.col("at").cast("long").alias("at"), F.col("length").cast("long").alias("length"))
+
+
 @query("SELECT doc_id, array_to_string(list_filter(['idiot', 'moron', 'scum'], lambda x: contains(text, x)), ',') AS blocked FROM documents WHERE contains(text, 'idiot') OR contains(text, 'moron') OR contains(text, 'scum')")
 def blocklist_hits(spark, sf_dir):
     """Texts that hold a blocked term."""

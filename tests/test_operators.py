@@ -38,6 +38,26 @@ def test_overlap_reports_the_longest_run(spark):
     assert [r.k for r in ok.collect()] == [True, False, False, False]
 
 
+def test_registered_overlaps_start_at_eight_characters(spark, tmp_path, monkeypatch):
+    from ledgerlens.plans import registry
+
+    items = [(1, "Net margin, 2024!"), (2, "abcdefg"), (3, None), (4, "the long run of a shared passage")]
+    docs = [(10, "x NETmargin y"), (11, "abcdefg abcdefg"), (12, "a shared-passage; the long run of"), (13, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    form = lambda t: "".join(c for c in (t or "").lower() if c.isalnum())
+    want = set()
+    for i, a in items:
+        for d, b in docs:
+            a, b = form(a), form(b)
+            runs = [(n, -k) for k in range(len(a)) for n in range(8, len(a) - k + 1) if a[k : k + n] in b]
+            want |= {(i, d, -max(runs)[1], max(runs)[0])} if runs else set()
+    for bound in (overlap.MAX_BROADCAST_CHARS, 0):
+        monkeypatch.setattr(overlap, "MAX_BROADCAST_CHARS", bound)
+        assert {tuple(r) for r in registry.QUERIES["overlap_scan_min8"](spark, str(tmp_path)).collect()} == want
+    assert {n for _, _, _, n in want} == {9, 14}
+
+
 def test_asof_keeps_rows_and_bounds_age(spark):
     left = spark.createDataFrame([("a", 10), ("a", 10), ("a", 99), ("b", 5)], "k string, t int")
     right = spark.createDataFrame([("a", 9, 1.0), ("a", 10, 2.0), ("a", 11, 3.0)], "k string, r int, v double")
