@@ -1,9 +1,9 @@
 """Quality classifier by co-training of two views.
 
 The text view sees the words: hashed endings, hashed whole words and immediate repeats. The metadata view sees the
-page: source, language, length, lines and shares of character classes. Both are fitted
-on a bounded sample on the driver; over some rounds each hands its most confident
-pseudo-labels on unlabelled pages to the other. Then each is calibrated on labelled
+page: source, language, length, lines and shares of character classes. Both are fitted on the driver,
+on a bounded sample of the labelled pages and on what all pseudo-labelled pages add up to; over some rounds
+each scores every unlabelled page and hands its most confident pseudo-labels to the other. Then each is calibrated on labelled
 rows that no fit has seen, and the sum of the calibrated log-odds scores every document.
 """
 
@@ -13,22 +13,31 @@ import itertools
 import operator
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, table
+from .common import append_columns, materialize, table
 from .linear import Logistic, Rows, fit_logistic, fit_platt, sigmoid
 
-#: Bounds on the labelled and unlabelled documents that fitting uses.
+#: Bound on the labelled documents that fitting uses.
 MAX_LABELLED = 4_000
-MAX_UNLABELLED = 4_000
+#: Ids of labelled documents that one broadcast may hold.
+MAX_BROADCAST_IDS = 1_000_000
 ROUNDS = 4
 #: Share of the pool that a view hands over in a round, and how sure it must be.
 HANDED = 0.05
 SURE = 0.9
+#: Weight of a pseudo-labelled document; all of a view weigh at most so much of its labelled ones.
+PSEUDO = 0.5
+#: Levels of log-odds by which a hand-over is cut, so many to 1, and groups in which features are summed.
+LEVELS, PER_UNIT = 1 << 12, 128
+GROUPS = 8
+#: Sums are integers, the same in any order.
+UNIT = 1 << 24
 #: Good held-out documents that the threshold may reject.
 CLEAN_LOSS = 0.003
 
@@ -56,6 +65,7 @@ def _repeated(words: list[bytes]) -> float:
     return sum(map(operator.eq, words, itertools.islice(words, 1, None))) / len(words)
 
 
+@lru_cache(1 << 17)
 def _word_features(word: bytes) -> tuple[int, int]:
     return zlib.crc32(word[-2:]) % ENDINGS, ENDINGS + zlib.crc32(word.lower()) % WORDS
 
@@ -96,37 +106,136 @@ def _scaled_fit(x: Rows, y: np.ndarray, size: int, weight: np.ndarray) -> Logist
     return Logistic(model.weights * scale, model.bias)
 
 
-def co_train(views: tuple[Rows, Rows], y: np.ndarray, pool: tuple[Rows, Rows], rounds: int = ROUNDS) -> Model:
-    """``views``: text and metadata of the labelled rows; ``pool``: of the unlabelled ones."""
+class Pool:
+    """All unlabelled documents, as features in a written table."""
+
+    def __init__(self, features: DataFrame):
+        self.features = features
+
+    def levels(self, views: list[View]) -> np.ndarray:
+        """For each view the number of documents at each level of its log-odds."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            n = np.zeros((2, LEVELS), np.int64)
+            for batch in batches:
+                for v, x in enumerate(_batch_views(batch)):
+                    n[v] += np.bincount(_level(_log_odds(x, views[v])), minlength=LEVELS)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.ravel()[at])], ["at", "n"])
+
+        out = np.zeros(2 * LEVELS, np.int64)
+        for r in self.features.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            out[r["at"]] = r["n"]
+        return out.reshape(2, LEVELS)
+
+    def sums(self, rounds: list[tuple[list[View], list[dict[int, int]]]]) -> list[list[tuple[int, int, np.ndarray]]]:
+        """For each view (label, documents, summed features) of what it was given up to now.
+
+        Documents of one label are added up in groups of like log-odds of that view: the gradient of a group is then about that of its mean.
+        """
+        sizes, latest = (TEXT_SIZE, META_SIZE), rounds[-1][0]
+
+        def run(batches):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            n = np.zeros((2, 2 * GROUPS), np.int64)
+            total = [np.zeros((2 * GROUPS, size), np.int64) for size in sizes]
+            for batch in batches:
+                xs = _batch_views(batch)
+                given = _given(xs, rounds)
+                for v, x in enumerate(xs):
+                    group = np.clip(np.floor(_log_odds(x, latest[v]) / 2) + GROUPS // 2, 0, GROUPS - 1).astype(np.int64)
+                    cell = np.where(given[v] >= 0, given[v] * GROUPS + group, -1)
+                    n[v] += np.bincount(cell[cell >= 0], minlength=2 * GROUPS)
+                    of = np.repeat(cell, np.diff(x.start))
+                    np.add.at(total[v].reshape(-1), of[of >= 0] * sizes[v] + x.at[of >= 0], np.rint(x.value[of >= 0] * UNIT).astype(np.int64))
+            task = TaskContext.get()
+            part = (task.partitionId() if task else 0) % 64
+            rows = [(v * 2 * GROUPS + int(c), part, int(n[v][c]), total[v][c].tobytes()) for v in (0, 1) for c in np.flatnonzero(n[v])]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["cell", "part", "n", "total"])
+
+        def add(rows):
+            import pyarrow as pa
+
+            total = 0
+            for t in rows.column("total"):
+                total = total + np.frombuffer(t.as_buffer(), np.int64)
+            return pa.table({"cell": rows["cell"][:1], "part": pa.array([0], pa.int32()), "n": pa.array([sum(rows["n"].to_pylist())], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
+
+        wire = "cell int, part int, n long, total binary"
+        found = self.features.mapInArrow(run, wire).groupBy("cell", "part").applyInArrow(add, wire).groupBy("cell").applyInArrow(add, wire).collect()
+        out: list[list[tuple[int, int, np.ndarray]]] = [[], []]
+        for r in sorted(found, key=lambda r: r["cell"]):
+            v, c = divmod(r["cell"], 2 * GROUPS)
+            out[v].append((c // GROUPS, r["n"], np.frombuffer(r["total"], np.int64) / UNIT))
+        return out
+
+
+def _log_odds(x: Rows, view: View) -> np.ndarray:
+    """Each row by itself, so that it's the same in any batch."""
+    row = np.repeat(np.arange(len(x)), np.diff(x.start))
+    return view.a * (np.bincount(row, weights=x.value * view.weights[x.at], minlength=len(x)) + view.bias) + view.b
+
+
+def _level(z: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(z * PER_UNIT).astype(np.int64) + LEVELS // 2, 0, LEVELS - 1)
+
+
+def _cuts(n: np.ndarray, prior: float) -> dict[int, int]:
+    """The level from which a view's documents are handed over as good, and that up to which as bad.
+
+    The most confident HANDED of them all by the classes' shares, with those that are level with the last, and only sure ones.
+    """
+    sure = int(_level(np.array([np.log(SURE / (1 - SURE))]))[0])
+    wanted = {k: max(1, int(HANDED * n.sum() * share)) for k, share in ((1, prior), (0, 1 - prior))}
+    good = LEVELS - 1 - int(np.searchsorted(np.cumsum(n[::-1]), wanted[1]))
+    return {1: max(good, sure + 1), 0: min(int(np.searchsorted(np.cumsum(n), wanted[0])), LEVELS - 2 - sure)}
+
+
+def _given(xs: list[Rows], rounds: list[tuple[list[View], list[dict[int, int]]]]) -> list[np.ndarray]:
+    """The pseudo-labels that each view was given, -1 for none: the first one stays."""
+    given = [np.full(len(xs[0]), -1), np.full(len(xs[0]), -1)]
+    for views, cuts in rounds:
+        for v in (0, 1):
+            level, other = _level(_log_odds(xs[v], views[v])), given[1 - v]
+            other[(level >= cuts[v][1]) & (other < 0)] = 1
+            other[(level <= cuts[v][0]) & (other < 0)] = 0
+    return given
+
+
+def co_train(views: tuple[Rows, Rows], y: np.ndarray, pool: Pool, rounds: int = ROUNDS) -> Model:
+    """``views``: text and metadata of the labelled rows; ``pool``: the unlabelled ones."""
     sizes = (TEXT_SIZE, META_SIZE)
     held = np.arange(len(y)) % 4 == 3
     fit_at, cal_at = np.flatnonzero(~held), np.flatnonzero(held)
-    m = len(pool[0])
-    given = [np.full(m, -1), np.full(m, -1)]  # pseudo-labels each view was given
     prior = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-    models: list[Logistic] = []
+    found: list[View] = []
+    given: list[list[tuple[int, int, np.ndarray]]] = [[], []]  # what the pseudo-labels each view was given add up to
+    done: list[tuple[list[View], list[dict[int, int]]]] = []
     for step in range(rounds + 1):
-        models = []
+        found = []
         for v in (0, 1):
-            extra = np.flatnonzero(given[v] >= 0)
-            rows = [(r.at[r.start[i] : r.start[i + 1]], r.value[r.start[i] : r.start[i + 1]]) for r, ix in ((views[v], fit_at), (pool[v], extra)) for i in ix]
-            labels = np.concatenate([y[fit_at], given[v][extra]]).astype(float)
-            models.append(_scaled_fit(Rows.of(rows), labels, sizes[v], np.concatenate([np.ones(len(fit_at)), np.full(len(extra), 0.5)])))
-        if step == rounds or not m:
+            r = views[v]
+            rows = [(r.at[r.start[i] : r.start[i + 1]], r.value[r.start[i] : r.start[i + 1]]) for i in fit_at]
+            rows += [(at := np.flatnonzero(total), total[at] / n) for _, n, total in given[v]]
+            labels = np.concatenate([y[fit_at], [k for k, _, _ in given[v]]]).astype(float)
+            n = np.array([n for _, n, _ in given[v]], float)
+            weight = np.concatenate([np.ones(len(fit_at)), PSEUDO * n * min(1.0, len(fit_at) / max(n.sum(), 1.0))])
+            model = _scaled_fit(Rows.of(rows), labels, sizes[v], weight)
+            found.append(View(model.weights, model.bias, *fit_platt(model.logit(r.take(cal_at)), y[cal_at])))
+        if step == rounds or len(np.unique(y)) < 2:
             break
-        for v in (0, 1):
-            a, b = fit_platt(models[v].logit(views[v].take(cal_at)), y[cal_at])
-            p = sigmoid(a * models[v].logit(pool[v]) + b)
-            other = given[1 - v]
-            for label, sure, share in ((1, p, prior), (0, 1 - p, 1 - prior)):
-                best = np.argsort(-sure, kind="stable")[: max(1, int(HANDED * m * share))]
-                best = best[(sure[best] >= SURE) & (other[best] < 0)]
-                other[best] = label
-    found = []
-    for v in (0, 1):
-        a, b = fit_platt(models[v].logit(views[v].take(cal_at)), y[cal_at])
-        found.append(View(models[v].weights, models[v].bias, a, b))
-    scores = combined(*(w.a * models[v].logit(views[v].take(cal_at)) + w.b for v, w in enumerate(found)), prior)
+        levels = pool.levels(found)
+        if not levels.any():
+            break
+        done.append((found, [_cuts(n, prior) for n in levels]))
+        given = pool.sums(done)
+    scores = combined(*(_log_odds(views[v].take(cal_at), w) for v, w in enumerate(found)), prior)
     good = np.sort(scores[y[cal_at] == 1])
     threshold = min(0.5, float(good[int(CLEAN_LOSS * len(good))])) if len(good) else 0.0
     return Model(*found, prior, threshold)
@@ -137,36 +246,53 @@ def combined(text_logit, meta_logit, prior: float):
     return sigmoid(text_logit + meta_logit - np.log(prior / (1 - prior)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Learns from at most so many labelled and unlabelled documents, those of least hash of doc_id.
+FEATURES = [T.StructField(c, T.BinaryType()) for c in ("_at", "_share", "_meta_at", "_meta")]
 
-    Without labels of both classes every document gets the prior and is kept.
-    """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("_y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull()).join(known, "doc_id", "left_anti")
-    others = others.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled).select("doc_id", F.lit(-1).alias("_y")).distinct()
-    sample = docs.join(F.broadcast(chosen.unionAll(others)), "doc_id")  # at most the two bounds of ids
-    sample = sample.select("doc_id", "_y", "text", *(F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))))
+
+def _with_features(docs: DataFrame) -> DataFrame:
+    docs = docs.select("doc_id", "_y", "text", *(F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))))
 
     def make():
         def of(text, lang, source, n_chars):
             at, share = text_features(text)
-            return at.tobytes(), share.astype(np.float32).tobytes(), meta_features(text, lang, source, n_chars).tobytes()
+            meta = meta_features(text, lang, source, n_chars)
+            some = np.flatnonzero(meta)
+            return at.astype("<u2").tobytes(), share.astype("<f4").tobytes(), some.astype("<u2").tobytes(), meta[some].astype("<f4").tobytes()
 
         return of
 
-    fields = [T.StructField(c, T.BinaryType()) for c in ("_at", "_share", "_meta")]
-    rows = append_columns(sample, fields, make, ["text", "lang", "source", "n_chars"]).select("doc_id", "_y", "_at", "_share", "_meta").limit(2 * (max_labelled + max_unlabelled)).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r["_meta"]), bytes(r["_at"])))
+    return append_columns(docs, FEATURES, make, ["text", "lang", "source", "n_chars"]).select("doc_id", "_y", *(f.name for f in FEATURES))
+
 
-    def views(chosen: list) -> tuple[Rows, Rows]:
-        every = np.arange(META_SIZE)
-        text = Rows.of([(np.frombuffer(r["_at"], np.int32), np.frombuffer(r["_share"], np.float32)) for r in chosen])
-        return text, Rows.of([(every, np.frombuffer(r["_meta"])) for r in chosen])
+def _views(cells: list[list[bytes]]) -> tuple[Rows, Rows]:
+    """Rows of the text and the metadata view from the cells of FEATURES."""
 
-    labelled, pool = [r for r in rows if r["_y"] >= 0], [r for r in rows if r["_y"] < 0]
-    return co_train(views(labelled), np.array([r["_y"] for r in labelled], int), views(pool))
+    def rows(at: list[bytes], value: list[bytes]) -> Rows:
+        start = np.concatenate([[0], np.cumsum([len(x) // 2 for x in at])]).astype(np.int64)
+        return Rows(np.frombuffer(b"".join(at), "<u2").astype(np.int64), np.frombuffer(b"".join(value), "<f4").astype(float), start)
+
+    return rows(*cells[:2]), rows(*cells[2:])
+
+
+def _batch_views(batch) -> tuple[Rows, Rows]:
+    return _views([batch.column(f.name).to_pylist() for f in FEATURES])
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
+    """Learns from at most so many labelled documents, those of least hash of doc_id, and from all unlabelled ones.
+
+    Without labels of both classes every document gets the prior and is kept.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("_y"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    labelled = _with_features(docs.join(F.broadcast(chosen), "doc_id"))  # at most the bound of ids
+    rows = labelled.limit(2 * max_labelled).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r["_meta"]), bytes(r["_at"])))
+    ids = known.select("doc_id")
+    ids = F.broadcast(ids) if labels.count() <= MAX_BROADCAST_IDS else ids
+    others = _with_features(docs.join(ids, "doc_id", "left_anti").withColumn("_y", F.lit(-1)))
+    pool = Pool(materialize(others.select(*(f.name for f in FEATURES)), "unlabelled"))
+    return co_train(_views([[bytes(r[f.name]) for r in rows] for f in FEATURES]), np.array([r["_y"] for r in rows], int), pool)
 
 
 SCORES = [T.StructField("p_text", T.DoubleType()), T.StructField("p_meta", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]

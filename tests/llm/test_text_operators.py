@@ -88,6 +88,19 @@ def test_co_training_holds_out(spark):
     assert quality_classifier.score(docs.limit(0), model).count() == 0
 
 
+def test_co_training_reads_every_unlabelled_document(spark):
+    good, bad = "the station of the old town was open", "click here now buy cheap pills today"
+    rows = [(i, f"{bad if i % 2 else good} w{i % 7}", "en", "spam" if i % 2 else "press", 40) for i in range(400)]
+    ids = [r.doc_id for r in spark.range(400, 5_400).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rows += [(d, f"{bad} {'zyxwv' if k >= 4_500 else 'plain'}", "en", "spam", 40) for k, d in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(400)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels)
+    assert model.text.weights[quality_classifier._word_features(b"zyxwv")[1]] < 0  # only the last documents by hash have the word
+    again = quality_classifier.fit(docs.repartition(7), labels)
+    assert (model.text.weights == again.text.weights).all() and model.threshold == again.threshold
+
+
 def test_toxicity_chain_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
