@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.llm import decontamination, ngram_join, packing, quality_classifier, quality_rules
-from ledgerlens.llm.common import materialize, table
+from ledgerlens.llm.common import append_columns, free_name, materialize, table
 from ledgerlens.llm.encoders import default_vocabulary
 
 #: Ids that one broadcast may hold: 16 MB of them.
@@ -32,17 +33,26 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, that of least doc_id.
+    """One row of each component of near copies, that of least doc_id.
 
-    Documents without words or without doc_id stay; of rows that repeat doc_id and text one stays.
+    Rows without words or without doc_id stay; of such that repeat doc_id and text one stays. A doc_id may repeat with other texts:
+    its rows are told apart by the key of their shingles.
     """
-    linked = materialize(ngram_join.link_components(docs).where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()), "linked")
-    gone = linked.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(_small(gone), "doc_id", "left_anti")
+    linked = materialize(ngram_join.linked_rows(docs).where(F.col("doc_id").isNotNull()), "linked")
+    kept = docs.join(_small(linked.where("not stays").select("doc_id").distinct()), "doc_id", "left_anti")
     repeated = linked.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
-        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+        key, empty = free_name(docs, "_key"), ngram_join.gram_key(None, ngram_join._Words())
+
+        def make():
+            words = ngram_join._Words()
+            return lambda text: (ngram_join.gram_key(text, words),)
+
+        rows = append_columns(docs.join(_small(repeated), "doc_id", "left_semi"), [T.StructField(key, T.BinaryType())], make, ["text"])
+        stay = linked.where("stays").select("doc_id", F.col("key").alias(key)).join(_small(repeated), "doc_id", "left_semi")
+        worded = rows.where(F.col(key) != F.lit(empty)).join(stay, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+        blank = rows.where(F.col(key) == F.lit(empty)).dropDuplicates(["doc_id", "text"])
+        kept = kept.join(_small(repeated), "doc_id", "left_anti").select(docs.columns).unionByName(worded.unionByName(blank).select(docs.columns))
     return kept.select(docs.columns)
 
 

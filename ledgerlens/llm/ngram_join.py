@@ -308,6 +308,19 @@ def link_components(docs: DataFrame) -> DataFrame:
     link with each other; a NULL doc_id is carried and never a component's name. Other columns
     are dropped. Shingles are compared by 64-bit hash: the first (45 to 60) bits decide.
     """
+    return linked_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def gram_key(text: str | None, words: _Words) -> bytes:
+    """What texts of equal sets have in common; linked_rows has it of each row."""
+    return xxhash.xxh3_128_digest(gram_hashes(text, words).tobytes())
+
+
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """link_components with the key of each row's set, and whether it is the one that stays of the component.
+
+    That is the least doc_id, and of its rows the least key: a doc_id may have rows of several components.
+    """
     grams = gram_table(docs)
     # of equal sets one document stands for all
     classes = grams.where("n > 0").groupBy("key").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least_doc"))
@@ -330,13 +343,16 @@ def link_components(docs: DataFrame) -> DataFrame:
         labels = materialize(connected_components(links), "components")
 
     if labels is None:
-        named = classes.select("key", F.col("least_doc").alias("component_id"))
+        named = classes.select("key", F.col("least_doc").alias("component_id"), F.col("key").alias("first_key"))
     else:
         placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        names = placed.groupBy("component").agg(F.min("least_doc").alias("component_id"))
-        named = placed.join(names, "component").select("key", "component_id")
+        first = F.min(F.when(F.col("least_doc").isNotNull(), F.struct("least_doc", "key"))).alias("first")
+        names = placed.groupBy("component").agg(first).select("component", F.col("first.least_doc").alias("component_id"), F.col("first.key").alias("first_key"))
+        named = placed.join(names, "component").select("key", "component_id", "first_key")
     found = grams.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
-    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    worded = F.col("n_shingles") > 0
+    stays = ~worded | F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("first_key")), F.lit(False))
+    return found.select("doc_id", "n_shingles", F.when(worded, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "key", stays.alias("stays"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

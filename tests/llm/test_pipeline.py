@@ -49,3 +49,16 @@ def test_one_of_each_group_stays(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, None), (4, ""), (5, text + " more")], "doc_id long, text string")
     kept = pipeline.one_of_near_copies(spark, docs, "").collect()
     assert sorted((r.doc_id or -1 for r in kept)) == [-1, 1, 3, 4]
+
+
+def test_repeated_ids_lose_only_copies(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(30)) for c in "abcd"}
+    rows = [
+        (1, text["a"]), (2, text["a"] + " more"), (2, text["b"]),  # 2: a copy of 1, and a text without any
+        (3, text["c"]), (3, text["c"] + " more"), (3, text["c"].upper()),  # one id, one component
+        (4, text["d"]), (4, text["b"] + " more"), (5, ""), (5, text["a"]), (6, "lone words"), (6, "other words"),
+    ]
+    kept = [tuple(r) for r in pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    third = [t for d, t in kept if d == 3]
+    assert len(third) == 1 and third[0] in {t for d, t in rows if d == 3}
+    assert sorted(x for x in kept if x[0] != 3) == [(1, text["a"]), (2, text["b"]), (4, text["d"]), (5, ""), (6, "lone words"), (6, "other words")]
