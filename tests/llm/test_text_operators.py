@@ -177,6 +177,16 @@ def test_license_scan_finds_changed_long_texts_and_skips_parts(spark):
         license_scans.scan(df, {"X": ["w " * 30_000]})
 
 
+def test_license_bands_miss_few_windows():
+    rng = np.random.default_rng(3)
+    h = rng.integers(-(1 << 63), (1 << 63) - 1, (4_000, 16))  # two sets of 12 with 8 in common: J = 0.5
+    missed = np.ones(len(h), bool)
+    for c in license_scans._constants():
+        x = h ^ np.int64(c)
+        missed &= x[:, :12].min(axis=1) != x[:, 4:].min(axis=1)
+    assert missed.mean() < 0.01
+
+
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w, hit, found = words(text), set(), set()
