@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, table, utf8_size
-from .encoders import counter, default_vocabulary
+from .encoders import counter, default_vocabulary, is_byte_level, prove_whole
 
 
 def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int = 512) -> DataFrame:
@@ -19,12 +19,14 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int
     tokens. NULL and empty texts have 0 bytes and 0 tokens. Rows, ties and repeats are
     kept one to one; columns named like an output are replaced, others pass through.
     One scan, no shuffle; a worker holds one Arrow batch, the proven tokens and a
-    bounded memo.
+    bounded memo. A text may be of any length, also one run of white space or letters.
     """
+    # as many strings as the vocabulary has at most
+    whole = df.sparkSession.sparkContext.broadcast(prove_whole(vocabulary) if is_byte_level(vocabulary) else None)
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter(vocabulary).count
+        count = counter(vocabulary, whole.value).count
         for batch in batches:
             yield pd.Series([count(x) for x in batch], dtype="int64")
 
