@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,120 +11,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .best_fit import best_fit_counts
+from .common import bounded_batches, materialize, table
 from .encoders import default_vocabulary, encoder
+from .packing import CAPACITY, ORDER, Plan, cut_documents, place_pieces
 
-CAPACITY = 1024
-#: Tokens that one task holds at once; packing starts anew after so many.
-BUFFER_TOKENS = 4_000_000
+#: Pieces that one ranking task takes of one length, about: their ids go along.
+RANK_ROWS = 20_000
 
 SCHEMA = "sequence_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, n_tokens long, padding long, ids_crc32 long, ids binary"
 
 
-class RoomTree:
-    """Segment tree over room sizes; finds the least room that still fits."""
-
-    def __init__(self, capacity: int):
-        self.leaves = 1 << capacity.bit_length()
-        self.count = [0] * (2 * self.leaves)
-
-    def add(self, room: int, by: int) -> None:
-        i = room + self.leaves
-        while i:
-            self.count[i] += by
-            i >>= 1
-
-    def least_from(self, size: int) -> int:
-        """The least room of at least ``size`` that some sequence has, or -1."""
-        count, i = self.count, size + self.leaves
-        if count[i]:
-            return size
-        while i > 1:
-            if not i & 1 and count[i + 1]:
-                i += 1
-                while i < self.leaves:
-                    i = 2 * i if count[2 * i] else 2 * i + 1
-                return i - self.leaves
-            i >>= 1
-        return -1
-
-
-def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Indexes into ``lengths`` by sequence; ties go by index."""
-    order = sorted(range(len(lengths)), key=lambda k: (-lengths[k], k))
-    tree, open_by_room, packed = RoomTree(capacity), [[] for _ in range(capacity + 1)], []
-    for k in order:
-        size = lengths[k]
-        room = tree.least_from(size)
-        if room < 0:
-            room, at = capacity, len(packed)
-            packed.append([])
-        else:
-            at = open_by_room[room].pop()
-            tree.add(room, -1)
-        packed[at].append(k)
-        if room > size:
-            open_by_room[room - size].append(at)
-            tree.add(room - size, 1)
-    return packed
-
-
-def pack_ids(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos: int = 0, pad: int = 0, buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
+def best_fit_plan(demand: np.ndarray, capacity: int) -> Plan:
+    """The patterns of best-fit decreasing over so many pieces of each length."""
+    return sorted(best_fit_counts(Counter({int(n): int(demand[n]) for n in np.flatnonzero(demand) if n}), capacity).items(), reverse=True)
+
+
+def pack_ids(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos: int = 0, pad: int = 0, rank_rows: int = RANK_ROWS) -> DataFrame:
     """One row for each sequence: a row of the id matrix and what its segments are.
 
     A document is the ids of its whole text (NULL: none) and ``eos``; one over the
-    capacity is split at its multiples, each piece a segment of its own. ids: ``capacity``
+    capacity is split at its multiples, each piece a segment of its own; a text may be of any length. ids: ``capacity``
     little-endian numbers (2 bytes if the vocabulary allows, else 4), ``pad`` after n_tokens.
     cu_seqlens: 0, then the end of each segment; position_resets: where position ids go
     back to 0; doc_ids and starts: the document of each segment and its ids before it.
-    ids_crc32 is that of the n_tokens ids as 4-byte numbers. An empty table gives no rows;
+    ids_crc32 is that of the n_tokens ids as 4-byte numbers. sequence_id counts from 0. An empty table gives no rows;
     repeated rows are packed as often as they occur; other columns are dropped.
 
-    No shuffle: a task packs what it reads, ``buffer_tokens`` at a time, which
-    thousands of documents fill, so little room is lost. sequence_id is unique: the task's
-    partition times 2**33 plus a running number. A task that runs again gives the same.
+    The lengths of the whole table are packed at once, as counts, so padding doesn't depend on files or
+    partitions: pieces are written, ranked within their length in salted parts, and meet by sequence.
+    Two shuffles, of ids only. Not more than ``capacity`` pieces meet in a group.
     """
-    spark_width = "<u2" if encoder(vocabulary).size <= 1 << 16 else "<u4"
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        ids_of = encoder(vocabulary).ids
-        context = TaskContext.get()
-        sequence = (context.partitionId() if context else 0) << 33
-        held: list[tuple[int | None, int, np.ndarray]] = []
-        n_held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal sequence
-            packed = best_fit_decreasing([len(p[2]) for p in held], capacity)
-            for low in range(0, len(packed), 1000):
-                rows = []
-                for members in packed[low : low + 1000]:
-                    pieces = [held[k] for k in members]
-                    ends = np.cumsum([0, *(len(p[2]) for p in pieces)]).tolist()
-                    ids = np.full(capacity, pad, spark_width)
-                    ids[: ends[-1]] = np.concatenate([p[2] for p in pieces])
-                    crc = zlib.crc32(ids[: ends[-1]].astype("<u4").tobytes())
-                    rows.append((sequence, [p[0] for p in pieces], [p[1] for p in pieces], ends, ends[:-1], ends[-1], capacity - ends[-1], crc, ids.tobytes()))
-                    sequence += 1
-                ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-                kinds = [pa.int64(), longs, longs, ints, ints, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
-            held.clear()
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(ids_of(text.as_py()), np.uint32(eos)).astype(spark_width)
-                held += [(doc_id, s, ids[s : s + capacity]) for s in range(0, len(ids), capacity)]
-                n_held += len(ids)
-                if n_held >= buffer_tokens:
-                    yield from flush()
-                    n_held = 0
-        yield from flush()
+    width = "<u2" if encoder(vocabulary).size <= 1 << 16 else "<u4"
+    pieces = materialize(cut_documents(docs, vocabulary, capacity, eos, width), "pieces")
+    placed = place_pieces(pieces, "length", ORDER, best_fit_plan, capacity, 1, rank_rows)
+    segment = F.struct("slot", *(F.col("row").getField(c).alias(c) for c in ("doc_id", "start", "ids")))
+    sequences = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
+
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    kinds = [pa.int64(), longs, longs, ints, ints, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
+            rows = []
+            for sequence, segments in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = segments.as_py()
+                parts = [np.frombuffer(s["ids"], width) for s in held]
+                ends = np.cumsum([0, *map(len, parts)]).tolist()
+                ids = np.full(capacity, pad, width)
+                ids[: ends[-1]] = np.concatenate(parts)
+                crc = zlib.crc32(ids[: ends[-1]].astype("<u4").tobytes())
+                rows.append((sequence, [s["doc_id"] for s in held], [s["start"] for s in held], ends, ends[:-1], ends[-1], capacity - ends[-1], crc, ids.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, SCHEMA)
+    return sequences.mapInArrow(lay_out, SCHEMA)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

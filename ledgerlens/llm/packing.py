@@ -3,8 +3,8 @@
 Lengths fall into size classes of ``grain`` tokens, so the linear program has a row
 for each class, however many documents there are. Its columns are patterns: how
 many pieces of each class one sequence holds. A knapsack dynamic program prices
-columns; the pattern counts are rounded down and what they leave is packed best fit
-decreasing, still as counts. Every piece is ranked within its class, and its rank
+columns, from nothing but one-class patterns on; the pattern counts are rounded down and what they leave, a
+few pieces for each pattern, is packed best fit decreasing, still as counts. Every piece is ranked within its class, and its rank
 tells its pattern, sequence and slot. Only the histogram (capacity / grain numbers)
 and the patterns reach the driver.
 """
@@ -13,23 +13,23 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, free_name, materialize, table
+from .best_fit import best_fit_counts
+from .common import bounded_batches, materialize, table
 from .encoders import default_vocabulary, encoder
 
 CAPACITY = 1024
 GRAIN = 4
 #: Rows that one ranking task takes of one size class, about.
 RANK_ROWS = 100_000
-#: Pieces whose best-fit patterns start the pool of columns.
-POOL_PIECES = 20_000
 
 
 # ---- the plan, on the driver -------------------------------------------------
@@ -56,39 +56,58 @@ def price_pattern(values: np.ndarray, capacity: int) -> tuple[float, Counter]:
     return float(best[capacity]), pattern
 
 
-def solve_patterns(demand: np.ndarray, capacity: int, gap: float = 5e-4, max_columns: int = 4000) -> list[tuple[Counter, float]]:
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """By elimination with row exchange; LAPACK's threads can stand still in a process that has started a JVM."""
+    n = len(m)
+    both = np.hstack([m, np.eye(n)])
+    for k in range(n):
+        at = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, at]] = both[[at, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0.0
+        both -= factors[:, None] * both[k]
+    return both[:, n:]
+
+
+def solve_patterns(demand: np.ndarray, capacity: int, gap: float = 5e-4, max_pivots: int = 200_000) -> list[tuple[Counter, float]]:
     """Column generation for min sum x, patterns @ x >= demand: (pattern, x) of the last basis.
 
-    Revised simplex from the basis of one-class patterns. The pool of columns begins
-    with the best-fit patterns of the demand scaled to POOL_PIECES pieces; when none of the pool
-    improves the plan, the knapsack prices a new column. It ends when the larger of Farley's
-    bound and the material bound shows the plan within ``gap`` of the optimum.
+    Revised simplex from the basis of one-class patterns. When none of the patterns priced so far improves the
+    plan, the knapsack prices a new one. It ends when the larger of Farley's bound and the
+    material bound shows the plan within ``gap`` of the optimum. Neither the rows nor the
+    pivots needed grow with the number of pieces.
     """
     classes = np.array([c for c in np.flatnonzero(demand) if c], np.int64)
     if not len(classes):
         return []
-    d = demand[classes].astype(float)
-    material = float(d @ classes) / capacity
-    scaled = np.ceil(d * min(1.0, POOL_PIECES / d.sum())).astype(int)
-    pool = [Counter(p) for p in best_fit_counts(Counter(dict(zip(classes.tolist(), scaled.tolist(), strict=True))), capacity)]
-    columns = np.array([[p[c] for c in classes.tolist()] for p in pool], float)
+    # shares of a piece more, another for each class, so that no pivot stands still
+    d = demand[classes] + 0.05 * (np.arange(1, len(classes) + 1) * 0.6180339887 % 1.0)
+    bound = float(d @ classes) / capacity
+    priced: list[Counter] = []
+    columns = np.zeros((1024, len(classes)))
     basis = [Counter({c: capacity // c}) for c in classes.tolist()]
     inverse = np.diag(1.0 / (capacity // classes))
     x = inverse @ d
     values = np.full(capacity + 1, -1.0)
-    for _ in range(max_columns):
+    for pivot in range(max_pivots):
+        if pivot % 4096 == 4095:  # what rounding errors have added goes
+            inverse = _inverse(np.array([[p[c] for p in basis] for c in classes.tolist()], float))
+            x = np.maximum(inverse @ d, 0.0)
         duals = inverse.sum(axis=0)  # every pattern costs one sequence
-        worths = columns @ duals
-        k = int(np.argmax(worths))
-        if worths[k] <= 1 + 1e-6:
+        worths = columns[: len(priced)] @ duals
+        k = int(np.argmax(worths)) if priced else -1
+        if k < 0 or worths[k] <= 1 + 1e-6:
             values[classes] = duals
             worth, pattern = price_pattern(values, capacity)
-            bound = max(material, float(duals @ d) / max(worth, 1.0))
-            if worth <= 1 + 1e-9 or x.sum() - bound <= gap * x.sum():
+            bound = max(bound, float(duals @ d) / max(worth, 1.0))
+            if worth <= 1 + 1e-6 or x.sum() - bound <= gap * x.sum():
                 break
-            pool.append(pattern)
-            columns = np.vstack([columns, [[pattern[c] for c in classes.tolist()]]])
-            k = len(pool) - 1
+            k = len(priced)
+            if k == len(columns):
+                columns = np.vstack([columns, np.zeros_like(columns)])
+            columns[k] = [pattern[c] for c in classes.tolist()]
+            priced.append(pattern)
         step = inverse @ columns[k]
         up = step > 1e-9
         if not up.any():
@@ -102,29 +121,21 @@ def solve_patterns(demand: np.ndarray, capacity: int, gap: float = 5e-4, max_col
         others = step.copy()
         others[out] = 0.0
         inverse -= np.outer(others, inverse[out])
-        basis[out] = pool[k]
+        basis[out] = priced[k]
     return list(zip(basis, x, strict=True))
 
 
-def best_fit_counts(left: Counter, capacity: int) -> Counter:
-    """Best fit decreasing on counts; returns patterns (sorted tuples) with their numbers."""
-    spare: dict[int, list[list[int]]] = {}
-    for c in sorted(left, reverse=True):
-        for _ in range(left[c]):
-            room = next((r for r in range(c, capacity + 1) if spare.get(r)), None)
-            held = spare[room].pop() if room is not None else []
-            held.append(c)
-            spare.setdefault((capacity if room is None else room) - c, []).append(held)
-    return Counter(tuple(sorted(h, reverse=True)) for hs in spare.values() for h in hs)
+#: Classes of one sequence, falling, and the number of such sequences.
+Plan = list[tuple[tuple[int, ...], int]]
 
 
-def plan_sequences(demand: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+def plan_sequences(demand: np.ndarray, capacity: int) -> Plan:
     """(classes of one sequence, number of such sequences); serves the demand exactly.
 
     Where rounding up would serve more than is there, the surplus slots are given up.
     """
     left = Counter({int(c): int(demand[c]) for c in np.flatnonzero(demand) if c})
-    plan: list[tuple[tuple[int, ...], int]] = []
+    plan: Plan = []
     for pattern, x in sorted(solve_patterns(demand, capacity), key=lambda p: sorted(p[0].items(), reverse=True)):
         n = min([int(x + 1e-6), *(left[c] // k for c, k in pattern.items())])
         if n > 0:
@@ -135,7 +146,7 @@ def plan_sequences(demand: np.ndarray, capacity: int) -> list[tuple[tuple[int, .
     return plan
 
 
-def slot_rows(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
+def slot_rows(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
     """(class, first rank, end rank, first sequence, pieces of the class in a sequence, first slot)."""
     taken: Counter = Counter()
     rows, sequence = [], 0
@@ -152,85 +163,115 @@ def slot_rows(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 # ---- over a table ------------------------------------------------------------
 
 
-def pack_lengths(pieces: DataFrame, length: str, order: list[str], capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
-    """Adds sequence_id, slot and offset (all long) to each row of ``pieces``.
-
-    ``length`` holds 1 to ``capacity``; other values raise. ``pieces`` is read three
-    times, so hand over a written table. ``order`` ranks pieces of a class; rows that tie
-    in all of it are interchangeable. An empty table gives an empty result. Columns named
-    sequence_id, slot or offset are replaced, others pass through.
+def place_pieces(pieces: DataFrame, length: str, order: list[str], plan: Callable[[np.ndarray, int], Plan], capacity: int, grain: int, rank_rows: int) -> DataFrame:
+    """row (all columns of ``pieces``), n (its length), sequence_id and slot of each piece.
 
-    A class that holds most rows is ranked in salted parts of about RANK_ROWS rows.
+    ``plan`` makes the patterns from the number of pieces of each class. Pieces are ranked within their class in salted
+    parts of about ``rank_rows``, so that a class with most rows, or a row that repeats, is spread over tasks as
+    long as ``order`` tells rows apart. Columns go along as one, so they may have any names.
     """
     spark = pieces.sparkSession
     units = -(-capacity // grain)
-    pieces = pieces.drop("sequence_id", "slot", "offset")
-    cls, salt, rank = (free_name(pieces, n) for n in ("_class", "_salt", "_rank"))
-    usable = F.when(F.col(length).between(1, capacity), F.ceil(F.col(length) / grain)).otherwise(F.raise_error(F.lit("length outside 1 to capacity")))
-    pieces = pieces.withColumn(cls, usable.cast("int"))
-
-    total = pieces.count()
-    parts = max(32, -(-total // RANK_ROWS))
-    pieces = pieces.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    counts = pieces.groupBy(cls, salt).agg(F.count(F.lit(1)).alias("_n"))
+    size = F.col(f"`{length}`")
+    usable = F.when(size.between(1, capacity), F.ceil(size / grain)).otherwise(F.raise_error(F.lit("length outside 1 to capacity")))
+    parts = max(32, -(-pieces.count() // rank_rows))
+    by = [F.col(f"`{c}`") for c in order]
+    rows = pieces.select(F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("row"), size.cast("long").alias("n"), usable.cast("int").alias("class"), F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int").alias("salt"))
+    counts = rows.groupBy("class", "salt").agg(F.count(F.lit(1)).alias("times"))
     demand = np.zeros(units + 1, np.int64)
-    for c, n in counts.groupBy(cls).agg(F.sum("_n")).collect():  # a row for each class
+    for c, n in counts.groupBy("class").agg(F.sum("times")).collect():  # a row for each class
         demand[c] = n
 
-    before = Window.partitionBy(cls).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy(cls, salt).orderBy(*order)
-    ranked = pieces.withColumn(rank, F.row_number().over(within)).join(bases, [cls, salt]).withColumn(rank, F.col(rank) - 1 + F.col("_base"))
-
-    slots = spark.createDataFrame(slot_rows(plan_sequences(demand, units)), "_c int, _lo long, _hi long, _seq long, _k long, _slot long")
-    at = F.col(rank) - F.col("_lo")
-    placed = (
-        ranked.join(F.broadcast(slots), (F.col(cls) == F.col("_c")) & (F.col(rank) >= F.col("_lo")) & (F.col(rank) < F.col("_hi")))
-        .withColumn("sequence_id", F.col("_seq") + F.floor(at / F.col("_k")).cast("long"))
-        .withColumn("slot", F.col("_slot") + at % F.col("_k"))
-    )
+    before = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.withColumn("base", F.coalesce(F.sum("times").over(before), F.lit(0))).drop("times")
+    within = Window.partitionBy("class", "salt").orderBy(*(F.col("row").getField(c) for c in order))
+    ranked = rows.withColumn("rank", F.row_number().over(within)).join(bases, ["class", "salt"]).select("row", "n", "class", (F.col("rank") - 1 + F.col("base")).alias("rank"))
+
+    # (class, first rank) tells the pattern: a few thousand rows, whatever the number of pieces
+    slots = np.array(slot_rows(plan(demand, units)), np.int64).reshape(-1, 6)
+    slots = spark.sparkContext.broadcast(slots[np.lexsort((slots[:, 1], slots[:, 0]))])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = slots.value
+        keys = known[:, 0] << 44 | known[:, 1]
+        for batch in batches:
+            cls, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
+            _, first, _, sequence, each, slot = known[np.searchsorted(keys, cls << 44 | rank, "right") - 1].T
+            at = rank - first
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sequence + at // each), pa.array(slot + at % each)], ["row", "n", "sequence_id", "slot"])
+
+    bounded_batches(spark)
+    schema = T.StructType([ranked.schema["row"], ranked.schema["n"], T.StructField("sequence_id", T.LongType()), T.StructField("slot", T.LongType())])
+    return ranked.mapInArrow(place, schema)
+
+
+def pack_lengths(pieces: DataFrame, length: str, order: list[str], capacity: int = CAPACITY, grain: int = GRAIN, rank_rows: int = RANK_ROWS) -> DataFrame:
+    """Adds sequence_id, slot and offset (all long) to each row of ``pieces``.
+
+    ``length`` holds 1 to ``capacity``; other values raise. ``pieces`` is read three
+    times, so hand over a written table. ``order`` ranks pieces of a class; rows that tie
+    in all of it are interchangeable. An empty table gives an empty result. Columns named
+    sequence_id, slot or offset are replaced, others pass through, whatever their names.
+    """
+    placed = place_pieces(pieces.drop("sequence_id", "slot", "offset"), length, order, plan_sequences, capacity, grain, rank_rows)
     before_slot = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("offset", F.coalesce(F.sum(length).over(before_slot), F.lit(0)).cast("long"))
-    return placed.drop(cls, salt, rank, "_base", "_c", "_lo", "_hi", "_seq", "_k", "_slot")
+    placed = placed.withColumn("offset", F.coalesce(F.sum("n").over(before_slot), F.lit(0)).cast("long"))
+    return placed.select("row.*", "sequence_id", "slot", "offset")
 
 
-def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos: int = 0, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, start, length, ids_crc32, doc_tokens[, ids].
+def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos: int = 0, width: str | None = None) -> DataFrame:
+    """Pieces of at most ``capacity`` ids: doc_id, start, length, ids_crc32, doc_tokens, place[, ids].
 
     A document is the ids of its whole text, then ``eos``; a NULL or empty text is the
-    end alone. Each id is in exactly one piece; only documents over the capacity are cut,
-    at its multiples. ids: little-endian unsigned 32-bit numbers. Other columns are dropped.
+    end alone; a text may be of any length. Each id is in exactly one piece; only documents over the capacity are cut,
+    at its multiples. place: unique, as soon as the table is written. ids, with a ``width`` such as "<u2": numbers
+    of that many bytes; the digest is of 4-byte ones. Other columns are dropped.
     """
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    kinds = {c: pa.int64() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "place")}
+    if width:
+        kinds["ids"] = pa.binary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(vocabulary).ids
-        tail = np.array([eos], "<u4").tobytes()
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        ids_of, place = encoder(vocabulary).ids, (context.partitionId() if context else 0) << 40
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = ids_of(text.as_py()).astype("<u4", copy=False).tobytes() + tail
-                n = len(raw) // 4
-                for start in range(0, n, capacity):
-                    piece = raw[4 * start : 4 * (start + capacity)]
-                    out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), n, *((piece,) if with_ids else ())))
-            kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
-            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in schema.split(", ")])
+                ids = np.append(ids_of(text.as_py()), np.uint32(eos)).astype("<u4")
+                for start in range(0, len(ids), capacity):
+                    piece = ids[start : start + capacity]
+                    out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), place, *((piece.astype(width).tobytes(),) if width else ())))
+                    place += 1
+                    if len(out) >= 4096:
+                        yield _batch(out, kinds)
+                        out = []
+            if out:
+                yield _batch(out, kinds)
 
     bounded_batches(docs.sparkSession)
+    schema = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in kinds)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, grain: int = GRAIN, with_ids: bool = False) -> DataFrame:
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+
+#: How pieces are ranked; place parts rows that are alike.
+ORDER = ["doc_id", "start", "ids_crc32", "doc_tokens", "place"]
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
     """Every id of every document in one sequence of at most ``capacity`` ids, with little padding.
 
-    One scan tokenises and writes the pieces' digests (with ``with_ids`` also their ids);
+    One scan tokenises and writes the pieces' digests;
     all that follows works on those small rows. Repeated rows are packed as often as they
-    occur; a NULL doc_id is kept.
+    occur; a NULL doc_id is kept; an empty table gives no rows; other columns are dropped.
     """
-    pieces = materialize(cut_documents(docs, vocabulary, capacity, with_ids=with_ids), "pieces")
-    return pack_lengths(pieces, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], capacity, grain)
+    pieces = materialize(cut_documents(docs, vocabulary, capacity), "pieces")
+    return pack_lengths(pieces, "length", ORDER, capacity, grain)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerlens.llm import packed_binary, packing, token_counts
-from ledgerlens.llm.encoders import SAFE_TEXT, BYTE_LEVEL_PATTERN, TokenCounter, counter, default_vocabulary, encoder, is_byte_level
+from ledgerlens.llm.best_fit import best_fit_counts, best_fit_decreasing
+from ledgerlens.llm.encoders import BYTE_LEVEL_PATTERN, SAFE_TEXT, TokenCounter, counter, default_vocabulary, encoder, is_byte_level, prove_whole
 
 TEXTS = ["", None, "a", "héllo wörld  \n\n x", "<|endoftext|> in <|endoftext|>", "word " * 3000, "x" * 5000, "数字１２３   ٣ ॐ", "'s don't WE'LL", "\t\t  tail  ", "a՘b ₏"]
 
@@ -34,8 +36,47 @@ def test_safe_characters_split_alike(library):
             assert find(s) == [s[a:b] for _, (a, b) in split(s)]
 
 
+def long_texts(n):
+    return {
+        "spaces": " " * n + "a", "newlines": "x" + "\n" * n, "mixed": " \t\n\u3000" * (n // 4) + "'s", "letters": "a" * n, "marks": "!?" * (n // 2), "digits": "7" * n,
+        "accents": "\u0301" * (n // 4), "foreign": "\u0e04\u0e04 \U0001f600" * (n // 8), "between": "<|endoftext|>" + " " * n + "<|endoftext|>" + "\n" * 5000 + "b", "end": "a" + " " * n,
+    }
+
+
+@pytest.mark.parametrize("name", sorted(long_texts(8)))
+def test_long_runs_have_the_librarys_ids(library, name):
+    text = long_texts(5_000_000 if name in ("spaces", "newlines") else 1_200_000)[name]
+    want = library.encode(text, add_special_tokens=False).ids
+    assert encoder(default_vocabulary()).ids(text).tolist() == want
+    assert counter(default_vocabulary(), prove_whole(default_vocabulary())).count(text) == len(want)
+
+
+def test_random_texts_have_the_librarys_ids(library):
+    rng = np.random.default_rng(5)
+    parts = [" ", "\n", "\t", "a", "é", "\u0e04", "\U0001f600", "1", "\u0663", "!", "'s", "\xa0", "\u0301", "<|endoftext|>", "\x1c", "\u180e", "数", " " * 5000]
+    enc, count = encoder(default_vocabulary()), counter(default_vocabulary(), prove_whole(default_vocabulary())).count
+    for _ in range(1500):
+        text = "".join(rng.choice(parts, rng.integers(1, 30)))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert enc.ids(text).tolist() == want and count(text) == len(want)
+
+
+def test_whole_tables_with_long_runs(spark, library):
+    texts = [*long_texts(1_200_000).values(), "plain text", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, default_vocabulary()).collect()} == {i: len(x) for i, x in want.items()}
+    rows = packing.pack_documents(df, default_vocabulary()).select("doc_id", "length").collect()
+    total = Counter()
+    for r in rows:
+        total[r.doc_id] += r.length
+    assert total == {i: len(x) + 1 for i, x in want.items()}
+    got = packed_binary.pack_ids(df, default_vocabulary()).agg({"n_tokens": "sum"}).first()[0]
+    assert got == sum(total.values())
+
+
 def test_whole_tokens_are_proved(library):
-    whole = counter(default_vocabulary()).whole
+    whole = prove_whole(default_vocabulary())
     assert len(whole) > 40_000
     for t in sorted(whole)[::977]:
         assert len(library.encode(t, add_special_tokens=False).ids) == 1
@@ -61,7 +102,7 @@ def test_counts_by_every_public_vocabulary(spark):
 
 
 def test_memo_stays_bounded():
-    c = TokenCounter(default_vocabulary())
+    c = TokenCounter(default_vocabulary(), prove_whole(default_vocabulary()))
     c._memo.room = 10
     for i in range(50):
         c.count(f"zq{i}xv kj{i}")
@@ -88,6 +129,45 @@ def test_knapsack_and_plan_against_brute_force():
         assert sum(n for _, n in plan) <= -(-int(demand @ np.arange(65)) // 64) * 1.02 + 2
 
 
+def test_priced_patterns_carry_the_plan():
+    rng = np.random.default_rng(7)
+    for scale in (1, 40):
+        demand = np.zeros(257, np.int64)
+        demand[1:] = scale * rng.integers(0, 60, 256)
+        demand[256] = 900 * scale
+        solved = packing.solve_patterns(demand, 256)
+        priced = sum(int(x + 1e-6) for p, x in solved if len(p) > 1)
+        needed = sum(x for _, x in solved)
+        plan = packing.plan_sequences(demand, 256)
+        total = sum(n for _, n in plan)
+        assert total <= needed * 1.001 + 1 and total * 256 >= demand @ np.arange(257)
+        from_patterns = {tuple(sorted(p.elements(), reverse=True)) for p, _ in solved}
+        carried = sum(n for p, n in plan if p in from_patterns)
+        assert carried > 0.95 * total and priced > 0.75 * (total - demand[256]), (carried, priced, total)
+
+
+def test_best_fit_on_counts_is_best_fit_piece_by_piece():
+    rng = np.random.default_rng(9)
+    for capacity in (8, 32, 100):
+        for _ in range(40):
+            sizes = rng.integers(1, capacity + 1, int(rng.integers(1, 200))).tolist()
+            one = best_fit_decreasing(sizes, capacity)
+            counts = best_fit_counts(Counter(sizes), capacity)
+            assert sorted(capacity - sum(sizes[k] for k in s) for s in one) == sorted(capacity - sum(p) for p in counts.elements())
+            assert Counter(x for p in counts.elements() for x in p) == Counter(sizes)
+    many = best_fit_counts(Counter({k: 10**12 + k for k in range(1, 1025)}), 1024)
+    assert sum(len(p) * n for p, n in many.items()) == sum(10**12 + k for k in range(1, 1025)) and len(many) < 20_000
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["n", "row", "class", "salt", "base", "rank", "_k", "_lo", "_base", "times", "slot"]
+    df = spark.createDataFrame([tuple(range(i, i + 11)) for i in range(1, 40)], names)
+    rows = packing.pack_lengths(df, "n", ["row"], 64, 4).collect()
+    assert len(rows) == 39 and all(r["_base"] == r["n"] + 8 and r["rank"] == r["n"] + 5 for r in rows)
+    docs = spark.createDataFrame([(1, "some text", 5, "x")], "doc_id long, text string, ids int, sequence_id string")
+    assert packed_binary.pack_ids(docs, default_vocabulary()).count() == 1
+
+
 def check_packed(rows, docs, library):
     """Every id once, sequences gapless and not over the capacity."""
     ids = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for _, t in docs]
@@ -113,9 +193,9 @@ def test_packing_is_lossless(spark, library, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 50)
     docs = [(i if i % 9 else None, t) for i, t in enumerate(TEXTS * 40)] + [(5, "same text here")] * 300
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = packing.pack_documents(df.withColumnRenamed("x", "y"), default_vocabulary()).collect()
+    rows = packing.pack_documents(df.withColumn("length", F.lit("clash")), default_vocabulary()).collect()
     n = check_packed(rows, docs, library)
-    assert n <= len(packed_binary.best_fit_decreasing([r.length for r in rows], 1024)) * 1.01 + 1
+    assert n <= len(best_fit_decreasing([r.length for r in rows], 1024)) * 1.01 + 1
     empty = packing.pack_documents(df.limit(0), default_vocabulary())
     assert empty.count() == 0
 
@@ -144,7 +224,7 @@ def test_best_fit_decreasing_by_brute_force():
                 free.append(min(fit) - sizes[k])
             else:
                 free.append(32 - sizes[k])
-        got = packed_binary.best_fit_decreasing(sizes, 32)
+        got = best_fit_decreasing(sizes, 32)
         assert sorted(k for s in got for k in s) == list(range(40))
         assert sorted(32 - sum(sizes[k] for k in s) for s in got) == sorted(free)
 
@@ -152,7 +232,7 @@ def test_best_fit_decreasing_by_brute_force():
 def test_matrix_round_trip(spark, library, tmp_path):
     docs = [(i, t) for i, t in enumerate(TEXTS)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    packed_binary.write_packed(packed_binary.pack_ids(df, default_vocabulary(), buffer_tokens=500), str(tmp_path / "p"))
+    packed_binary.write_packed(packed_binary.pack_ids(df, default_vocabulary(), rank_rows=3), str(tmp_path / "p"))
     rows = spark.read.parquet(str(tmp_path / "p")).collect()
     parts = defaultdict(dict)
     m = packed_binary.matrix(rows)
@@ -167,3 +247,9 @@ def test_matrix_round_trip(spark, library, tmp_path):
     for d, t in docs:
         assert [x for _, p in sorted(parts[d].items()) for x in p] == [*library.encode(t or "", add_special_tokens=False).ids, 0]
     assert packed_binary.pack_ids(df.limit(0), default_vocabulary()).count() == 0
+
+
+def test_padding_does_not_depend_on_partitions(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    got = [packed_binary.pack_ids(docs.repartition(n), default_vocabulary()).agg(F.count("*"), F.sum("padding"), F.min("sequence_id"), F.max("sequence_id")).first() for n in (1, 40)]
+    assert tuple(got[0]) == tuple(got[1]) and got[0][3] == got[0][0] - 1
