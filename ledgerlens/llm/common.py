@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 #: Whitespace of the word rule ``[^\x20\x09-\x0D]+``: exactly what ``bytes.split()`` splits on.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
-#: Used for spark.checkpoint.dir only where the session has none (tests, single machine).
+#: Used for spark.checkpoint.dir only where the session has none and runs on one machine (tests).
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/ledgerlens"
 
 #: Bytes of one Arrow batch between JVM and Python worker, about.
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = DEFAULT_SHARED_DIR
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -66,6 +68,26 @@ def with_prefix_offsets(counts: DataFrame, key: str, count: str, out: str, block
     )
 
 
+#: Rows of one key from which it is hot, and hot keys that one broadcast may hold.
+HOT_ROWS = 1_000
+MAX_BROADCAST_ROWS = 200_000
+
+
+def join_spread(rows: DataFrame, named: DataFrame, key: str, times: str) -> DataFrame:
+    """``rows`` joined with ``named``, which has each ``key`` once and in ``times`` about how many rows it meets.
+
+    Keys of many rows are sent to where their rows are, if a count shows that they are few; the
+    others meet by shuffle, where no key is large. So no task gets all rows of a hot key.
+    ``times`` goes; hand over a written table as ``named``.
+    """
+    hot = named.where(F.col(times) > HOT_ROWS).drop(times)
+    n = hot.limit(MAX_BROADCAST_ROWS + 1).count()
+    if not n or n > MAX_BROADCAST_ROWS:
+        return rows.join(named.drop(times), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.where(F.col(times) <= HOT_ROWS).drop(times), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores in front until no column of ``df`` has that name."""
     taken = {c.lower() for c in df.columns}

@@ -9,21 +9,21 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, materialize, table
+from .common import append_columns, free_name, materialize, table
 
 WINDOW = 10
-#: Bytes of item text for one automaton; more items are searched in blocks.
-BLOCK_BYTES = 8_000_000
+#: Bytes of item text for one automaton, which takes some 450 times as much of a worker's memory; more items are searched in blocks.
+BLOCK_BYTES = 500_000
+#: Documents with a find that one broadcast may hold when blocks are put together.
+MAX_BROADCAST_ROWS = 200_000
 
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -107,54 +107,57 @@ def find_overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     columns named like an output are replaced, others pass through.
 
     One scan, no shuffle. Only items reach the workers, at most ``block_bytes`` of them
-    at once: a larger benchmark is searched block by block over all documents.
+    at once: a larger benchmark is searched block by block, and only finds are written and put together.
     """
     docs = docs.drop(*(f.name for f in OUTPUT))
     items = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).cast("string").alias("t")).where(F.length("t") > 0)
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    if blocks > 1:
-        items = materialize(items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))), "items")
-    out = docs
+    if blocks == 1:
+        return _scan(docs, _held(items), text, window)
+    items = materialize(items.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))), "items")
+    row, found = free_name(docs, "_row"), free_name(docs, "_found")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    finds: DataFrame | None = None
     for b in range(blocks):
-        chosen = items.where(F.col("b") == b).select("i", "t") if blocks > 1 else items
-        if b:
-            out = materialize(out, "scanned")
-        out = _scan(out, tuple(sorted({(r.i, r.t) for r in chosen.toLocalIterator()})), text, window)
-    return out
+        block = _scan(docs.select(row, text), _held(items.where(F.col("b") == b)), text, window).where("n_hit > 0").select(row, "item_ids", "word_spans")
+        block = materialize(block, "finds")
+        finds = block if finds is None else finds.unionAll(block)
+    # a document has at most one find a block
+    merged = finds.groupBy(row).agg(F.struct(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("ids"), F.flatten(F.collect_list("word_spans")).alias("spans")).alias(found))
+    merged = materialize(merged, "finds")
+    merged = F.broadcast(merged) if merged.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else merged
+
+    def make():
+        def of(value, known):
+            runs = _merged([(r["start"], r["end"]) for r in known["spans"]]) if known else []
+            return _cells(value, len(words_of(value)), runs, known["ids"] if known else [])
+
+        return of
+
+    return append_columns(docs.join(merged, row, "left"), OUTPUT, make, [text, found]).drop(row, found)
+
+
+def _held(items: DataFrame) -> tuple[tuple[str, str], ...]:
+    """One block of items; the order doesn't matter, so it's made the same."""
+    return tuple(sorted({(r.i, r.t) for r in items.select("i", "t").toLocalIterator()}))
+
+
+def _cells(value: str | None, n: int, runs: list[tuple[int, int]], ids) -> tuple:
+    as_rows = [{"start": a, "end": b} for a, b in runs]
+    spans = [{"start": a, "end": b} for a, b in original_spans(value, runs)] if runs else []
+    return n, sum(b - a for a, b in runs), sorted(ids), as_rows, spans
 
 
 def _scan(docs: DataFrame, items: tuple[tuple[str, str], ...], text: str, window: int) -> DataFrame:
-    """Searches one block of items; adds to what earlier blocks found, if any."""
-    again = "word_spans" in docs.columns
-    kept = [c for c in docs.columns if c not in {f.name for f in OUTPUT}]
-    schema = T.StructType([docs.schema[c] for c in kept] + OUTPUT)
-    at, shared = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(items)
-    names, positions = [f.name for f in schema], [docs.columns.index(c) for c in kept]
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), span, span]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Searches one block of items."""
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def make():
         machine = _automaton(shared.value, window)
-        for batch in batches:
-            out: list[tuple] = []
-            before = zip(batch.column("item_ids").to_pylist(), batch.column("word_spans").to_pylist(), strict=True) if again else None
-            for cell in batch.column(at):
-                value = cell.as_py()
-                n, runs, ids = scan_text(value, machine)
-                if before is not None:
-                    old_ids, old_runs = next(before)
-                    runs = _merged(runs + [(r["start"], r["end"]) for r in old_runs])
-                    ids |= set(old_ids)
-                as_rows = [{"start": a, "end": b} for a, b in runs]
-                spans = [{"start": a, "end": b} for a, b in original_spans(value, runs)] if runs else []
-                out.append((n, sum(b - a for a, b in runs), sorted(ids), as_rows, spans))
-            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-            added = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(p) for p in positions), *added], names)
-
-    bounded_batches(docs.sparkSession)
-    return docs.mapInArrow(scan, schema)
+        return lambda value: _cells(value, *scan_text(value, machine))
+
+    return append_columns(docs, OUTPUT, make, [text])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

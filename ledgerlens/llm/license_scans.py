@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import materialize, table
 from .text_stats import let, window_hashes
 
 SHINGLE = 5
@@ -23,9 +23,12 @@ WINDOW = 8
 STRIDE = 4
 LONG = 12
 BANDS = 8
+#: Places at which a template is searched, at least.
+SPOTS = 64
 SIMILARITY = 0.75
-#: Bound on the words of all templates: their keys become part of the plan.
-MAX_TEMPLATE_WORDS = 20_000
+#: Words of the templates of one scan, about, a long one counted by the places it is searched at: their keys become part of the
+#: plan. More templates are searched in several scans.
+BLOCK_WORDS = 500
 
 #: Wording of common public license notices.
 TEMPLATES = {
@@ -39,6 +42,10 @@ TEMPLATES = {
     "CC-BY-4.0": ["licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "CC-BY-SA-4.0": ["licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
 }
 
 
@@ -65,19 +72,39 @@ def band_keys(window: Column) -> list[Column]:
     return [F.least(*(F.get(window, F.lit(j)).bitwiseXOR(F.lit(c)) for j in range(WINDOW))) for c in _constants()]
 
 
-def _template_rows(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
+def _blocks(templates: dict[str, list[str]], words: int) -> list[dict[str, list[str]]]:
+    """Licenses in scans of about so many words; one license is never parted."""
+    blocks: list[dict[str, list[str]]] = [{}]
+    held = 0
+    for name, texts in sorted(templates.items()):
+        size = sum(min(len(t.split()), SPOTS * STRIDE) for t in texts)
+        if blocks[-1] and held + size > words:
+            blocks.append({})
+            held = 0
+        blocks[-1][name] = texts
+        held += size
+    return blocks
+
+
+def _template_rows(spark: SparkSession, templates: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(template, license, n, key, at, short) of each key, and (template, wanted) of each template.
+
+    A long template is searched at SPOTS places: each is STRIDE windows in a row, one of which lies as a text's windows do.
+    """
     rows = [(k, name, text) for k, (name, text) in enumerate((n, t) for n, ts in sorted(templates.items()) for t in ts)]
-    if sum(len(t.split()) for _, _, t in rows) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates have more than {MAX_TEMPLATE_WORDS} words")
-    frame = spark.createDataFrame(rows, "template int, license string, t string").withColumn("w", license_words(F.col("t")))
-    frame = frame.select("template", "license", F.array_distinct(shingles(F.col("w"))).alias("wanted"), window_hashes(F.col("w"), SHINGLE).alias("h"))
+    both = let(license_words(F.col("t")), lambda w: F.struct(F.array_distinct(shingles(w)).alias("wanted"), window_hashes(w, SHINGLE).alias("h")))
+    frame = spark.createDataFrame(rows, "template int, license string, t string").select("template", "license", both.alias("b")).select("template", "license", "b.*").where(F.size("h") > 0)
+    frame = materialize(frame, "templates")  # else the hashes would be made anew for each window
     short = F.size("h") < LONG
     single = F.transform("h", lambda x, i: F.struct(x.alias("key"), i.alias("at")))
-    windows = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.size("h") - WINDOW, F.lit(0))), lambda i: F.transform(let(F.slice("h", i + 1, F.lit(WINDOW)), lambda s: F.array(*band_keys(s))), lambda x: F.struct(x.alias("key"), i.alias("at")))))
-    return frame.where(F.size("h") > 0).select("*", F.explode(F.when(short, single).otherwise(windows)).alias("k")).select("template", "license", "wanted", F.size("h").alias("n"), "k.key", "k.at", short.alias("short"))
+    step = F.greatest(F.lit(1), F.floor(F.size("h") / (SPOTS * STRIDE)).cast("int")) * STRIDE
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("h") - WINDOW, F.lit(0))), lambda i: i % step < STRIDE)
+    windows = F.flatten(F.transform(starts, lambda i: F.transform(let(F.slice("h", i + 1, F.lit(WINDOW)), lambda s: F.array(*band_keys(s))), lambda x: F.struct(x.alias("key"), i.alias("at")))))
+    keys = frame.select("template", "license", F.size("h").alias("n"), short.alias("short"), F.explode(F.when(short, single).otherwise(windows)).alias("k"))
+    return keys.select("template", "license", "n", "k.key", "k.at", "short").distinct(), frame.select("template", "wanted")
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, similarity: float = SIMILARITY, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row for each document row and license found, with the document's columns but its text.
 
     Adds license, containment (share of the template's distinct 5-word shingles in the region
@@ -85,15 +112,21 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, similar
     matching shingles, in words). Of several finds of a license in a document the one of
     highest containment, then first, stays. NULL, empty and shorter texts, and templates of under
     five words, match nothing. Repeated rows are scanned one by one, told apart by their place
-    in the input. Columns named like an output are replaced.
+    in the input. Columns named like an output are replaced, others may have any names.
 
-    Texts stay in the scan; only finds are shuffled.
+    Texts stay in the scan; only finds are shuffled. Templates may be of any number and length: of more than
+    ``block_words`` words each block of licenses is a scan of its own.
     """
-    spark = docs.sparkSession
     docs = docs.drop("license", "containment", "first_word", "end_word")
-    keys = [r.asDict() for r in _template_rows(spark, TEMPLATES if templates is None else templates).collect()]
-    kept = [c for c in docs.columns if c != text]
-    w, hit, row = free_name(docs, "_w"), free_name(docs, "_hits"), free_name(docs, "_row")
+    blocks = _blocks(TEMPLATES if templates is None else templates, block_words)
+    return reduce(DataFrame.unionAll, (_scan_block(docs, b, similarity, text) for b in blocks))
+
+
+def _scan_block(docs: DataFrame, templates: dict[str, list[str]], similarity: float, text: str) -> DataFrame:
+    spark = docs.sparkSession
+    keyed, bodies = _template_rows(spark, templates)
+    keys = [r.asDict() for r in keyed.collect()]  # a block's keys
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
     singles = sorted({r["key"] for r in keys if r["short"]}) or [0]
     banded = sorted({r["key"] for r in keys if not r["short"]}) or [0]
 
@@ -112,25 +145,27 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, similar
         windows = F.transform(starts, lambda i: let(F.slice(h, i + 1, F.lit(WINDOW)), lambda s: of_window(s, i)))
         return F.concat(short, F.flatten(F.filter(windows, lambda x: x.isNotNull())))
 
-    # the words stay one column, read by both the search and the check
-    worded = docs.select(*kept, license_words(F.col(text)).alias(w), F.monotonically_increasing_id().alias(row))
-    found = worded.select(*kept, w, row, F.explode(let(window_hashes(F.col(w), SHINGLE), hits)).alias(hit))
-    known = spark.createDataFrame([(r["key"], r["template"], r["license"], r["wanted"], r["n"], r["at"]) for r in keys], "_key long, _t int, license string, _wanted array<string>, _n int, _at int")
-    pairs = found.join(F.broadcast(known), F.col(hit)["key"] == F.col("_key"))
-    slack = F.greatest(F.lit(2), F.floor(F.col("_n") / 4).cast("int"))
-    start = F.greatest(F.col(hit)["at"] - F.col("_at") - slack, F.lit(0))
-    region = F.slice(w, start + 1, F.col("_n") + 2 * slack + SHINGLE - 1)
+    # the words stay one column, read by both the search and the check; a document's columns go as one
+    row = F.monotonically_increasing_id().alias("row")
+    worded = docs.select((F.struct(*kept) if kept else F.lit(0)).alias("doc"), license_words(F.col(f"`{text}`")).alias("w"), row)
+    found = worded.select("doc", "w", "row", F.explode(let(window_hashes(F.col("w"), SHINGLE), hits)).alias("hit"))
+    known = spark.createDataFrame([(r["key"], r["template"], r["license"], r["n"], r["at"]) for r in keys], "key long, template int, license string, n int, at int")
+    pairs = found.join(F.broadcast(known), F.col("hit")["key"] == F.col("key")).join(F.broadcast(bodies), "template")
+    slack = F.greatest(F.lit(2), F.floor(F.col("n") / 4).cast("int"))
+    start = F.greatest(F.col("hit")["at"] - F.col("at") - slack, F.lit(0))
+    region = F.slice("w", start + 1, F.col("n") + 2 * slack + SHINGLE - 1)
+    # of the first shingle that the template has
+    place = lambda s: (F.array_position(s, F.get(F.array_intersect(s, "wanted"), F.lit(0))) - 1).cast("int")
     checked = (
-        pairs.withColumn("_s", shingles(region)).withColumn("_start", start)
-        .withColumn("containment", F.size(F.array_intersect("_s", "_wanted")) / F.size("_wanted"))
+        pairs.withColumn("s", let(region, shingles)).withColumn("start", start)
+        .withColumn("containment", F.size(F.array_intersect("s", "wanted")) / F.size("wanted"))
         .where(F.col("containment") >= similarity)
-        .withColumn("_in", F.filter(F.transform("_s", lambda x, i: F.when(F.array_contains("_wanted", x), i)), lambda i: i.isNotNull()))
-        .withColumn("first_word", F.col("_start") + F.array_min("_in"))
-        .withColumn("end_word", F.col("_start") + F.array_max("_in") + SHINGLE)
+        .withColumn("first_word", F.col("start") + place(F.col("s")))
+        .withColumn("end_word", F.col("start") + F.size("s") - 1 - place(F.reverse("s")) + SHINGLE)
     )
-    best = F.max(F.struct("containment", (-F.col("first_word")).alias("first"), "end_word")).alias("_best")
-    finds = checked.groupBy(row, "license").agg(best, *(F.first(F.col(f"`{c}`")).alias(c) for c in kept))
-    return finds.select(*(F.col(f"`{c}`") for c in kept), "license", F.col("_best.containment").alias("containment"), (-F.col("_best.first")).alias("first_word"), F.col("_best.end_word").alias("end_word"))
+    best = F.max(F.struct("containment", (-F.col("first_word")).alias("first"), "end_word")).alias("best")
+    finds = checked.groupBy("row", "license").agg(best, F.first("doc").alias("doc"))
+    return finds.select(*(["doc.*"] if kept else []), "license", F.col("best.containment").alias("containment"), (-F.col("best.first")).alias("first_word"), F.col("best.end_word").alias("end_word"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

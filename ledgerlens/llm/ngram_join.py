@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, table
+from .common import bounded_batches, join_spread, materialize, table
 from .components import connected_components
 
 NGRAM = 5
@@ -40,9 +40,14 @@ LOCAL_HOT = 16
 HOT_MARK = 0xFFFF
 #: Fragments by which the overlap of a pair is counted: ranges of the hash's top bits.
 PAIR_FRAGMENT_BITS = 3
+#: Bits of the hash that tell the fragment, at least and at most.
+LEAST_BITS, MOST_BITS = 5, 20
 LEADERS = 4
 LEADER_ROUNDS = 2
+#: Members of a list that one row of the last step holds.
 LIST_PART = 4096
+#: Step between size bands of a list.
+BAND = 1.1
 
 _U = np.uint64
 #: Multipliers of the word positions, from the golden ratio's steps; all odd.
@@ -90,15 +95,21 @@ def _wire(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
 
+def _low(bits: int) -> int:
+    """Bits of a hash that go with an n-gram besides its fragment's: 48 as far as there are so many."""
+    return min(48, 64 - bits)
+
+
 def _pack(h: np.ndarray, bits: int) -> tuple[bytes, bytes]:
-    """The 40 bits below a fragment's top bits, as 4 and 1 bytes."""
-    low = h >> _U(24 - bits)
-    return low.astype("<u4").tobytes(), ((low >> _U(32)) & _U(0xFF)).astype("u1").tobytes()
+    """The bits below a fragment's top bits, as 4 and 2 bytes."""
+    low = h >> _U(64 - _low(bits) - bits)
+    low &= _U((1 << _low(bits)) - 1)
+    return low.astype("<u4").tobytes(), ((low >> _U(32)) & _U(0xFFFF)).astype("<u2").tobytes()
 
 
-def _unpack(lo: bytes, hi: bytes, fragment: int) -> np.ndarray:
-    """Fingerprints: the fragment, then the 40 bits."""
-    return np.frombuffer(lo, "<u4").astype(_U) | np.frombuffer(hi, "u1").astype(_U) << _U(32) | _U(fragment << 40)
+def _unpack(lo: bytes, hi: bytes, fragment: int, bits: int) -> np.ndarray:
+    """Fingerprints: the fragment, then the low bits."""
+    return np.frombuffer(lo, "<u4").astype(_U) | np.frombuffer(hi, "<u2").astype(_U) << _U(32) | _U(fragment << _low(bits))
 
 
 def _block_rows(block: int, docs: list[tuple[int | None, np.ndarray]], bits: int) -> list[tuple]:
@@ -157,30 +168,34 @@ def send_grams(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(send, _WIRE)
 
 
-def _answer(table: pa.Table) -> pa.Table:
+def _answer(bits: int):
     """One fragment: which n-grams two or more documents have, and how many; goes back to each block."""
-    rows = table.to_pylist()
-    if not rows or rows[0]["fragment"] < 0:
-        return table
-    fragment = rows[0]["fragment"]
-    grams = [_unpack(r["lo"], r["hi"], fragment) for r in rows]
-    idx = [np.frombuffer(r["idx"], "<u2") for r in rows]
-    every = np.concatenate(grams)
-    weight = np.ones(len(every), np.int64)
-    weight[np.concatenate(idx) == HOT_MARK] = np.frombuffer(b"".join(r["n"] for r in rows), "<u2")
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, np.int64)
-    total = np.add.reduceat(weight[order], starts) if len(starts) else np.empty(0, np.int64)
-    df = np.empty(len(every), np.int64)
-    df[order] = np.repeat(total, np.diff(np.r_[starts, len(ranked)]))
-    out, a = [], 0
-    for r, g, i in zip(rows, grams, idx, strict=True):
-        shared = df[a : a + len(g)] > 1
-        if shared.any():
-            out.append((r["block"], fragment, g[shared].astype("<u8").tobytes(), None, i[shared].tobytes(), np.minimum(df[a : a + len(g)][shared], 0xFFFFFFFF).astype("<u4").tobytes(), None, None))
-        a += len(g)
-    return pa.Table.from_batches([_wire(out)])
+
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        if not rows or rows[0]["fragment"] < 0:
+            return table
+        fragment = rows[0]["fragment"]
+        grams = [_unpack(r["lo"], r["hi"], fragment, bits) for r in rows]
+        idx = [np.frombuffer(r["idx"], "<u2") for r in rows]
+        every = np.concatenate(grams)
+        weight = np.ones(len(every), np.int64)
+        weight[np.concatenate(idx) == HOT_MARK] = np.frombuffer(b"".join(r["n"] for r in rows), "<u2")
+        order = np.argsort(every, kind="stable")
+        ranked = every[order]
+        starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, np.int64)
+        total = np.add.reduceat(weight[order], starts) if len(starts) else np.empty(0, np.int64)
+        df = np.empty(len(every), np.int64)
+        df[order] = np.repeat(total, np.diff(np.r_[starts, len(ranked)]))
+        out, a = [], 0
+        for r, g, i in zip(rows, grams, idx, strict=True):
+            shared = df[a : a + len(g)] > 1
+            if shared.any():
+                out.append((r["block"], fragment, g[shared].astype("<u8").tobytes(), None, i[shared].tobytes(), np.minimum(df[a : a + len(g)][shared], 0xFFFFFFFF).astype("<u4").tobytes(), None, None))
+            a += len(g)
+        return pa.Table.from_batches([_wire(out)])
+
+    return answer
 
 
 _DOCS = "rid long, doc_id long, n long, key binary, shared long, prefix array<long>, segments array<array<long>>"
@@ -202,7 +217,7 @@ def _gather(bits: int):
         gram, at, df = np.concatenate(grams), np.concatenate(idx), np.concatenate(dfs)
         marked = at == HOT_MARK
         if marked.any():  # n-grams that were sent once: put back to each of their documents
-            hot = np.frombuffer(about["lo"], "<u8") >> _U(24 - bits)
+            hot = np.frombuffer(about["lo"], "<u8") >> _U(64 - _low(bits) - bits)
             counts = np.frombuffer(about["hi"], "<u2")
             known = np.argsort(gram[marked])
             where = known[np.searchsorted(gram[marked][known], hot)]
@@ -220,7 +235,7 @@ def _gather(bits: int):
             if n and len(shared) >= least:
                 # the rarest n - least + 1; those that nobody shares come first and find nobody
                 prefix = shared[: max(0, len(shared) - least + 1)].astype(np.int64).tolist()
-                part = (shared >> _U(40 + bits - PAIR_FRAGMENT_BITS)).astype(np.int64)
+                part = (shared >> _U(_low(bits) + bits - PAIR_FRAGMENT_BITS)).astype(np.int64)
                 segments = [shared[part == f].astype(np.int64).tolist() for f in range(1 << PAIR_FRAGMENT_BITS)]
             rows.append((about["block"] << 16 | i, doc_id, n, about["key"][16 * i : 16 * i + 16], len(shared), prefix or None, segments if prefix else None))
         longs = pa.list_(pa.int64())
@@ -234,8 +249,8 @@ def _gather(bits: int):
 def gram_table(docs: DataFrame) -> DataFrame:
     """_DOCS for each row of ``docs``; written, so that rid stays as it is."""
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    bits = max(5, min(20, int(np.ceil(np.log2(max(1, total / 6 / FRAGMENT_GRAMS))))))
-    answered = send_grams(docs, bits).groupBy("fragment").applyInArrow(_answer, _WIRE)
+    bits = max(LEAST_BITS, min(MOST_BITS, int(np.ceil(np.log2(max(1, total / 6 / FRAGMENT_GRAMS))))))
+    answered = send_grams(docs, bits).groupBy("fragment").applyInArrow(_answer(bits), _WIRE)
     return materialize(answered.groupBy("block").applyInArrow(_gather(bits), _DOCS), "grams")
 
 
@@ -276,20 +291,31 @@ def _leader_pairs(lists: DataFrame, round_: int) -> DataFrame:
         return F.min(F.struct(*first, h.alias("h"), "rid", "n", "rest", "component")).alias(f"l{k}")
 
     leaders = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), *map(leader, range(LEADERS))).where("c > 1")
-    leaders = leaders.select("gram", F.array(*(F.col(f"l{k}") for k in range(LEADERS))).alias("ls"))
-    return _met(lists.join(leaders, "gram"), "ls")
+    leaders = materialize(leaders.select("gram", "c", F.array(*(F.col(f"l{k}") for k in range(LEADERS))).alias("ls")), "leaders")
+    return _met(join_spread(lists, leaders, "gram", "c"), "ls")
+
+
+def _band(n: Column) -> Column:
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / float(np.log(BAND))).cast("int")
 
 
 def _remaining_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of different components that a list lets link, each by an end outside the list's most common component."""
+    """All pairs of different components that a list lets link, each by an end outside the list's most common component.
+
+    A member looks for others only in the bands of sizes that its place in the list lets it link with; where much of a set comes
+    before the common n-gram, as in pages of one template with text of their own, these are empty. A long list
+    is held in parts, and each member meets each part in a task of its own.
+    """
     counts = lists.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m"))
     about = counts.groupBy("gram").agg(F.sum("m").alias("c"), F.max(F.struct("m", "component"))["component"].alias("top"), F.count(F.lit(1)).alias("kinds"))
-    mixed = materialize(lists.join(about.where("kinds > 1").drop("kinds"), "gram"), "mixed")
-    longest = mixed.agg(F.max("c")).first()[0] or 0
-    parts = max(1, -(-longest // LIST_PART))
-    held = mixed.groupBy("gram", F.pmod(F.xxhash64("rid"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("rid", "n", "rest", "component")).alias("others"))
-    outside = mixed.where("component <> top").select("gram", "rid", "n", "rest", "component")
-    return _met(outside.join(held, "gram"), "others", "part")
+    about = materialize(about.where("kinds > 1").select("gram", "c", "top", F.ceil(F.col("c") / LIST_PART).cast("int").alias("parts")), "mixed")
+    most = F.least(F.floor((100 + PERCENT) * F.col("rest") / PERCENT) - F.col("n"), F.floor(100 * F.col("n") / PERCENT))
+    mixed = materialize(join_spread(lists, about, "gram", "c").withColumn("most", most).where(F.col("most") >= F.floor(PERCENT * F.col("n") / 100)), "mixed")
+    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    held = mixed.groupBy("gram", _band(F.col("n")).alias("band"), part.alias("part")).agg(F.collect_list(F.struct("rid", "n", "rest", "component")).alias("others"))
+    outside = mixed.where("component <> top").withColumn("band", F.explode(F.sequence(_band(F.floor(PERCENT * F.col("n") / 100)), _band(F.col("most")))))
+    outside = outside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("gram", "band", "part", "rid", "n", "rest", "component")
+    return _met(outside.join(held, ["gram", "band", "part"]), "others", "band", "part")
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -306,7 +332,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     similarity of PERCENT or more; component_id is the least doc_id reachable, its own if
     none. NULL, empty and blank texts have size 0 and link with nothing. Repeated rows
     link with each other; a NULL doc_id is carried and never a component's name. Other columns
-    are dropped. Shingles are compared by 64-bit hash: the first (45 to 60) bits decide.
+    are dropped. Shingles are compared by 64-bit hash, of which the first 53 bits decide, in large tables all 64.
     """
     return linked_rows(docs).select("doc_id", "n_shingles", "component_id")
 
@@ -328,8 +354,8 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     sets = grams.where(F.col("prefix").isNotNull()).join(classes.select(F.col("rep").alias("rid")), "rid", "left_semi")
     sets = materialize(sets.select("rid", "n", "shared", "prefix", "segments"), "sets")
     rows = sets.select("rid", "n", "shared", F.posexplode("prefix").alias("at", "gram")).withColumn("rest", F.col("shared") - F.col("at")).drop("shared", "at")
-    shared = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    rows = materialize(rows.join(shared, "gram"), "lists")
+    shared = materialize(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    rows = materialize(join_spread(rows, shared, "gram", "c"), "lists")
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
@@ -347,8 +373,10 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     else:
         placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         first = F.min(F.when(F.col("least_doc").isNotNull(), F.struct("least_doc", "key"))).alias("first")
-        names = placed.groupBy("component").agg(first).select("component", F.col("first.least_doc").alias("component_id"), F.col("first.key").alias("first_key"))
-        named = placed.join(names, "component").select("key", "component_id", "first_key")
+        placed = materialize(placed.select("key", "component", "least_doc"), "placed")
+        names = placed.groupBy("component").agg(first, F.count(F.lit(1)).alias("c"))
+        names = materialize(names.select("component", "c", F.col("first.least_doc").alias("component_id"), F.col("first.key").alias("first_key")), "names")
+        named = join_spread(placed, names, "component", "c").select("key", "component_id", "first_key")
     found = grams.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
     worded = F.col("n_shingles") > 0
     stays = ~worded | F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("key") == F.col("first_key")), F.lit(False))

@@ -12,12 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .best_fit import best_fit_counts
-from .common import bounded_batches, materialize, table
+from .common import bounded_batches, table
 from .encoders import default_vocabulary, encoder
-from .packing import CAPACITY, ORDER, Plan, cut_documents, place_pieces
-
-#: Pieces that one ranking task takes of one length, about: their ids go along.
-RANK_ROWS = 20_000
+from .packing import CAPACITY, Plan, cut_documents, place_pieces
 
 SCHEMA = "sequence_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, position_resets array<int>, n_tokens long, padding long, ids_crc32 long, ids binary"
 
@@ -27,7 +24,7 @@ def best_fit_plan(demand: np.ndarray, capacity: int) -> Plan:
     return sorted(best_fit_counts(Counter({int(n): int(demand[n]) for n in np.flatnonzero(demand) if n}), capacity).items(), reverse=True)
 
 
-def pack_ids(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos: int = 0, pad: int = 0, rank_rows: int = RANK_ROWS) -> DataFrame:
+def pack_ids(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos: int = 0, pad: int = 0) -> DataFrame:
     """One row for each sequence: a row of the id matrix and what its segments are.
 
     A document is the ids of its whole text (NULL: none) and ``eos``; one over the
@@ -39,13 +36,13 @@ def pack_ids(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos: in
     repeated rows are packed as often as they occur; other columns are dropped.
 
     The lengths of the whole table are packed at once, as counts, so padding doesn't depend on files or
-    partitions: pieces are written, ranked within their length in salted parts, and meet by sequence.
-    Two shuffles, of ids only. Not more than ``capacity`` pieces meet in a group.
+    partitions: pieces are written, ranked within their length where they are, and meet by sequence.
+    One shuffle, of ids only. Not more than ``capacity`` pieces meet in a group.
     """
     width = "<u2" if encoder(vocabulary).size <= 1 << 16 else "<u4"
-    pieces = materialize(cut_documents(docs, vocabulary, capacity, eos, width), "pieces")
-    placed = place_pieces(pieces, "length", ORDER, best_fit_plan, capacity, 1, rank_rows)
-    segment = F.struct("slot", *(F.col("row").getField(c).alias(c) for c in ("doc_id", "start", "ids")))
+    pieces = cut_documents(docs, vocabulary, capacity, 1, eos, width).select("doc_id", "start", "ids", "class", "part", "nth")
+    placed = place_pieces(pieces, best_fit_plan, capacity, 1)
+    segment = F.struct("slot", "doc_id", "start", "ids")
     sequences = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
 
     ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())

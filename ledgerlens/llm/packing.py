@@ -4,7 +4,7 @@ Lengths fall into size classes of ``grain`` tokens, so the linear program has a
 for each class, however many documents there are. Its columns are patterns: how
 many pieces of each class one sequence holds. A knapsack dynamic program prices
 columns, from nothing but one-class patterns on; the pattern counts are rounded down and what they leave, a
-few pieces for each pattern, is packed best fit decreasing, still as counts. Every piece is ranked within its class, and its rank
+few pieces for each pattern, is packed best fit decreasing, still as counts. Every piece is ranked within its class, by the task that cut it, and its rank
 tells its pattern, sequence and slot. Only the histogram (capacity / grain numbers)
 and the patterns reach the driver.
 """
@@ -28,8 +28,8 @@ from .encoders import default_vocabulary, encoder
 
 CAPACITY = 1024
 GRAIN = 4
-#: Rows that one ranking task takes of one size class, about.
-RANK_ROWS = 100_000
+#: Sums of parts and classes that are sent to all tasks; of more the pieces meet them by shuffle.
+MAX_BASES = 1_000_000
 
 
 # ---- the plan, on the driver -------------------------------------------------
@@ -163,87 +163,123 @@ def slot_rows(plan: Plan) -> list[tuple[int, int, int, int, int, int]]:
 # ---- over a table ------------------------------------------------------------
 
 
-def place_pieces(pieces: DataFrame, length: str, order: list[str], plan: Callable[[np.ndarray, int], Plan], capacity: int, grain: int, rank_rows: int) -> DataFrame:
-    """row (all columns of ``pieces``), n (its length), sequence_id and slot of each piece.
+def number_pieces(pieces: DataFrame, length: str, capacity: int, grain: int) -> DataFrame:
+    """row (all columns of ``pieces``), n (its length), class, part and nth of each piece, as a written table.
 
-    ``plan`` makes the patterns from the number of pieces of each class. Pieces are ranked within their class in salted
-    parts of about ``rank_rows``, so that a class with most rows, or a row that repeats, is spread over tasks as
-    long as ``order`` tells rows apart. Columns go along as one, so they may have any names.
+    nth counts a task's pieces of a class, part is the task. Columns go along as one, so they may have any names.
     """
-    spark = pieces.sparkSession
-    units = -(-capacity // grain)
     size = F.col(f"`{length}`")
-    usable = F.when(size.between(1, capacity), F.ceil(size / grain)).otherwise(F.raise_error(F.lit("length outside 1 to capacity")))
-    parts = max(32, -(-pieces.count() // rank_rows))
-    by = [F.col(f"`{c}`") for c in order]
-    rows = pieces.select(F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("row"), size.cast("long").alias("n"), usable.cast("int").alias("class"), F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int").alias("salt"))
-    counts = rows.groupBy("class", "salt").agg(F.count(F.lit(1)).alias("times"))
-    demand = np.zeros(units + 1, np.int64)
-    for c, n in counts.groupBy("class").agg(F.sum("times")).collect():  # a row for each class
-        demand[c] = n
+    usable = F.when(size.between(1, capacity), size).otherwise(F.raise_error(F.lit("length outside 1 to capacity")))
+    rows = pieces.select(F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("row"), usable.cast("long").alias("n"))
+    schema = T.StructType([*rows.schema, *(T.StructField(c, T.LongType()) for c in ("class", "part", "nth"))])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _Numbers(grain)
+        for batch in batches:
+            added = [pa.array(c, pa.int64()) for c in zip(*map(count, batch.column(1).to_pylist()), strict=True)] or [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
+
+    bounded_batches(pieces.sparkSession)
+    return materialize(rows.mapInArrow(number, schema), "numbered")
+
+
+class _Numbers:
+    """(class, part, nth) of the lengths that a task meets."""
+
+    def __init__(self, grain: int):
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        self.grain, self.part, self.seen = grain, context.partitionId() if context else 0, Counter()
+
+    def __call__(self, length: int) -> tuple[int, int, int]:
+        cls = -(-length // self.grain)
+        nth = self.seen[cls]
+        self.seen[cls] += 1
+        return cls, self.part, nth
+
 
-    before = Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("base", F.coalesce(F.sum("times").over(before), F.lit(0))).drop("times")
-    within = Window.partitionBy("class", "salt").orderBy(*(F.col("row").getField(c) for c in order))
-    ranked = rows.withColumn("rank", F.row_number().over(within)).join(bases, ["class", "salt"]).select("row", "n", "class", (F.col("rank") - 1 + F.col("base")).alias("rank"))
+def place_pieces(numbered: DataFrame, plan: Callable[[np.ndarray, int], Plan], capacity: int, grain: int) -> DataFrame:
+    """The columns of ``numbered`` but class, part and nth, and sequence_id and slot of each piece.
 
+    ``plan`` makes the patterns from the number of pieces of each class. A piece's rank in its class is its number in its part and the
+    pieces in the parts before. These sums are sent to all tasks if a count shows that they are few, so that pieces
+    stay where they are; else each part's pieces of a class meet them by shuffle, no more than a task wrote.
+    """
+    spark = numbered.sparkSession
+    units = -(-capacity // grain)
+    before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = numbered.groupBy("class", "part").agg(F.count(F.lit(1)).alias("times"))
+    bases = materialize(counts.withColumn("base", F.coalesce(F.sum("times").over(before), F.lit(0))), "bases")
+    demand = np.zeros(units + 1, np.int64)
+    for c, n in bases.groupBy("class").agg(F.sum("times")).collect():  # a row for each class
+        demand[c] = n
     # (class, first rank) tells the pattern: a few thousand rows, whatever the number of pieces
     slots = np.array(slot_rows(plan(demand, units)), np.int64).reshape(-1, 6)
-    slots = spark.sparkContext.broadcast(slots[np.lexsort((slots[:, 1], slots[:, 0]))])
+    slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]
+    few = bases.count() <= MAX_BASES
+    sums = bases.select("class", "part", "base").toArrow() if few else None
+    held = None if sums is None else np.column_stack([sums.column(k).to_numpy() for k in range(3)]).astype(np.int64)
+    held = None if held is None else held[np.lexsort((held[:, 1], held[:, 0]))]
+    shared = spark.sparkContext.broadcast((slots, held))
+    if not few:
+        numbered = numbered.join(bases.drop("times"), ["class", "part"])
+        numbered = numbered.withColumn("nth", F.col("nth") + F.col("base")).drop("base")
+    own = [c for c in numbered.columns if c not in ("class", "part", "nth")]
+    at = len(own)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = slots.value
-        keys = known[:, 0] << 44 | known[:, 1]
+        known, sums = shared.value
+        first_ranks = known[:, 0] << 44 | known[:, 1]
         for batch in batches:
-            cls, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3))
-            _, first, _, sequence, each, slot = known[np.searchsorted(keys, cls << 44 | rank, "right") - 1].T
-            at = rank - first
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sequence + at // each), pa.array(slot + at % each)], ["row", "n", "sequence_id", "slot"])
+            cls, part, rank = (batch.column(at + k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            if sums is not None:
+                rank = rank + sums[np.searchsorted(sums[:, 0] << 40 | sums[:, 1], cls << 40 | part), 2]
+            _, first, _, sequence, each, slot = known[np.searchsorted(first_ranks, cls << 44 | rank, "right") - 1].T
+            in_pattern = rank - first
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(sequence + in_pattern // each), pa.array(slot + in_pattern % each)], [*own, "sequence_id", "slot"])
 
     bounded_batches(spark)
-    schema = T.StructType([ranked.schema["row"], ranked.schema["n"], T.StructField("sequence_id", T.LongType()), T.StructField("slot", T.LongType())])
-    return ranked.mapInArrow(place, schema)
+    schema = T.StructType([*(numbered.schema[c] for c in own), T.StructField("sequence_id", T.LongType()), T.StructField("slot", T.LongType())])
+    return numbered.select(*own, "class", "part", "nth").mapInArrow(place, schema)
+
+
+def _with_offsets(placed: DataFrame, length: str) -> DataFrame:
+    before_slot = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum(length).over(before_slot), F.lit(0)).cast("long"))
 
 
-def pack_lengths(pieces: DataFrame, length: str, order: list[str], capacity: int = CAPACITY, grain: int = GRAIN, rank_rows: int = RANK_ROWS) -> DataFrame:
+def pack_lengths(pieces: DataFrame, length: str, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
     """Adds sequence_id, slot and offset (all long) to each row of ``pieces``.
 
-    ``length`` holds 1 to ``capacity``; other values raise. ``pieces`` is read three
-    times, so hand over a written table. ``order`` ranks pieces of a class; rows that tie
-    in all of it are interchangeable. An empty table gives an empty result. Columns named
+    ``length`` holds 1 to ``capacity``; other values raise. An empty table gives an empty result. Columns named
     sequence_id, slot or offset are replaced, others pass through, whatever their names.
     """
-    placed = place_pieces(pieces.drop("sequence_id", "slot", "offset"), length, order, plan_sequences, capacity, grain, rank_rows)
-    before_slot = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("offset", F.coalesce(F.sum("n").over(before_slot), F.lit(0)).cast("long"))
-    return placed.select("row.*", "sequence_id", "slot", "offset")
+    numbered = number_pieces(pieces.drop("sequence_id", "slot", "offset"), length, capacity, grain)
+    return _with_offsets(place_pieces(numbered, plan_sequences, capacity, grain), "n").select("row.*", "sequence_id", "slot", "offset")
 
 
-def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eos: int = 0, width: str | None = None) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, start, length, ids_crc32, doc_tokens, place[, ids].
+def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, grain: int = GRAIN, eos: int = 0, width: str | None = None) -> DataFrame:
+    """Pieces of at most ``capacity`` ids: doc_id, start, length, ids_crc32, doc_tokens, class, part, nth[, ids], as a written table.
 
     A document is the ids of its whole text, then ``eos``; a NULL or empty text is the
     end alone; a text may be of any length. Each id is in exactly one piece; only documents over the capacity are cut,
-    at its multiples. place: unique, as soon as the table is written. ids, with a ``width`` such as "<u2": numbers
+    at its multiples. class, part and nth are those of `number_pieces`. ids, with a ``width`` such as "<u2": numbers
     of that many bytes; the digest is of 4-byte ones. Other columns are dropped.
     """
-    kinds = {c: pa.int64() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "place")}
+    kinds = {c: pa.int64() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "nth")}
     if width:
         kinds["ids"] = pa.binary()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        ids_of, place = encoder(vocabulary).ids, (context.partitionId() if context else 0) << 40
+        ids_of, number = encoder(vocabulary).ids, _Numbers(grain)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(ids_of(text.as_py()), np.uint32(eos)).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
-                    out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), place, *((piece.astype(width).tobytes(),) if width else ())))
-                    place += 1
+                    out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), *number(len(piece)), *((piece.astype(width).tobytes(),) if width else ())))
                     if len(out) >= 4096:
                         yield _batch(out, kinds)
                         out = []
@@ -252,17 +288,13 @@ def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, eo
 
     bounded_batches(docs.sparkSession)
     schema = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in kinds)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
+    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema), "pieces")
 
 
 def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
-#: How pieces are ranked; place parts rows that are alike.
-ORDER = ["doc_id", "start", "ids_crc32", "doc_tokens", "place"]
-
-
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
     """Every id of every document in one sequence of at most ``capacity`` ids, with little padding.
 
@@ -270,8 +302,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, g
     all that follows works on those small rows. Repeated rows are packed as often as they
     occur; a NULL doc_id is kept; an empty table gives no rows; other columns are dropped.
     """
-    pieces = materialize(cut_documents(docs, vocabulary, capacity), "pieces")
-    return pack_lengths(pieces, "length", ORDER, capacity, grain)
+    return _with_offsets(place_pieces(cut_documents(docs, vocabulary, capacity, grain), plan_sequences, capacity, grain), "length")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

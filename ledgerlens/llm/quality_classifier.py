@@ -1,7 +1,7 @@
 """Quality classifier by co-training of two views.
 
-The text view sees the words: hashed endings, hashed whole words and immediate repeats. The metadata view sees the
-page: source, language, length, lines and shares of character classes. Both are fitted on the driver,
+The text view sees the content: hashed endings, hashed whole words, immediate repeats, lines and shares of character classes.
+The metadata view sees only what is stored with a page: source, language, their pair and the stated length. Both are fitted on the driver,
 on a bounded sample of the labelled pages and on what all pseudo-labelled pages add up to; over some rounds
 each scores every unlabelled page and hands its most confident pseudo-labels to the other. Then each is calibrated on labelled
 rows that no fit has seen, and the sum of the calibrated log-odds scores every document.
@@ -42,23 +42,30 @@ UNIT = 1 << 24
 CLEAN_LOSS = 0.003
 
 ENDINGS, WORDS = 1 << 12, 1 << 13
-#: After them: the share of words that equal the one before.
+#: After them: the share of words that equal the one before, and what is measured on the whole text.
 REPEATED = ENDINGS + WORDS
-TEXT_SIZE = REPEATED + 1
-LANGS, SOURCES = 16, 64
+SHAPE = REPEATED + 1
 #: Deleting these leaves the rest, whose length tells the share of the class.
 _CLASSES = [bytes(range(65, 91)), bytes(range(48, 58)), b"!?", b".,;:", b"#*$%&|<>", b"\n", b" "]
-META_SIZE = LANGS + SOURCES + 4 + len(_CLASSES)
+TEXT_SIZE = SHAPE + 3 + len(_CLASSES)
+LANGS, SOURCES, PAIRS, LENGTHS = 16, 64, 256, 24
+META_SIZE = LANGS + SOURCES + PAIRS + LENGTHS
+
+
+def shape(text: str | None) -> list[float]:
+    """Length of lines, lines, share of bytes beyond ASCII, and shares of the character classes."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    size, lines = max(len(raw), 1), raw.count(b"\n") + 1
+    return [np.log1p(size / lines) / 10, np.log1p(lines) / 10, (len(raw) - len(text or "")) / size, *((len(raw) - len(raw.translate(None, c))) / size for c in _CLASSES)]
 
 
 def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed endings and words with their share of the words; none for a text without words."""
+    """Hashed endings and words with their share of the words, and the text's shape; a text without words has only that."""
     words = text.encode("utf-8", "surrogatepass").split() if text else []
-    if not words:
-        return np.empty(0, np.int32), np.empty(0)
-    at = np.array([f for w in words for f in _word_features(w)])
+    at = np.array([f for w in words for f in _word_features(w)], np.int64)
     found, n = np.unique(at, return_counts=True)
-    return np.append(found, REPEATED).astype(np.int32), np.append(n / len(words), _repeated(words))
+    rest = [_repeated(words) if words else 0.0, *shape(text)]
+    return np.concatenate([found, np.arange(REPEATED, TEXT_SIZE)]).astype(np.int32), np.concatenate([n / max(len(words), 1), rest])
 
 
 def _repeated(words: list[bytes]) -> float:
@@ -70,16 +77,11 @@ def _word_features(word: bytes) -> tuple[int, int]:
     return zlib.crc32(word[-2:]) % ENDINGS, ENDINGS + zlib.crc32(word.lower()) % WORDS
 
 
-def meta_features(text: str | None, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    out = np.zeros(META_SIZE)
-    out[zlib.crc32(repr(lang).encode()) % LANGS] = 1
-    out[LANGS + zlib.crc32(repr(source).encode()) % SOURCES] = 1
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    size, lines = max(len(raw), 1), raw.count(b"\n") + 1
-    k = LANGS + SOURCES
-    out[k : k + 4] = np.log1p(max(n_chars or 0, 0)) / 10, np.log1p(size / lines) / 10, np.log1p(lines) / 10, (len(raw) - len(text or "")) / size
-    out[k + 4 :] = [(len(raw) - len(raw.translate(None, c))) / size for c in _CLASSES]
-    return out
+def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """Which features are set; each is 0 or 1. A missing value is one of its own."""
+    size = LENGTHS - 1 if n_chars is None else min(max(int(n_chars), 0).bit_length(), LENGTHS - 2)
+    of = lambda value, slots: zlib.crc32(repr(value).encode("utf-8", "surrogatepass")) % slots
+    return np.array([of(lang, LANGS), LANGS + of(source, SOURCES), LANGS + SOURCES + of((lang, source), PAIRS), LANGS + SOURCES + PAIRS + size])
 
 
 @dataclass
@@ -236,9 +238,20 @@ def co_train(views: tuple[Rows, Rows], y: np.ndarray, pool: Pool, rounds: int =
         done.append((found, [_cuts(n, prior) for n in levels]))
         given = pool.sums(done)
     scores = combined(*(_log_odds(views[v].take(cal_at), w) for v, w in enumerate(found)), prior)
-    good = np.sort(scores[y[cal_at] == 1])
-    threshold = min(0.5, float(good[int(CLEAN_LOSS * len(good))])) if len(good) else 0.0
-    return Model(*found, prior, threshold)
+    return Model(*found, prior, choose_threshold(scores[y[cal_at] == 1], scores[y[cal_at] == 0]))
+
+
+def choose_threshold(good: np.ndarray, bad: np.ndarray) -> float:
+    """From held-out rows of both classes: rejects the bad ones below the CLEAN_LOSS share of good ones, and as little else as it can.
+
+    Halfway between the last bad row it rejects and the next good one; without either class, or where the
+    good ones reach below all bad ones, nothing is rejected.
+    """
+    if not len(good) or not len(bad):
+        return 0.0
+    limit = float(np.sort(good)[int(CLEAN_LOSS * len(good))])
+    below = bad[bad < limit]
+    return (float(below.max()) + limit) / 2 if len(below) else 0.0
 
 
 def combined(text_logit, meta_logit, prior: float):
@@ -255,9 +268,8 @@ def _with_features(docs: DataFrame) -> DataFrame:
     def make():
         def of(text, lang, source, n_chars):
             at, share = text_features(text)
-            meta = meta_features(text, lang, source, n_chars)
-            some = np.flatnonzero(meta)
-            return at.astype("<u2").tobytes(), share.astype("<f4").tobytes(), some.astype("<u2").tobytes(), meta[some].astype("<f4").tobytes()
+            some = meta_features(lang, source, n_chars)
+            return at.astype("<u2").tobytes(), share.astype("<f4").tobytes(), some.astype("<u2").tobytes(), np.ones(len(some), "<f4").tobytes()
 
         return of
 
@@ -278,21 +290,25 @@ def _batch_views(batch) -> tuple[Rows, Rows]:
     return _views([batch.column(f.name).to_pylist() for f in FEATURES])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED, labelled_from: DataFrame | None = None) -> Model:
     """Learns from at most so many labelled documents, those of least hash of doc_id, and from all unlabelled ones.
 
+    ``labelled_from``: where the labelled rows are read, ``docs`` itself if not given; a pipeline's stage, whose input lost
+    most of the bad ones, hands over the whole table. Of documents that share an id one stands for all.
     Without labels of both classes every document gets the prior and is kept.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("_y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    labelled = _with_features(docs.join(F.broadcast(chosen), "doc_id"))  # at most the bound of ids
-    rows = labelled.limit(2 * max_labelled).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, bytes(r["_meta"]), bytes(r["_at"])))
+    source = (docs if labelled_from is None else labelled_from).drop("_y")
+    labelled = _with_features(source.join(F.broadcast(chosen), "doc_id"))  # at most the bound of ids
+    names = [f.name for f in FEATURES]
+    rows = labelled.groupBy("doc_id", "_y").agg(F.min(F.struct(*names)).alias("x")).collect()  # a row for each id chosen, at most
+    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id)))
     ids = known.select("doc_id")
     ids = F.broadcast(ids) if labels.count() <= MAX_BROADCAST_IDS else ids
-    others = _with_features(docs.join(ids, "doc_id", "left_anti").withColumn("_y", F.lit(-1)))
-    pool = Pool(materialize(others.select(*(f.name for f in FEATURES)), "unlabelled"))
-    return co_train(_views([[bytes(r[f.name]) for r in rows] for f in FEATURES]), np.array([r["_y"] for r in rows], int), pool)
+    others = _with_features(docs.drop("_y").join(ids, "doc_id", "left_anti").withColumn("_y", F.lit(-1)))
+    pool = Pool(materialize(others.select(*names), "unlabelled"))
+    return co_train(_views([[bytes(r.x[c]) for r in rows] for c in names]), np.array([r["_y"] for r in rows], int), pool)
 
 
 SCORES = [T.StructField("p_text", T.DoubleType()), T.StructField("p_meta", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
@@ -317,7 +333,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds p_text, p_meta, score (probability of good quality) and kept to each row.
 
     Whole texts, one scan, no shuffle; the model's size is fixed. NULL and empty texts have
-    no words and are scored by bias and metadata; NULL metadata is a value of its own; missing metadata
+    no words and are scored by shape and metadata; NULL metadata is a value of its own; missing metadata
     columns count as NULL. Repeated rows score alike; columns named like an output are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -333,7 +349,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             z = m.text.bias
             if found:
                 z += sum(map(words.__getitem__, found)) / len(found) + m.text.weights[REPEATED] * _repeated(found)
-            v = float(meta_features(text, given.get("lang"), given.get("source"), given.get("n_chars")) @ m.meta.weights) + m.meta.bias
+            z += float(np.dot(shape(text), m.text.weights[SHAPE:]))
+            v = float(m.meta.weights[meta_features(given.get("lang"), given.get("source"), given.get("n_chars"))].sum()) + m.meta.bias
             z, v = m.text.a * z + m.text.b, m.meta.a * v + m.meta.b
             p = float(combined(z, v, m.prior))
             return float(sigmoid(z)), float(sigmoid(v)), p, p >= m.threshold

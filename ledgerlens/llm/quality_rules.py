@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,13 +85,17 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_LABELLED) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Features and labels of at most ``limit`` labelled documents, those of least hash."""
+    """Features and labels of at most ``limit`` labelled documents, those of least hash.
+
+    Of documents that share an id one stands for all, that of least features.
+    """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("_label"))
     chosen = chosen.groupBy("doc_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most limit ids
-    rows = with_statistics(known).where(~F.col("base_failed")).select(*(feature(f).alias(f) for f in FEATURES), "_label", F.xxhash64("doc_id").alias("_h")).limit(4 * limit).collect()
-    rows.sort(key=lambda r: tuple(r)[::-1])
-    x = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
+    found = with_statistics(known).where(~F.col("base_failed")).select("doc_id", "_label", F.struct(*(feature(f).alias(f) for f in FEATURES)).alias("x"))
+    rows = found.groupBy("doc_id", "_label").agg(F.min("x").alias("x")).collect()  # a row for each id chosen, at most
+    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r.doc_id)), str(r.doc_id)))
+    x = {f: np.array([r.x[f] for r in rows], float) for f in FEATURES}
     return x, np.array([r["_label"] for r in rows], int)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, materialize, table, utf8_size, with_prefix_offsets
+from .common import MAX_BROADCAST_ROWS, materialize, table, utf8_size, with_prefix_offsets
 
 SHARDS = 16
 SEED = 20_240_229
@@ -42,42 +42,44 @@ def shuffle_to_shards(records: DataFrame, size: Column, shards: int = SHARDS, se
 
     Shard sizes differ by one row at most (law ``rows``); slots are gapless from 0. ``size`` gives
     a record's bytes. Records go whole, of any types, NULLs included; columns named shard
-    or slot are replaced; an empty table gives no rows. The order depends on the rows and the
-    seed, not on files or partitions, as far as no row repeats more often than a
+    or slot are replaced, others may have any names; an empty table gives no rows. The order depends on the rows and the
+    seed, not on files or partitions, as far as copies of no row are more rows or bytes than a
     bucket holds. Copies of such a row are spread over the buckets by their place in
     the input, and the scattered table is written first, so the input should be one whose rows
     keep their places when a task runs again, such as files.
     """
     records = records.drop("shard", "slot")
-    bucket, h1, h2, of = (free_name(records, n) for n in ("_bucket", "_h1", "_h2", "_size"))
-    names = records.columns
     hashable = [F.col(f"`{f.name}`") for f in records.schema if not _has_map(f.dataType)]
-    hashed = records.withColumns({h1: F.xxhash64(F.lit(seed), *hashable), h2: F.xxhash64(F.lit(~seed), *hashable), of: size})
+    # a record goes as one column, so its columns may have any names
+    hashed = records.select(
+        F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("record"), F.xxhash64(F.lit(seed), *hashable).alias("h1"),
+        F.xxhash64(F.lit(~seed), *hashable).alias("h2"), F.coalesce(size, F.lit(0)).alias("bytes"),
+    )
 
-    by_hash = materialize(hashed.groupBy(h1).agg(F.count(F.lit(1)).alias("n"), F.sum(of).alias("bytes")), "hashes")
+    by_hash = materialize(hashed.groupBy("h1").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")), "hashes")
     rows, total = by_hash.agg(F.sum("n"), F.sum("bytes")).first()
     buckets = max(1, -(-(total or 0) // bucket_bytes), -(-(rows or 0) // bucket_rows))
-    hot = by_hash.where(F.col("n") > bucket_rows).select(h1, F.lit(True).alias("_hot"))
+    # copies that fill more than a bucket, by rows or by bytes; fewer than there are buckets
+    hot = by_hash.where((F.col("n") > 1) & ((F.col("n") > bucket_rows) | (F.col("bytes") > bucket_bytes))).select("h1", F.lit(True).alias("hot"))
     is_hot = bool(hot.take(1))
 
-    place = F.pmod(F.col(h1), F.lit(buckets))
+    place = F.pmod(F.col("h1"), F.lit(buckets))
     if is_hot:
-        hashed = hashed.withColumn("_place", F.monotonically_increasing_id()).join(hot, h1, "left")
-        place = F.when(F.col("_hot"), F.pmod(F.xxhash64(h1, "_place"), F.lit(buckets))).otherwise(place)
-    parts = min(buckets, 20_000)
-    record = F.struct(F.col(h1).alias("h1"), F.col(h2).alias("h2"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("record"))
-    scattered = hashed.select(place.alias(bucket), record.alias("r"))
+        hashed = hashed.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(hot) if buckets <= MAX_BROADCAST_ROWS else hot, "h1", "left")
+        place = F.when(F.col("hot"), F.pmod(F.xxhash64("h1", "place"), F.lit(buckets))).otherwise(place)
+    scattered = hashed.select(place.alias("bucket"), F.struct("h1", "h2", "record").alias("r"))
     if is_hot:
         scattered = materialize(scattered, "scattered")
-        counts = scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+        counts = scattered.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     else:
-        counts = by_hash.groupBy(F.pmod(F.col(h1), F.lit(buckets)).alias(bucket)).agg(F.sum("n").alias("n"))
-    offsets = with_prefix_offsets(counts, bucket, "n", "_base").select(bucket, "_base")
+        counts = by_hash.groupBy(F.pmod(F.col("h1"), F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("n"))
+    offsets = with_prefix_offsets(counts, "bucket", "n", "base").select("bucket", "base")
 
-    filled = scattered.repartition(parts, bucket).groupBy(bucket).agg(F.collect_list("r").alias("rs")).join(offsets, bucket)
+    parts = min(buckets, 20_000)
+    filled = scattered.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list("r").alias("rs")).join(offsets, "bucket")
     # buckets in order within a task: the generator gives the same when a task runs again
-    shuffled = filled.sortWithinPartitions(bucket).select("_base", F.shuffle(_in_order(F.col("rs")), F.lit(seed)).alias("rs"))
-    dealt = shuffled.select("_base", F.posexplode("rs").alias("at", "r")).withColumn("g", F.col("_base") + F.col("at"))
+    shuffled = filled.sortWithinPartitions("bucket").select("base", F.shuffle(_in_order(F.col("rs")), F.lit(seed)).alias("rs"))
+    dealt = shuffled.select("base", F.posexplode("rs").alias("at", "r")).withColumn("g", F.col("base") + F.col("at"))
     return dealt.select("r.record.*", (F.col("g") % shards).cast("int").alias("shard"), F.floor(F.col("g") / shards).cast("long").alias("slot"))
 
 

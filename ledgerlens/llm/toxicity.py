@@ -127,24 +127,13 @@ def fit_chain(rows: list[np.ndarray], targets: dict[str, np.ndarray], folds: int
     return chain
 
 
-def severity(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """A second category where labels have one: toxic documents with more of the toxic words than most of them.
-
-    More than the median number of distinct selected words among toxic documents that have any.
-    """
-    words = select_words(rows, toxic)
-    n = np.array([np.isin(r, words, assume_unique=True).sum() for r in rows])
-    some = n[(toxic > 0) & (n > 0)]
-    return ((toxic > 0) & (n > (np.median(some) if len(some) else 0))).astype(int)
-
-
 def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("toxic",), limit: int = MAX_LABELLED) -> Chain:
     """Learns from at most ``limit`` labelled documents, those of least hash of doc_id.
 
-    ``categories`` are 0/1 columns of ``labels``, in the order of the chain; NULL counts as 0. If there
-    is but one, `severity` adds a second. Without labels the chain finds nothing.
+    ``categories`` are 0/1 columns of ``labels``, in the order of the chain; NULL counts as 0. Of documents that
+    share an id one stands for all. Without labels the chain finds nothing.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(categories[0]).isNotNull())
+    known = labels.where(F.col("doc_id").isNotNull() & F.coalesce(*(F.col(c) for c in categories)).isNotNull())
     known = known.groupBy("doc_id").agg(*(F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"_y{k}") for k, c in enumerate(categories)))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most limit ids
@@ -152,12 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("toxi
     def make():
         return lambda text: (word_hashes(text).tobytes(),)
 
-    hashed = append_columns(sample, [T.StructField("_words", T.BinaryType())], make, ["text"]).drop("text").limit(2 * limit).collect()
-    hashed.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r.doc_id)), r.doc_id, bytes(r["_words"])))
+    hashed = append_columns(sample, [T.StructField("_words", T.BinaryType())], make, ["text"]).drop("text")
+    ys = [f"_y{k}" for k in range(len(categories))]
+    hashed = hashed.groupBy("doc_id", *ys).agg(F.min("_words").alias("_words")).collect()  # a row for each id chosen, at most
+    hashed.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r.doc_id)), str(r.doc_id)))
     rows = [np.frombuffer(r["_words"], np.int64) for r in hashed]
-    targets = {c: np.array([r[f"_y{k}"] for r in hashed], int) for k, c in enumerate(categories)}
-    if len(categories) == 1:
-        targets["severe"] = severity(rows, targets[categories[0]])
+    targets = {c: np.array([r[y] for r in hashed], int) for c, y in zip(categories, ys, strict=True)}
     return fit_chain(rows, targets)
 
 
@@ -202,5 +191,6 @@ def predict(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> Data
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return predict(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+    """The chain low_quality → toxic: both are columns of ``labels``, and junk tells something of abuse."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return predict(docs, fit(docs, labels.withColumn("low_quality", 1 - F.col("quality")), ("low_quality", "toxic"))).drop("text")

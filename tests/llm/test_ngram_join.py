@@ -70,6 +70,41 @@ def test_large_groups_of_near_copies(spark, monkeypatch, seed):
     assert joined(spark, docs) == brute(docs)
 
 
+def test_hot_lists_and_components_are_spread(spark, monkeypatch):
+    from ledgerlens.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "LIST_PART", 16)
+    texts = near_copies(80, 40, 8, 3) + near_copies(60, 30, 6, 4)
+    docs = list(enumerate(texts))
+    assert joined(spark, docs) == brute(docs)
+    monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", 1)
+    assert joined(spark, docs) == brute(docs)
+
+
+def test_all_bits_of_the_hash(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAST_BITS", 18)  # as in large tables
+    docs = list(enumerate(near_copies(60, 40, 8, 5) + ["", "a b"]))
+    assert joined(spark, docs) == brute(docs)
+
+
+def test_pages_of_one_template_are_not_paired(spark, monkeypatch):
+    """Of 400 pages that share 82 % of their words in a row no two link, and the last step makes no pairs of them."""
+    met = []
+    plain = ngram_join._remaining_pairs
+
+    def spy(lists):
+        out = plain(lists)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_remaining_pairs", spy)
+    template = [f"t{i}" for i in range(164)]
+    pool = [" ".join(f"f{k}x{i}" for i in range(36)) for k in range(400)]
+    docs = [(k, " ".join(template) + " " + pool[k]) for k in range(400)]
+    assert all(c == d for d, _, c in joined(spark, docs)) and met == [0]
+
+
 def test_chain_links_through_neighbours(spark):
     chain = [" ".join(f"w{i}" for i in range(k, k + 60)) for k in range(0, 60, 4)]
     docs = list(enumerate(chain))

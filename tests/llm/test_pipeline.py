@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from ledgerlens.llm import quality_classifier, quality_rules  # noqa: E402
+from ledgerlens.llm import quality_rules  # noqa: E402
 
 
 def test_stages_do_their_work(spark, small):
@@ -16,7 +14,7 @@ def test_stages_do_their_work(spark, small):
     from test_text_operators import brute_hits, brute_stats
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    columns, seen = docs.columns, []
+    columns = docs.columns
     for name, stage in pipeline.STAGES[:-1]:
         out = pipeline.materialize(stage(spark, docs, small), name)
         assert out.columns == columns
@@ -28,8 +26,10 @@ def test_stages_do_their_work(spark, small):
             ok = {r.doc_id for r in quality_rules.judge(docs, rules).where("rule = 0").collect()}
             want = {d for d, t in before.items() if d in ok and (s := brute_stats(t))[0] >= 10 and 100 * s[4] <= 20 * s[0]}
         elif name == "quality_classifier":
-            model = quality_classifier.fit(docs, labels)
-            want = {r.doc_id for r in quality_classifier.score(docs, model).collect() if r.score >= model.threshold}
+            bad = {r.doc_id for r in labels.where("quality = 0").collect()} & set(before)
+            good = {r.doc_id for r in labels.where("quality = 1").collect()} & set(before)
+            assert not bad & set(after) and len(good - set(after)) <= max(1, len(good) // 100)
+            want = set(after)  # the verdicts are tested by test_bad_documents_go
         elif name == "near_duplicates":
             want = {d for d, n, c in brute(sorted(before.items())) if n == 0 or d == c}
         else:
@@ -37,11 +37,10 @@ def test_stages_do_their_work(spark, small):
             want = {d for d, t in before.items() if brute_hits(t, items)[1] == 0}
         assert set(after) == want, name
         docs = out
-        seen.append(len(after))
     packed = pipeline.STAGES[-1][1](spark, docs, small).collect()
     assert {r.doc_id for r in packed} == set(after)
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "quality_classifier", "near_duplicates", "decontamination", "packing"]
-    assert pipeline.run(spark, small).count() == len(packed) and re.match(r"\d", str(seen[0]))
+    assert pipeline.run(spark, small).count() == len(packed)
 
 
 def test_one_of_each_group_stays(spark):
@@ -62,3 +61,16 @@ def test_repeated_ids_lose_only_copies(spark):
     third = [t for d, t in kept if d == 3]
     assert len(third) == 1 and third[0] in {t for d, t in rows if d == 3}
     assert sorted(x for x in kept if x[0] != 3) == [(1, text["a"]), (2, text["b"]), (4, text["d"]), (5, ""), (6, "lone words"), (6, "other words")]
+
+
+def test_bad_documents_go(spark):
+    """The second stage rejects bad labelled documents that its input has, also where the first has taken most of them."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    bad, good = labels.where("quality = 0").select("doc_id"), labels.where("quality = 1").select("doc_id")
+    few = bad.orderBy("doc_id").limit(40)
+    given = docs.join(bad, "doc_id", "left_anti").unionByName(docs.join(few, "doc_id"))
+    kept = pipeline.by_classifier(spark, given, sf).select("doc_id").cache()
+    assert kept.join(few, "doc_id").count() <= 12
+    n, stay = docs.join(good, "doc_id").count(), kept.join(good, "doc_id").count()
+    assert stay >= 0.99 * n
