@@ -27,8 +27,12 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained views keep; trained on what the rules kept."""
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    """Documents that the co-trained views keep.
+
+    They learn from the labelled rows of the whole table, as the rules leave hardly any bad ones, and hand each other
+    pseudo-labels of what the rules kept.
+    """
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), labelled_from=table(spark, sf_dir, "documents"))
     return quality_classifier.score(docs, model).where("kept").select(docs.columns)
 
 
