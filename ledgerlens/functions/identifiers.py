@@ -38,19 +38,28 @@ def strict_report_date(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(None).cast("date")).when(fits, date).otherwise(F.raise_error(F.concat(F.lit("not a report date: "), text)).cast("date"))
 
 
+def _padded(digits: Column, size: int) -> Column:
+    """Zeros in front up to a size; a longer value stays as it is."""
+    return F.when(F.length(digits) < size, F.lpad(digits, size, "0")).otherwise(digits)
+
+
 def filer_key(cik: Column) -> Column:
-    """A filer number with zeros in front, ten digits."""
-    return F.lpad(F.regexp_replace(F.trim(cik.cast("string")), "^(?i)cik", ""), 10, "0")
+    """A filer number of ten digits or more, whatever zeros it came with; NULL for what isn't a number."""
+    digits = F.regexp_replace(F.regexp_replace(F.trim(cik.cast("string")), "^(?i)cik", ""), "^0+(?=[0-9])", "")
+    return F.when(digits.rlike("^[0-9]+$"), _padded(digits, 10))
 
 
 def hk_code(code: Column) -> Column:
-    return F.lpad(F.regexp_replace(F.upper(F.trim(code.cast("string"))), r"\.HK$", ""), 5, "0")
+    """The digits of a code, five or more; NULL without any."""
+    digits = F.regexp_replace(code.cast("string"), "[^0-9]", "")
+    return F.when(digits != "", _padded(digits, 5))
 
 
 def cn_security(code: Column) -> Column:
-    """600000 as 600000.SH, 0 and 3 as .SZ, 4, 8 and 92 as .BJ; NULL for other codes."""
-    c = F.lpad(F.trim(code.cast("string")), 6, "0")
-    return F.when(c.rlike("^(4|8|92)[0-9]+$"), F.concat(c, F.lit(".BJ"))).when(c.rlike("^6[0-9]{5}$"), F.concat(c, F.lit(".SH"))).when(c.rlike("^[03][0-9]{5}$"), F.concat(c, F.lit(".SZ")))
+    """600000 as 600000.SH, 0 and 3 as .SZ, 4, 8 and 92 as .BJ; NULL for other codes, also longer ones."""
+    c = _padded(F.trim(code.cast("string")), 6)
+    of = lambda start, market: F.when(c.rlike(f"^(?:{start})[0-9]*$") & (F.length(c) == 6), F.concat(c, F.lit(market)))
+    return F.coalesce(of("[48]|92", ".BJ"), of("6", ".SH"), of("[03]", ".SZ"))
 
 
 def market_of(code: Column) -> Column:

@@ -1,6 +1,6 @@
 """Figures in running text: amounts after labels, share structure, reconciliation notes, text-flow tables.
 
-Reading positions depend on what was read before, so these are functions of a page's text, run as pandas UDFs.
+All but the text-flow tables are column expressions over a page's text.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 
 from .statements import ACCOUNTS
 
-AMOUNT = re.compile(r"\(?-?[\d,]+(?:\.\d+)?\)?")
-SHARES = re.compile(r"([\d,]+(?:\.\d+)?)\s*(万)?\s*股")
 #: Dashes that stand for minus, and marks of the reconciliation and profile pages.
 DASHES = "一－–—‐−"
 RECON_MARKS = ["将净利润调节为经营活动现金流量", "将净利润调节为经营活动产生的现金流量", "现金流量表补充资料", "Adjustments for:"]
@@ -27,75 +25,80 @@ OTHER_LINES = ["资产减值准备", "信用减值损失", "处置固定资产",
 RECON_START, RECON_TARGET = ["净利润"], ["经营活动产生的现金流量净额"]
 
 
-def amount_after(text: str | None, label: str, reach: int = 48) -> tuple[float, int] | None:
-    """(amount, its place) within ``reach`` characters after the first place of a label; a dash in front negates."""
-    at = (text or "").find(label)
-    if at < 0:
-        return None
-    tail = text[at + len(label) : at + len(label) + reach]
-    hit = AMOUNT.search(tail)
-    digits = hit and re.sub(r"[^\d.]", "", hit[0])
-    if not digits or digits == ".":
-        return None
-    negative = hit[0][0] in "(-" or (hit.start() > 0 and tail[hit.start() - 1] in DASHES)
-    return (-float(digits) if negative else float(digits)), at + len(label) + hit.start()
-
-
-def _claimed(text: str, labels: list[str]) -> dict[str, float]:
-    """Label → amount; an amount that two labels reach belongs to the first."""
-    taken: set[int] = set()
-    found = {}
-    for label in labels:
-        hit = amount_after(text, label)
-        if hit and hit[1] not in taken:
-            taken.add(hit[1])
-            found[label] = hit[0]
-    return found
+#: What may stand before a figure, its sign, the figure.
+_SIGNED = rf"^((?s:.*?))([(\-{DASHES}]?)([0-9][0-9,]*(?:\.[0-9]+)?)"
+
+
+def _figure(digits: Column) -> Column:
+    return F.regexp_replace(digits, ",", "").try_cast("double")
+
+
+def amount_after(text: Column, label: Column, reach: int = 48) -> Column:
+    """struct<amount, place>: the first figure within ``reach`` characters after the first place of a label.
+
+    A bracket or dash right before it negates. NULL without the label or a figure.
+    """
+    found = F.position(label, text)
+    after = found + F.length(label)
+    tail = F.substring(text, after, F.lit(reach))
+    part = lambda k: F.regexp_extract(tail, _SIGNED, k)
+    amount = _figure(part(3)) * F.when(part(2) == "", 1.0).otherwise(-1.0)
+    return F.when((found > 0) & (part(3) != ""), F.struct(amount.alias("amount"), (after + F.length(part(1)) - 1).alias("place")))
+
+
+def amounts_after(text: Column, labels: list[str]) -> Column:
+    """array<struct<label, amount, place>> of the labels found, in order; a figure that two labels reach belongs to the first."""
+    each = F.transform(F.array(*map(F.lit, labels)), lambda x: F.struct(x.alias("label"), amount_after(text, x).alias("hit")))
+    found = F.transform(F.filter(each, lambda x: x["hit"].isNotNull()), lambda x: F.struct(x["label"].alias("label"), x["hit"]["amount"].alias("amount"), x["hit"]["place"].alias("place")))
+    places = F.transform(found, lambda x: x["place"])
+    return F.filter(found, lambda x, i: F.array_position(places, x["place"]) == i + 1)
+
 
+def depreciation(text: Column) -> Column:
+    """map<label, amount>: the depreciation lines of a reconciliation; zeros left out."""
+    lines = F.filter(amounts_after(text, DA_LINES), lambda x: x["amount"] != 0)
+    return F.map_from_entries(F.transform(lines, lambda x: F.struct(x["label"], x["amount"])))
 
-def depreciation(text: str | None) -> dict[str, float]:
-    """The depreciation lines of a reconciliation; zeros left out."""
-    return {k: v for k, v in _claimed(text or "", DA_LINES).items() if v}
 
+def reconcile(text: Column) -> Column:
+    """struct<net_income, cfo, items, diff, ok> of the reconciliation in a text, NULL without both ends; ok within 0.05 % of cash flow or 1 (V8)."""
+    net, cfo = (F.coalesce(*(amount_after(text, F.lit(x))["amount"] for x in labels)) for labels in (RECON_START, RECON_TARGET))
+    lines = amounts_after(text, [*DA_LINES, *OTHER_LINES])
+    diff = net + F.aggregate(lines, F.lit(0.0), lambda a, x: a + x["amount"]) - cfo
+    ok = F.abs(diff) <= F.greatest(F.lit(1.0), F.abs(cfo) * 0.0005)
+    return F.when(net.isNotNull() & cfo.isNotNull(), F.struct(net.alias("net_income"), cfo.alias("cfo"), F.size(lines).alias("items"), diff.alias("diff"), ok.alias("ok")))
 
-def reconcile(text: str | None) -> dict | None:
-    """net_income, cfo, items, diff, ok of the reconciliation in a text; ok within 0.05 % of cash flow or 1 (V8)."""
-    first = lambda labels: next((h[0] for x in labels if (h := amount_after(text, x))), None)
-    net, cfo = first(RECON_START), first(RECON_TARGET)
-    if net is None or cfo is None:
-        return None
-    lines = _claimed(text, [*DA_LINES, *OTHER_LINES])
-    diff = net + sum(lines.values()) - cfo
-    return {"net_income": net, "cfo": cfo, "items": len(lines), "diff": diff, "ok": abs(diff) <= max(1.0, abs(cfo) * 0.0005)}
 
+_SHARES = r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(万)?\s*股"
 
-def shares_near(text: str | None, label: str, window: int = 70) -> float | None:
+
+def shares_near(text: Column, label: str, window: int = 70) -> Column:
     """A share count around a label (F22): mentions that go on as a description are passed over, "not exceeding" goes first."""
-    text = text or ""
-    for m in re.finditer(re.escape(label), text):
-        if text[m.end() : m.end() + 4].startswith(("的", "所占", "比例")):
-            continue
-        around = text[max(0, m.start() - window) : m.start() + window]
-        hits = list(SHARES.finditer(around))
-        if hits:
-            best = next((h for h in hits if "不超过" in around[max(0, h.start() - 12) : h.start()]), hits[0])
-            return float(best[1].replace(",", "")) * (10_000 if best[2] else 1)
-    return None
-
-
-def share_structure(text: str | None) -> dict:
-    """issued, after, before, par, price, inferred of a profile page (F23). A blank price stays NULL."""
-    flat = " ".join((text or "").split())
-    after_label = lambda label, reach: (m := re.search(r"([\d.]+)\s*元", flat[flat.find(label) : flat.find(label) + reach])) and float(m[1]) if label in flat else None
-    issued = next((v for k in ("本次拟公开发行股份数量", "发行股数", "本次发行股数") if (v := shares_near(flat, k))), None)
-    after = shares_near(flat, "发行后总股本")
-    before = shares_near(flat, "发行前总股本")
-    inferred = None
-    if before is None and after and issued:
-        before, inferred = after - issued, "before"
-    elif after is None and before and issued:
-        after, inferred = before + issued, "after"
-    return {"issued": issued, "after": after, "before": before, "par": after_label("每股面值", 60), "price": after_label("每股发行价格", 40), "inferred": inferred}
+    rest = F.split(text, re.escape(label), -1)
+    # where each mention starts: all before it, with the mentions between
+    mentions = F.transform(F.slice(rest, 2, F.greatest(F.size(rest) - 1, F.lit(0))), lambda r, k: F.struct(r.alias("r"), F.length(F.array_join(F.slice(rest, F.lit(1), k + 1), label)).alias("at")))
+    plain = F.filter(mentions, lambda m: ~m["r"].rlike("^(的|所占|比例)"))
+    around = F.transform(plain, lambda m: F.substring(text, F.greatest(m["at"] - window, F.lit(0)) + 1, F.least(m["at"], F.lit(window)) + window))
+
+    def count(x: Column) -> Column:
+        chosen = F.coalesce(*(F.nullif(F.regexp_extract(x, p, 0), F.lit("")) for p in (rf"不超过(?s:.{{0,9}}?){_SHARES}", _SHARES)))
+        return _figure(F.regexp_extract(chosen, _SHARES, 1)) * F.when(F.regexp_extract(chosen, _SHARES, 2) == "", 1.0).otherwise(10_000.0)
+
+    return F.get(F.filter(F.transform(around, count), lambda v: v.isNotNull()), F.lit(0))
+
+
+def share_structure(text: Column) -> Column:
+    """struct<issued, after, before, par, price, inferred> of a profile page (F23). A blank price stays NULL."""
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
+    priced = lambda label, reach: F.regexp_extract(flat, rf"{label}((?s:.{{0,{reach - len(label)}}}))", 1)
+    price = lambda label, reach: F.regexp_extract(priced(label, reach), r"([0-9]+(?:\.[0-9]+)?)\s*元", 1).try_cast("double")
+    issued = F.coalesce(*(shares_near(flat, k) for k in ("本次拟公开发行股份数量", "发行股数", "本次发行股数")))
+    after, before = shares_near(flat, "发行后总股本"), shares_near(flat, "发行前总股本")
+    inferred = F.when(issued.isNull(), F.lit(None).cast("string")).when(before.isNull() & (after != 0), "before").when(after.isNull() & (before != 0), "after")
+    return F.struct(
+        issued.alias("issued"), F.coalesce(after, before + issued).alias("after"), F.coalesce(before, after - issued).alias("before"),
+        price("每股面值", 60).alias("par"), price("每股发行价格", 40).alias("price"), inferred.alias("inferred"),
+    )
 
 
 _LABEL = r"[一-鿿（）()、·：:“”‘’\-—／/《》〈〉]+"
@@ -148,8 +151,6 @@ def by_page(f: Callable[[str | None], object], kind: T.DataType) -> Callable[[Co
     return F.pandas_udf(lambda s: pd.Series([f(x) for x in s], dtype=object), kind)
 
 
-DEPRECIATION = T.MapType(T.StringType(), T.DoubleType())
-RECONCILED = T.StringType()
 FLOW = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("label", "note", "current", "prior")]))
 
 
@@ -184,34 +185,27 @@ def statement_ranges(contents: DataFrame, doc: str, kind: str = "kind", page: st
 
 #: How company names end, the full forms first.
 COMPANY_ENDS = (("股份有限公司", "集团有限公司", "有限公司"), ("公司", "集团"))
-_CODE = re.compile(r"(?:代码|代碼|code)\s*[:：]?\s*([0-9]{4,6})", re.I)
 
 
-def company_line(lines: list[str]) -> str | None:
+def _lines(text: Column) -> Column:
+    return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^[\s\x{3000}]+|[\s\x{3000}]+$", ""))
+
+
+def company_line(text: Column) -> Column:
     """The line of a cover that names the company: a full legal form at once, else the first shorter one."""
-    second = None
-    for raw in lines:
-        line = raw.strip()
-        cut = re.match(r"(.{4,}(?:公司|集团))(?:2|２０)", line)
-        line = cut[1] if cut else line
-        if not 4 <= len(line) <= 40:
-            continue
-        if line.endswith(COMPANY_ENDS[0]):
-            return line
-        if second is None and line.endswith(COMPANY_ENDS[1]):
-            second = line
-    return second
+    names = F.transform(_lines(text), lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^(.{4,}(?:公司|集团))(?:2|２０)", 1), F.lit("")), x))
+    fit = F.filter(names, lambda x: F.length(x).between(4, 40))
+    ending = lambda ends: F.get(F.filter(fit, lambda x: x.rlike(f"(?:{'|'.join(ends)})$")), F.lit(0))
+    return F.coalesce(*map(ending, COMPANY_ENDS))
 
 
-def cover_code(lines: list[str]) -> str | None:
+def cover_code(text: Column) -> Column:
     """The security code that a cover states."""
-    return next((m[1] for x in lines if (m := _CODE.search(x))), None)
+    return F.nullif(F.regexp_extract(text, r"(?i)(?:代码|代碼|code)\s*[:：]?\s*([0-9]{4,6})", 1), F.lit(""))
 
 
 def cover_facts(pages: DataFrame, doc: str, page: str = "page", text: str = "text") -> DataFrame:
     """doc, company, code from the first two pages."""
-    lines = pages.where(F.col(page) <= 2).groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t")))).alias("_p"))
-    split = lambda xs: [y for x in xs for y in (x["t"] or "").splitlines()]
-    name = F.pandas_udf(lambda s: pd.Series([company_line(split(x)) for x in s], dtype=object), T.StringType())
-    code = F.pandas_udf(lambda s: pd.Series([cover_code(split(x)) for x in s], dtype=object), T.StringType())
-    return lines.select(doc, name("_p").alias("company"), code("_p").alias("code"))
+    held = F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t"))))
+    covers = pages.where(F.col(page) <= 2).groupBy(doc).agg(F.array_join(F.transform(held, lambda x: F.coalesce(x["t"], F.lit(""))), "\n").alias("_t"))
+    return covers.select(doc, company_line(F.col("_t")).alias("company"), cover_code(F.col("_t")).alias("code"))

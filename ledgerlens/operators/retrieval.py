@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
@@ -17,36 +14,57 @@ from ..functions.text import tokenize
 K1, B = 1.5, 0.75
 
 
-def chunk_paragraphs(text: str | None, target: int = 420, overlap: int = 1, split: str = r"\n\s*\n") -> list[tuple[int, int, int, str]]:
-    """(chunk number, first paragraph, last paragraph, text): paragraphs up to ``target`` characters, the last ones again in the next."""
-    paras = [p for p in (x.strip() for x in re.split(split, text or "")) if p]
-    out, first = [], 0
-    while first < len(paras):
-        end, size = first, 0
-        while end < len(paras) and (end == first or size < target):
-            size += len(paras[end])
-            end += 1
-        out.append((len(out) + 1, first + 1, end, "\n".join(paras[first:end])))
-        first = max(end - overlap, first + 1) if end - overlap > first else end
-    return out
+#: What is cut from both ends of a paragraph.
+_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
-CHUNK = T.ArrayType(T.StructType([T.StructField("chunk_no", T.IntegerType()), T.StructField("para_start", T.IntegerType()), T.StructField("para_end", T.IntegerType()), T.StructField("text", T.StringType())]))
+def chunk_bounds(sizes: Column, target: int = 420, overlap: int = 1) -> Column:
+    """array<struct<first, end>> of chunks over paragraphs of these sizes, counted from 0, ``end`` not included.
+
+    A running sum over the paragraphs, which a chunk's end sets back to what the next chunk repeats: a chunk ends with the paragraph
+    that brings it to ``target``; the next starts ``overlap`` paragraphs before, but after its own start. What the
+    last paragraph leaves open are chunks too.
+    """
+    shape = "struct<first:int,held:bigint,done:array<struct<first:int,end:int>>>"
+
+    def state(first: Column, held: Column, done: Column) -> Column:
+        return F.struct(first.cast("int").alias("first"), held.cast("bigint").alias("held"), done.alias("done"))
+
+    def close(x: Column, upto: Column) -> Column:
+        """The state once the open chunk has ended, at ``upto`` or before."""
+        open_sizes = F.slice(sizes, x["first"] + 1, upto - x["first"])
+        none = F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(0).alias("n"))
+        grown = F.aggregate(open_sizes, none, lambda a, n: F.when(a["held"] < target, F.struct((a["held"] + n).alias("held"), (a["n"] + 1).alias("n"))).otherwise(a))
+        end = x["first"] + grown["n"]
+        first = F.when(end - overlap > x["first"], end - overlap).otherwise(end)
+        again = F.aggregate(F.slice(sizes, first + 1, upto - first), F.lit(0).cast("bigint"), lambda a, n: a + n)
+        return state(first, again, F.concat(x["done"], F.array(F.struct(x["first"].alias("first"), end.cast("int").alias("end")))))
+
+    tries = F.sequence(F.lit(0), F.lit(overlap))  # what is repeated may fill chunks by itself
+
+    def step(x: Column, k: Column) -> Column:
+        taken = state(x["first"], x["held"] + F.get(sizes, k), x["done"])
+        return F.aggregate(tries, taken, lambda y, _: F.when((y["held"] >= target) & (y["first"] <= k), close(y, k + 1)).otherwise(y))
+
+    n = F.size(sizes)
+    start = state(F.lit(0), F.lit(0), F.array().cast("array<struct<first:int,end:int>>")).cast(shape)
+    filled = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
+    rest = F.aggregate(tries, filled, lambda y, _: F.when(y["first"] < n, close(y, n)).otherwise(y))
+    return F.when(n > 0, rest["done"]).otherwise(start["done"])
 
 
 def chunk_documents(docs: DataFrame, key: str, text: str = "text", target: int = 420, overlap: int = 1, split: str = r"\n\s*\n") -> DataFrame:
     """A row for each chunk of each document: key, chunk_no, para_start, para_end, text.
 
-    Where a chunk starts depends on where the last ended, so a document is cut in Python,
-    documents one by one; there is no shuffle.
+    Paragraphs of up to ``target`` characters together, the last ``overlap`` again in the next chunk. One scan
+    with column expressions, no shuffle. NULL and blank texts have no chunks.
     """
-
-    @F.pandas_udf(CHUNK)
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda t: [dict(zip(CHUNK.elementType.names, c, strict=True)) for c in chunk_paragraphs(t, target, overlap, split)])
-
-    return docs.select(key, F.explode(cut(F.col(text))).alias("c")).select(key, "c.*")
+    cut = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), split), lambda x: F.regexp_replace(x, f"^{_BLANK}+|{_BLANK}+$", ""))
+    paras = docs.select(key, F.filter(cut, lambda x: x != "").alias("_p"))
+    bounds = chunk_bounds(F.transform("_p", F.length), target, overlap)
+    found = paras.select(key, "_p", F.posexplode(bounds).alias("_k", "_b"))
+    lines = F.slice("_p", F.col("_b.first") + 1, F.col("_b.end") - F.col("_b.first"))
+    return found.select(key, (F.col("_k") + 1).alias("chunk_no"), (F.col("_b.first") + 1).alias("para_start"), F.col("_b.end").alias("para_end"), F.array_join(lines, "\n").alias("text"))
 
 
 def token_frequencies(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

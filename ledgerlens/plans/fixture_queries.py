@@ -8,7 +8,7 @@ from ..functions import identifiers, numbers, text
 from ..operators import asof, audit, checks, facts, layout, peers, statements
 from ..operators import valuation as v
 from .fixture import Fixture
-from .table_queries import query
+from .table_queries import query, read
 
 RATES = Fixture(
     "id int, risk_free double, equity_premium double, beta_unlevered double, tax_rate double, cost_of_debt double, debt double, equity double, size_premium double",
@@ -300,14 +300,23 @@ def percent_and_shares(spark, sf_dir):
     return PERCENTS.frame(spark).select("id", F.round(numbers.percent_number(F.col("cell")), 9).alias("value"), numbers.shares_number(F.col("cell")).alias("shares"))
 
 
-CODES = Fixture("id int, code string, cn string, hk string, market string", [(1, "600519", "600519.SH", "600519", "cn"), (2, "000001", "000001.SZ", "000001", "cn"), (3, "920002", "920002.BJ", "920002", "cn"), (4, "700", "000700.SZ", "00700", "hk"), (5, "AAPL", None, "0AAPL", "us"), (6, "500123", None, "500123", None)])
+_RAW_CODES = """CASE o_orderkey % 7 WHEN 0 THEN CAST(o_orderkey * 37 % 1000000 AS {t}) WHEN 1 THEN lpad(CAST(o_orderkey * 41 % 1000000 AS {t}), 6, '0') WHEN 2 THEN concat(CAST(o_orderkey % 10000 AS {t}), '.hk')
+WHEN 3 THEN concat('92', lpad(CAST(o_orderkey % 10000 AS {t}), 4, '0')) WHEN 4 THEN concat('000000', CAST(320193 + o_orderkey AS {t})) WHEN 5 THEN concat('CIK', CAST(o_orderkey AS {t})) ELSE concat(' T', chr(CAST(65 + o_orderkey % 26 AS INTEGER)), ' ') END"""
+_FIVE, _TEN, _SIX = (f"CASE WHEN length({c}) < {n} THEN lpad({c}, {n}, '0') ELSE {c} END" for c, n in (("d", 5), ("k", 10), ("trim(code)", 6)))
 
 
-@query(f"SELECT id, cn, CASE WHEN length(code) <= 5 THEN hk ELSE substr(code, 1, 5) END AS hk, market FROM {CODES.sql()}")
+@query(
+    f"""WITH r AS (SELECT o_orderkey, {_RAW_CODES.format(t="VARCHAR")} AS code FROM orders),
+x AS (SELECT *, regexp_replace(code, '[^0-9]', '', 'g') AS d, regexp_replace(regexp_replace(trim(code), '^CIK', ''), '^0+([0-9])', '\\1') AS k, {_SIX} AS c FROM r),
+y AS (SELECT *, CASE WHEN length(c) <> 6 OR NOT regexp_matches(c, '^[0-9]+$') THEN NULL WHEN c[1] IN ('4', '8') OR c[1:2] = '92' THEN c || '.BJ' WHEN c[1] = '6' THEN c || '.SH' WHEN c[1] IN ('0', '3') THEN c || '.SZ' END AS cn, upper(trim(code)) AS u FROM x)
+SELECT o_orderkey, cn, CASE WHEN d <> '' THEN {_FIVE} END AS hk, CASE WHEN regexp_matches(k, '^[0-9]+$') THEN {_TEN} END AS filer,
+CASE WHEN cn IS NOT NULL AND regexp_matches(u, '^[0-9]{{6}}$') THEN 'cn' WHEN regexp_matches(u, '^[0-9]{{1,5}}([.]HK)?$') THEN 'hk' WHEN regexp_matches(u, '^[A-Z][A-Z.-]{{0,9}}$') THEN 'us' END AS market FROM y"""
+)
 def security_codes(spark, sf_dir):
-    """Codes of securities and their market."""
+    """Codes of securities and filers and their market, also malformed and over-long ones (D6-D10): made from order keys."""
     c = F.col("code")
-    return CODES.frame(spark).select("id", identifiers.cn_security(c).alias("cn"), identifiers.hk_code(c).alias("hk"), identifiers.market_of(c).alias("market"))
+    codes = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_RAW_CODES.format(t="STRING")).alias("code"))
+    return codes.select("o_orderkey", identifiers.cn_security(c).alias("cn"), identifiers.hk_code(c).alias("hk"), identifiers.filer_key(c).alias("filer"), identifiers.market_of(c).alias("market"))
 
 
 HEADERS = Fixture("id int, cell string, period date", [(1, "2023年12月31日", "2023-12-31"), (2, "2022-06-30", "2022-06-30"), (3, "二〇二一年", "2021-12-31"), (4, "2020年6月", "2020-06-30"), (5, "Note", None), (6, "Year 2019", "2019-12-31")])

@@ -78,30 +78,56 @@ def config_fill(spark, sf_dir):
     return derived.fill_absent(GIVEN.frame(spark), KNOWN.frame(spark), "id", ["wacc", "tax"])
 
 
-RECON = "现金流量表补充资料 净利润 100.00 固定资产折旧 30 无形资产摊销 5 存货的减少 －10 经营活动产生的现金流量净额 125"
-NOTES = Fixture("id int, t string", [(1, RECON), (2, RECON.replace("125", "200")), (3, "nothing"), (4, None)])
+_LINES = [*notes.RECON_START, *notes.RECON_TARGET, *notes.DA_LINES, *notes.OTHER_LINES]
 
 
-@query("SELECT * FROM (VALUES (1, 35.0::DOUBLE, true), (2, 35.0, false), (3, NULL, NULL), (4, NULL, NULL)) AS v(id, da, ok)")
-def note_depreciation(spark, sf_dir):
-    """Depreciation from the notes, and whether the reconciliation holds."""
-    from pyspark.sql import types as T
+def _pages(of: str) -> str:
+    """A page of a reconciliation made from an order: its lines in a row, each with a figure, some left out or negative."""
+    parts = []
+    for k, label in enumerate(_LINES):
+        figure = f"CAST(o_orderkey * {k + 3} % 900 AS {of})"
+        text = f"concat('{label} ', CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '－' ELSE '(' END, {figure}, ',', lpad(CAST(o_orderkey * {k + 7} % 1000 AS {of}), 3, '0'), CASE WHEN o_orderkey % 3 = 2 THEN ')' ELSE '.50' END, ' ')"
+        parts.append(text if k < 2 else f"CASE WHEN (o_orderkey + {k}) % 4 < 2 THEN {text} ELSE '' END")
+    return f"concat({', '.join(parts)})"
 
-    total = notes.by_page(lambda t: sum(notes.depreciation(t).values()) or None, T.DoubleType())
-    ok = notes.by_page(lambda t: (notes.reconcile(t) or {}).get("ok"), T.BooleanType())
-    return NOTES.frame(spark).select("id", total("t").alias("da"), ok("t").alias("ok"))
 
+def _sql_amount(k: int) -> str:
+    sign = "CASE o_orderkey % 3 WHEN 0 THEN 1 ELSE -1 END"
+    return f"{sign} * (CAST(o_orderkey * {k + 3} % 900 AS DOUBLE) * 1000 + o_orderkey * {k + 7} % 1000 + CASE WHEN o_orderkey % 3 = 2 THEN 0 ELSE 0.5 END)"
 
-PROFILE = Fixture("id int, t string", [(1, "发行概况 发行股数 的比例 本次发行股数 不超过 2,500 万股 每股面值 1.00 元 每股发行价格 【】元 " + "填" * 90 + " 发行后总股本 10,000万股"), (2, None)])
 
+def _sql_sum(first: int, end: int) -> str:
+    return " + ".join(f"CASE WHEN (o_orderkey + {k}) % 4 < 2 THEN {_sql_amount(k)} ELSE 0 END" for k in range(first, end))
+
+
+_DA_END = 2 + len(notes.DA_LINES)
+
+
+@query(
+    f"""WITH x AS (SELECT o_orderkey, {_sql_amount(0)} AS net, {_sql_amount(1)} AS cfo, {_sql_sum(2, _DA_END)} AS da, {_sql_sum(2, len(_LINES))} AS lines FROM orders)
+SELECT o_orderkey, round(da, 2) AS da, round(net + lines - cfo, 2) AS diff, abs(net + lines - cfo) <= greatest(1.0, abs(cfo) * 0.0005) AS ok FROM x"""
+)
+def note_depreciation(spark, sf_dir):
+    """Depreciation from the notes, and how the reconciliation holds (F24, G22, V8): pages made from orders."""
+    t = F.col("t")
+    pages = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_pages("STRING")).alias("t"))
+    total = F.aggregate(F.map_values(notes.depreciation(t)), F.lit(0.0), lambda a, x: a + x)
+    r = notes.reconcile(t)
+    return pages.select("o_orderkey", F.round(total, 2).alias("da"), F.round(r["diff"], 2).alias("diff"), r["ok"].alias("ok"))
+
+
+_PROFILE = """concat('发行概况 发行股数 的比例为 10% 本次发行股数 ', CASE WHEN c_custkey % 2 = 0 THEN '共 9 股, 不超过 ' ELSE '' END, CAST(c_custkey AS {t}), ',500 ', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '万' END, '股 每股面值 1.00 元 每股发行价格 ',
+CASE WHEN c_custkey % 5 = 0 THEN '【】' ELSE CAST(c_custkey % 40 + 1 AS {t}) END, ' 元 ', repeat('填', 90), CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ' 发行后总股本 90,000 万股' END)"""
 
-@query("SELECT * FROM (VALUES (1, 25000000.0::DOUBLE, 75000000.0::DOUBLE), (2, NULL, NULL)) AS v(id, issued, before)")
-def share_structure(spark, sf_dir):
-    """Shares of a prospectus."""
-    from pyspark.sql import types as T
 
-    part = lambda k: notes.by_page(lambda t: notes.share_structure(t)[k], T.DoubleType())
-    return PROFILE.frame(spark).select("id", part("issued")("t").alias("issued"), part("before")("t").alias("before"))
+@query(
+    """SELECT c_custkey, issued, CASE WHEN c_custkey % 7 <> 0 THEN 900000000.0 - issued END AS before, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 40 + 1 AS DOUBLE) END AS price
+FROM (SELECT c_custkey, (c_custkey * 1000 + 500) * CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE 10000.0 END AS issued FROM customer)"""
+)
+def share_structure(spark, sf_dir):
+    """Shares of a prospectus (F22, F23): profile pages made from customers."""
+    pages = read(spark, sf_dir, "customer").select("c_custkey", notes.share_structure(F.expr(_PROFILE.format(t="STRING"))).alias("s"))
+    return pages.select("c_custkey", "s.issued", "s.before", "s.price")
 
 
 @query("SELECT * FROM (VALUES (1, '货币资金', '5', '1,000.00', '900.00'), (1, '存货', '', '20', '10')) AS v(id, label, note, \"current\", prior)")

@@ -62,7 +62,16 @@ def postings(spark, sf_dir):
     return retrieval.token_frequencies(turns, "doc_id")
 
 
-@query()
+_EDGES = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '{_EDGES}', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+s AS (SELECT doc_id, ps, list_transform(range(0, len(ps) + 1), lambda i: coalesce(list_sum(list_transform(ps[1 : i], lambda x: length(x))), 0)) AS upto FROM p WHERE len(ps) > 0),
+c AS (SELECT doc_id, 1 AS chunk_no, 0 AS f, least(len(list_filter(upto, lambda x: x < 420)), len(ps)) AS e FROM s
+UNION ALL SELECT s.doc_id, chunk_no + 1, nf, least(len(list_filter(upto, lambda x: x < upto[nf + 1] + 420)), len(ps)) FROM (SELECT doc_id, chunk_no, CASE WHEN e - 1 > f THEN e - 1 ELSE e END AS nf FROM c) n JOIN s ON s.doc_id = n.doc_id WHERE nf < len(ps))
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(f + 1 AS INTEGER) AS para_start, CAST(e AS INTEGER) AS para_end, CAST(upto[e + 1] - upto[f + 1] + e - f - 1 AS INTEGER) AS n_chars FROM c JOIN s USING (doc_id)"""
+)
 def chunk_documents(spark, sf_dir):
     """Paragraph chunks of about 420 characters with one paragraph of overlap."""
     return retrieval.chunk_documents(read(spark, sf_dir, "documents"), "doc_id", split=r"\n").select("doc_id", "chunk_no", "para_start", "para_end", F.length("text").alias("n_chars"))
@@ -77,21 +86,6 @@ def keyword_search(spark, sf_dir):
     return retrieval.keyword_hits(read(spark, sf_dir, "documents"), "doc_id", "worthless").withColumn("snippet", F.trim("snippet"))
 
 
-@query(
-    r"""WITH v AS (SELECT item_id, lower(regexp_replace(text, '[\s　，。、；：？！“”‘’（）《》【】,.;:?!"''()\[\]{}<>\-—_/\\|*#]+', '', 'g')) AS t FROM benchmark),
-c AS (SELECT doc_id, lower(regexp_replace(text, '[\s　，。、；：？！“”‘’（）《》【】,.;:?!"''()\[\]{}<>\-—_/\\|*#]+', '', 'g')) AS t FROM documents),
-vg AS (SELECT item_id, i, substr(t, i + 1, 24) AS g FROM (SELECT item_id, t, unnest(range(0, length(t) - 23)) AS i FROM v WHERE length(t) >= 24)),
-cg AS (SELECT doc_id, j, substr(t, j + 1, 24) AS g FROM (SELECT doc_id, t, unnest(range(0, length(t) - 23)) AS j FROM c WHERE length(t) >= 24)),
-m AS (SELECT item_id, doc_id, i, j - i AS dg, i - row_number() OVER (PARTITION BY item_id, doc_id, j - i ORDER BY i) AS run FROM vg JOIN cg USING (g)),
-r AS (SELECT item_id, doc_id, min(i) AS "at", count(*) + 23 AS "length" FROM m GROUP BY item_id, doc_id, dg, run)
-SELECT item_id, doc_id, CAST("at" AS BIGINT) AS "at", CAST("length" AS BIGINT) AS "length" FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY "length" DESC, "at") AS k FROM r) WHERE k = 1"""
-)
-def overlap_scan(spark, sf_dir):
-    """Longest runs that benchmark items share with documents, of 24 or more characters; overlap_scan_min8 has all."""
-    found = overlap.longest_overlaps(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", value="text", size=24)
-    return found.select("item_id", "doc_id", F.col("at").cast("long").alias("at"), F.col("length").cast("long").alias("length"))
-
-
 @query(
     r"""WITH v AS (SELECT item_id, lower(regexp_replace(text, '[\s　，。、；：？！“”‘’（）《》【】,.;:?!"''()\[\]{}<>\-—_/\\|*#]+', '', 'g')) AS t FROM benchmark),
 c AS (SELECT doc_id, lower(regexp_replace(text, '[\s　，。、；：？！“”‘’（）《》【】,.;:?!"''()\[\]{}<>\-—_/\\|*#]+', '', 'g')) AS t FROM documents),
@@ -101,7 +95,7 @@ m AS (SELECT item_id, doc_id, i, j - i AS dg, i - row_number() OVER (PARTITION B
 r AS (SELECT item_id, doc_id, min(i) AS "at", count(*) + 7 AS "length" FROM m GROUP BY item_id, doc_id, dg, run)
 SELECT item_id, doc_id, CAST("at" AS BIGINT) AS "at", CAST("length" AS BIGINT) AS "length" FROM (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY "length" DESC, "at") AS k FROM r) WHERE k = 1"""
 )
-def overlap_scan_min8(spark, sf_dir):
+def overlap_scan(spark, sf_dir):
     """Longest runs of 8 or more characters, the least that counts, that benchmark items share with documents."""
     found = overlap.longest_overlaps(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), "item_id", "doc_id", value="text")
     return found.select("item_id", "doc_id", F.col("at").cast("long").alias("at"), F.col("length").cast("long").alias("length"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _HIDDEN = {"script", "style", "head"}
@@ -75,17 +75,18 @@ def table_cells(html: str | None) -> list[tuple[int, int, int, str, str | None]]
     return parser.cells
 
 
-def stitched(cells: list[str]) -> list[str]:
-    """Numbers that markup cut apart: "$" and "1", or "(3,552" and ")", become one cell (F16)."""
-    out: list[str] = []
-    for c in (x for x in cells if x):
-        if out and c == ")" and out[-1].count("(") > out[-1].count(")"):
-            out[-1] += ")"
-        elif out and out[-1] in ("$", "¥", "€", "£", "HK$", "US$") and re.match(r"^[(\d—–-]", c):
-            out[-1] = out[-1] + " " + c
-        else:
-            out.append(c)
-    return out
+def stitched(cells: Column) -> Column:
+    """Numbers that markup cut apart become one cell: "$" and "1", or "(3,552" and ")" (F16).
+
+    Signs in front go with the next cell that has text, closing brackets with the last one before; what
+    they leave is blank, so every cell keeps its column. Cells hold no unit separators.
+    """
+    row = F.array_join(F.transform(cells, lambda c: F.translate(F.coalesce(c, F.lit("")), "\x1f", " ")), "\x1f")
+    for _ in range(3):  # "HK$", "(" and the number
+        row = F.regexp_replace(row, r"(^|\x1f)((?:HK|US)?[$¥€£(（]+)(\x1f+)([^\x1f]+)", "$1$2$4$3")
+    for _ in range(2):
+        row = F.regexp_replace(row, r"([^\x1f])(\x1f+)([)）]+)(?=\x1f|$)", "$1$3$2")
+    return F.when(F.size(cells) > 0, F.split(row, "\x1f", -1)).otherwise(cells)
 
 
 def extract_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
@@ -104,8 +105,7 @@ def extract_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 def statement_rows(cells: DataFrame, key: str) -> DataFrame:
     """key, table_no, row_no, label, tag, cells: the first cell labels a row, split numbers are stitched."""
-    join = F.pandas_udf(lambda s: s.map(lambda x: stitched(list(x))), "array<string>")
     got = cells.groupBy(key, "table_no", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "text", "tag"))).alias("_c"))
     texts = F.transform("_c", lambda x: x["text"])
     tag = F.get(F.filter(F.transform("_c", lambda x: x["tag"]), lambda x: x.isNotNull()), F.lit(0))
-    return got.select(key, "table_no", "row_no", F.get(texts, F.lit(0)).alias("label"), tag.alias("tag"), join(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0)))).alias("cells"))
+    return got.select(key, "table_no", "row_no", F.get(texts, F.lit(0)).alias("label"), tag.alias("tag"), stitched(F.slice(texts, 2, F.greatest(F.size(texts) - 1, F.lit(0)))).alias("cells"))

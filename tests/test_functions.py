@@ -53,7 +53,12 @@ def test_dates_and_lists(spark):
     assert one(spark, identifiers.days_between(F.col("c0"), F.col("c1")), "2020-01-01", "2020-12-31") == 365
     assert one(spark, identifiers.days_between(F.col("c0"), F.col("c1")), "2020-01-01", "soon") is None
     assert one(spark, identifiers.ticker_list(F.col("c0")), "aapl, msft；700、") == ["AAPL", "MSFT", "700"]
-    assert one(spark, identifiers.filer_key(F.col("c0")), "CIK320193") == "0000320193"
+    for raw, want in (("CIK320193", "0000320193"), ("000000320193", "0000320193"), ("12345678901", "12345678901"), ("0", "0000000000"), ("x1", None), (None, None)):
+        assert one(spark, identifiers.filer_key(F.col("c0")), raw) == want
+    for raw, want in (("700", "00700"), ("0700.HK", "00700"), ("000700", "000700"), ("600519", "600519"), ("abc", None), (None, None)):
+        assert one(spark, identifiers.hk_code(F.col("c0")), raw) == want
+    for raw, want in (("600519", "600519.SH"), ("1", "000001.SZ"), ("6001234", None), ("500123", None), ("92000", "092000.SZ"), ("830001", "830001.BJ")):
+        assert one(spark, identifiers.cn_security(F.col("c0")), raw) == want
     assert str(one(spark, identifiers.strict_report_date(F.col("c0")), "20231231")) == "2023-12-31"
     with pytest.raises(Exception, match="not a report date"):
         one(spark, identifiers.strict_report_date(F.col("c0")), "2023-12-30")

@@ -1,17 +1,36 @@
 from __future__ import annotations
 
+import random
+import re
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import asof, audit, checks, facts, layout, overlap, peers, retrieval, statements, valuation
 
 
-def test_chunks_overlap_by_one_paragraph():
-    text = "\n\n".join(f"p{i} " + "x" * 200 for i in range(5))
-    got = retrieval.chunk_paragraphs(text, 420)
-    assert [(a, b) for _, a, b, _ in got] == [(1, 3), (3, 5), (5, 5)]
-    assert retrieval.chunk_paragraphs("") == [] and retrieval.chunk_paragraphs(None) == []
-    assert [(a, b) for _, a, b, _ in retrieval.chunk_paragraphs("a" * 900 + "\n\nb")] == [(1, 1), (2, 2)]
+def plain_chunks(paras, target, overlap):
+    """What the rule says, from the end of each chunk to the next."""
+    ends = {}
+    for f in range(len(paras)):
+        ends[f] = next((e for e in range(f + 1, len(paras) + 1) if sum(map(len, paras[f:e])) >= target), len(paras))
+    out, f = [], 0
+    while f < len(paras):
+        out.append((f + 1, ends[f], "\n".join(paras[f : ends[f]])))
+        f = max(ends[f] - overlap, f) if ends[f] - overlap > f else ends[f]
+    return out
+
+
+def test_chunks_by_brute_force(spark):
+    rng = random.Random(4)
+    texts = ["", None, " \n\n ", "a" * 900 + "\n\nb", "x\u3000\n \n\u00a0y", *("\n\n".join("p" * rng.choice([3, 60, 200, 419, 420, 900]) for _ in range(rng.randint(1, 25))) for _ in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for overlap in (0, 1, 3):
+        got = {}
+        for r in retrieval.chunk_documents(docs, "k", overlap=overlap).orderBy("k", "chunk_no").collect():
+            got.setdefault(r.k, []).append((r.para_start, r.para_end, r.text))
+        for k, t in enumerate(texts):
+            paras = [p for p in (x.strip() for x in re.split(r"\n\s*\n", t or "")) if p]
+            assert got.get(k, []) == plain_chunks(paras, 420, overlap), (k, overlap)
 
 
 def test_query_expansion_takes_longest_forms():
@@ -54,7 +73,7 @@ def test_registered_overlaps_start_at_eight_characters(spark, tmp_path, monkeypa
             want |= {(i, d, -max(runs)[1], max(runs)[0])} if runs else set()
     for bound in (overlap.MAX_BROADCAST_CHARS, 0):
         monkeypatch.setattr(overlap, "MAX_BROADCAST_CHARS", bound)
-        assert {tuple(r) for r in registry.QUERIES["overlap_scan_min8"](spark, str(tmp_path)).collect()} == want
+        assert {tuple(r) for r in registry.QUERIES["overlap_scan"](spark, str(tmp_path)).collect()} == want
     assert {n for _, _, _, n in want} == {9, 14}
 
 

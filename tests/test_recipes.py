@@ -49,18 +49,21 @@ RECON = "现金流量表补充资料 净利润 100.00 固定资产折旧 30 无
 
 
 def test_amounts_in_text(spark):
-    assert notes.amount_after("折旧 (1,234.5) x", "折旧") == (-1234.5, 3)
-    assert notes.amount_after("摊销 —5", "摊销")[0] == -5 and notes.amount_after("x", "摊销") is None and notes.amount_after(None, "a") is None
-    assert notes.depreciation(RECON) == {"固定资产折旧": 30.0, "无形资产摊销": 5.0}
-    assert notes.reconcile(RECON) == {"net_income": 100.0, "cfo": 125.0, "items": 3, "diff": 0.0, "ok": True}
-    assert notes.reconcile("nothing") is None
+    def after(text, label):
+        r = spark.createDataFrame([(text,)], "t string").select(notes.amount_after(F.col("t"), F.lit(label)).alias("a")).first().a
+        return r and tuple(r)
+
+    assert after("折旧 (1,234.5) x", "折旧") == (-1234.5, 3) and after("摊销 —5", "摊销") == (-5.0, 3) and after("折旧" + " " * 48 + "7", "折旧") is None
+    assert after("x", "摊销") is None and after(None, "a") is None and after("摊销 无", "摊销") is None
+    page = spark.createDataFrame([(RECON,), ("nothing",), (None,), ("固定资产折旧、投资性房地产折旧 22.6",)], "t string")
+    got = page.select(notes.depreciation(F.col("t")).alias("d"), notes.reconcile(F.col("t")).alias("r")).collect()
+    assert got[0].d == {"固定资产折旧": 30.0, "无形资产摊销": 5.0} and got[0].r.asDict() == {"net_income": 100.0, "cfo": 125.0, "items": 3, "diff": 0.0, "ok": True}
+    assert got[1].r is None and got[2].r is None and got[3].d == {"固定资产折旧": 22.6}  # two labels, one figure
     profile = "发行概况 发行股数 的比例 本次发行股数 不超过 2,500 万股 每股面值 1.00 元 每股发行价格 【】元 " + "填" * 90 + " 发行后总股本 10,000万股"
-    s = notes.share_structure(profile)
+    s = spark.createDataFrame([(profile,)], "t string").select(notes.share_structure(F.col("t")).alias("s")).first().s
     assert (s["issued"], s["after"], s["before"], s["par"], s["price"], s["inferred"]) == (25e6, 1e8, 75e6, 1.0, None, "before")
     pages = spark.createDataFrame([(1, 1, RECON), (1, 2, "净利润 调节 续"), (1, 3, "其他"), (1, 4, "调节"), (2, 1, None)], "doc int, page int, text string")
     assert [r.page for r in notes.reconciliation_pages(pages, "doc", "page").orderBy("page").collect()] == [1, 2]
-    f = notes.by_page(notes.depreciation, notes.DEPRECIATION)
-    assert pages.select(f("text").alias("d")).first().d["固定资产折旧"] == 30.0
     assert notes.profile_pages(spark.createDataFrame([(profile,), ("x",)], "text string")).count() == 1
     toc = spark.createDataFrame([("d", "balance", 10), ("d", "income", 14)], "doc string, kind string, page int")
     assert [(r.first, r.last) for r in notes.statement_ranges(toc, "doc").orderBy("first").collect()] == [(10, 13), (14, None)]

@@ -50,7 +50,7 @@ def test_html_tables_keep_spans(spark):
     got = {(r.row_no, r.col_no): (r.text, r.tag) for r in cells.collect()}
     assert got[(1, 0)] == ("Cash", None) and got[(2, 1)] == ("x", None) and got[(2, 3)] == ("7", "us-gaap_Assets")
     row = html.statement_rows(cells, "id").where("row_no = 1").first()
-    assert (row.label, list(row.cells)) == ("Cash", ["$ (3,552)"])
+    assert (row.label, list(row.cells)) == ("Cash", ["$(3,552)", "", ""])
 
 
 def test_peer_sources(spark):
@@ -85,3 +85,15 @@ def test_index_and_cache(spark, tmp_path):
     files.write_index(n, str(tmp_path / "i"))
     assert spark.read.parquet(str(tmp_path / "i")).where(F.col("source") == "s").count() == 3
     assert files.missing_pages(c, c.limit(0), ["path"]).count() == 3
+
+
+def test_cut_numbers_keep_their_columns(spark):
+    cases = [
+        (["Loss", "(3,552", ")", "", "(1,044", ")"], ["Loss", "(3,552)", "", "", "(1,044)", ""]),
+        (["$", "301,320", "$", "", "(5", ")"], ["$301,320", "", "$(5)", "", "", ""]),
+        (["HK$", "(", "7", ")"], ["HK$(7)", "", "", ""]), ([")", "1"], [")", "1"]), (["$"], ["$"]), (["", ""], ["", ""]), ([], []), ([None, "2", ")"], ["", "2)", ""]),
+    ]
+    df = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(cases)], "k int, a array<string>")
+    got = {r.k: r.s for r in df.select("k", html.stitched(F.col("a")).alias("s")).collect()}
+    for k, (_, want) in enumerate(cases):
+        assert got[k] == want, k
