@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, numbers, text
-from ..operators import asof, audit, checks, facts, layout, peers, statements
+from ..operators import asof, checks, facts, layout
 from ..operators import valuation as v
 from .fixture import Fixture
 from .table_queries import query, read
@@ -281,25 +281,6 @@ def number_parse(spark, sf_dir):
     return NUMBERS.frame(spark).select("id", numbers.lenient_number(F.col("cell")).alias("value"))
 
 
-AMOUNTS = Fixture("id int, cell string, value double, status string", [(1, "1,234.50", 1234.5, "ok"), (2, "334.719.50", 334719.5, "repaired"), (3, "45.508.51239", None, "suspect"), (4, "—", None, "dash"), (5, "", None, "empty"), (6, "1,234 5,678", None, "suspect"), (7, "(2,000)", -2000.0, "ok"), (8, "1, 234.50", 1234.5, "repaired")])
-
-
-@query(f"SELECT id, value, status FROM {AMOUNTS.sql()}")
-def amount_parse(spark, sf_dir):
-    """OCR amounts with status and systematic repair (M2, M3)."""
-    a = numbers.amount(F.col("cell"))
-    return AMOUNTS.frame(spark).select("id", a["value"].alias("value"), a["status"].alias("status"))
-
-
-PERCENTS = Fixture("id int, cell string, value double, shares double", [(1, "8.5%", 0.085, 8.5), (2, "1,200", 1200.0, 1200.0), (3, "x", None, None), (4, "3.5万", None, 35000.0), (5, "2亿", None, 2e8)])
-
-
-@query(f"SELECT id, round(value, 9) AS value, shares FROM {PERCENTS.sql()}")
-def percent_and_shares(spark, sf_dir):
-    """Percent-aware numbers and share counts (M5, M7)."""
-    return PERCENTS.frame(spark).select("id", F.round(numbers.percent_number(F.col("cell")), 9).alias("value"), numbers.shares_number(F.col("cell")).alias("shares"))
-
-
 _RAW_CODES = """CASE o_orderkey % 7 WHEN 0 THEN CAST(o_orderkey * 37 % 1000000 AS {t}) WHEN 1 THEN lpad(CAST(o_orderkey * 41 % 1000000 AS {t}), 6, '0') WHEN 2 THEN concat(CAST(o_orderkey % 10000 AS {t}), '.hk')
 WHEN 3 THEN concat('92', lpad(CAST(o_orderkey % 10000 AS {t}), 4, '0')) WHEN 4 THEN concat('000000', CAST(320193 + o_orderkey AS {t})) WHEN 5 THEN concat('CIK', CAST(o_orderkey AS {t})) ELSE concat(' T', chr(CAST(65 + o_orderkey % 26 AS INTEGER)), ' ') END"""
 _FIVE, _TEN, _SIX = (f"CASE WHEN length({c}) < {n} THEN lpad({c}, {n}, '0') ELSE {c} END" for c, n in (("d", 5), ("k", 10), ("trim(code)", 6)))
@@ -319,71 +300,6 @@ def security_codes(spark, sf_dir):
     return codes.select("o_orderkey", identifiers.cn_security(c).alias("cn"), identifiers.hk_code(c).alias("hk"), identifiers.filer_key(c).alias("filer"), identifiers.market_of(c).alias("market"))
 
 
-HEADERS = Fixture("id int, cell string, period date", [(1, "2023年12月31日", "2023-12-31"), (2, "2022-06-30", "2022-06-30"), (3, "二〇二一年", "2021-12-31"), (4, "2020年6月", "2020-06-30"), (5, "Note", None), (6, "Year 2019", "2019-12-31")])
-
-
-@query(f"SELECT id, period FROM {HEADERS.sql()}")
-def period_keys(spark, sf_dir):
-    """Periods that headers name."""
-    return HEADERS.frame(spark).select("id", identifiers.period_key(F.col("cell")).alias("period"))
-
-
-LABELS = Fixture(
-    "id int, label string, tag string, field string, via string",
-    [
-        (1, "一、营业收入", None, "revenue", "name"), (2, "Net sales", None, "revenue", "name"), (3, "Anything", "us-gaap:Assets", "total_assets", "tag"), (4, "经营活动产生的现金流量净额（合计）", None, "cfo", "name"),
-        (5, "归属于母公司股东的净利润", None, "net_income_parent", "prefix"), (6, "Unknown line", None, None, None), (7, "存货 Inventories", None, "inventory", "name"), (8, "Net cash from operating activities", None, "cfo", "contains"),
-        (9, "其中：利息费用", None, "interest_expense", "name"), (10, "Allowance for doubtful accounts", None, None, None),
-    ],
-)
-
-
-@query(f"SELECT id, field, via FROM {LABELS.sql()}")
-def label_map(spark, sf_dir):
-    """Labels to accounting fields in stages."""
-    return statements.identify(LABELS.frame(spark).select("id", "label", "tag"), "label", "tag").select("id", "field", "via")
-
-
-TEXTS = Fixture("id int, t string, lang string, kind string, gaap string", [(1, "营业收入增长率", "zh", "growth", None), (2, "Terminal growth under IFRS", "en", "terminal_growth", "IFRS"), (3, "折现率 按企业会计准则", "zh", "wacc", "CAS"), (4, "gross margin", "en", "margin", None), (5, "plain", "en", None, None)])
-
-
-@query(f"SELECT id, lang, kind, gaap FROM {TEXTS.sql()}")
-def text_detectors(spark, sf_dir):
-    """Language, kind of assumption and accounting standard of a text."""
-    t = F.col("t")
-    return TEXTS.frame(spark).select("id", text.language(t).alias("lang"), text.ordered_case(t, text.ASSUMPTION_KINDS).alias("kind"), text.gaap(t).alias("gaap"))
-
-
-CHUNKS = Fixture("id int, source string, t string, para int, label string", [(1, "a.pdf", "【第 3 页】x【第 5–6 页】", 2, "a.pdf 第 3–6 页"), (2, "b.txt", "no marks", 4, "b.txt 第 4 段"), (3, "c.pdf", "【第 7 页】", 1, "c.pdf 第 7 页")])
-
-
-@query(f"SELECT id, label FROM {CHUNKS.sql()}")
-def cite_labels(spark, sf_dir):
-    """Citations by page or paragraph."""
-    return CHUNKS.frame(spark).select("id", text.cite_label(F.col("source"), F.col("t"), F.col("para")).alias("label"))
-
-
-PAGES = Fixture("doc string, page int, field string, value double, seq int", [("d", 1, "assets", 100.0, 0), ("d", 2, "assets", 5000.0, 1), ("d", 1, "cash", 7.0, 2), ("d", 2, "cash", 70.0, 3), ("e", 1, "cash", 1.0, 4), ("e", 2, "cash", 2.0, 5), ("e", 2, "debt", 3.0, 6)])
-RESOLVED = Fixture("doc string, field string, chosen double, basis string, rejected string", [("d", "assets", 5000.0, "page of largest scale", "100.0"), ("d", "cash", 70.0, "page of largest scale", "7.0"), ("e", "cash", 1.0, "first seen", "2.0"), ("e", "debt", 3.0, "only value", "")])
-
-
-@query(f"SELECT * FROM {RESOLVED.sql()}")
-def page_conflicts(spark, sf_dir):
-    """Conflicting values of a document's pages."""
-    r = statements.resolve_conflicts(PAGES.frame(spark), "doc", "field", "page", "value", "seq", ["assets", "liabilities", "equity"])
-    return r.withColumn("rejected", F.array_join(F.transform("rejected", lambda x: x.cast("string")), ","))
-
-
-REQUESTS = Fixture("id int, host string, purpose string, decision string", [(1, "data.sec.gov", "facts", "ALLOW"), (2, "localhost:11434", "model", "ALLOW"), (3, "qt.gtimg.cn", "price", "ALLOW-CONSENT"), (4, "qt.gtimg.cn", "other", "CONSENT-REQUIRED"), (5, "example.com", "x", "BLOCK")])
-CONSENTS = Fixture("host string, purpose string", [("qt.gtimg.cn", "price")])
-
-
-@query(f"SELECT id, decision FROM {REQUESTS.sql()}")
-def egress_decisions(spark, sf_dir):
-    """Who may be asked for what."""
-    return audit.decide(REQUESTS.frame(spark).drop("decision"), CONSENTS.frame(spark)).select("id", "decision")
-
-
 GRID = Fixture("sheet string, c int, value string", [("a", 0, "项目"), ("a", 1, "2022年12月31日"), ("a", 2, "2023年12月31日"), ("b", 0, "Item"), ("b", 1, "期末余额"), ("b", 2, "期初余额")])
 
 
@@ -402,25 +318,6 @@ def page_lines(spark, sf_dir):
     return layout.line_texts(WORDS.frame(spark), ["page"]).select("page", "line", "text")
 
 
-SELECTIONS = Fixture("id int, n_peers int, as_of date, metric string, market string, currency string", [(1, 5, "2024-01-01", "pe", "us", "USD"), (2, 2, None, "pe", "us", "USD")])
-
-
-@query(f"SELECT id, CASE WHEN id = 1 THEN '' ELSE 'fewer than 3 peers,no date' END AS problems FROM {SELECTIONS.sql()}")
-def comparison_readiness(spark, sf_dir):
-    """What a comparison lacks."""
-    return peers.readiness(SELECTIONS.frame(spark)).select("id", F.array_join("problems", ",").alias("problems"))
-
-
-OBSERVED = Fixture("id int, tax double, pretax double, interest double, short_debt double, long_debt double", [(1, 25.0, 100.0, 5.0, 40.0, 60.0), (2, 80.0, 100.0, 5.0, None, None), (3, 1.0, -5.0, 90.0, 100.0, None)])
-
-
-@query(f"SELECT id, CAST(CASE WHEN id = 1 THEN 0.25 END AS DOUBLE) AS tax_rate, CAST(CASE WHEN id = 1 THEN 0.05 END AS DOUBLE) AS debt_cost FROM {OBSERVED.sql()}")
-def implied_rates(spark, sf_dir):
-    """Tax rate and cost of debt, withheld outside their bounds."""
-    c = F.col
-    return OBSERVED.frame(spark).select("id", v.effective_tax(c("tax"), c("pretax")).alias("tax_rate"), v.implied_debt_cost(c("interest"), c("short_debt"), c("long_debt")).alias("debt_cost"))
-
-
 SPLIT = Fixture("page int, y double, label string, amount string", [(1, 10.0, "cash", None), (1, 11.0, None, "5"), (1, 20.0, "debt", None), (1, 30.0, "tax", None), (1, 29.5, None, "7")])
 
 

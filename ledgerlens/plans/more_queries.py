@@ -47,15 +47,6 @@ def history_doubts(spark, sf_dir):
     return derived.history_notes(YEARS.frame(spark)).select("id", F.array_join("notes", "; ").alias("notes"))
 
 
-PARTS = Fixture("id int, stmt string, field string, value double", [(1, "income", "operating_income", 5.0), (1, "cash_flow", "capex", None), (2, "income", "revenue", 5.0)])
-
-
-@query("SELECT * FROM (VALUES (1, 'capex_share', 'no value'), (2, 'capex_share', 'no table'), (2, 'ebitda_margin', 'no row')) AS v(id, measure, reason)")
-def missing_reasons(spark, sf_dir):
-    """Why a measure has no value."""
-    return derived.history_reasons(PARTS.frame(spark), "id", {"ebitda_margin": ["income", "operating_income"], "capex_share": ["cash_flow", "capex"]})
-
-
 CANDIDATES = Fixture("path string, kind string, mapped int, rate double, statements int", [("a", "pdf", 12, 0.5, 3), ("b", "pdf", 12, 0.7, 2), ("c", "pdf", 40, 0.9, 1), ("d", "excel", 8, 0.2, 2), ("e", "html", 7, 0.9, 3)])
 
 
@@ -139,15 +130,6 @@ def text_flow_rows(spark, sf_dir):
     return text.select("id", F.explode(rows("t")).alias("r")).select("id", "r.*")
 
 
-BUSINESS = Fixture("id int, t string", [(1, "SaaS software subscription for 物流"), (2, "a restaurant"), (3, None)])
-
-
-@query("SELECT * FROM (VALUES (1, 'software', 1), (1, 'logistics', 2), (2, 'restaurants', 1)) AS v(id, industry, rank)")
-def industry_proposals(spark, sf_dir):
-    """Industries a description speaks for."""
-    return recipes.propose_industries(BUSINESS.frame(spark), "id", "t").select("id", "industry", "rank")
-
-
 QUESTIONS = Fixture("key string, seq int", [("tax", 1), ("wacc", 2), ("x", 3), ("growth", 4)])
 DONE = Fixture("key string", [("tax",)])
 
@@ -158,15 +140,6 @@ def open_questions(spark, sf_dir):
     return recipes.question_plan(QUESTIONS.frame(spark), DONE.frame(spark), ["growth", "wacc"])
 
 
-SCORED = Fixture("doc string, page int, balance int, income int", [("d", 1, 0, 0), ("d", 2, 200, 0), ("d", 3, 100, 50), ("d", 4, 100, 300), ("d", 5, 0, 100), ("d", 6, 0, 0), ("d", 7, 0, 90)])
-
-
-@query("SELECT * FROM (VALUES ('d', 'balance', 2), ('d', 'balance', 3), ('d', 'income', 4), ('d', 'income', 5)) AS v(doc, kind, page)")
-def statement_pages(spark, sf_dir):
-    """The pages of each statement."""
-    return layout.pick_pages(SCORED.frame(spark), "doc", "page", ["balance", "income"])
-
-
 @query(
     """WITH s AS (SELECT doc_id, lower(text) AS t FROM documents), h AS (SELECT doc_id, CAST(contains(t, 'the ') AS INTEGER) + CAST(contains(t, ' of ') AS INTEGER) AS a, CAST(contains(t, 'license') AS INTEGER) AS b, CAST(contains(t, 'idiot') AS INTEGER) + CAST(contains(t, 'scum') AS INTEGER) AS c FROM s)
 SELECT doc_id, CASE WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT >= 2 THEN 100 * ((a > 0)::INT + (b > 0)::INT + (c > 0)::INT) + a + b + c ELSE 0 END AS score FROM h"""
@@ -188,24 +161,6 @@ def appraisal(spark, sf_dir):
 _FACTS = json.dumps({"cik": 320193, "entityName": "x", "facts": {"us-gaap": {"Revenues": {"units": {"USD": [{"start": "2020-01-01", "end": "2020-12-31", "val": 5, "filed": "2021-02-01"}, {"end": "oops", "val": 1, "filed": "2021-02-01"}]}}}}})
 
 
-@query("SELECT * FROM (VALUES ('0000320193', 'Revenues', 'USD', 0, DATE '2020-12-31', 5.0::DOUBLE), ('0000320193', 'Revenues', 'USD', 1, NULL, 1.0)) AS v(cik, tag, unit, seq, \"end\", val)")
-def company_facts(spark, sf_dir):
-    """Observations of a company's fact file."""
-    return files.flatten_facts(Fixture("value string", [(_FACTS,), ("broken",)]).frame(spark)).select("cik", "tag", "unit", "seq", "end", "val")
-
-
-@query("SELECT * FROM (VALUES ('x', DATE '2024-01-02', 2.5::DOUBLE)) AS v(code, date, close)")
-def price_bars(spark, sf_dir):
-    """Bars from rows of text, broken ones dropped."""
-    return files.parse_bars(Fixture("code string, row string", [("x", "2024-01-02,1,2.5,3,0.5,9"), ("x", "bad"), ("x", "2024-13-02,1,2,3,4,5")]).frame(spark), ["code"])
-
-
-@query("SELECT * FROM (VALUES ('wacc', '8.5%', 'high', 'note 3'), ('g', '2', NULL, NULL)) AS v(key, value, confidence, source)")
-def answer_lines(spark, sf_dir):
-    """Answers with confidence and source."""
-    return files.parse_answers(Fixture("value string", [("# c",), ("wacc = 8.5% @high:note 3",), ("g=2",), ("noise",)]).frame(spark))
-
-
 @query("SELECT * FROM (VALUES (1, 1, 0, 'Cash', NULL), (1, 1, 1, '$', NULL), (1, 1, 2, '(3,552', NULL), (1, 1, 3, ')', NULL), (1, 2, 1, '7', 'us-gaap_Assets')) AS v(table_no, row_no, col_no, \"text\", tag)")
 def html_cells(spark, sf_dir):
     """Cells of HTML tables on their grid."""
@@ -213,12 +168,6 @@ def html_cells(spark, sf_dir):
     return html.extract_tables(Fixture("id int, html string", [(1, page), (2, None)]).frame(spark), "id").drop("id")
 
 
-@query("SELECT * FROM (VALUES (1, 'codes[0]', 'a'), (1, 'codes[1]', 'b'), (1, 'q', 'x')) AS v(id, name, value)")
-def request_parameters(spark, sf_dir):
-    """Outgoing parameters one by one."""
-    return audit.flatten_parameters(spark.sql("SELECT 1 AS id, map('q', 'x', 'codes', '[\"a\",\"b\"]') AS params"), "id")
-
-
 GAPS = Fixture("id int, gap double", [(1, 100.0), (2, 7.0)])
 LINES = Fixture("id int, stmt_order int, row_no int, label string, value double", [(1, 2, 1, "tax", 101.0), (1, 1, 5, "fees", -100.0), (1, 1, 9, "late", 100.0)])
 

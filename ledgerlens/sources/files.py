@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identifiers import filer_key
+
 #: Kinds of material by suffix; for statements the earlier kind goes first.
 KINDS = {"pdf": ["pdf"], "excel": ["xlsx", "xls"], "html": ["htm", "html"], "text": ["txt", "md"]}
 
@@ -85,7 +87,7 @@ def flatten_facts(documents: DataFrame, json: str = "value") -> DataFrame:
     seq is an observation's place in its file, for rules by which the first one read wins.
     """
     d = documents.select(F.from_json(F.col(json), FACTS).alias("d"))
-    by_taxonomy = d.select(F.lpad(F.col("d.cik").cast("string"), 10, "0").alias("cik"), F.explode("d.facts").alias("taxonomy", "tags"))
+    by_taxonomy = d.select(filer_key(F.col("d.cik")).alias("cik"), F.explode("d.facts").alias("taxonomy", "tags"))
     by_tag = by_taxonomy.select("cik", "taxonomy", F.explode("tags").alias("tag", "t"))
     by_unit = by_tag.select("cik", "taxonomy", "tag", F.explode("t.units").alias("unit", "rows"))
     rows = by_unit.select("cik", "taxonomy", "tag", "unit", F.posexplode("rows").alias("seq", "r")).select("cik", "taxonomy", "tag", "unit", "seq", "r.*")

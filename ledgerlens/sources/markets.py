@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.identifiers import filer_key
+
 #: Concept, table and candidate columns in order, as the public report interface names them.
 CN_CONCEPTS = [
     ("revenue", "income", ["TOTAL_OPERATE_INCOME", "OPERATE_INCOME"]),
@@ -98,7 +100,7 @@ def frames(raw: DataFrame, value: str = "value") -> DataFrame:
     """One tag and period over all filers: tag, cik, end, val, accn."""
     d = F.from_json(F.col(value), "struct<tag:string, data:array<struct<cik:long, end:string, val:double, accn:string>>>")
     rows = raw.select(d["tag"].alias("tag"), F.explode(d["data"]).alias("r"))
-    return rows.select("tag", F.lpad(F.col("r.cik").cast("string"), 10, "0").alias("cik"), F.try_to_date("r.end", "yyyy-MM-dd").alias("end"), "r.val", "r.accn")
+    return rows.select("tag", filer_key(F.col("r.cik")).alias("cik"), F.try_to_date("r.end", "yyyy-MM-dd").alias("end"), "r.val", "r.accn")
 
 
 def fresh(files: DataFrame, now: Column, hours: int = 24) -> DataFrame:
