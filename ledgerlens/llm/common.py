@@ -17,7 +17,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 DEFAULT_SHARED_DIR = "/tmp/checkpoints/ledgerlens"
 
 #: Bytes of one Arrow batch between JVM and Python worker, about.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+#: Python workers live on between stages; with these they give freed arrays and batches back to the system instead of keeping them.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "262144", "MALLOC_TRIM_THRESHOLD_": "262144", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,10 +109,13 @@ def empty_like(df: DataFrame) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of at most BATCH_BYTES, unless the session has its own bound: Spark counts rows by
     default, and thousands of long texts in one batch are held several times over by JVM and worker.
+    Workers started from now on get WORKER_MEMORY, unless the session has its own values.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(BATCH_BYTES))
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[..., tuple]], inputs: list[str]) -> DataFrame:
