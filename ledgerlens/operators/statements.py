@@ -47,6 +47,84 @@ ACCOUNTS = [
     Account("cfi", "cash_flow", ("投资活动产生的现金流量净额", "net cash used in investing activities"), ("NetCashProvidedByUsedInInvestingActivities",)),
     Account("cff", "cash_flow", ("筹资活动产生的现金流量净额", "net cash provided by financing activities"), ("NetCashProvidedByUsedInFinancingActivities",)),
     Account("capex", "cash_flow", ("购建固定资产、无形资产和其他长期资产支付的现金", "purchases of property and equipment", "capital expenditures"), ("PaymentsToAcquirePropertyPlantAndEquipment",)),
+    # further rows of the balance sheet
+    Account("trading_assets", "balance", ("交易性金融资产", "financial assets at fair value through profit or loss"), ("TradingSecurities",)),
+    Account("notes_receivable", "balance", ("应收票据", "notes receivable", "bills receivable"), ("NotesReceivableNet",)),
+    Account("prepayments", "balance", ("预付款项", "预付账款", "prepayments", "prepaid expenses"), ("PrepaidExpenseCurrent",)),
+    Account("other_receivables", "balance", ("其他应收款", "other receivables"), ("OtherReceivablesNetCurrent",)),
+    Account("contract_assets", "balance", ("合同资产", "contract assets"), ("ContractWithCustomerAssetNetCurrent",)),
+    Account("other_current_assets", "balance", ("其他流动资产", "other current assets"), ("OtherAssetsCurrent",)),
+    Account("long_term_receivables", "balance", ("长期应收款", "long-term receivables"), ()),
+    Account("equity_investments", "balance", ("长期股权投资", "investments in associates", "interests in associates", "equity method investments"), ("EquityMethodInvestments",)),
+    Account("investment_property", "balance", ("投资性房地产", "investment property", "investment properties"), ()),
+    Account("fixed_assets", "balance", ("固定资产", "property, plant and equipment", "property and equipment, net"), ("PropertyPlantAndEquipmentNet",)),
+    Account("construction_in_progress", "balance", ("在建工程", "construction in progress"), ()),
+    Account("right_of_use_assets", "balance", ("使用权资产", "right-of-use assets"), ("OperatingLeaseRightOfUseAsset",)),
+    Account("intangible_assets", "balance", ("无形资产", "intangible assets", "intangible assets, net"), ("IntangibleAssetsNetExcludingGoodwill",)),
+    Account("development_costs", "balance", ("开发支出", "development costs"), ()),
+    Account("goodwill", "balance", ("商誉", "goodwill"), ("Goodwill",)),
+    Account("deferred_charges", "balance", ("长期待摊费用", "long-term deferred expenses"), ()),
+    Account("deferred_tax_assets", "balance", ("递延所得税资产", "deferred tax assets"), ("DeferredIncomeTaxAssetsNet",)),
+    Account("other_noncurrent_assets", "balance", ("其他非流动资产", "other non-current assets", "other assets"), ("OtherAssetsNoncurrent",)),
+    Account("total_noncurrent_assets", "balance", ("非流动资产合计", "total non-current assets"), ("AssetsNoncurrent",)),
+    Account("notes_payable", "balance", ("应付票据", "notes payable", "bills payable"), ("NotesPayableCurrent",)),
+    Account("advances_received", "balance", ("预收款项", "预收账款", "advances from customers", "receipts in advance"), ()),
+    Account("contract_liabilities", "balance", ("合同负债", "contract liabilities"), ("ContractWithCustomerLiabilityCurrent",)),
+    Account("deferred_revenue", "balance", ("递延收入", "递延收益", "deferred revenue", "deferred income"), ("DeferredRevenueCurrent",)),
+    Account("employee_payable", "balance", ("应付职工薪酬", "employee benefits payable", "accrued compensation"), ("EmployeeRelatedLiabilitiesCurrent",)),
+    Account("taxes_payable", "balance", ("应交税费", "taxes payable", "tax payable", "income tax payable"), ("TaxesPayableCurrent",)),
+    Account("other_payables", "balance", ("其他应付款", "other payables", "other payables and accruals"), ()),
+    Account("accrued_liabilities", "balance", ("预提费用", "accrued liabilities", "accrued expenses"), ("AccruedLiabilitiesCurrent",)),
+    Account("current_portion_of_debt", "balance", ("一年内到期的非流动负债", "current portion of long-term debt"), ("LongTermDebtCurrent",)),
+    Account("other_current_liabilities", "balance", ("其他流动负债", "other current liabilities"), ("OtherLiabilitiesCurrent",)),
+    Account("bonds_payable", "balance", ("应付债券", "bonds payable"), ()),
+    Account("lease_liabilities", "balance", ("租赁负债", "lease liabilities"), ("OperatingLeaseLiabilityNoncurrent",)),
+    Account("long_term_payables", "balance", ("长期应付款", "long-term payables"), ()),
+    Account("provisions", "balance", ("预计负债", "provisions"), ()),
+    Account("deferred_tax_liabilities", "balance", ("递延所得税负债", "deferred tax liabilities"), ("DeferredIncomeTaxLiabilitiesNet",)),
+    Account("other_noncurrent_liabilities", "balance", ("其他非流动负债", "other non-current liabilities"), ("OtherLiabilitiesNoncurrent",)),
+    Account("total_noncurrent_liabilities", "balance", ("非流动负债合计", "total non-current liabilities"), ("LiabilitiesNoncurrent",)),
+    Account("share_capital", "balance", ("实收资本", "股本", "share capital", "common stock"), ("CommonStockValue",)),
+    Account("capital_reserve", "balance", ("资本公积", "capital reserve", "additional paid-in capital"), ("AdditionalPaidInCapital",)),
+    Account("surplus_reserve", "balance", ("盈余公积", "surplus reserve", "statutory reserve"), ()),
+    Account("retained_earnings", "balance", ("未分配利润", "retained earnings", "retained profits", "accumulated deficit"), ("RetainedEarningsAccumulatedDeficit",)),
+    Account("equity_parent", "balance", ("归属于母公司所有者权益合计", "归属于母公司股东权益合计", "equity attributable to owners of the company", "total equity attributable to equity shareholders"), ()),
+    Account("liabilities_and_equity", "balance", ("负债和所有者权益总计", "负债和股东权益总计", "total liabilities and equity", "total liabilities and stockholders equity"), ("LiabilitiesAndStockholdersEquity",)),
+    Account("net_assets", "balance", ("资产净额", "资产净值", "净资产", "net assets"), ()),
+    Account("net_current_assets", "balance", ("流动资产净额", "net current assets"), ()),
+    # of the income statement
+    Account("taxes_and_surcharges", "income", ("税金及附加", "营业税金及附加", "taxes and surcharges"), ()),
+    Account("selling_expenses", "income", ("销售费用", "selling expenses", "selling and distribution expenses", "sales and marketing"), ("SellingAndMarketingExpense",)),
+    Account("admin_expenses", "income", ("管理费用", "administrative expenses", "general and administrative"), ("GeneralAndAdministrativeExpense",)),
+    Account("rd_expenses", "income", ("研发费用", "research and development", "research and development expenses"), ("ResearchAndDevelopmentExpense",)),
+    Account("finance_costs", "income", ("财务费用", "融资成本", "finance costs", "finance expenses"), ()),
+    Account("other_income", "income", ("其他收益", "other income", "other income and gains"), ("OtherNonoperatingIncomeExpense",)),
+    Account("investment_income", "income", ("投资收益", "investment income"), ("InvestmentIncomeNet",)),
+    Account("fair_value_gains", "income", ("公允价值变动收益", "fair value gains"), ()),
+    Account("asset_impairment", "income", ("资产减值损失", "impairment losses", "impairment of assets"), ("AssetImpairmentCharges",)),
+    Account("credit_impairment", "income", ("信用减值损失", "expected credit losses", "credit impairment losses"), ()),
+    Account("nonoperating_income", "income", ("营业外收入", "non-operating income"), ("NonoperatingIncomeExpense",)),
+    Account("nonoperating_expenses", "income", ("营业外支出", "non-operating expenses"), ()),
+    Account("total_costs", "income", ("营业总成本", "total operating costs", "total costs and expenses", "costs and expenses"), ("CostsAndExpenses",)),
+    Account("net_income_parent", "income", ("归属于母公司所有者的净利润", "归属于母公司股东的净利润", "profit attributable to owners of the company", "profit attributable to equity shareholders"), ()),
+    Account("minority_income", "income", ("少数股东损益", "profit attributable to non-controlling interests"), ("NetIncomeLossAttributableToNoncontrollingInterest",)),
+    Account("comprehensive_income", "income", ("综合收益总额", "total comprehensive income"), ("ComprehensiveIncomeNetOfTax",)),
+    Account("eps_basic", "income", ("基本每股收益", "basic earnings per share"), ("EarningsPerShareBasic",)),
+    Account("eps_diluted", "income", ("稀释每股收益", "diluted earnings per share"), ("EarningsPerShareDiluted",)),
+    # of the cash flow statement
+    Account("cash_from_customers", "cash_flow", ("销售商品、提供劳务收到的现金", "cash received from customers"), ("ProceedsFromCustomers",)),
+    Account("cash_to_suppliers", "cash_flow", ("购买商品、接受劳务支付的现金", "payments to suppliers", "cash paid to suppliers"), ("PaymentsToSuppliers",)),
+    Account("cash_to_employees", "cash_flow", ("支付给职工以及为职工支付的现金", "payments to employees"), ("PaymentsToEmployees",)),
+    Account("taxes_paid", "cash_flow", ("支付的各项税费", "income tax paid", "income taxes paid"), ("IncomeTaxesPaidNet",)),
+    Account("cash_from_borrowings", "cash_flow", ("取得借款收到的现金", "proceeds from borrowings"), ("ProceedsFromIssuanceOfDebt",)),
+    Account("repayment_of_borrowings", "cash_flow", ("偿还债务支付的现金", "repayment of borrowings", "repayments of debt"), ("RepaymentsOfDebt",)),
+    Account("dividends_paid", "cash_flow", ("分配股利、利润或偿付利息支付的现金", "dividends paid"), ("PaymentsOfDividends",)),
+    Account("share_proceeds", "cash_flow", ("吸收投资收到的现金", "proceeds from issue of shares"), ("ProceedsFromIssuanceOfCommonStock",)),
+    Account("investing_outflow", "cash_flow", ("投资活动现金流出小计",), ()),
+    Account("fx_effect", "cash_flow", ("汇率变动对现金及现金等价物的影响", "effect of foreign exchange rate changes", "effect of exchange rate changes on cash"), ("EffectOfExchangeRateOnCashAndCashEquivalents",)),
+    Account("net_change_in_cash", "cash_flow", ("现金及现金等价物净增加额", "net increase in cash and cash equivalents", "net decrease in cash and cash equivalents"), ("CashAndCashEquivalentsPeriodIncreaseDecrease",)),
+    Account("cash_begin", "cash_flow", ("期初现金及现金等价物余额", "cash and cash equivalents at beginning of year", "cash and cash equivalents at the beginning of the year"), ()),
+    Account("cash_end", "cash_flow", ("期末现金及现金等价物余额", "cash and cash equivalents at end of year", "cash and cash equivalents at the end of the year"), ()),
 ]
 #: What a label must contain, what it must not, and its field; tried in order after exact names.
 CONTAINS = [(("经营活动", "现金流量净额"), (), "cfo"), (("投资活动", "现金流量净额"), (), "cfi"), (("筹资活动", "现金流量净额"), (), "cff"), (("operating activities", "net cash"), ("adjust",), "cfo")]
