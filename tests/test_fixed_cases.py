@@ -17,7 +17,7 @@ LABELS = Fixture(
     "id int, label string, tag string, field string, via string",
     [
         (1, "一、营业收入", None, "revenue", "name"), (2, "Net sales", None, "revenue", "name"), (3, "Anything", "us-gaap:Assets", "total_assets", "tag"), (4, "经营活动产生的现金流量净额（合计）", None, "cfo", "name"),
-        (5, "归属于母公司股东的净利润", None, "net_income_parent", "prefix"), (6, "Unknown line", None, None, None), (7, "存货 Inventories", None, "inventory", "name"), (8, "Net cash from operating activities", None, "cfo", "contains"),
+        (5, "归属于母公司股东的净利润", None, "net_income_parent", "name"), (6, "Unknown line", None, None, None), (7, "存货 Inventories", None, "inventory", "name"), (8, "Net cash from operating activities", None, "cfo", "contains"),
         (9, "其中：利息费用", None, "interest_expense", "name"), (10, "Allowance for doubtful accounts", None, None, None),
     ],
 )
