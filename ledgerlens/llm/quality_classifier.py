@@ -242,16 +242,13 @@ def co_train(views: tuple[Rows, Rows], y: np.ndarray, pool: Pool, rounds: int =
 
 
 def choose_threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """From held-out rows of both classes: rejects the bad ones below the CLEAN_LOSS share of good ones, and as little else as it can.
+    """Where a document is as likely bad as good, as the views are calibrated; lower if that would cost more than CLEAN_LOSS of the held-out good rows.
 
-    Halfway between the last bad row it rejects and the next good one; without either class, or where the
-    good ones reach below all bad ones, nothing is rejected.
+    Without held-out rows of both classes nothing is rejected.
     """
     if not len(good) or not len(bad):
         return 0.0
-    limit = float(np.sort(good)[int(CLEAN_LOSS * len(good))])
-    below = bad[bad < limit]
-    return (float(below.max()) + limit) / 2 if len(below) else 0.0
+    return min(0.5, float(np.sort(good)[int(CLEAN_LOSS * len(good))]))
 
 
 def combined(text_logit, meta_logit, prior: float):
