@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import identifiers, numbers, text
-from ..operators import asof, checks, facts, layout
+from ..functions import identifiers, numbers
+from ..operators import asof, checks, facts
 from ..operators import valuation as v
 from .fixture import Fixture
 from .table_queries import query, read
@@ -300,33 +300,6 @@ def security_codes(spark, sf_dir):
     return codes.select("o_orderkey", identifiers.cn_security(c).alias("cn"), identifiers.hk_code(c).alias("hk"), identifiers.filer_key(c).alias("filer"), identifiers.market_of(c).alias("market"))
 
 
-GRID = Fixture("sheet string, c int, value string", [("a", 0, "项目"), ("a", 1, "2022年12月31日"), ("a", 2, "2023年12月31日"), ("b", 0, "Item"), ("b", 1, "期末余额"), ("b", 2, "期初余额")])
-
-
-@query("SELECT * FROM (VALUES ('a', 2, 1), ('b', 1, 2)) AS v(sheet, \"current\", prior)")
-def grid_roles(spark, sf_dir):
-    """Which column holds which period."""
-    return layout.column_roles(GRID.frame(spark), ["sheet"])
-
-
-WORDS = Fixture("page int, seq int, text string, x0 double, top double, bottom double", [(1, 0, "Cash", 10.0, 10.0, 20.0), (1, 1, "100", 90.0, 11.0, 21.0), (1, 2, "Debt", 10.0, 30.0, 40.0), (1, 3, "7", 90.0, 30.0, 40.0), (1, 4, "and", 40.0, 31.0, 41.0)])
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'Cash 100'), (1, 1, 'Debt and 7')) AS v(page, line, \"text\")")
-def page_lines(spark, sf_dir):
-    """Words to visual lines."""
-    return layout.line_texts(WORDS.frame(spark), ["page"]).select("page", "line", "text")
-
-
-SPLIT = Fixture("page int, y double, label string, amount string", [(1, 10.0, "cash", None), (1, 11.0, None, "5"), (1, 20.0, "debt", None), (1, 30.0, "tax", None), (1, 29.5, None, "7")])
-
-
-@query("SELECT * FROM (VALUES (1, 'cash', '5'), (1, 'debt', NULL), (1, 'tax', '7')) AS v(page, label, amount)")
-def label_pairing(spark, sf_dir):
-    """Labels with their nearest amounts."""
-    return layout.pair_labels(SPLIT.frame(spark), ["page"])
-
-
 QUOTES = Fixture("code string, d date, src int, close double", [("x", "2024-01-05", 0, 10.0), ("x", "2024-01-03", 0, 9.0), ("y", "2023-12-01", 0, 4.0), ("y", "2024-02-01", 0, 6.0)])
 DATES = Fixture("code string, as_of date", [("x", "2024-01-06"), ("x", "2024-01-04"), ("y", "2024-01-06"), ("z", "2024-01-06")])
 

@@ -6,9 +6,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, checks, derived, facts, layout, notes, peers, recipes, reports, retrieval, statements
+from ..operators import checks, derived, facts, notes, peers, recipes, reports, retrieval, statements
 from ..operators import valuation as v
-from ..sources import files, html
+
 from .fixture import Fixture
 from .fixture_queries import MULTIPLES, PLANS
 from .table_queries import query, read
@@ -121,15 +121,6 @@ def share_structure(spark, sf_dir):
     return pages.select("c_custkey", "s.issued", "s.before", "s.price")
 
 
-@query("SELECT * FROM (VALUES (1, '货币资金', '5', '1,000.00', '900.00'), (1, '存货', '', '20', '10')) AS v(id, label, note, \"current\", prior)")
-def text_flow_rows(spark, sf_dir):
-    """A table that was read as running text."""
-    names = notes.account_names()
-    rows = notes.by_page(lambda t: [dict(zip(("label", "note", "current", "prior"), r, strict=True)) for r in notes.text_flow(t, names)], notes.FLOW)
-    text = Fixture("id int, t string", [(1, "项目 货币资金 5 1,000.00 900.00 存货 20 10")]).frame(spark)
-    return text.select("id", F.explode(rows("t")).alias("r")).select("id", "r.*")
-
-
 QUESTIONS = Fixture("key string, seq int", [("tax", 1), ("wacc", 2), ("x", 3), ("growth", 4)])
 DONE = Fixture("key string", [("tax",)])
 
@@ -161,13 +152,6 @@ def appraisal(spark, sf_dir):
 _FACTS = json.dumps({"cik": 320193, "entityName": "x", "facts": {"us-gaap": {"Revenues": {"units": {"USD": [{"start": "2020-01-01", "end": "2020-12-31", "val": 5, "filed": "2021-02-01"}, {"end": "oops", "val": 1, "filed": "2021-02-01"}]}}}}})
 
 
-@query("SELECT * FROM (VALUES (1, 1, 0, 'Cash', NULL), (1, 1, 1, '$', NULL), (1, 1, 2, '(3,552', NULL), (1, 1, 3, ')', NULL), (1, 2, 1, '7', 'us-gaap_Assets')) AS v(table_no, row_no, col_no, \"text\", tag)")
-def html_cells(spark, sf_dir):
-    """Cells of HTML tables on their grid."""
-    page = "<table><tr><td rowspan=2>Cash</td><td>$</td><td>(3,552</td><td>)</td></tr><tr><td><a class='defref_us-gaap_Assets'>7</a></td></tr></table>"
-    return html.extract_tables(Fixture("id int, html string", [(1, page), (2, None)]).frame(spark), "id").drop("id")
-
-
 GAPS = Fixture("id int, gap double", [(1, 100.0), (2, 7.0)])
 LINES = Fixture("id int, stmt_order int, row_no int, label string, value double", [(1, 2, 1, "tax", 101.0), (1, 1, 5, "fees", -100.0), (1, 1, 9, "late", 100.0)])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, numbers, text
-from ..operators import comps, derived, facts, layout, loading, notes, overlap, peers, recipes, reports, statements
+from ..operators import comps, derived, facts, layout, loading, notes, overlap, recipes, statements
 from ..operators import checks as checks_
 from ..sources import documents, files, markets
 from .table_queries import query, read
@@ -411,3 +411,63 @@ def label_and_debt_gates(spark, sf_dir):
     k = F.col("p_partkey")
     p = read(spark, sf_dir, "part").select("p_partkey", F.when(k % 3 == 0, "货币资金").when(k % 3 == 1, "其中：").otherwise("资金2").alias("t"), F.when(k % 4 < 2, 1.0).alias("net_debt"), F.when(k % 4 != 3, 1.0).alias("cash"))
     return loading.net_debt_derivable(p).select("p_partkey", loading.plausible_label(F.col("t")).alias("label"), "derivable", "net_debt_reason")
+
+
+@query(
+    """WITH w AS (SELECT l_orderkey AS page, l_linenumber AS y, l_suppkey AS x0, l_partkey AS seq, 'w' || l_partkey AS text FROM lineitem), d AS (SELECT page, y, dense_rank() OVER (PARTITION BY page ORDER BY y) - 1 AS line FROM (SELECT DISTINCT page, y FROM w))
+SELECT page, CAST(line AS INTEGER) AS line, string_agg(text, ' ' ORDER BY x0, seq, text) AS text FROM w JOIN d USING (page, y) GROUP BY page, line"""
+)
+def page_lines(spark, sf_dir):
+    """Words to visual lines (W13, F31): an order's lines as words, some a little lower than others."""
+    top = F.col("l_linenumber") * 10.0 + (F.col("l_partkey") % 2)
+    w = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("seq"), F.concat(F.lit("w"), F.col("l_partkey").cast("string")).alias("text"), F.col("l_suppkey").cast("double").alias("x0"), top.alias("top"), (top + 8).alias("bottom"))
+    return layout.line_texts(w, ["page"]).select("page", "line", "text")
+
+
+@query("SELECT s_suppkey AS sheet, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 1 WHEN s_suppkey % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS \"current\", CAST(CASE WHEN s_suppkey % 3 = 0 THEN 2 WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS prior FROM supplier")
+def grid_roles(spark, sf_dir):
+    """Which column holds which period, by dates or by words (W21): headers made from suppliers."""
+    k = F.col("s_suppkey")
+    first = F.when(k % 3 == 0, "期末余额").when(k % 2 == 0, "2022年12月31日").otherwise("2023年12月31日")
+    second = F.when(k % 3 == 0, "期初余额").when(k % 2 == 0, "2023年12月31日").otherwise("2022年12月31日")
+    cells = F.array(*(F.struct(F.lit(c).alias("c"), v.alias("value")) for c, v in ((0, F.lit("项目")), (1, first), (2, second))))
+    h = read(spark, sf_dir, "supplier").select(k.alias("sheet"), F.explode(cells).alias("x")).select("sheet", "x.*")
+    return layout.column_roles(h, ["sheet"])
+
+
+@query(
+    """SELECT s_suppkey AS page, 'cash' AS label, 'a' || s_suppkey AS amount FROM supplier UNION ALL SELECT s_suppkey, 'debt', CASE WHEN s_suppkey % 2 = 0 THEN 'b' END FROM supplier UNION ALL SELECT s_suppkey, 'tax', 'c' FROM supplier"""
+)
+def label_pairing(spark, sf_dir):
+    """Labels with their nearest amounts, each amount once (J18): pages made from suppliers."""
+    k = F.col("s_suppkey")
+    rows = [(10.0, "cash", None), (11.0, None, F.concat(F.lit("a"), k.cast("string"))), (20.0, "debt", None), (F.when(k % 2 == 0, 21.0).otherwise(45.0), None, F.lit("b")), (30.0, "tax", None), (29.5, None, F.lit("c"))]
+    cells = F.array(*(F.struct((y if not isinstance(y, float) else F.lit(y)).alias("y"), F.lit(label).cast("string").alias("label"), (F.lit(None).cast("string") if v is None else v).alias("amount")) for y, label, v in rows))
+    return layout.pair_labels(read(spark, sf_dir, "supplier").select(k.alias("page"), F.explode(cells).alias("x")).select("page", "x.*"), ["page"])
+
+
+@query(
+    """SELECT s_suppkey, 1 AS table_no, CAST(r AS INTEGER) AS row_no, CAST(c AS INTEGER) AS col_no, CASE c * 10 + r WHEN 1 THEN s_name WHEN 11 THEN '$' WHEN 21 THEN '(' || s_suppkey WHEN 31 THEN ')' ELSE CAST(s_suppkey * 7 AS VARCHAR) END AS "text", CASE WHEN r = 2 THEN 'us-gaap_Assets' END AS tag
+FROM supplier, (VALUES (1, 0), (1, 1), (1, 2), (1, 3), (2, 1)) AS v(r, c)"""
+)
+def html_cells(spark, sf_dir):
+    """Cells of HTML tables on their grid, with spans and tags (A5, A6, Q7): filings made from suppliers."""
+    from ..sources import html
+
+    k = F.col("s_suppkey").cast("string")
+    page = F.concat(
+        F.lit("<html><style>td{}</style><table><tr><td rowspan=2><b>"), F.col("s_name"), F.lit("</b></td><td>$</td><td>("), k, F.lit("</td><td>)</td></tr><tr><td><a class='defref_us-gaap_Assets'>"), (F.col("s_suppkey") * 7).cast("string"), F.lit("</a></td></tr></table>")
+    )
+    return html.extract_tables(read(spark, sf_dir, "supplier").select("s_suppkey", page.alias("html")), "s_suppkey")
+
+
+@query(
+    """SELECT s_suppkey, '货币资金' AS label, CAST(s_suppkey % 90 + 1 AS VARCHAR) AS note, s_suppkey || ',000.00' AS "current", '900.00' AS prior FROM supplier UNION ALL SELECT s_suppkey, '存货', '', '20', CAST(s_suppkey AS VARCHAR) FROM supplier UNION ALL SELECT s_suppkey, '应收账款', '', '', '' FROM supplier WHERE s_suppkey % 2 = 0"""
+)
+def text_flow_rows(spark, sf_dir):
+    """Tables that were read as running text, labels run together among them (F13-F15): pages made from suppliers."""
+    names = notes.account_names()
+    rows = notes.by_page(lambda t: [dict(zip(("label", "note", "current", "prior"), r, strict=True)) for r in notes.text_flow(t, names)], notes.FLOW)
+    k = F.col("s_suppkey")
+    t = F.concat(F.lit("项目 货币资金 "), (k % 90 + 1).cast("string"), F.lit(" "), k.cast("string"), F.lit(",000.00 900.00 "), F.when(k % 2 == 0, "应收账款存货").otherwise("存货"), F.lit(" 20 "), k.cast("string"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(rows(t)).alias("x")).select("s_suppkey", "x.*")

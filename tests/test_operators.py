@@ -16,7 +16,8 @@ def plain_chunks(paras, target, overlap):
     out, f = [], 0
     while f < len(paras):
         out.append((f + 1, ends[f], "\n".join(paras[f : ends[f]])))
-        f = max(ends[f] - overlap, f) if ends[f] - overlap > f else ends[f]
+        again = ends[f] - overlap  # what is repeated must leave something new
+        f = ends[f] if again <= f else again
     return out
 
 
