@@ -61,7 +61,8 @@ def chunk_documents(docs: DataFrame, key: str, text: str = "text", target: int =
     """
     cut = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), split), lambda x: F.regexp_replace(x, f"^{_BLANK}+|{_BLANK}+$", ""))
     paras = docs.select(key, F.filter(cut, lambda x: x != "").alias("_p"))
-    bounds = chunk_bounds(F.transform("_p", F.length), target, overlap)
+    # the sizes are made once for each document and bound as a variable, else every step would make them anew
+    bounds = F.transform(F.array(F.transform("_p", F.length)), lambda sizes: chunk_bounds(sizes, target, overlap))[0]
     found = paras.select(key, "_p", F.posexplode(bounds).alias("_k", "_b"))
     lines = F.slice("_p", F.col("_b.first") + 1, F.col("_b.end") - F.col("_b.first"))
     return found.select(key, (F.col("_k") + 1).alias("chunk_no"), (F.col("_b.first") + 1).alias("para_start"), F.col("_b.end").alias("para_end"), F.array_join(lines, "\n").alias("text"))
