@@ -19,6 +19,15 @@ GLOSSARY = {
     "资本开支": ["capital expenditures"], "营运资金": ["working capital"], "分红": ["dividends"], "股权激励": ["stock-based compensation"], "关联交易": ["related party transactions"], "客户集中度": ["customer concentration"],
     "供应商": ["supplier"], "员工": ["employees"], "诉讼": ["litigation"], "风险因素": ["risk factors"], "竞争": ["competition"], "市场份额": ["market share"], "研发费用": ["research and development"], "销售费用": ["selling expenses"],
     "管理费用": ["general and administrative"], "递延收入": ["deferred revenue"], "合同负债": ["contract liabilities"], "租赁负债": ["lease liabilities"], "减值": ["impairment"], "汇率": ["exchange rate"], "担保": ["guarantee"], "质押": ["pledge"],
+    "营业总收入": ["total revenue"], "主营业务收入": ["principal business revenue"], "其他业务收入": ["other operating revenue"], "营业外收入": ["non-operating income"], "投资收益": ["investment income"], "公允价值": ["fair value"],
+    "财务费用": ["finance costs"], "税金及附加": ["taxes and surcharges"], "每股收益": ["earnings per share"], "净资产收益率": ["return on equity"], "资产负债率": ["debt to assets"], "流动比率": ["current ratio"], "速动比率": ["quick ratio"],
+    "预付款项": ["prepayments"], "其他应收款": ["other receivables"], "合同资产": ["contract assets"], "在建工程": ["construction in progress"], "投资性房地产": ["investment property"], "使用权资产": ["right-of-use assets"],
+    "长期股权投资": ["equity method investments"], "递延所得税": ["deferred tax"], "应付职工薪酬": ["employee benefits payable"], "应交税费": ["taxes payable"], "预计负债": ["provisions"], "应付债券": ["bonds payable"],
+    "股本": ["share capital"], "资本公积": ["capital reserve"], "盈余公积": ["surplus reserve"], "未分配利润": ["retained earnings"], "净利率": ["net margin"], "营业利润率": ["operating margin"], "市盈率": ["price to earnings"], "市净率": ["price to book"],
+    "企业价值": ["enterprise value"], "市值": ["market capitalization"], "折现率": ["discount rate"], "永续增长": ["terminal growth"], "自由现金流": ["free cash flow"], "净债务": ["net debt"], "可比公司": ["comparable companies"],
+    "并购": ["mergers and acquisitions"], "首次公开发行": ["initial public offering"], "募集资金": ["proceeds"], "控股股东": ["controlling shareholder"], "实际控制人": ["actual controller"], "子公司": ["subsidiary"], "合营企业": ["joint venture"],
+    "审计意见": ["audit opinion"], "内部控制": ["internal control"], "会计政策": ["accounting policies"], "会计估计": ["accounting estimates"], "持续经营": ["going concern"], "期后事项": ["subsequent events"], "或有负债": ["contingent liabilities"],
+    "产能": ["capacity"], "产量": ["output"], "销量": ["sales volume"], "订单": ["orders"], "毛利润": ["gross profit"], "专利": ["patents"], "商标": ["trademarks"], "抵押": ["mortgage"], "补贴": ["subsidies"], "关税": ["tariffs"],
 }
 #: Industries with words that speak for them and what to watch.
 INDUSTRIES = [
