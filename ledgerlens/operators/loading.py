@@ -57,7 +57,7 @@ def image_resolution(images: DataFrame, page: list[str], least: float = 0.5) ->
     """
     cover = F.col("width_pt") * F.col("height_pt") / (F.col("page_width_pt") * F.col("page_height_pt"))
     wide = images.where((F.col("width_pt") > 0) & (cover >= least)).withColumn("_dpi", F.round(F.col("width_px") * 72 / F.col("width_pt")).cast("int"))
-    return lower_median(wide, page, "_dpi").withColumnRenamed("median", "dpi")
+    return lower_median(wide, page, "_dpi").select(*page, F.col("median").cast("int").alias("dpi"))
 
 
 def page_evidence(pages: DataFrame, text: str = "text", rows: str = "rows") -> DataFrame:

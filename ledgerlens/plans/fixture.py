@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SQL = {"int": "INTEGER", "bigint": "BIGINT", "long": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN", "array<double>": "DOUBLE[]"}
 
@@ -39,3 +40,26 @@ class Fixture:
         values = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
         casts = ", ".join(f'CAST("{n}" AS {_SQL[t]}) AS "{n}"' for n, t in self.columns)
         return f"(SELECT {casts} FROM (VALUES {values}) AS v({names}))"
+
+
+@dataclass(frozen=True)
+class Spread:
+    """The rows of a fixture with ids from 1 on, in turn on all customers: numbers a little larger on each, up to a tenth, ids the customers' keys."""
+
+    base: Fixture
+
+    @property
+    def _doubles(self) -> list[str]:
+        return [n for n, t in self.base.columns if t == "double"]
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = F.col("c_custkey")
+        customers = spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet").select(key)
+        rows = customers.join(F.broadcast(self.base.frame(spark)), key % len(self.base.rows) + 1 == F.col("id"))  # a few rows
+        factor = F.lit(1.0) + (key % 97).cast("double") / F.lit(1000.0)
+        return rows.select(key.cast("int").alias("id"), *((F.col(n) * factor).alias(n) if n in self._doubles else F.col(n) for n, _ in self.base.columns if n != "id"))
+
+    def sql(self) -> str:
+        factor = "(1 + CAST(c_custkey % 97 AS DOUBLE) / 1000)"
+        columns = ", ".join(f'f."{n}" * {factor} AS "{n}"' if n in self._doubles else f'f."{n}"' for n, _ in self.base.columns if n != "id")
+        return f"(SELECT CAST(c_custkey AS INTEGER) AS id, {columns} FROM customer JOIN {self.base.sql()} f ON c_custkey % {len(self.base.rows)} + 1 = f.id)"

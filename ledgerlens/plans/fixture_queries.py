@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import identifiers, numbers
 from ..operators import asof, checks, facts
 from ..operators import valuation as v
-from .fixture import Fixture
+from .fixture import Fixture, Spread
 from .table_queries import query, read
 
-RATES = Fixture(
+RATES = Spread(Fixture(
     "id int, risk_free double, equity_premium double, beta_unlevered double, tax_rate double, cost_of_debt double, debt double, equity double, size_premium double",
     [(1, 0.025, 0.06, 0.9, 0.25, 0.045, 3000.0, 7000.0, 0.0168), (2, 0.03, 0.055, 1.2, 0.2, 0.05, 0.0, 5000.0, None), (3, 0.03, 0.055, None, 0.2, 0.05, 100.0, 900.0, 0.01)],
-)
+))
 
 
 @query(
@@ -22,7 +22,7 @@ FROM (SELECT *, risk_free + bl * equity_premium + coalesce(size_premium, 0) AS r
 )
 def wacc(spark, sf_dir):
     """Cost of capital with missing inputs named."""
-    return v.wacc(RATES.frame(spark)).select("id", *(F.round(c, 6).alias(c) for c in ("beta_levered", "cost_of_equity", "wacc")), F.array_join("gaps", ",").alias("gaps"))
+    return v.wacc(RATES.frame(spark, sf_dir)).select("id", *(F.round(c, 6).alias(c) for c in ("beta_levered", "cost_of_equity", "wacc")), F.array_join("gaps", ",").alias("gaps"))
 
 
 @query(
@@ -31,17 +31,17 @@ def wacc(spark, sf_dir):
 )
 def wacc_sensitivity(spark, sf_dir):
     """Cost of capital shifted up and down."""
-    return v.wacc_grid(v.wacc(RATES.frame(spark)), [-0.02, -0.01, 0.0, 0.01, 0.02]).select("id", "delta", F.round("wacc", 6).alias("wacc"))
+    return v.wacc_grid(v.wacc(RATES.frame(spark, sf_dir)), [-0.02, -0.01, 0.0, 0.01, 0.02]).select("id", "delta", F.round("wacc", 6).alias("wacc"))
 
 
-PLANS = Fixture(
+PLANS = Spread(Fixture(
     "id int, revenue array<double>, margin array<double>, base_revenue double, tax_rate double, da_pct double, capex_pct double, nwc_pct double, wacc double, growth double, net_debt double, minority_interest double, non_operating_assets double, target_equity double",
     [
         (1, [1100.0, 1210.0, 1320.0], [0.2, 0.21, 0.22], 1000.0, 0.25, 0.04, 0.05, 0.1, 0.1, 0.025, 300.0, None, 50.0, 2200.0),
         (2, [500.0, 520.0], [0.3, 0.3], 480.0, 0.2, 0.03, 0.04, 0.08, 0.09, 0.02, 0.0, 10.0, None, 900000.0),
         (3, [500.0, 520.0], [0.3, 0.3], 480.0, 0.2, 0.03, 0.04, 0.08, 0.09, 0.09, None, 10.0, None, 1500.0),
     ],
-)
+))
 _FLOWS = f"""p AS {PLANS.sql()}, y AS (SELECT *, unnest(range(1, len(revenue) + 1)) AS i FROM p),
 f AS (SELECT *, revenue[i] * margin[i] AS e, revenue[i] * margin[i] * (1 - tax_rate) + revenue[i] * da_pct * tax_rate - revenue[i] * capex_pct - (revenue[i] - CASE WHEN i = 1 THEN base_revenue ELSE revenue[i - 1] END) * nwc_pct AS fcff FROM y)"""
 
@@ -55,17 +55,17 @@ CASE WHEN growth >= wacc THEN 'growth not below the rate' WHEN net_debt IS NULL
 )
 def dcf(spark, sf_dir):
     """Discounted flows, terminal value and bridge."""
-    return v.dcf(PLANS.frame(spark)).select("id", *(F.round(c, 6).alias(c) for c in ("enterprise_value", "equity_value", "terminal_share")), "bridge_defaulted", "gap")
+    return v.dcf(PLANS.frame(spark, sf_dir)).select("id", *(F.round(c, 6).alias(c) for c in ("enterprise_value", "equity_value", "terminal_share")), "bridge_defaulted", "gap")
 
 
 @query(
-    f"""WITH {_FLOWS}, g AS (SELECT w, g FROM (SELECT unnest([CAST(0.08 AS DOUBLE), 0.1, 0.12]) AS w), (SELECT unnest([CAST(0.02 AS DOUBLE), 0.03, 0.09]) AS g)),
+    f"""WITH {_FLOWS.replace(PLANS.sql(), PLANS.base.sql())}, g AS (SELECT w, g FROM (SELECT unnest([CAST(0.08 AS DOUBLE), 0.1, 0.12]) AS w), (SELECT unnest([CAST(0.02 AS DOUBLE), 0.03, 0.09]) AS g)),
 s AS (SELECT id, w, g, sum(fcff / pow(1 + w, i)) AS pv, arg_max(fcff, i) AS last, max(i) AS n FROM f, g GROUP BY id, w, g)
 SELECT id, w AS wacc, g AS growth, CASE WHEN g >= w THEN 'none' ELSE CAST(CAST(round(pv + last * (1 + g) / (w - g) / pow(1 + w, n) - net_debt - coalesce(minority_interest, 0) + coalesce(non_operating_assets, 0), 3) * 1000 AS BIGINT) AS VARCHAR) END AS equity_milli FROM s JOIN p USING (id)"""
 )
 def dcf_grid(spark, sf_dir):
     """Equity value over rates and growths; no value where growth reaches the rate."""
-    g = v.dcf_grid(PLANS.frame(spark), [0.08, 0.1, 0.12], [0.02, 0.03, 0.09])
+    g = v.dcf_grid(PLANS.base.frame(spark), [0.08, 0.1, 0.12], [0.02, 0.03, 0.09])
     return g.select("id", "wacc", "growth", F.when(F.isnan("equity_value"), "none").otherwise((F.round("equity_value", 3) * 1000).cast("long").cast("string")).alias("equity_milli"))
 
 
@@ -77,13 +77,13 @@ SELECT id, lo <= target_equity AND target_equity <= hi AS feasible, CASE WHEN lo
 )
 def reverse_dcf(spark, sf_dir):
     """The growth that a price implies, in closed form."""
-    return v.reverse_dcf(PLANS.frame(spark)).select("id", "feasible", F.round("implied_growth", 6).alias("implied_growth"))
+    return v.reverse_dcf(PLANS.frame(spark, sf_dir)).select("id", "feasible", F.round("implied_growth", 6).alias("implied_growth"))
 
 
-MULTIPLES = Fixture(
+MULTIPLES = Spread(Fixture(
     "id int, metric double, multiple_low double, multiple_mid double, multiple_high double, net_debt double, minority_interest double, dlom double",
     [(1, 200.0, 6.0, 7.5, 9.0, 300.0, None, 0.2), (2, -10.0, 6.0, 7.5, 9.0, 300.0, 5.0, None), (3, 50.0, 1.0, 1.0, 2.0, None, None, None)],
-)
+))
 
 
 @query(
@@ -92,19 +92,19 @@ round(CASE WHEN metric > 0 THEN (metric * multiple_high - net_debt - coalesce(mi
 )
 def multiples(spark, sf_dir):
     """Value by multiples."""
-    return v.by_multiples(MULTIPLES.frame(spark)).select("id", *(F.round(c, 6).alias(c) for c in ("low", "mid", "high")), "gap")
+    return v.by_multiples(MULTIPLES.frame(spark, sf_dir)).select("id", *(F.round(c, 6).alias(c) for c in ("low", "mid", "high")), "gap")
 
 
-OWNERS = Fixture("id int, net_income double, interest double, taxes double, da double, owner_pay double, market_pay double, personal double, gains double, losses double", [(1, 120.0, 10.0, 30.0, 25.0, 80.0, 50.0, 6.0, 4.0, None), (2, 50.0, None, 10.0, 5.0, 20.0, 30.0, None, None, 3.0)])
+OWNERS = Spread(Fixture("id int, net_income double, interest double, taxes double, da double, owner_pay double, market_pay double, personal double, gains double, losses double", [(1, 120.0, 10.0, 30.0, 25.0, 80.0, 50.0, 6.0, 4.0, None), (2, 50.0, None, 10.0, 5.0, 20.0, 30.0, None, None, 3.0)]))
 
 
 @query(f"SELECT id, net_income + interest + taxes + da AS ebitda, net_income + interest + taxes + da + owner_pay - market_pay + coalesce(personal, 0) - coalesce(gains, 0) + coalesce(losses, 0) AS sde FROM {OWNERS.sql()}")
 def sde(spark, sf_dir):
     """Seller's discretionary earnings."""
-    return v.sde(OWNERS.frame(spark)).select("id", "ebitda", "sde")
+    return v.sde(OWNERS.frame(spark, sf_dir)).select("id", "ebitda", "sde")
 
 
-RATIOS = Fixture("id int, revenue double, net_income double, pretax double, operating_income double, assets double, equity double, equity_parent double", [(1, 1000.0, 80.0, 100.0, 110.0, 2000.0, 800.0, 700.0), (2, 500.0, 10.0, None, 12.0, 900.0, None, 90.0), (3, 0.0, 5.0, 6.0, 7.0, 100.0, 50.0, 50.0)])
+RATIOS = Spread(Fixture("id int, revenue double, net_income double, pretax double, operating_income double, assets double, equity double, equity_parent double", [(1, 1000.0, 80.0, 100.0, 110.0, 2000.0, 800.0, 700.0), (2, 500.0, 10.0, None, 12.0, 900.0, None, 90.0), (3, 0.0, 5.0, 6.0, 7.0, 100.0, 50.0, 50.0)]))
 
 
 @query(
@@ -113,7 +113,7 @@ round(CASE WHEN ok THEN pretax / operating_income END, 6) AS interest_burden, co
 )
 def dupont(spark, sf_dir):
     """Return on equity taken apart."""
-    return v.dupont(RATIOS.frame(spark)).select("id", "applicable", *(F.round(c, 6).alias(c) for c in ("net_margin", "roe", "roa", "interest_burden")), "leverage_warning")
+    return v.dupont(RATIOS.frame(spark, sf_dir)).select("id", "applicable", *(F.round(c, 6).alias(c) for c in ("net_margin", "roe", "roa", "interest_burden")), "leverage_warning")
 
 
 RISKS = Fixture("id int, factor string, low double, mid double, high double, cap_low double, cap_mid double, cap_high double, revenue_component double", [(1, a, x, x + 0.1, x + 0.2, 300.0, 350.0, 400.0, 50.0) for a, x in (("idea", 0.5), ("prototype", 0.4), ("team", 0.6), ("relations", 0.2), ("rollout", 0.1))])
@@ -144,7 +144,7 @@ def first_chicago(spark, sf_dir):
     return v.first_chicago(OUTCOMES.frame(spark), ["id"]).select("id", "n", "low", F.round("mid", 6).alias("mid"), "high")
 
 
-ROUNDS = Fixture("id int, exit_value double, investment double, years double, target_multiple double, target_irr double, dilution double, pre_money double", [(1, 50000.0, 1000.0, 5.0, 10.0, 0.5, 0.3, 4000.0), (2, 50000.0, 1000.0, 5.0, 8.0, 0.515, None, 4000.0), (3, 20000.0, 500.0, 4.0, None, 0.6, 0.2, 100.0)])
+ROUNDS = Spread(Fixture("id int, exit_value double, investment double, years double, target_multiple double, target_irr double, dilution double, pre_money double", [(1, 50000.0, 1000.0, 5.0, 10.0, 0.5, 0.3, 4000.0), (2, 50000.0, 1000.0, 5.0, 8.0, 0.515, None, 4000.0), (3, 20000.0, 500.0, 4.0, None, 0.6, 0.2, 100.0)]))
 
 
 @query(
@@ -153,7 +153,7 @@ FROM (SELECT *, coalesce(target_multiple, pow(1 + target_irr, years)) AS m FROM
 )
 def vc_method(spark, sf_dir):
     """Value today from an exit."""
-    return v.vc_method(ROUNDS.frame(spark).drop("pre_money")).select("id", F.round("multiple", 6).alias("multiple"), F.round("pre_money", 6).alias("pre_money"), "inconsistent")
+    return v.vc_method(ROUNDS.frame(spark, sf_dir).drop("pre_money")).select("id", F.round("multiple", 6).alias("multiple"), F.round("pre_money", 6).alias("pre_money"), "inconsistent")
 
 
 @query(
@@ -161,7 +161,7 @@ def vc_method(spark, sf_dir):
 )
 def vc_required_exit(spark, sf_dir):
     """The exit that a price requires."""
-    return v.vc_required_exit(ROUNDS.frame(spark)).select("id", F.round("required_exit", 6).alias("required_exit"), F.round("implied_cagr", 6).alias("implied_cagr"), "is_valuation")
+    return v.vc_required_exit(ROUNDS.frame(spark, sf_dir)).select("id", F.round("required_exit", 6).alias("required_exit"), F.round("implied_cagr", 6).alias("implied_cagr"), "is_valuation")
 
 
 RESULTS = Fixture("entity string, method string, low double, mid double, high double, is_valuation boolean, shares double", [("a", "dcf", 900.0, 1000.0, 1300.0, True, 100.0), ("a", "multiples", 950.0, 1200.0, 1250.0, True, 100.0), ("a", "reverse", 5.0, 5.0, 5.0, False, 100.0), ("b", "dcf", 10.0, 20.0, 30.0, True, None), ("c", "dcf", 10.0, 20.0, 30.0, True, 10.0), ("c", "vc", 50.0, 60.0, 70.0, True, 10.0)])
@@ -184,16 +184,16 @@ def football_consensus(spark, sf_dir):
     return v.consensus(v.bands(RESULTS.frame(spark)), ["entity"]).withColumn("mid_spread", F.round("mid_spread", 6))
 
 
-GROWTHS = Fixture("id int, g double, gdp double, inflation double", [(1, 0.02, 0.05, 0.02), (2, 0.06, 0.05, 0.02), (3, 0.047, 0.05, 0.02), (4, 0.01, 0.05, 0.02)])
+GROWTHS = Spread(Fixture("id int, g double, gdp double, inflation double", [(1, 0.02, 0.05, 0.02), (2, 0.06, 0.05, 0.02), (3, 0.047, 0.05, 0.02), (4, 0.01, 0.05, 0.02)]))
 
 
 @query(f"SELECT id, CASE WHEN g > gdp THEN 'error: above long-term nominal growth' WHEN g > 0.9 * gdp THEN 'warning: near long-term nominal growth' WHEN g < inflation THEN 'warning: below inflation' ELSE '' END AS problems FROM {GROWTHS.sql()}")
 def terminal_growth(spark, sf_dir):
     """Bounds on perpetual growth."""
-    return GROWTHS.frame(spark).select("id", F.array_join(v.terminal_growth_problems(F.col("g"), F.col("gdp"), F.col("inflation")), ",").alias("problems"))
+    return GROWTHS.frame(spark, sf_dir).select("id", F.array_join(v.terminal_growth_problems(F.col("g"), F.col("gdp"), F.col("inflation")), ",").alias("problems"))
 
 
-DEBTS = Fixture("id int, total_debt double, current_debt double, noncurrent_debt double, finance_lease double, cash double, short_investments double", [(1, 500.0, 100.0, 400.0, None, 120.0, 30.0), (2, None, 100.0, None, 20.0, 50.0, None), (3, None, None, None, None, 50.0, 1.0), (4, 10.0, None, None, None, None, None)])
+DEBTS = Spread(Fixture("id int, total_debt double, current_debt double, noncurrent_debt double, finance_lease double, cash double, short_investments double", [(1, 500.0, 100.0, 400.0, None, 120.0, 30.0), (2, None, 100.0, None, 20.0, 50.0, None), (3, None, None, None, None, 50.0, 1.0), (4, 10.0, None, None, None, None, None)]))
 
 
 @query(
@@ -202,7 +202,7 @@ CASE WHEN cash IS NULL THEN 'no cash' WHEN coalesce(total_debt, current_debt, no
 )
 def net_debt(spark, sf_dir):
     """Net debt without double counting."""
-    return facts.net_debt(DEBTS.frame(spark)).select("id", "net_debt", "gap")
+    return facts.net_debt(DEBTS.frame(spark, sf_dir)).select("id", "net_debt", "gap")
 
 
 FACTS = Fixture(
@@ -242,10 +242,10 @@ def revenue_by_tag(spark, sf_dir):
     return facts.first_tag(f, ["cik", "end"], facts.REVENUE_TAGS).select("cik", "end", "val", "tag_used")
 
 
-SHEETS = Fixture(
+SHEETS = Spread(Fixture(
     "id int, assets double, liabilities double, equity double, minority_interest double, net_assets double, cash_begin double, cash_end double, cfo double, cfi double, cff double, fx_effect double",
     [(1, 1000.0, 600.0, 400.0, None, None, 10.0, 25.0, 30.0, -20.0, 5.0, None), (2, 1000.0, 600.0, 380.0, 20.0, None, 10.0, 25.0, 30.0, -20.0, 9.0, None), (3, None, 600.0, 380.0, None, 380.5, 10.0, None, 1.0, 1.0, 1.0, 1.0), (4, 1000.0, 500.0, 400.0, None, None, 5.0, 9.0, 3.0, 2.0, 1.0, -2.0)],
-)
+))
 
 
 @query(
@@ -255,7 +255,7 @@ UNION ALL SELECT id, 'net_assets', CASE WHEN assets IS NOT NULL THEN 'not_applic
 )
 def accounting_checks(spark, sf_dir):
     """Identities with four outcomes (V1-V4, V7)."""
-    return checks.all_checks(SHEETS.frame(spark), [checks.balance(), checks.cash_rollforward(), checks.net_assets()], "id").select("id", "check", "status")
+    return checks.all_checks(SHEETS.frame(spark, sf_dir), [checks.balance(), checks.cash_rollforward(), checks.net_assets()], "id").select("id", "check", "status")
 
 
 RECON = Fixture("id int, label string, value double", [(1, "Depreciation", 30.0), (1, "Change in receivables", -12.0), (1, "Total adjustments", 18.0), (2, "Depreciation", 5.0), (2, "Other", None), (3, "Cash received from customers", 99.0)])

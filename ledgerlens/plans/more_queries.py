@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from ..operators import checks, derived, facts, notes, peers, recipes, reports, retrieval, statements
 from ..operators import valuation as v
 
-from .fixture import Fixture
+from .fixture import Fixture, Spread
 from .fixture_queries import MULTIPLES, PLANS
 from .table_queries import query, read
 
-BALANCES = Fixture(
+BALANCES = Spread(Fixture(
     "id int, short_term_debt double, long_term_debt double, cash double, short_term_investments double, total_liabilities double, accounts_payable double",
     [(1, 50.0, 200.0, 80.0, None, 400.0, 100.0), (2, None, None, 70.0, 5.0, 300.0, 300.0), (3, None, 10.0, 70.0, 5.0, 300.0, 200.0), (4, 0.0, 0.0, None, None, 9.0, 9.0)],
-)
+))
 
 
 @query(
@@ -26,10 +26,10 @@ WHEN NOT full_ AND rec AND (coalesce(cash, 0) <> 0 OR coalesce(short_term_invest
 )
 def statement_net_debt(spark, sf_dir):
     """Net debt from a balance sheet, zero debt only where shown."""
-    return derived.statement_net_debt(BALANCES.frame(spark)).select("id", "net_debt")
+    return derived.statement_net_debt(BALANCES.frame(spark, sf_dir)).select("id", "net_debt")
 
 
-YEARS = Fixture("id int, revenue double, operating_income double, da double, capex double, accounts_receivable double, inventory double, accounts_payable double, total_current_assets double", [(1, 1000.0, 150.0, 50.0, -80.0, 200.0, None, 90.0, 500.0), (2, 1000.0, None, 950.0, 10.0, 700.0, 5.0, 90.0, 500.0), (3, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, None)])
+YEARS = Spread(Fixture("id int, revenue double, operating_income double, da double, capex double, accounts_receivable double, inventory double, accounts_payable double, total_current_assets double", [(1, 1000.0, 150.0, 50.0, -80.0, 200.0, None, 90.0, 500.0), (2, 1000.0, None, 950.0, 10.0, 700.0, 5.0, 90.0, 500.0), (3, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, None)]))
 
 
 @query(
@@ -38,13 +38,16 @@ round((accounts_receivable + coalesce(inventory, 0) - accounts_payable) / nullif
 )
 def history_ratios(spark, sf_dir):
     """Ratios of the past year."""
-    return derived.history(YEARS.frame(spark)).select("id", *(F.round(c, 6).alias(c) for c in ("ebitda_margin", "da_share", "capex_share", "nwc_share")))
+    return derived.history(YEARS.frame(spark, sf_dir)).select("id", *(F.round(c, 6).alias(c) for c in ("ebitda_margin", "da_share", "capex_share", "nwc_share")))
 
 
-@query(f"""SELECT id, CASE id WHEN 1 THEN 'working capital without inventory' WHEN 2 THEN 'depreciation out of proportion to revenue; receivables above current assets' ELSE '' END AS notes FROM {YEARS.sql()}""")
+@query(
+    f"""SELECT id, array_to_string(list_filter([CASE WHEN revenue <> 0 AND NOT da / revenue BETWEEN 0.001 AND 0.8 THEN 'depreciation out of proportion to revenue' END, CASE WHEN inventory IS NULL AND accounts_receivable IS NOT NULL THEN 'working capital without inventory' END,
+CASE WHEN abs(accounts_receivable) > abs(total_current_assets) * 1.02 THEN 'receivables above current assets' END, CASE WHEN abs(inventory) > abs(total_current_assets) * 1.02 THEN 'inventory above current assets' END], lambda x: x IS NOT NULL), '; ') AS notes FROM {YEARS.sql()}"""
+)
 def history_doubts(spark, sf_dir):
     """Doubts about the ratios."""
-    return derived.history_notes(YEARS.frame(spark)).select("id", F.array_join("notes", "; ").alias("notes"))
+    return derived.history_notes(YEARS.frame(spark, sf_dir)).select("id", F.array_join("notes", "; ").alias("notes"))
 
 
 CANDIDATES = Fixture("path string, kind string, mapped int, rate double, statements int", [("a", "pdf", 12, 0.5, 3), ("b", "pdf", 12, 0.7, 2), ("c", "pdf", 40, 0.9, 1), ("d", "excel", 8, 0.2, 2), ("e", "html", 7, 0.9, 3)])
@@ -141,11 +144,14 @@ def page_evidence(spark, sf_dir):
     return statements.page_scores(docs, {"score": [["the ", " of "], ["license"], ["idiot", "scum"]]}).select("doc_id", "score")
 
 
-@query(f"""SELECT entity, method, round(mid, 4) AS mid, n FROM (VALUES ('e1', 'multiples', 960.0::DOUBLE, 0), ('e2', 'multiples', NULL, 1), ('e3', 'multiples', NULL, 1)) AS v(entity, method, mid, n)""")
+@query(
+    f"""SELECT 'e' || id AS entity, 'multiples' AS method, round(CASE WHEN metric > 0 THEN (metric * multiple_mid - net_debt - coalesce(minority_interest, 0)) * (1 - coalesce(dlom, 0)) END, 4) AS mid,
+CAST(metric <= 0 OR net_debt IS NULL AS INTEGER) AS n FROM {MULTIPLES.sql()}"""
+)
 def appraisal(spark, sf_dir):
     """Results of methods in one schema, reasons kept."""
-    plans = PLANS.frame(spark).withColumn("entity", F.concat(F.lit("e"), "id"))
-    found = reports.appraise(plans, MULTIPLES.frame(spark).withColumn("entity", F.concat(F.lit("e"), "id")))
+    plans = PLANS.frame(spark, sf_dir).withColumn("entity", F.concat(F.lit("e"), "id"))
+    found = reports.appraise(plans, MULTIPLES.frame(spark, sf_dir).withColumn("entity", F.concat(F.lit("e"), "id")))
     return found.where("method = 'multiples'").select("entity", "method", F.round("mid", 4).alias("mid"), F.size("notes").alias("n"))
 
 
@@ -190,14 +196,14 @@ def ask(spark, sf_dir):
     return recipes.ask(PASSAGES.frame(spark), "净利润").select("chunk_id")
 
 
-BETAS = Fixture("id int, beta double, debt double, equity double, tax double", [(1, 1.2, 30.0, 70.0, 0.25), (2, 1.0, 5.0, 0.0, 0.2)])
+BETAS = Spread(Fixture("id int, beta double, debt double, equity double, tax double", [(1, 1.2, 30.0, 70.0, 0.25), (2, 1.0, 5.0, 0.0, 0.2)]))
 
 
 @query(f"SELECT id, round(CASE WHEN equity > 0 THEN beta / (1 + (1 - tax) * debt / equity) END, 6) AS unlevered FROM {BETAS.sql()}")
 def unlevered_beta(spark, sf_dir):
     """Beta without leverage."""
     c = F.col
-    return BETAS.frame(spark).select("id", F.round(v.unlever(c("beta"), c("debt"), c("equity"), c("tax")), 6).alias("unlevered"))
+    return BETAS.frame(spark, sf_dir).select("id", F.round(v.unlever(c("beta"), c("debt"), c("equity"), c("tax")), 6).alias("unlevered"))
 
 
 @query(

@@ -198,7 +198,7 @@ def first_occurrence(spark, sf_dir):
 @query(
     """WITH x AS (SELECT c_custkey, CAST(c_custkey * 100 + 100 AS DOUBLE) AS rev, c_acctbal AS oi, CASE WHEN c_custkey % 3 = 0 THEN 0.0 WHEN c_custkey % 3 = 1 THEN 5.0 END AS n, CASE WHEN c_custkey % 2 = 0 THEN 7.0 END AS i FROM customer),
 y AS (SELECT *, CAST(coalesce(nullif(n, 0.0), i, 11.0) AS DOUBLE) AS da FROM x)
-SELECT c_custkey, da, round((oi + da) / rev, 8) AS ebitda_margin, round(da / rev, 8) AS da_share, c_custkey % 5 <> 0 AS minority_defaulted, CASE WHEN da / rev < 0.001 OR da / rev > 0.8 THEN 1 ELSE 0 END AS doubts, 'cfo' AS missing_keys, round(rev / 90 - 1, 8) AS growth FROM y"""
+SELECT c_custkey, da, round((oi + da) / rev, 6) AS ebitda_margin, round(da / rev, 8) AS da_share, c_custkey % 5 <> 0 AS minority_defaulted, CASE WHEN da / rev < 0.001 OR da / rev > 0.8 THEN 1 ELSE 0 END AS doubts, 'cfo' AS missing_keys, round(rev / 90 - 1, 8) AS growth FROM y"""
 )
 def statement_ratios(spark, sf_dir):
     """Derived figures of a statement: depreciation by source, margins, minority interest, doubts, missing fields, growth (G11, G15, G16, G21, G24, G44, P15, P17, P26): customers as companies."""
@@ -207,7 +207,7 @@ def statement_ratios(spark, sf_dir):
     c = c.withColumn("da", derived.total_da(F.col("n"), F.col("i"), F.array(F.lit(4.0), F.lit(None).cast("double"), F.lit(7.0)))).withColumn("before", F.lit(90.0))
     c = derived.prefill(derived.missing_key_fields(derived.history_notes(derived.history(derived.minority_interest(c)))), "revenue", "before", "growth")
     doubts = F.size(F.filter("notes", lambda x: x.startswith("depreciation")))
-    return c.select("c_custkey", "da", F.round("ebitda_margin", 8).alias("ebitda_margin"), F.round("da_share", 8).alias("da_share"), "minority_defaulted", doubts.alias("doubts"), F.array_join("missing_keys", ",").alias("missing_keys"), F.round("growth", 8).alias("growth"))
+    return c.select("c_custkey", "da", F.round("ebitda_margin", 6).alias("ebitda_margin"), F.round("da_share", 8).alias("da_share"), "minority_defaulted", doubts.alias("doubts"), F.array_join("missing_keys", ",").alias("missing_keys"), F.round("growth", 8).alias("growth"))
 
 
 @query(
