@@ -20,9 +20,9 @@ ASSUMPTIONS = [
     ("wacc", "rate", "external", "yields, betas and premiums at the date", None),
     ("exit_method", "terminal", "user", "whether growth or a multiple ends the plan", None),
     ("net_debt_scope", "bridge", "history", "leases, guarantees and restricted cash", "net_debt"),
-    ("minority_interest", "bridge", "history", "the balance sheet's row", "minority"),
+    ("minority_interest", "bridge", "history", "the row of the balance sheet", "minority"),
     ("sbc", "adjustment", "user", "whether pay in shares is a cost", None),
-    ("nonrecurring", "adjustment", "user", "gains and losses that won't return", None),
+    ("nonrecurring", "adjustment", "user", "gains and losses that do not return", None),
     ("midyear", "timing", "user", "when flows come in", None),
     ("fx", "timing", "user", "currency of flows and of the rate", None),
 ]
@@ -43,6 +43,20 @@ def checklist(history: DataFrame, key: str, comps_ready: Column | None = None) -
     return history.select(key, F.explode(F.array(*rows)).alias("a")).select(key, "a.*")
 
 
+def question_list(checked: DataFrame, key: str) -> DataFrame:
+    """key, seq, question, reference, origin: what is still asked of each company, in order, with what is known beside it (H7).
+
+    ``checked`` is a `checklist`. A value from the history is asked for confirmation, last; what peers give comes before what nobody does.
+    """
+    from pyspark.sql.window import Window
+
+    origin = F.when(F.col("status") == "from_history", "confirm").when(F.col("status") == "from_peers", "peers").otherwise("open")
+    rank = F.when(origin == "peers", 0).when(origin == "open", 1).otherwise(2)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(rank, "seq"))
+    text = F.concat(F.col("assumption"), F.lit(": "), F.col("check"))
+    return checked.select(key, place.alias("seq"), text.alias("question"), F.col("value").alias("reference"), origin.alias("origin"))
+
+
 def metric_reference(statements: DataFrame, key: str) -> DataFrame:
     """key, metric, value, reason: what multiples may be put on (H11): revenue, EBIT, EBITDA, and owner's earnings with the owner's pay."""
     df = derived.ebitda(statements)

@@ -21,6 +21,19 @@ def assumption_checklist(spark, sf_dir):
     return c.checklist(h, "c_custkey", k % 3 == 0).select("c_custkey", "assumption", "seq", "value", "status")
 
 
+_CHECKS = ", ".join(f"('{n}', {k}, '{check}', {'true' if need == 'external' else 'false'})" for k, (n, _, need, check, _) in enumerate(c.ASSUMPTIONS))
+
+
+@query(
+    f"""WITH x AS (SELECT c_custkey, a.seq AS k, a.name || ': ' || a.chk AS question, CASE WHEN a.name = 'net_debt_scope' THEN c_acctbal END AS reference, CASE WHEN a.name = 'net_debt_scope' THEN 2 WHEN a.ext AND c_custkey % 3 = 0 THEN 0 ELSE 1 END AS o FROM customer, (VALUES {_CHECKS}) AS a(name, seq, chk, ext))
+SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_custkey ORDER BY o, k) AS INTEGER) AS seq, question, reference, ['peers', 'open', 'confirm'][o + 1] AS origin FROM x"""
+)
+def question_lists(spark, sf_dir):
+    """What is still asked of each company, with references and origins (H7): customers as companies."""
+    h = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("net_debt"))
+    return c.question_list(c.checklist(h, "c_custkey", F.col("c_custkey") % 3 == 0), "c_custkey")
+
+
 @query(
     """WITH x AS (SELECT c_custkey, c_acctbal AS oi, CASE WHEN c_custkey % 3 <> 0 THEN 10.0 END AS da, 100.0 + c_custkey AS rev, CASE WHEN c_custkey % 2 = 0 THEN 7.0 END AS pay FROM customer),
 m AS (SELECT c_custkey, 'revenue' AS metric, CAST(rev AS DOUBLE) AS value FROM x UNION ALL SELECT c_custkey, 'ebit', oi FROM x UNION ALL SELECT c_custkey, 'ebitda', oi + da FROM x UNION ALL SELECT c_custkey, 'sde', oi + da + pay FROM x)
