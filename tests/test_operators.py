@@ -139,7 +139,7 @@ def test_percent_fields(spark):
 def test_reverse_dcf_agrees_with_bisection(spark):
     from ledgerlens.plans.fixture_queries import PLANS
 
-    plan = PLANS.frame(spark).where("id = 1")
+    plan = PLANS.base.frame(spark).where("id = 1")
     g = valuation.reverse_dcf(plan).first().implied_growth
     again = valuation.dcf(plan.withColumn("growth", F.lit(g))).first().equity_value
     assert again == pytest.approx(2200.0, rel=1e-9)

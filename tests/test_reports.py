@@ -10,8 +10,8 @@ from ledgerlens.plans.fixture_queries import MULTIPLES, PLANS, RESULTS, ROUNDS
 
 
 def test_results_of_all_methods(spark):
-    plans = PLANS.frame(spark).withColumn("entity", F.concat(F.lit("e"), "id"))
-    found = reports.appraise(plans, MULTIPLES.frame(spark).withColumn("entity", F.lit("e1")).where("id < 3"), ROUNDS.frame(spark).drop("pre_money").withColumn("entity", F.lit("e2")))
+    plans = PLANS.base.frame(spark).withColumn("entity", F.concat(F.lit("e"), "id"))
+    found = reports.appraise(plans, MULTIPLES.base.frame(spark).withColumn("entity", F.lit("e1")).where("id < 3"), ROUNDS.base.frame(spark).drop("pre_money").withColumn("entity", F.lit("e2")))
     assert found.columns == reports.RESULT
     rows = found.collect()
     first = next(r for r in rows if r.entity == "e1" and r.method == "dcf")
