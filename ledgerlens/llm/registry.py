@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontamination, license_scans, ngram_join, packed_binary, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
+from . import (
+    branch_merge,
+    decontamination,
+    exact_dedup,
+    license_scans,
+    ngram_join,
+    packed_binary,
+    packing,
+    periodic_runs,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,9 +29,14 @@ QUERIES = {
     "op8_packed_binary": packed_binary.query,
     "op9_ngram_join": ngram_join.query,
     "op10_decontamination": decontamination.query,
+    "op11_exact_dedup": exact_dedup.query,
+    "op12_branch_merge": branch_merge.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_ngram_join": ngram_join.SQL,
     "op10_decontamination": decontamination.SQL,
+    "op11_exact_dedup": exact_dedup.SQL,
+    "op12_branch_merge": branch_merge.SQL,
 }
