@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import fixture_queries, more_queries, parsing_queries, recipe_queries, survey_queries, table_queries  # noqa: F401  each module registers its queries
+from . import fixture_queries, index_queries, more_queries, parsing_queries, recipe_queries, survey_queries, table_queries  # noqa: F401  each module registers its queries
 
 QUERIES, SQL = table_queries.QUERIES, table_queries.SQL
