@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,35 @@ def normal_form(text: Column) -> Column:
     return F.translate(nfkc(text), RADICALS, RADICALS_AS)
 
 
+#: Traditional characters of financial reports and their simplified forms.
+TRADITIONAL = (
+    "資產負債總額權業務應賬帳項現銀餘結貿廠設備稅潤營動經籌於揮潛購買賣費銷財減淨長計無遞預虧貸儲攤舊發"
+    "貨幣損綜報註準則與轉換間屬處終彌補壞誤審閱會師書東聯匯兌為個們來時後從當對國際實質價過運輸車輛"
+    "機構築電氣訊號碼頭廣場開關門閉閒險單據證認識議論許諾調試驗專類別級組織線網絡維續繼給約紙純細縮"
+    "創劃勞勝勢區協衛參雙變嚴員喪團園圓圖圍壓執獎婦學寫寬導將尋數檢標歸決況測漲確種範簡擬擔盤監獲異"
+)
+SIMPLIFIED = (
+    "资产负债总额权业务应账账项现银余结贸厂设备税润营动经筹于挥潜购买卖费销财减净长计无递预亏贷储摊旧发"
+    "货币损综报注准则与转换间属处终弥补坏误审阅会师书东联汇兑为个们来时后从当对国际实质价过运输车辆"
+    "机构筑电气讯号码头广场开关门闭闲险单据证认识议论许诺调试验专类别级组织线网络维续继给约纸纯细缩"
+    "创划劳胜势区协卫参双变严员丧团园圆图围压执奖妇学写宽导将寻数检标归决况测涨确种范简拟担盘监获异"
+)
+
+
+def simplified(text: Column, pairs: dict[str, str] | None = None) -> Column:
+    """Traditional characters of reports as simplified ones (F8); ``pairs``: a fuller table of one's own."""
+    pairs = pairs or dict(zip(TRADITIONAL, SIMPLIFIED, strict=True))
+    return F.translate(text, "".join(pairs), "".join(pairs.values()))
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores in front until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def unmapped_radicals(text: Column) -> Column:
     """Characters of the radical blocks that the normal form leaves."""
     return F.array_distinct(F.regexp_extract_all(normal_form(text), F.lit("([⺀-⻿⼀-⿟])"), F.lit(1)))

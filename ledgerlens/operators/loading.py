@@ -2,29 +2,54 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import lenient_number, row_number_like
-from ..functions.text import normal_form
+from ..functions.text import free_name, normal_form, simplified
 from . import layout, statements
 from .derived import pivot_fields
 
-#: Traditional characters of account names, and the simplified ones they stand for.
-TRADITIONAL, SIMPLIFIED = "貨幣資產負債總額權業務應收賬項現銀餘貿產廠設備稅潤營動經籌於揮潛購買賣費銷財務減淨", "货币资产负债总额权业务应收账项现银余贸产厂设备税润营动经筹于挥潜购买卖费销财务减净"
-#: Detail lines by which a statement's page is told from a discussion of it, and how many are enough.
+#: Lines that a statement has and a discussion of it doesn't.
 DETAIL_LINES = {
-    "balance": (["货币资金", "应收账款", "存货", "固定资产", "应付账款", "短期借款", "预付款项", "其他应收款", "应付职工薪酬", "应交税费", "cash and cash equivalents", "cash and bank balances", "trade receivables", "inventories", "property, plant and equipment"], 3),
-    "income": (["营业成本", "税金及附加", "销售费用", "管理费用", "研发费用", "财务费用", "资产减值损失", "信用减值损失", "其他收益", "cost of sales", "gross profit", "operating expenses", "administrative expenses", "finance costs"], 2),
-    "cash_flow": (["收到的税费返还", "支付的各项税费", "收回投资收到的现金", "取得投资收益收到的现金", "购建固定资产", "取得借款收到的现金", "偿还债务支付的现金", "cash generated from operations", "cash received from customers", "payments to suppliers", "payments to employees", "income tax paid", "interest received"], 3),
+    "balance": [
+        "货币资金", "应收账款", "存货", "固定资产", "应付账款", "短期借款", "预付款项", "其他应收款", "应付职工薪酬", "应交税费",
+        "cash and cash equivalents", "cash and bank balances", "trade receivables", "inventories", "property, plant and equipment",
+        "loans and advances", "insurance contract liabilities", "insurance contract assets", "financial investments",
+    ],
+    "income": [
+        "营业成本", "税金及附加", "销售费用", "管理费用", "研发费用", "财务费用", "资产减值损失", "信用减值损失", "其他收益",
+        "cost of sales", "gross profit", "operating expenses", "insurance revenue", "insurance service expenses", "administrative expenses", "finance costs", "interest income",
+    ],
+    "cash_flow": [
+        "销售商品、提供劳务收到的现金", "收到的税费返还", "购买商品、接受劳务支付的现金", "支付给职工以及为职工支付的现金", "支付的各项税费",
+        "收回投资收到的现金", "取得投资收益收到的现金", "购建固定资产", "取得借款收到的现金", "偿还债务支付的现金",
+        "分配股利、利润或偿付利息支付的现金", "收到的其他与经营活动有关的现金",
+        "cash generated from operations", "cash received from customers", "payments to suppliers", "payments to employees", "income tax paid",
+        "interest received", "dividends received", "purchases of investments", "proceeds from disposal of investments",
+    ],
 }
-MIN_ROWS = 2
+LINE_POINTS, MIN_ROWS = 25, 2
+
+
+@dataclass(frozen=True)
+class Against:
+    """What speaks against a page: a pattern in its first ``head`` characters (0: anywhere), unless it also has ``unless``, and what it costs."""
+
+    pattern: str
+    cost: int
+    head: int = 0
+    unless: str = ""
 
 
-def simplified(text: Column) -> Column:
-    """Traditional characters of account names as simplified ones (F8)."""
-    pairs = dict(zip(TRADITIONAL, SIMPLIFIED, strict=True))
-    return F.translate(text, "".join(pairs), "".join(pairs.values()))
+#: A parent company's statement; a segment report; a table of changes in the management's discussion.
+AGAINST = [
+    Against(r"母公司\s*(资产负债表|利润表|现金流量表|损益表)", 60, unless="合并"),
+    Against(r"分部报告|分部間|分部利润|分部分析|分部資料|segment information|segment results", 80, head=200),
+    Against(r"情况说明|变动原因|变动比例|变动情况|主要原因|management discussion and analysis|change \(%\)", 100, head=300),
+]
 
 
 def plausible_label(text: Column) -> Column:
@@ -61,21 +86,26 @@ def image_resolution(images: DataFrame, page: list[str], least: float = 0.5) ->
 
 
 def page_evidence(pages: DataFrame, text: str = "text", rows: str = "rows") -> DataFrame:
-    """balance, income and cash_flow scores of each page with what speaks against it.
+    """balance, income and cash_flow scores of each page, with what speaks for and against it.
 
-    Simplified first; 25 for each detail line up to what is enough, 100 less where there are fewer; 60 less for a parent company's
-    statement, 80 less for segments. A page with fewer than MIN_ROWS table rows has 0; scores don't fall below it.
+    Texts are simplified first. A kind that two groups of markers or more speak for gets LINE_POINTS for each of its detail lines and loses what AGAINST says; few
+    detail lines cost nothing, and a score may fall below 0. A page with fewer than MIN_ROWS table rows, or none known, has 0.
     """
-    t = simplified(F.coalesce(F.col(text), F.lit("")))
-    scored = statements.statement_scores(pages.withColumn("_text", t), "_text")
-    low = F.lower(F.col("_text"))
-    parent = F.contains(low, F.lit("母公司")) & ~F.contains(low, F.lit("合并")) | F.contains(low, F.lit("parent company"))
-    segment = F.contains(low, F.lit("分部")) | F.contains(low, F.lit("segment"))
-    for kind, (lines, enough) in DETAIL_LINES.items():
-        hits = sum((F.contains(low, F.lit(x)).cast("int") for x in lines), F.lit(0))
-        score = F.col(kind) + 25 * F.least(hits, F.lit(enough)) - F.when(hits < enough, 100).otherwise(0) - F.when(parent, 60).otherwise(0) - F.when(segment, 80).otherwise(0)
-        scored = scored.withColumn(kind, F.when((F.col(kind) > 0) & (F.col(rows) >= MIN_ROWS), F.greatest(score, F.lit(0))).otherwise(0))
-    return scored.drop("_text")
+    simple, low, cost = (free_name(pages, c) for c in ("_text", "_low", "_cost"))
+    t = F.col(simple)
+    scored = statements.statement_scores(pages.withColumn(simple, simplified(F.coalesce(F.col(text), F.lit("")))), simple)
+
+    def price(a: Against) -> Column:
+        head = F.substring(t, 1, a.head) if a.head else t
+        hit = head.rlike(f"(?i){a.pattern}")
+        return F.when(hit & ~F.contains(t, F.lit(a.unless)) if a.unless else hit, a.cost).otherwise(0)
+
+    scored = scored.withColumns({low: F.lower(t), cost: sum(map(price, AGAINST), F.lit(0))})
+    for kind, lines in DETAIL_LINES.items():
+        hits = sum((F.contains(F.col(low), F.lit(x)).cast("int") for x in lines), F.lit(0))
+        counts = (F.col(kind) > 0) & (F.coalesce(F.col(rows), F.lit(0)) >= MIN_ROWS)
+        scored = scored.withColumn(kind, F.when(counts, F.col(kind) + LINE_POINTS * hits - F.col(cost)).otherwise(0))
+    return scored.drop(simple, low, cost)
 
 
 def evidence_text(pages: DataFrame, picked: DataFrame, doc: str, page: str = "page", text: str = "text") -> DataFrame:

@@ -138,7 +138,7 @@ def open_questions(spark, sf_dir):
     """WITH s AS (SELECT doc_id, lower(text) AS t FROM documents), h AS (SELECT doc_id, CAST(contains(t, 'the ') AS INTEGER) + CAST(contains(t, ' of ') AS INTEGER) AS a, CAST(contains(t, 'license') AS INTEGER) AS b, CAST(contains(t, 'idiot') AS INTEGER) + CAST(contains(t, 'scum') AS INTEGER) AS c FROM s)
 SELECT doc_id, CASE WHEN (a > 0)::INT + (b > 0)::INT + (c > 0)::INT >= 2 THEN 100 * ((a > 0)::INT + (b > 0)::INT + (c > 0)::INT) + a + b + c ELSE 0 END AS score FROM h"""
 )
-def page_evidence(spark, sf_dir):
+def keyword_evidence(spark, sf_dir):
     """Scores by groups of keywords."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return statements.page_scores(docs, {"score": [["the ", " of "], ["license"], ["idiot", "scum"]]}).select("doc_id", "score")

@@ -149,18 +149,6 @@ def image_resolution(spark, sf_dir):
     return loading.image_resolution(images, ["l_orderkey"])
 
 
-_PAGE = """concat(CASE WHEN p_partkey % 3 = 0 THEN '母公司' ELSE '合并' END, '资产负债表 资产总计 负债合计 流动资产合计 货币资金 ', CASE WHEN p_partkey % 2 = 0 THEN '应收账款 存货 ' ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN '分部' ELSE '' END)"""
-
-
-@query(
-    """SELECT p_partkey, CAST(CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE greatest(304 + CASE WHEN p_partkey % 2 = 0 THEN 2 + 75 ELSE 25 - 100 END - CASE WHEN p_partkey % 3 = 0 THEN 60 ELSE 0 END - CASE WHEN p_partkey % 5 = 0 THEN 80 ELSE 0 END, 0) END AS INTEGER) AS balance, 0 AS income FROM part"""
-)
-def page_evidence(spark, sf_dir):
-    """Evidence that a page is a statement, with what speaks against it (G26, K9): pages made from parts."""
-    pages = read(spark, sf_dir, "part").select("p_partkey", F.expr(_PAGE).alias("text"), F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(9).alias("rows"))
-    return loading.page_evidence(pages).select("p_partkey", F.col("balance").cast("int").alias("balance"), F.col("income").cast("int").alias("income"))
-
-
 @query("SELECT event_id, arg_max(l, k) AS label FROM (SELECT a.event_id, b.event_id AS k, b.event_type AS l FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_id <= a.event_id AND b.event_type IN ('signup', 'purchase')) GROUP BY event_id UNION ALL SELECT event_id, NULL FROM events a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE a.user_id = b.user_id AND b.event_id <= a.event_id AND b.event_type IN ('signup', 'purchase'))")
 def carried_labels(spark, sf_dir):
     """Rows without a label take the last one before (W16): events of a user as rows of a page."""
