@@ -1,17 +1,14 @@
 """Figures in running text: amounts after labels, share structure, reconciliation notes, text-flow tables.
 
-All but the text-flow tables are column expressions over a page's text.
+All are column expressions over a page's text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .statements import ACCOUNTS
 
@@ -101,57 +98,69 @@ def share_structure(text: Column) -> Column:
     )
 
 
-_LABEL = r"[一-鿿（）()、·：:“”‘’\-—／/《》〈〉]+"
-_VALUE = r"(?:\(?-?[\d,]+(?:\.\d+)?\)?|—|–|-)"
-_PIECE = re.compile(rf"({_LABEL})[\s　]*({_VALUE}(?:[\s　]+{_VALUE}){{0,5}})")
+#: A page read as running text is a row of runs of label characters, amounts, and anything else. A dash or bracket
+#: belongs to a label only where no amount can begin with it.
+_RUN = r"(?:[一-鿿（）)、·：:“”‘’／/《》〈〉]|\((?!-?[0-9])|[\-—](?=[一-鿿]))+"
+_AMOUNT = r"\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?|[—–-]"
+_TOKENS = rf"({_RUN}|{_AMOUNT}|[^\s　])"
+#: Amounts that a row has at most, periods that count, and the largest line number.
+MOST_AMOUNTS, MOST_PERIODS, MOST_LINES = 6, 4, 400
+FLOW_ROWS = 8
 
 
-def known_suffixes(run: str, names: set[str]) -> list[str]:
-    """The known names at the end of a run of characters, last first, the longest each time."""
-    sizes = sorted({len(n) for n in names if len(n) >= 2}, reverse=True)
-    found = []
-    while run:
-        hit = next((run[-k:] for k in sizes if k <= len(run) and run[-k:] in names), None)
-        if hit:
-            found.append(hit)
-        run = run[: -len(hit)] if hit else run[:-1]
-    return found
+def account_names() -> list[str]:
+    """The Chinese names of two characters or more that ACCOUNTS has."""
+    return sorted({n for a in ACCOUNTS for n in a.names if re.match("[一-鿿]{2}", n)})
 
 
-def text_flow(text: str | None, names: set[str]) -> list[tuple[str, str, str, str]]:
-    """(label, note, current, prior) rows of a table that was read as running text."""
-    rows = []
-    for m in _PIECE.finditer(text or ""):
-        labels = known_suffixes(m[1], names)
-        if not labels:
-            continue
-        values, note = m[2].split(), ""
-        if len(values) >= 3:
-            if values[0].isdigit() and len(values[0]) <= 3 and int(values[0]) <= 400:
-                note, values = values[0], values[1:]
-            else:
-                values = values[:4]
-        current, prior = [*values, "", ""][:2]
-        rows.append((labels[0], note, current, prior))
-        rows += [(x, "", "", "") for x in labels[1:]]
-    return rows
+def known_names(run: Column, names: list[str]) -> Column:
+    """The known names in a run of characters, last first; of names that end alike the longest.
 
+    Read backwards, these are the matches, one after the other, of all reversed names as alternatives, the long ones first.
+    """
+    backwards = "|".join(re.escape(n[::-1]) for n in sorted(names, key=lambda n: (-len(n), n)))
+    return F.transform(F.regexp_extract_all(F.reverse(run), F.lit(f"({backwards})"), F.lit(1)), lambda x: F.reverse(x))
+
+
+def flow_pieces(text: Column, names: list[str]) -> Column:
+    """array<struct<labels, values>>: each run with known names that amounts follow, and these amounts."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_TOKENS), F.lit(1))
+
+    def pieces(t: Column) -> Column:
+        def after(k: Column) -> Column:
+            following = F.slice(t, k + 2, MOST_AMOUNTS)
+            other = F.array_position(F.transform(following, lambda x: x.rlike(f"^(?:{_AMOUNT})$")), False)
+            return F.when(other > 0, F.slice(following, F.lit(1), other.cast("int") - 1)).otherwise(following)
 
-def account_names() -> set[str]:
-    return {n for a in ACCOUNTS for n in a.names if re.match("[一-鿿]", n)}
+        runs = F.transform(t, lambda x, k: F.when(x.rlike("[一-鿿]"), F.struct(known_names(x, names).alias("labels"), after(k).alias("values"))))
+        return F.filter(runs, lambda p: (F.size(p["labels"]) > 0) & (F.size(p["values"]) > 0))
 
+    return F.transform(F.array(tokens), pieces)[0]
 
-def is_text_flow(text: str | None, names: set[str]) -> bool:
-    """Whether eight pieces or more end in a known name."""
-    return sum(bool(known_suffixes(m[1], names)) for m in _PIECE.finditer(text or "")) >= 8
 
+def text_flow(text: Column, names: list[str]) -> Column:
+    """array<struct<label, note, current, prior>>: the rows of a table that was read as running text.
+
+    The last name before the amounts has them; names before it have none. Of three amounts or more a first one that can be a line number
+    is the note. Periods go from new to old, so the first two count.
+    """
+    cell = lambda values, k: F.coalesce(F.get(values, F.lit(k)), F.lit(""))
+
+    def rows(p: Column) -> Column:
+        v = p["values"]
+        numbered = (F.size(v) >= 3) & v[0].rlike("^[0-9]{1,3}$") & (v[0].try_cast("int") <= MOST_LINES)
+        rest = F.when(numbered, F.slice(v, 2, MOST_AMOUNTS)).otherwise(F.slice(v, 1, MOST_PERIODS))
+        return F.transform(p["labels"], lambda name, k: F.struct(
+            name.alias("label"), F.when((k == 0) & numbered, v[0]).otherwise("").alias("note"),
+            F.when(k == 0, cell(rest, 0)).otherwise("").alias("current"), F.when(k == 0, cell(rest, 1)).otherwise("").alias("prior"),
+        ))
 
-def by_page(f: Callable[[str | None], object], kind: T.DataType) -> Callable[[Column], Column]:
-    """A function of a page's text as a column function."""
-    return F.pandas_udf(lambda s: pd.Series([f(x) for x in s], dtype=object), kind)
+    return F.flatten(F.transform(flow_pieces(text, names), rows))
 
 
-FLOW = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("label", "note", "current", "prior")]))
+def is_text_flow(text: Column, names: list[str]) -> Column:
+    """Whether FLOW_ROWS pieces or more have a known name."""
+    return F.size(flow_pieces(text, names)) >= FLOW_ROWS
 
 
 def reconciliation_pages(pages: DataFrame, doc: str, page: str, text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import SIMPLIFIED, TRADITIONAL
-from ..operators import labels, loading, statements
+from ..operators import labels, loading, notes, statements
 from .table_queries import query, read
 
 
@@ -130,3 +130,32 @@ def page_evidence(spark, sf_dir):
     """Evidence that a page is a statement, and what speaks against it (G26, G27, K7-K9): pages put together from words."""
     pages = read(spark, sf_dir, "part").select("p_partkey", F.expr(_page(False)).alias("text"), (F.col("p_size") % 5).alias("rows"))
     return loading.page_evidence(pages).select("p_partkey", *(F.col(k).cast("int").alias(k) for k in ("balance", "income", "cash_flow")))
+
+
+#: What pages of running text are put together from: runs of names, some not known, and amounts.
+_RUNS = ["货币资金", "流动资产合计应收账款", "项目应收账款存货", "不认识的科目", "归属于母公司股东的净利润", "净利润", "其中：存货", "负债和所有者权益总计", "表头 固定资产"]
+_FIGURES = [" 5 1,000.00 900.00", " 20 ", "(1,234.5) —", " 401 7 6 5 4", " 12 34 56 78 90 12 34", " x 9", "  8.0　7.5 ", " — 3"]
+_NAMES_BACK = "|".join(n[::-1] for n in sorted(notes.account_names(), key=lambda n: (-len(n), n)))
+
+
+def _flow_page(sql: bool) -> str:
+    parts = [f"{_pick(_RUNS, f's_suppkey * {a} + {k}', sql)}, {_pick(_FIGURES, f's_suppkey * {b} + {k}', sql)}, ' '" for k, (a, b) in enumerate([(1, 1), (2, 3), (5, 5), (7, 1), (4, 7), (1, 3), (8, 5), (2, 1), (7, 7), (5, 3)])]
+    return f"concat({', '.join(parts)})"
+
+
+@query(
+    rf"""WITH t AS (SELECT s_suppkey, regexp_extract_all({_flow_page(True)}, '[一-鿿：]+|\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?|—|[^\s　]') AS t FROM supplier),
+k AS (SELECT s_suppkey, t, unnest(range(1, len(t) + 1)) AS k FROM t),
+p AS (SELECT s_suppkey, k, list_transform(regexp_extract_all(reverse(t[k]), '{_NAMES_BACK}'), lambda x: reverse(x)) AS labels, t[k + 1 : k + 6] AS f, list_transform(t[k + 1 : k + 6], lambda x: regexp_full_match(x, '\(?-?[0-9][0-9,]*(\.[0-9]+)?\)?|—')) AS a FROM k WHERE regexp_matches(t[k], '[一-鿿]')),
+v AS (SELECT s_suppkey, k, labels, CASE WHEN list_contains(a, false) THEN f[1 : list_position(a, false) - 1] ELSE f END AS v FROM p),
+n AS (SELECT *, len(v) >= 3 AND regexp_full_match(v[1], '[0-9]{{1,3}}') AND try_cast(v[1] AS INT) <= 400 AS numbered FROM v WHERE len(labels) > 0 AND len(v) > 0),
+c AS (SELECT *, CASE WHEN numbered THEN v[2:] ELSE v END AS c, unnest(range(1, len(labels) + 1)) AS j FROM n)
+SELECT s_suppkey, CAST(row_number() OVER (PARTITION BY s_suppkey ORDER BY k, j) - 1 AS INTEGER) AS row_no, labels[j] AS label, CASE WHEN j = 1 AND numbered THEN v[1] ELSE '' END AS note,
+CASE WHEN j = 1 THEN coalesce(c[1], '') ELSE '' END AS "current", CASE WHEN j = 1 THEN coalesce(c[2], '') ELSE '' END AS prior, count(DISTINCT k) OVER (PARTITION BY s_suppkey) >= 8 AS flows FROM c"""
+)
+def text_flow_rows(spark, sf_dir):
+    """Tables that were read as running text, names run together among them (F13-F15): pages put together from runs and amounts."""
+    names = notes.account_names()
+    pages = read(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_flow_page(False)).alias("t"))
+    rows = pages.select("s_suppkey", notes.is_text_flow(F.col("t"), names).alias("flows"), F.posexplode(notes.text_flow(F.col("t"), names)).alias("row_no", "x"))
+    return rows.select("s_suppkey", "row_no", "x.*", "flows")

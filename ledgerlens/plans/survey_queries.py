@@ -447,15 +447,3 @@ def html_cells(spark, sf_dir):
         F.lit("<html><style>td{}</style><table><tr><td rowspan=2><b>"), F.col("s_name"), F.lit("</b></td><td>$</td><td>("), k, F.lit("</td><td>)</td></tr><tr><td><a class='defref_us-gaap_Assets'>"), (F.col("s_suppkey") * 7).cast("string"), F.lit("</a></td></tr></table>")
     )
     return html.extract_tables(read(spark, sf_dir, "supplier").select("s_suppkey", page.alias("html")), "s_suppkey")
-
-
-@query(
-    """SELECT s_suppkey, '货币资金' AS label, CAST(s_suppkey % 90 + 1 AS VARCHAR) AS note, s_suppkey || ',000.00' AS "current", '900.00' AS prior FROM supplier UNION ALL SELECT s_suppkey, '存货', '', '20', CAST(s_suppkey AS VARCHAR) FROM supplier UNION ALL SELECT s_suppkey, '应收账款', '', '', '' FROM supplier WHERE s_suppkey % 2 = 0"""
-)
-def text_flow_rows(spark, sf_dir):
-    """Tables that were read as running text, labels run together among them (F13-F15): pages made from suppliers."""
-    names = notes.account_names()
-    rows = notes.by_page(lambda t: [dict(zip(("label", "note", "current", "prior"), r, strict=True)) for r in notes.text_flow(t, names)], notes.FLOW)
-    k = F.col("s_suppkey")
-    t = F.concat(F.lit("项目 货币资金 "), (k % 90 + 1).cast("string"), F.lit(" "), k.cast("string"), F.lit(",000.00 900.00 "), F.when(k % 2 == 0, "应收账款存货").otherwise("存货"), F.lit(" 20 "), k.cast("string"))
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(rows(t)).alias("x")).select("s_suppkey", "x.*")

@@ -69,12 +69,18 @@ def test_amounts_in_text(spark):
     assert [(r.first, r.last) for r in notes.statement_ranges(toc, "doc").orderBy("first").collect()] == [(10, 13), (14, None)]
 
 
-def test_text_flow():
+def test_text_flow(spark):
     names = notes.account_names()
-    assert notes.known_suffixes("合并货币资金存货", names) == ["存货", "货币资金"]
-    got = notes.text_flow("项目 货币资金 5 1,000.00 900.00 存货 20 10", names)
-    assert got == [("货币资金", "5", "1,000.00", "900.00"), ("存货", "", "20", "10")]
-    assert not notes.is_text_flow("货币资金 1", names) and notes.is_text_flow(" ".join(f"存货 {i}" for i in range(9)), names)
+    flow = ["项目 货币资金 5 1,000.00 900.00 存货 20 10", "货币资金 1", " ".join(f"存货 {i}" for i in range(9)), None, "", "存货(12.5)—", "应收账款存货 - 7 x 固定资产", "存货 500 1 2 3 4 5 6 7", "存货 18 1 2", "表-货币资金 3"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(flow)], "k int, t string")
+    got = {r.k: ([tuple(x) for x in r.rows], r.flows) for r in df.select("k", notes.text_flow(F.col("t"), names).alias("rows"), notes.is_text_flow(F.col("t"), names).alias("flows")).collect()}
+    assert got[0] == ([("货币资金", "5", "1,000.00", "900.00"), ("存货", "", "20", "10")], False)
+    assert got[2] == ([("存货", "", str(i), "") for i in range(9)], True) and not got[1][1]
+    assert got[3] == got[4] == ([], False) and got[5][0] == [("存货", "", "(12.5)", "—")]
+    assert got[6][0] == [("存货", "", "-", "7"), ("应收账款", "", "", "")] and got[7][0] == [("存货", "", "500", "1")]
+    assert got[8][0] == [("存货", "18", "1", "2")] and got[9][0] == [("货币资金", "", "3", "")]
+    runs = spark.createDataFrame([("合并货币资金存货",), ("归属于母公司股东的净利润",), ("无",)], "t string").select(notes.known_names(F.col("t"), names).alias("n")).collect()
+    assert [r.n for r in runs] == [["存货", "货币资金"], ["归属于母公司股东的净利润"], []]
 
 
 def test_ask_and_verify(spark):
