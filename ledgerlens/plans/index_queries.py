@@ -1,10 +1,11 @@
-"""Queries over a stored index that is built from documents."""
+"""Queries over what documents and pages are stored as: an index, a folder of files."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import index
+from ..sources import materials
 from ..sources.work import new_folder
 from .table_queries import _TOKENS, SEARCH, SQL, query, read
 
@@ -29,3 +30,14 @@ def index_terms(spark, sf_dir):
     """What a stored index says about each term of each source, read without the lists."""
     postings = _built(spark, sf_dir).postings
     return postings.groupBy(F.coalesce("source", F.lit("")).alias("source"), "term").agg(F.sum("n").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+
+
+@query("SELECT page_id, 'html' AS kind, md5(html) AS md5, CAST(strlen(html) AS BIGINT) AS n_bytes FROM pages")
+def landed_pages(spark, sf_dir):
+    """Pages landed as files and read again by the data source for materials."""
+    materials.register(spark)
+    folder = new_folder(spark, "landed")
+    pages = read(spark, sf_dir, "pages").select(F.concat((F.col("page_id") % 16).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
+    pages.write.format("materials").mode("append").save(folder)
+    landed = spark.read.format("materials").load(folder)
+    return landed.select(F.regexp_extract("path", r"([0-9]+)\.html$", 1).cast("long").alias("page_id"), "kind", F.md5(F.col("text").cast("binary")).alias("md5"), F.col("length").alias("n_bytes"))
