@@ -115,7 +115,7 @@ def term_score(n: Column, df: Column, tf: Column, length: Column, average: Colum
     return idf(n, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.greatest(length, F.lit(1)) / average))
 
 
-def search(index: Index, query: str, top: int = 6, glossary: dict[str, list[str]] | None = None, first: int = FIRST_GROUPS) -> DataFrame:
+def search(index: Index, query: str, top: int = 6, terms: dict[str, list[str]] | None = None, first: int = FIRST_GROUPS) -> DataFrame:
     """The ``top`` documents by BM25 score, ties by key: doc, score; the same rows as scanning all texts would give.
 
     A group's score is bounded by the sum of what its largest frequency and smallest length give for each term. The ``first`` groups by bound are
@@ -123,7 +123,7 @@ def search(index: Index, query: str, top: int = 6, glossary: dict[str, list[str]
     lists. The driver gets a row for each query term, ``first`` groups and ``top`` scores.
     """
     spark = index.postings.sparkSession
-    weights: Counter = query_terms(query, glossary)
+    weights: Counter = query_terms(spark, query, terms)
     found = index.of_terms(sorted(weights))
     df = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.sum("n").alias("df")).collect()}
     if not df:

@@ -54,7 +54,7 @@ EVIDENCE = [
 
 def ask(chunks: DataFrame, question: str, key: str = "chunk_id", top: int = 6) -> DataFrame:
     """The passages that answer a question, with the text, best first (H1)."""
-    ranked = bm25(chunks, question, key, top=top, glossary=GLOSSARY)
+    ranked = bm25(chunks, question, key, top=top, terms=GLOSSARY)
     return ranked.join(chunks, key).orderBy(F.desc("score"), key)
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokenize
+from . import glossary
 
 K1, B = 1.5, 0.75
 
@@ -88,43 +89,23 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
-def query_terms(query: str, glossary: dict[str, list[str]] | None = None) -> Counter:
-    """Terms of a query with their multiplicity, which weighs (Q10), after glossary expansion."""
-    text = expand_query(query, glossary or {})
+def query_terms(spark: SparkSession, query: str, terms: dict[str, list[str]] | None = None) -> Counter:
+    """Terms of a query with their multiplicity, which weighs (Q10), after glossary expansion."""
+    text = spark.range(1).select(glossary.expanded(F.lit(query), glossary.forms(terms))).first()[0] if terms else query
     low = text.lower()
     words = re.findall(r"[a-z0-9][a-z0-9.%]*", low)
     chars = re.findall(r"[一-鿿㐀-䶿]", low)
     return Counter([*words, *chars, *(a + b for a, b in zip(chars, chars[1:], strict=False))])
 
 
-def expand_query(query: str, glossary: dict[str, list[str]], most: int = 16) -> str:
-    """The query and the other-language words of its glossary terms.
-
-    Longer forms go first and take their letters; a word that the query has is not added.
-    """
-    low, used, added = query.lower(), [False] * len(query), []
-    forms = sorted(((form, words) for form, words in glossary.items() if form), key=lambda f: (-len(f[0]), f[0]))
-    for form, words in forms:
-        at = low.find(form.lower())
-        while at >= 0 and any(used[at : at + len(form)]):
-            at = low.find(form.lower(), at + 1)
-        if at < 0:
-            continue
-        used[at : at + len(form)] = [True] * len(form)
-        for w in words:
-            if len(added) < most and w.lower() not in low and w not in added:
-                added.append(w)
-    return " ".join([query, *added])
-
-
-def bm25(docs: DataFrame, query: str, key: str, text: str = "text", top: int = 6, glossary: dict[str, list[str]] | None = None) -> DataFrame:
+def bm25(docs: DataFrame, query: str, key: str, text: str = "text", top: int = 6, terms: dict[str, list[str]] | None = None) -> DataFrame:
     """The ``top`` documents by BM25 score, ties by key: key, score.
 
     Only the query's terms are counted, inside each row; one aggregation gives the corpus figures
-    and one scan scores. Nothing but the top rows is sorted or moved.
+    and one scan scores. Nothing but the top rows is sorted or moved. ``terms``: a glossary that expands the query.
     """
-    terms = query_terms(query, glossary)
-    names = sorted(terms)
+    weights = query_terms(docs.sparkSession, query, terms)
+    names = sorted(weights)
     tokens = tokenize(F.col(text))
     counted = docs.select(key, tokens.alias("_tokens"))
     times = lambda t: F.size(F.filter("_tokens", lambda x: x == F.lit(t)))
@@ -137,7 +118,7 @@ def bm25(docs: DataFrame, query: str, key: str, text: str = "text", top: int = 6
     for i, t in enumerate(names):
         f = F.col(f"_tf{i}")
         part = idf(F.col("_n"), F.col(f"_df{i}")) * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.col("_avg")))
-        score = score + F.when(f > 0, F.lit(float(terms[t])) * part).otherwise(0.0)
+        score = score + F.when(f > 0, F.lit(float(weights[t])) * part).otherwise(0.0)
     return scored.select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(top)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index
+from ..operators import glossary, index
 from ..sources import materials
 from ..sources.work import new_folder
 from .table_queries import _TOKENS, SEARCH, SQL, query, read
@@ -41,3 +41,21 @@ def landed_pages(spark, sf_dir):
     pages.write.format("materials").mode("append").save(folder)
     landed = spark.read.format("materials").load(folder)
     return landed.select(F.regexp_extract("path", r"([0-9]+)\.html$", 1).cast("long").alias("page_id"), "kind", F.md5(F.col("text").cast("binary")).alias("md5"), F.col("length").alias("n_bytes"))
+
+
+#: Forms of a small glossary in the order in which they take letters, with the words they add.
+_FORMS = [("of the", ["de la"]), ("in the", ["en la", "dans le"]), ("de la", ["of the"]), ("that", ["que", "dass"]), ("tion", ["cion"]), ("the", ["le", "der"]), ("and", ["und", "et"]), ("que", ["that"]), ("der", ["the"]), ("an", ["un"]), ("en", ["in"]), ("on", ["sur", "en"]), ("é", ["e"])]
+
+
+@query(
+    f"""WITH RECURSIVE f AS (SELECT * FROM (VALUES {", ".join(f"({k + 1}, '{w}', {words})" for k, (w, words) in enumerate(_FORMS))}) AS v(k, form, words)), t AS (
+SELECT conv_id, turn, 0 AS k, coalesce(text, '') AS whole, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS had, CAST([] AS VARCHAR[]) AS added FROM conversations
+UNION ALL SELECT conv_id, turn, k, CASE WHEN pos > 0 THEN whole[1 : pos - 1] || repeat('#', length(form)) || whole[pos + length(form) :] ELSE whole END, CASE WHEN pos > 0 THEN low[1 : pos - 1] || repeat('#', length(form)) || low[pos + length(form) :] ELSE low END, had,
+CASE WHEN pos > 0 THEN list_concat(added, list_filter(words, lambda w: NOT contains(had, w) AND NOT list_contains(added, w))) ELSE added END
+FROM (SELECT t.*, f.k, form, words, CASE WHEN len(added) >= 4 THEN 0 ELSE instr(CASE WHEN form = 'é' THEN whole ELSE low END, form) END AS pos FROM t JOIN f ON f.k = t.k + 1) AS x(conv_id, turn, old, whole, low, had, added, k, form, words, pos))
+SELECT conv_id, turn, array_to_string(added, ',') AS added FROM t WHERE k = {len(_FORMS)}"""
+)
+def expanded_turns(spark, sf_dir):
+    """The words that each turn of a conversation adds by its terms (J13, T3): long forms take their letters first, at most 4 words."""
+    turns = read(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", F.array_join(glossary.added_words(F.col("text"), _FORMS, 4), ",").alias("added"))

@@ -11,7 +11,7 @@ from ..operators import valuation as v
 
 from .fixture import Fixture, Spread
 from .fixture_queries import MULTIPLES, PLANS
-from .table_queries import query, read
+from .table_queries import SQL, query, read
 
 BALANCES = Spread(Fixture(
     "id int, short_term_debt double, long_term_debt double, cash double, short_term_investments double, total_liabilities double, accounts_payable double",
@@ -187,13 +187,10 @@ def percent_figures(spark, sf_dir):
     return peers.percent_fields(m, "f", ["pe"]).select("code", F.explode("f").alias("metric", "value"))
 
 
-PASSAGES = Fixture("chunk_id string, text string", [("S1", "净利润 grew"), ("S2", "net income fell"), ("S3", "weather")])
-
-
-@query("SELECT * FROM (VALUES ('S1'), ('S2')) AS v(chunk_id)")
+@query(SQL["bm25_topk"].replace("['worthless', 'thing', 'of', 'the', 'station']", "['营业收入', 'worthless', 'thing', 'revenue', 'net', 'sales']").replace("doc_id, round(", "doc_id AS chunk_id, round(").replace("ORDER BY score DESC, doc_id", "ORDER BY score DESC, chunk_id"))
 def ask(spark, sf_dir):
-    """Passages for a question in either language."""
-    return recipes.ask(PASSAGES.frame(spark), "净利润").select("chunk_id")
+    """Passages for a question in two languages (H1, J13, K1): its term adds the other language's words."""
+    return recipes.ask(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), "营业收入 worthless thing").select("chunk_id", F.round("score", 6).alias("score"))
 
 
 BETAS = Spread(Fixture("id int, beta double, debt double, equity double, tax double", [(1, 1.2, 30.0, 70.0, 0.25), (2, 1.0, 5.0, 0.0, 0.2)]))
