@@ -325,22 +325,58 @@ def brute_hits(text, items):
         for a in range(len(w) - k + 1 if k else 0):
             if tuple(w[a : a + k]) in windows:
                 hit.update(range(a, a + k))
-                found.add(str(i))
-    return len(w), len(hit), sorted(found)
+                found.add(None if i is None else str(i))
+    return len(w), len(hit), sorted(found, key=lambda i: (i is None, i or ""))
 
 
 def test_decontamination_against_brute_force(spark, small):
     con = connect(small)
     assert spark_rows(decontamination.query(spark, small)) == sql_rows(con, decontamination.SQL)
-    items = [(1, "Alpha beta gamma"), (2, None), (3, "!!"), (4, " ".join(f"w{i}" for i in range(14))), (5, "alpha BETA"), (1, "éa İx"), (None, "solo")]
-    texts = [None, "", "ALPHA, beta\ngamma! alpha", "alphabeta gamma", " ".join(f"w{i}" for i in range(3, 20)), " ".join(f"w{i}" for i in range(9)), "x éa-İx y", "Éa İx", "solo_solo", "w1 " * 3000]
-    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    items = [(1, "Alpha beta gamma"), (2, None), (3, "!!"), (4, " ".join(f"w{i}" for i in range(14))), (5, "alpha BETA"), (1, "éa İx"), (None, "solo"), (7, "a b a b a b a b a b a b a"), (8, " ".join(f"w{i}" for i in range(9)))]
+    texts = [None, "", "ALPHA, beta\ngamma! alpha", "alphabeta gamma", " ".join(f"w{i}" for i in range(3, 20)), " ".join(f"w{i}" for i in range(9)), "x éa-İx y", "Éa İx", "solo_solo", "w1 " * 3000, "b a " * 40, "c a b a b a b a b a b c b a b"]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, spans string").coalesce(2)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    named = [("null" if i is None else i, t) for i, t in items]
-    for block in (500_000, 10):  # one automaton, then one for each few bytes
+    for block in (500_000, 40, 10):  # one automaton, then one for each few bytes
         for r in decontamination.find_overlaps(docs, bench, block_bytes=block).collect():
-            assert (r.n_words, r.n_hit, r.item_ids) == brute_hits(r.text, named), r.text
+            assert (r.n_words, r.n_hit, r.item_ids) == brute_hits(r.text, items), r.text
             for s in r.spans:
-                assert brute_hits(r.text[s.start : s.end], named)[1] > 0
+                assert brute_hits(r.text[s.start : s.end], items)[1] > 0
     assert decontamination.find_overlaps(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.find_overlaps(docs.limit(0), bench).count() == 0
+    named = spark.createDataFrame([("null", "alpha"), (None, "alpha")], "item_id string, text string")
+    assert decontamination.find_overlaps(docs, named).where("doc_id = 2").first().item_ids == ["null", None]
+
+
+def test_blocks_of_items_give_what_windows_give():
+    rng = random.Random(8)
+    for _ in range(300):
+        items = [(k, " ".join(rng.choice("abc") for _ in range(rng.choice([1, 3, 4, 5, 9, 10, 11, 14, 30])))) for k in range(rng.randint(1, 4))]
+        text = " ".join(rng.choice("abcd") for _ in range(rng.choice([5, 20, 120])))
+        n, runs, found = decontamination.scan_text(text, decontamination.Items(items, 10))
+        assert (n, sum(b - a for a, b in runs), sorted(map(str, found))) == brute_hits(text, items)
+
+
+def test_large_benchmark_is_searched_without_a_copy_of_documents(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    long_item = " ".join(f"v{rng.randrange(5000)}" for _ in range(30_000))
+    words = long_item.split()
+    texts = [" ".join(words[k : k + 12]) for k in range(0, 29_000, 997)] + ["other text " * 20] * 5
+    path = f"{tmp_path}/d"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    bench = spark.createDataFrame([("long", long_item), ("short", "other text other")], "item_id string, text string")
+    made, keep = [], decontamination.materialize
+    monkeypatch.setattr(decontamination, "materialize", lambda df, label: made.append((label, df.columns)) or keep(df, label))
+    for block in (10_000_000, 60_000):
+        got = {r.doc_id: (r.n_hit, r.item_ids) for r in decontamination.find_overlaps(docs, bench, block_bytes=block).collect()}
+        assert got == {k: (39, ["short"]) if "other" in t else (12, ["long"]) for k, t in enumerate(texts)}
+    assert {label for label, _ in made} == {"items", "finds"} and not any("text" in c for _, c in made)
+
+
+def test_automaton_of_many_items_is_small():
+    rng = np.random.default_rng(4)
+    parts = [(str(k), " ".join(f"w{x}" for x in rng.zipf(1.3, 500) % 100_000)) for k in range(1_000)]  # 3 MB
+    items = decontamination.Items(parts, 10)
+    nodes = items.machine.get_stats()
+    assert nodes["total_size"] < 40 * sum(len(t) for _, t in parts)
+    assert decontamination.scan_text(parts[7][1], items)[1] == [(0, 500)]
