@@ -20,10 +20,18 @@ from ledgerlens.llm.encoders import default_vocabulary
 MAX_BROADCAST_IDS = 1_000_000
 
 
+def _judged(docs: DataFrame, inputs: list[str], operator: Callable[[DataFrame], DataFrame], keep: str) -> DataFrame:
+    """The rows of ``docs`` that ``operator`` keeps, as they were: columns named like one that it adds are put aside meanwhile."""
+    adds = {c.lower() for c in operator(docs.select(*inputs)).columns} - set(inputs)
+    aside = {c: free_name(docs, f"_own_{c}") for c in docs.columns if c.lower() in adds}
+    kept = operator(docs.withColumnsRenamed(aside)).where(keep)
+    return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base checks and no learned rule rejects."""
-    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, rules).where("kept").select(docs.columns)
+    rules = quality_rules.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return _judged(docs, ["doc_id", "text"], lambda d: quality_rules.judge(d, rules), "kept")
 
 
 def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +40,9 @@ def by_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     They learn from the labelled rows of the whole table, as the rules leave hardly any bad ones, and hand each other
     pseudo-labels of what the rules kept.
     """
-    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), labelled_from=table(spark, sf_dir, "documents"))
-    return quality_classifier.score(docs, model).where("kept").select(docs.columns)
+    inputs = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
+    model = quality_classifier.fit(docs.select(*inputs), table(spark, sf_dir, "labels"), labelled_from=table(spark, sf_dir, "documents"))
+    return _judged(docs, inputs, lambda d: quality_classifier.score(d, model), "kept")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +51,7 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows without words or without doc_id stay; of such that repeat doc_id and text one stays. A doc_id may repeat with other texts:
     its rows are told apart by the key of their shingles.
     """
-    linked = materialize(ngram_join.linked_rows(docs).where(F.col("doc_id").isNotNull()), "linked")
+    linked = materialize(ngram_join.linked_rows(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull()), "linked")
     kept = docs.join(_small(linked.where("not stays").select("doc_id").distinct()), "doc_id", "left_anti")
     repeated = linked.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not repeated.isEmpty():
@@ -67,8 +76,8 @@ def _small(ids: DataFrame) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word in any occurrence of a benchmark window."""
-    found = decontamination.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("n_hit = 0").select(docs.columns)
+    items = table(spark, sf_dir, "benchmark")
+    return _judged(docs, ["doc_id", "text"], lambda d: decontamination.find_overlaps(d, items), "n_hit = 0")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
