@@ -18,6 +18,8 @@ SEED = 20_240_229
 #: Bytes of text and rows that one bucket holds, about.
 BUCKET_BYTES = 8_000_000
 BUCKET_ROWS = 50_000
+#: Tasks that shuffle buckets at most; part of the order.
+PARTS = 20_000
 
 
 def _has_map(kind: T.DataType) -> bool:
@@ -42,9 +44,10 @@ def shuffle_to_shards(records: DataFrame, size: Column, shards: int = SHARDS, se
 
     Shard sizes differ by one row at most (law ``rows``); slots are gapless from 0. ``size`` gives
     a record's bytes. Records go whole, of any types, NULLs included; columns named shard
-    or slot are replaced, others may have any names; an empty table gives no rows. The order depends on the rows and the
-    seed, not on files or partitions, as far as copies of no row are more rows or bytes than a
-    bucket holds. Copies of such a row are spread over the buckets by their place in
+    or slot are replaced, others may have any names; an empty table gives no rows. The order depends on the rows, the
+    seed and the bucket bounds, not on files, partitions, the session's settings or the plan, as far as copies of no row are more rows or bytes than a
+    bucket holds. Fisher-Yates draws from a generator for each task, so bucket b goes to task b modulo PARTS and tasks shuffle
+    their buckets by number; a bucket's place comes with it as a row of its own, so nothing moves the filled buckets again. Copies of such a row are spread over the buckets by their place in
     the input, and the scattered table is written first, so the input should be one whose rows
     keep their places when a task runs again, such as files.
     """
@@ -75,8 +78,11 @@ def shuffle_to_shards(records: DataFrame, size: Column, shards: int = SHARDS, se
         counts = by_hash.groupBy(F.pmod(F.col("h1"), F.lit(buckets)).alias("bucket")).agg(F.sum("n").alias("n"))
     offsets = with_prefix_offsets(counts, "bucket", "n", "base").select("bucket", "base")
 
-    parts = min(buckets, 20_000)
-    filled = scattered.repartition(parts, "bucket").groupBy("bucket").agg(F.collect_list("r").alias("rs")).join(offsets, "bucket")
+    parts = min(buckets, PARTS)
+    task = F.pmod("bucket", F.lit(parts)).cast("int").alias("task")
+    rows = scattered.select(task, "bucket", "r", F.lit(None).cast("long").alias("base"))
+    places = offsets.select(task, "bucket", F.lit(None).cast(rows.schema["r"].dataType).alias("r"), "base")
+    filled = rows.unionAll(places).repartitionById(parts, "task").groupBy("task", "bucket").agg(F.max("base").alias("base"), F.collect_list("r").alias("rs"))
     # buckets in order within a task: the generator gives the same when a task runs again
     shuffled = filled.sortWithinPartitions("bucket").select("base", F.shuffle(_in_order(F.col("rs")), F.lit(seed)).alias("rs"))
     dealt = shuffled.select("base", F.posexplode("rs").alias("at", "r")).withColumn("g", F.col("base") + F.col("at"))

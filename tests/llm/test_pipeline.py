@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -43,6 +44,17 @@ def test_stages_do_their_work(spark, small):
     assert pipeline.run(spark, small).count() == len(packed)
 
 
+def test_columns_named_like_an_operators_stay(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    own = ["n_words", "rule", "kept", "base_failed", "score", "p_text", "spans", "n_hit", "item_ids", "key", "rid", "_own_kept"]
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in own))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert len(rows) > 20 and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in own), name
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, None), (4, ""), (5, text + " more")], "doc_id long, text string")

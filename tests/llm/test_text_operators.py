@@ -196,6 +196,64 @@ def check_shards(rows, n_shards):
     assert max(sizes) - min(sizes) <= 1 and all(v == list(range(len(v))) for v in by.values())
 
 
+class Twister:
+    """The generator and the shuffle that Spark's function documents by its source: Mersenne twister, seeded by two words, and Fisher-Yates from the front."""
+
+    def __init__(self, seed):
+        low, high = seed & 0xFFFFFFFF, (seed >> 32) & 0xFFFFFFFF
+        assert low
+        self.random = random.Random(low << 32 | high)
+
+    def below(self, n):
+        if n & -n == n:
+            return n * (self.random.getrandbits(32) >> 1) >> 31
+        while True:
+            bits = self.random.getrandbits(32) >> 1
+            if bits - bits % n + n - 1 < 1 << 31:
+                return bits % n
+
+    def shuffled(self, items):
+        out = []
+        for i, x in enumerate(items):
+            j = self.below(i + 1)
+            out.append(None)
+            if j != i:
+                out[i] = out[j]
+            out[j] = x
+        return out
+
+
+def plain_shards(rows, shards, seed, bucket_bytes, bucket_rows=50_000):
+    """rows: (doc_id, size, h1, h2); gives doc_id -> (shard, slot)."""
+    buckets = max(1, -(-sum(r[1] for r in rows) // bucket_bytes), -(-len(rows) // bucket_rows))
+    held = [sorted((r for r in rows if r[2] % buckets == b), key=lambda r: (r[2], r[3])) for b in range(buckets)]
+    order = []
+    for b in range(buckets):  # as many tasks as buckets
+        order += Twister(seed + b).shuffled(held[b])
+    return {r[0]: (g % shards, g // shards) for g, r in enumerate(order)}
+
+
+def hashed_rows(docs, seed):
+    names = docs.columns
+    return [tuple(r) for r in docs.select("doc_id", utf8_size(F.col("text")) if "text" in names else F.lit(1), F.xxhash64(F.lit(seed), *names), F.xxhash64(F.lit(~seed), *names)).collect()]
+
+
+@pytest.mark.parametrize("settings", [{}, {"spark.sql.autoBroadcastJoinThreshold": "-1"}, {"spark.sql.adaptive.enabled": "false"}, {"spark.sql.shuffle.partitions": "3"}, {"spark.sql.shuffle.partitions": "57", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}])
+def test_shards_against_plain_version_under_any_plan(spark, small, settings):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = plain_shards(hashed_rows(docs, 5), 7, 5, 20_000)
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for given in (docs, docs.repartition(5)):
+            got = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_to_shards(given, utf8_size(F.col("text")), 7, seed=5, bucket_bytes=20_000).collect()}
+            assert got == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_shards_are_even_whole_and_repeatable(spark, small, tmp_path):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     dealt = sharding.shuffle_to_shards(docs.withColumn("slot", F.lit("clash")), utf8_size(F.col("text")), 7, bucket_bytes=20_000)
