@@ -108,6 +108,10 @@ def _scaled_fit(x: Rows, y: np.ndarray, size: int, weight: np.ndarray) -> Logist
     return Logistic(model.weights * scale, model.bias)
 
 
+#: Tasks whose sums are added up in one group.
+FAN_IN = 64
+
+
 class Pool:
     """All unlabelled documents, as features in a written table."""
 
@@ -137,7 +141,7 @@ class Pool:
 
         Documents of one label are added up in groups of like log-odds of that view: the gradient of a group is then about that of its mean.
         """
-        sizes, latest = (TEXT_SIZE, META_SIZE), rounds[-1][0]
+        sizes, latest, fan = (TEXT_SIZE, META_SIZE), rounds[-1][0], FAN_IN
 
         def run(batches):
             import pyarrow as pa
@@ -155,7 +159,7 @@ class Pool:
                     of = np.repeat(cell, np.diff(x.start))
                     np.add.at(total[v].reshape(-1), of[of >= 0] * sizes[v] + x.at[of >= 0], np.rint(x.value[of >= 0] * UNIT).astype(np.int64))
             task = TaskContext.get()
-            part = (task.partitionId() if task else 0) % 64
+            part = (task.partitionId() if task else 0) // fan
             rows = [(v * 2 * GROUPS + int(c), part, int(n[v][c]), total[v][c].tobytes()) for v in (0, 1) for c in np.flatnonzero(n[v])]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             columns = list(zip(*rows, strict=True)) or [()] * 4
@@ -167,10 +171,16 @@ class Pool:
             total = 0
             for t in rows.column("total"):
                 total = total + np.frombuffer(t.as_buffer(), np.int64)
-            return pa.table({"cell": rows["cell"][:1], "part": pa.array([0], pa.int32()), "n": pa.array([sum(rows["n"].to_pylist())], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
+            return pa.table({"cell": rows["cell"][:1], "part": pa.array([rows["part"][0].as_py() // fan], pa.int32()), "n": pa.array([sum(rows["n"].to_pylist())], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
 
         wire = "cell int, part int, n long, total binary"
-        found = self.features.mapInArrow(run, wire).groupBy("cell", "part").applyInArrow(add, wire).groupBy("cell").applyInArrow(add, wire).collect()
+        sums, parts = self.features.mapInArrow(run, wire), -(-self.features.rdd.getNumPartitions() // fan)
+        while True:  # as many neighbours a round, so a group never has more rows
+            sums = sums.groupBy("cell", "part").applyInArrow(add, wire)
+            if parts <= 1:
+                break
+            parts = -(-parts // fan)
+        found = sums.collect()
         out: list[list[tuple[int, int, np.ndarray]]] = [[], []]
         for r in sorted(found, key=lambda r: r["cell"]):
             v, c = divmod(r["cell"], 2 * GROUPS)

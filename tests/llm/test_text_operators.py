@@ -438,3 +438,23 @@ def test_automaton_of_many_items_is_small():
     nodes = items.machine.get_stats()
     assert nodes["total_size"] < 40 * sum(len(t) for _, t in parts)
     assert decontamination.scan_text(parts[7][1], items)[1] == [(0, 500)]
+
+
+def test_sums_of_many_tasks_are_added_in_rounds(spark, monkeypatch):
+    """The sums over 30 partitions with two neighbours a group are those over one partition."""
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice("good fine bad junk word other".split()) for _ in range(rng.randint(3, 30)))
+    docs = spark.createDataFrame([(i, text(), "en", "web", 50) for i in range(600)], "doc_id long, text string, lang string, source string, n_chars long")
+    features = quality_classifier._with_features(docs.withColumn("_y", F.lit(-1)))
+    view = lambda size: quality_classifier.View(np.zeros(size), 0.0, 1.0, 0.0)
+    views = [view(quality_classifier.TEXT_SIZE), view(quality_classifier.META_SIZE)]
+    level = int(quality_classifier._level(np.zeros(1))[0])
+    rounds = [(views, [{1: level, 0: level - 1}, {1: quality_classifier.LEVELS, 0: level}])]
+    got = []
+    for parts, fan in ((1, 64), (30, 2), (30, 64)):
+        monkeypatch.setattr(quality_classifier, "FAN_IN", fan)
+        got.append(quality_classifier.Pool(quality_classifier.materialize(features.repartition(parts), "features")).sums(rounds))
+    assert sum(n for _, n, _ in got[0][0]) == 600
+    for other in got[1:]:
+        for a, b in zip(got[0], other, strict=True):
+            assert [(y, n) for y, n, _ in a] == [(y, n) for y, n, _ in b] and all(np.array_equal(x[2], y[2]) for x, y in zip(a, b, strict=True))
