@@ -63,3 +63,28 @@ class Spread:
         factor = "(1 + CAST(c_custkey % 97 AS DOUBLE) / 1000)"
         columns = ", ".join(f'f."{n}" * {factor} AS "{n}"' if n in self._doubles else f'f."{n}"' for n, _ in self.base.columns if n != "id")
         return f"(SELECT CAST(c_custkey AS INTEGER) AS id, {columns} FROM customer JOIN {self.base.sql()} f ON c_custkey % {len(self.base.rows)} + 1 = f.id)"
+
+
+@dataclass(frozen=True)
+class Repeated:
+    """All rows of a fixture for each supplier: ``keys`` become the supplier's own, numbers a little larger on each, up to a tenth, but for those in ``fixed``."""
+
+    base: Fixture
+    keys: tuple[str, ...]
+    fixed: tuple[str, ...] = ()
+
+    def _grows(self, name: str, kind: str) -> bool:
+        return kind == "double" and name not in self.fixed
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = F.array(*(F.struct(*(F.lit(x).cast(t).alias(n) for x, (n, t) in zip(row, self.base.columns, strict=True))) for row in self.base.rows))
+        supplier = spark.read.parquet(f"{sf_dir.rstrip('/')}/supplier.parquet").select(F.col("s_suppkey").alias("_s"))
+        key, factor = F.col("_s"), F.lit(1.0) + (F.col("_s") % 97).cast("double") / F.lit(1000.0)
+        own = {"string": lambda c: F.concat(c, F.lit("-"), key.cast("string")), "int": lambda c: (c + key * 100).cast("int")}
+        value = lambda n, t: own[t](F.col(f"r.{n}")) if n in self.keys else F.col(f"r.{n}") * factor if self._grows(n, t) else F.col(f"r.{n}")
+        return supplier.select("_s", F.explode(rows).alias("r")).select(*(value(n, t).alias(n) for n, t in self.base.columns))
+
+    def sql(self) -> str:
+        own = {"string": "f.\"{}\" || '-' || s_suppkey", "int": "CAST(f.\"{}\" + s_suppkey * 100 AS INTEGER)"}
+        value = lambda n, t: own[t].format(n) if n in self.keys else f'f."{n}" * (1 + CAST(s_suppkey % 97 AS DOUBLE) / 1000)' if self._grows(n, t) else f'f."{n}"'
+        return f"(SELECT {', '.join(f'{value(n, t)} AS "{n}"' for n, t in self.base.columns)} FROM supplier, {self.base.sql()} f)"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, numbers
-from ..operators import asof, checks, facts
+from ..operators import asof, checks, early_stage, facts
 from ..operators import valuation as v
-from .fixture import Fixture, Spread
+from .fixture import Fixture, Repeated, Spread
 from .table_queries import query, read
 
 RATES = Spread(Fixture(
@@ -59,14 +59,14 @@ def dcf(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_FLOWS.replace(PLANS.sql(), PLANS.base.sql())}, g AS (SELECT w, g FROM (SELECT unnest([CAST(0.08 AS DOUBLE), 0.1, 0.12]) AS w), (SELECT unnest([CAST(0.02 AS DOUBLE), 0.03, 0.09]) AS g)),
+    f"""WITH {_FLOWS}, g AS (SELECT w, g FROM (SELECT unnest([CAST(0.08 AS DOUBLE), 0.1, 0.12]) AS w), (SELECT unnest([CAST(0.02 AS DOUBLE), 0.03, 0.09]) AS g)),
 s AS (SELECT id, w, g, sum(fcff / pow(1 + w, i)) AS pv, arg_max(fcff, i) AS last, max(i) AS n FROM f, g GROUP BY id, w, g)
 SELECT id, w AS wacc, g AS growth, CASE WHEN g >= w THEN 'none' ELSE CAST(CAST(round(pv + last * (1 + g) / (w - g) / pow(1 + w, n) - net_debt - coalesce(minority_interest, 0) + coalesce(non_operating_assets, 0), 3) * 1000 AS BIGINT) AS VARCHAR) END AS equity_milli FROM s JOIN p USING (id)"""
 )
 def dcf_grid(spark, sf_dir):
     """Equity value over rates and growths; no value where growth reaches the rate."""
-    g = v.dcf_grid(PLANS.base.frame(spark), [0.08, 0.1, 0.12], [0.02, 0.03, 0.09])
-    return g.select("id", "wacc", "growth", F.when(F.isnan("equity_value"), "none").otherwise((F.round("equity_value", 3) * 1000).cast("long").cast("string")).alias("equity_milli"))
+    g = v.dcf_grid(PLANS.frame(spark, sf_dir), [0.08, 0.1, 0.12], [0.02, 0.03, 0.09])
+    return g.select("id", "wacc", "growth", F.when(F.isnan("equity_value"), "none").otherwise(F.round(F.round("equity_value", 3) * 1000).cast("long").cast("string")).alias("equity_milli"))
 
 
 @query(
@@ -116,32 +116,32 @@ def dupont(spark, sf_dir):
     return v.dupont(RATIOS.frame(spark, sf_dir)).select("id", "applicable", *(F.round(c, 6).alias(c) for c in ("net_margin", "roe", "roa", "interest_burden")), "leverage_warning")
 
 
-RISKS = Fixture("id int, factor string, low double, mid double, high double, cap_low double, cap_mid double, cap_high double, revenue_component double", [(1, a, x, x + 0.1, x + 0.2, 300.0, 350.0, 400.0, 50.0) for a, x in (("idea", 0.5), ("prototype", 0.4), ("team", 0.6), ("relations", 0.2), ("rollout", 0.1))])
+RISKS = Repeated(Fixture("id int, factor string, low double, mid double, high double, cap_low double, cap_mid double, cap_high double, revenue_component double", [(1, a, x, x + 0.1, x + 0.2, 300.0, 350.0, 400.0, 50.0) for a, x in (("idea", 0.5), ("prototype", 0.4), ("team", 0.6), ("relations", 0.2), ("rollout", 0.1))]), ('id',), ('low', 'mid', 'high'))
 
 
-@query(f"SELECT id, count(*) AS n_factors, round(sum(low) * max(cap_low) + 50, 6) AS low, round(sum(mid) * max(cap_mid) + 50, 6) AS mid, round(sum(high) * max(cap_high) + 50, 6) AS high FROM {RISKS.sql()} GROUP BY id")
+@query(f"SELECT id, count(*) AS n_factors, round(sum(low) * max(cap_low) + max(revenue_component), 6) AS low, round(sum(mid) * max(cap_mid) + max(revenue_component), 6) AS mid, round(sum(high) * max(cap_high) + max(revenue_component), 6) AS high FROM {RISKS.sql()} GROUP BY id")
 def berkus(spark, sf_dir):
     """Value by achieved shares of capped factors."""
-    return v.berkus(RISKS.frame(spark), ["id"]).select("id", "n_factors", *(F.round(c, 6).alias(c) for c in ("low", "mid", "high")))
+    return v.berkus(RISKS.frame(spark, sf_dir), ["id"]).select("id", "n_factors", *(F.round(c, 6).alias(c) for c in ("low", "mid", "high")))
 
 
-SCORES = Fixture("id int, factor string, low double, mid double, high double, base_low double, base_mid double, base_high double", [(k, f, 0.8, 1.0 + i / 20, 1.2 + i / 20, 500.0, 600.0, 800.0) for k, fs in ((1, list(v.SCORECARD_WEIGHTS)), (2, ["team", "product"])) for i, f in enumerate(fs)])
+SCORES = Repeated(Fixture("id int, factor string, low double, mid double, high double, base_low double, base_mid double, base_high double", [(k, f, 0.8, 1.0 + i / 20, 1.2 + i / 20, 500.0, 600.0, 800.0) for k, fs in ((1, list(v.SCORECARD_WEIGHTS)), (2, ["team", "product"])) for i, f in enumerate(fs)]), ('id',), ('low', 'mid', 'high'))
 _WEIGHT = "CASE factor " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in v.SCORECARD_WEIGHTS.items()) + " END"
 
 
 @query(f"SELECT id, count(*) AS n_factors, round(sum(low * {_WEIGHT}) / sum({_WEIGHT}) * max(base_low), 6) AS low, round(sum(mid * {_WEIGHT}) / sum({_WEIGHT}) * max(base_mid), 6) AS mid, round(sum(high * {_WEIGHT}) / sum({_WEIGHT}) * max(base_high), 6) AS high FROM {SCORES.sql()} GROUP BY id")
 def scorecard(spark, sf_dir):
     """Weighted scorecard, scaled where factors are missing."""
-    return v.scorecard(SCORES.frame(spark), ["id"]).select("id", "n_factors", *(F.round(c, 6).alias(c) for c in ("low", "mid", "high")))
+    return v.scorecard(SCORES.frame(spark, sf_dir), ["id"]).select("id", "n_factors", *(F.round(c, 6).alias(c) for c in ("low", "mid", "high")))
 
 
-OUTCOMES = Fixture("id int, label string, probability double, value double", [(1, "good", 0.25, 9000.0), (1, "fair", 0.5, 3000.0), (1, "bad", 0.25, 0.0), (2, "only", 1.0, 70.0)])
+OUTCOMES = Repeated(Fixture("id int, label string, probability double, value double", [(1, "good", 0.25, 9000.0), (1, "fair", 0.5, 3000.0), (1, "bad", 0.25, 0.0), (2, "only", 1.0, 70.0)]), ('id',), ('probability',))
 
 
 @query(f"SELECT id, count(*) AS n, min(value) AS low, round(sum(probability * value), 6) AS mid, max(value) AS high FROM {OUTCOMES.sql()} GROUP BY id")
 def first_chicago(spark, sf_dir):
     """Probability-weighted outcomes."""
-    return v.first_chicago(OUTCOMES.frame(spark), ["id"]).select("id", "n", "low", F.round("mid", 6).alias("mid"), "high")
+    return v.first_chicago(OUTCOMES.frame(spark, sf_dir), ["id"]).select("id", "n", "low", F.round("mid", 6).alias("mid"), "high")
 
 
 ROUNDS = Spread(Fixture("id int, exit_value double, investment double, years double, target_multiple double, target_irr double, dilution double, pre_money double", [(1, 50000.0, 1000.0, 5.0, 10.0, 0.5, 0.3, 4000.0), (2, 50000.0, 1000.0, 5.0, 8.0, 0.515, None, 4000.0), (3, 20000.0, 500.0, 4.0, None, 0.6, 0.2, 100.0)]))
@@ -164,7 +164,7 @@ def vc_required_exit(spark, sf_dir):
     return v.vc_required_exit(ROUNDS.frame(spark, sf_dir)).select("id", F.round("required_exit", 6).alias("required_exit"), F.round("implied_cagr", 6).alias("implied_cagr"), "is_valuation")
 
 
-RESULTS = Fixture("entity string, method string, low double, mid double, high double, is_valuation boolean, shares double", [("a", "dcf", 900.0, 1000.0, 1300.0, True, 100.0), ("a", "multiples", 950.0, 1200.0, 1250.0, True, 100.0), ("a", "reverse", 5.0, 5.0, 5.0, False, 100.0), ("b", "dcf", 10.0, 20.0, 30.0, True, None), ("c", "dcf", 10.0, 20.0, 30.0, True, 10.0), ("c", "vc", 50.0, 60.0, 70.0, True, 10.0)])
+RESULTS = Repeated(Fixture("entity string, method string, low double, mid double, high double, is_valuation boolean, shares double", [("a", "dcf", 900.0, 1000.0, 1300.0, True, 100.0), ("a", "multiples", 950.0, 1200.0, 1250.0, True, 100.0), ("a", "reverse", 5.0, 5.0, 5.0, False, 100.0), ("b", "dcf", 10.0, 20.0, 30.0, True, None), ("c", "dcf", 10.0, 20.0, 30.0, True, 10.0), ("c", "vc", 50.0, 60.0, 70.0, True, 10.0)]), ('entity',))
 
 
 @query(
@@ -172,7 +172,7 @@ RESULTS = Fixture("entity string, method string, low double, mid double, high do
 )
 def football(spark, sf_dir):
     """Per-share bands."""
-    return v.bands(RESULTS.frame(spark)).select("entity", "method", "note", "band_low", "band_high", F.round("span", 6).alias("span"))
+    return v.bands(RESULTS.frame(spark, sf_dir)).select("entity", "method", "note", "band_low", "band_high", F.round("span", 6).alias("span"))
 
 
 @query(
@@ -181,7 +181,7 @@ round(CASE WHEN count(*) >= 2 THEN (max(mid / shares) - min(mid / shares)) / ((m
 )
 def football_consensus(spark, sf_dir):
     """Where all methods overlap, and how far they spread."""
-    return v.consensus(v.bands(RESULTS.frame(spark)), ["entity"]).withColumn("mid_spread", F.round("mid_spread", 6))
+    return v.consensus(v.bands(RESULTS.frame(spark, sf_dir)), ["entity"]).withColumn("mid_spread", F.round("mid_spread", 6))
 
 
 GROWTHS = Spread(Fixture("id int, g double, gdp double, inflation double", [(1, 0.02, 0.05, 0.02), (2, 0.06, 0.05, 0.02), (3, 0.047, 0.05, 0.02), (4, 0.01, 0.05, 0.02)]))
@@ -205,40 +205,40 @@ def net_debt(spark, sf_dir):
     return facts.net_debt(DEBTS.frame(spark, sf_dir)).select("id", "net_debt", "gap")
 
 
-FACTS = Fixture(
+FACTS = Repeated(Fixture(
     "cik string, tag string, start date, end date, val double, filed date, seq int",
     [
         ("1", "Revenues", "2020-01-01", "2020-12-31", 100.0, "2021-02-20", 0), ("1", "Revenues", "2020-01-01", "2020-12-31", 104.0, "2022-02-20", 1), ("1", "Revenues", "2021-01-01", "2021-12-31", 120.0, "2022-02-20", 2),
         ("1", "Revenues", "2021-10-01", "2021-12-31", 30.0, "2022-02-20", 3), ("1", "SalesRevenueNet", "2019-01-01", "2019-12-31", 90.0, "2020-02-20", 4), ("2", "Revenues", "2021-01-01", "2021-12-31", None, "2022-03-01", 5),
         ("2", "SalesRevenueNet", "2021-01-01", "2021-12-31", 55.0, "2022-03-01", 6), ("2", "Assets", None, "2021-12-31", 500.0, "2022-03-01", 7), ("2", "Assets", None, "2021-12-31", 505.0, "2022-03-01", 8),
     ],
-)
+), ('cik',))
 
 
 @query(f"""SELECT cik, "end", val FROM (SELECT *, row_number() OVER (PARTITION BY cik, tag, "end" ORDER BY filed DESC, seq) AS k FROM {FACTS.sql()} WHERE tag = 'Revenues' AND val IS NOT NULL AND date_diff('day', start, "end") BETWEEN 330 AND 400) WHERE k = 1""")
 def annual_series(spark, sf_dir):
     """Annual values, the last filed of each period."""
-    f = facts.series(FACTS.frame(spark).where("tag = 'Revenues'"), "annual")
+    f = facts.series(FACTS.frame(spark, sf_dir).where("tag = 'Revenues'"), "annual")
     return facts.latest_filed(f, ["cik", "tag"]).select("cik", "end", "val")
 
 
 @query(f"""SELECT cik, "end", val FROM (SELECT *, row_number() OVER (PARTITION BY cik, tag, "end" ORDER BY filed DESC, seq) AS k FROM {FACTS.sql()} WHERE tag = 'Revenues' AND val IS NOT NULL AND filed <= DATE '2021-12-31' AND date_diff('day', start, "end") BETWEEN 330 AND 400) WHERE k = 1""")
 def annual_series_asof(spark, sf_dir):
     """The same as known at a date, restatements after it left out."""
-    f = facts.series(FACTS.frame(spark).where("tag = 'Revenues'"), "annual")
+    f = facts.series(FACTS.frame(spark, sf_dir).where("tag = 'Revenues'"), "annual")
     return facts.disclosed_by(f, ["cik", "tag"], F.lit("2021-12-31").cast("date")).select("cik", "end", "val")
 
 
 @query(f"""SELECT cik, "end", val FROM (SELECT *, row_number() OVER (PARTITION BY cik, tag, "end" ORDER BY filed DESC, seq) AS k FROM {FACTS.sql()} WHERE start IS NULL) WHERE k = 1""")
 def instant_series(spark, sf_dir):
     """Values at a date, the first read of equal filings."""
-    return facts.latest_filed(facts.series(FACTS.frame(spark), "instant"), ["cik", "tag"]).select("cik", "end", "val")
+    return facts.latest_filed(facts.series(FACTS.frame(spark, sf_dir), "instant"), ["cik", "tag"]).select("cik", "end", "val")
 
 
 @query(f"""SELECT cik, "end", arg_min(val, p) AS val, arg_min(tag, p) AS tag_used FROM (SELECT *, CASE tag WHEN 'Revenues' THEN 1 WHEN 'SalesRevenueNet' THEN 2 END * 100 - seq AS p FROM {FACTS.sql()} WHERE val IS NOT NULL AND tag IN ('Revenues', 'SalesRevenueNet') AND date_diff('day', start, "end") BETWEEN 330 AND 400) GROUP BY cik, "end\"""")
 def revenue_by_tag(spark, sf_dir):
     """Revenue by the first tag that has one, restated values last."""
-    f = facts.latest_filed(facts.series(FACTS.frame(spark), "annual"), ["cik", "tag"])
+    f = facts.latest_filed(facts.series(FACTS.frame(spark, sf_dir), "annual"), ["cik", "tag"])
     return facts.first_tag(f, ["cik", "end"], facts.REVENUE_TAGS).select("cik", "end", "val", "tag_used")
 
 
@@ -258,8 +258,8 @@ def accounting_checks(spark, sf_dir):
     return checks.all_checks(SHEETS.frame(spark, sf_dir), [checks.balance(), checks.cash_rollforward(), checks.net_assets()], "id").select("id", "check", "status")
 
 
-RECON = Fixture("id int, label string, value double", [(1, "Depreciation", 30.0), (1, "Change in receivables", -12.0), (1, "Total adjustments", 18.0), (2, "Depreciation", 5.0), (2, "Other", None), (3, "Cash received from customers", 99.0)])
-HEADS = Fixture("id int, net_income double, cfo double", [(1, 100.0, 118.0), (2, 10.0, 30.0), (3, 1.0, 2.0), (4, None, 3.0)])
+RECON = Repeated(Fixture("id int, label string, value double", [(1, "Depreciation", 30.0), (1, "Change in receivables", -12.0), (1, "Total adjustments", 18.0), (2, "Depreciation", 5.0), (2, "Other", None), (3, "Cash received from customers", 99.0)]), ('id',))
+HEADS = Repeated(Fixture("id int, net_income double, cfo double", [(1, 100.0, 118.0), (2, 10.0, 30.0), (3, 1.0, 2.0), (4, None, 3.0)]), ('id',))
 
 
 @query(
@@ -268,17 +268,17 @@ FROM {HEADS.sql()} h LEFT JOIN (SELECT id, sum(value) FILTER (NOT contains(lower
 )
 def indirect_method(spark, sf_dir):
     """Net income reconciled to operating cash flow."""
-    return checks.indirect_method(RECON.frame(spark), HEADS.frame(spark), "id").select("id", "status", "counted")
+    return checks.indirect_method(RECON.frame(spark, sf_dir), HEADS.frame(spark, sf_dir), "id").select("id", "status", "counted")
 
 
-NUMBERS = Fixture("id int, cell string", list(enumerate(["1,234.5", "(3,552)", "$ (102,777)", "—", "", "12.5%", "abc", "￥1,000", "-7", "(0.5)", "2016-12-31", "334.719.50", None], 1)))
+NUMBERS = Repeated(Fixture("id int, cell string", list(enumerate(["1,234.5", "(3,552)", "$ (102,777)", "—", "", "12.5%", "abc", "￥1,000", "-7", "(0.5)", "2016-12-31", "334.719.50", None], 1))), ('id',))
 _BODY = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(cell), '[\\s 　]', '', 'g'), '^(\\()?(us\\$|hk\\$|rmb|usd|[$¥￥€£])', '\\1'), '[,，]', '', 'g'), '^[(（]|[)）]$', '', 'g')"
 
 
 @query(f"SELECT id, CASE WHEN regexp_full_match({_BODY}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN CASE WHEN contains(cell, '(') THEN -1 ELSE 1 END * TRY_CAST({_BODY} AS DOUBLE) END AS value FROM {NUMBERS.sql()}")
 def number_parse(spark, sf_dir):
     """Table cells as numbers (M1)."""
-    return NUMBERS.frame(spark).select("id", numbers.lenient_number(F.col("cell")).alias("value"))
+    return NUMBERS.frame(spark, sf_dir).select("id", numbers.lenient_number(F.col("cell")).alias("value"))
 
 
 _RAW_CODES = """CASE o_orderkey % 7 WHEN 0 THEN CAST(o_orderkey * 37 % 1000000 AS {t}) WHEN 1 THEN lpad(CAST(o_orderkey * 41 % 1000000 AS {t}), 6, '0') WHEN 2 THEN concat(CAST(o_orderkey % 10000 AS {t}), '.hk')
@@ -300,11 +300,32 @@ def security_codes(spark, sf_dir):
     return codes.select("o_orderkey", identifiers.cn_security(c).alias("cn"), identifiers.hk_code(c).alias("hk"), identifiers.filer_key(c).alias("filer"), identifiers.market_of(c).alias("market"))
 
 
-QUOTES = Fixture("code string, d date, src int, close double", [("x", "2024-01-05", 0, 10.0), ("x", "2024-01-03", 0, 9.0), ("y", "2023-12-01", 0, 4.0), ("y", "2024-02-01", 0, 6.0)])
-DATES = Fixture("code string, as_of date", [("x", "2024-01-06"), ("x", "2024-01-04"), ("y", "2024-01-06"), ("z", "2024-01-06")])
+QUOTES = Repeated(Fixture("code string, d date, src int, close double", [("x", "2024-01-05", 0, 10.0), ("x", "2024-01-03", 0, 9.0), ("y", "2023-12-01", 0, 4.0), ("y", "2024-02-01", 0, 6.0)]), ('code',))
+DATES = Repeated(Fixture("code string, as_of date", [("x", "2024-01-06"), ("x", "2024-01-04"), ("y", "2024-01-06"), ("z", "2024-01-06")]), ('code',))
 
 
 @query(f"""SELECT a.code, as_of, arg_max(close, d) AS close FROM {DATES.sql()} a LEFT JOIN {QUOTES.sql()} q ON a.code = q.code AND d BETWEEN as_of - INTERVAL 15 DAY AND as_of GROUP BY a.code, as_of""")
 def price_on_date(spark, sf_dir):
     """The last close at or before a date, at most 15 days old, never a later one."""
-    return asof.asof_backward(DATES.frame(spark), QUOTES.frame(spark), ["code"], "as_of", "d", ["close"], F.expr("INTERVAL 15 DAYS")).select("code", "as_of", "close")
+    return asof.asof_backward(DATES.frame(spark, sf_dir), QUOTES.frame(spark, sf_dir), ["code"], "as_of", "d", ["close"], F.expr("INTERVAL 15 DAYS")).select("code", "as_of", "close")
+
+
+_CONFIG = """concat('{"unit": "wan", "berkus": {"per_factor_cap": {"low": ', c_custkey % 50 + 200, ', "mid": ', c_custkey % 50 + 250, ', "high": ', c_custkey % 50 + 300, '}, "factors": {"idea": [0.', c_custkey % 4 + 1, ', 0.5, 0.', c_custkey % 3 + 6, '], "team": 0.25}}, ',
+'"scorecard": {"base": ', c_custkey % 900 + 100, ', "factors": {"team": ', CASE WHEN c_custkey % 7 = 0 THEN '9' ELSE '1.25' END, ', "other": [0.5, 1, 1.5]}}, "vc_method": {"exit_value": {"value": ', c_custkey % 700 + 50000, '}, "investment": 1000, "years_to_exit": 5, ',
+CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '"target_multiple": 8, ' END, '"future_dilution": 0.25, "reverse": true, "ask_price": ', c_custkey % 300 + 4000, '}, "first_chicago": {"outcomes": [{"label": "up", "probability": 0.25, "value": ', c_custkey % 800 + 1000, '}, {"label": "down", "probability": ', CASE WHEN c_custkey % 11 = 0 THEN '0.5' ELSE '0.75' END, ', "value": 0}]}}')"""
+_TEAM, _OTHER = v.SCORECARD_WEIGHTS["team"], v.SCORECARD_WEIGHTS["other"]
+_SCORED = f"(c_custkey % 900 + 100) * (1.25 * {_TEAM} + {{}} * {_OTHER}) / ({_TEAM} + {_OTHER})"
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey, c_custkey % 7 = 0 AS odd, c_custkey % 5 = 0 AS aimless, c_custkey % 11 = 0 AS unsure FROM customer)
+SELECT c_custkey AS entity, 'berkus' AS method, round(((c_custkey % 4 + 1) / 10.0 + 0.25) * (c_custkey % 50 + 200), 6)::DOUBLE AS low, round(0.75 * (c_custkey % 50 + 250), 6)::DOUBLE AS mid, round(((c_custkey % 3 + 6) / 10.0 + 0.25) * (c_custkey % 50 + 300), 6)::DOUBLE AS high, NULL AS problem FROM c
+UNION ALL SELECT c_custkey, 'scorecard', CASE WHEN NOT odd THEN round({_SCORED.format(0.5)}, 6) END, CASE WHEN NOT odd THEN round({_SCORED.format(1)}, 6) END, CASE WHEN NOT odd THEN round({_SCORED.format(1.5)}, 6) END, CASE WHEN odd THEN 'team: out of bounds or not known' END FROM c
+UNION ALL SELECT c_custkey, 'vc', x, x, x, CASE WHEN aimless THEN 'target_multiple or target_irr: missing' END FROM (SELECT *, CASE WHEN NOT aimless THEN round((c_custkey % 700 + 50000) * 0.75 / 8 - 1000, 6) END AS x FROM c)
+UNION ALL SELECT c_custkey, 'vc_required_exit', x, x, x, CASE WHEN aimless THEN 'target_multiple: missing' END FROM (SELECT *, CASE WHEN NOT aimless THEN round(8 * (c_custkey % 300 + 5000) / 0.75, 6) END AS x FROM c)
+UNION ALL SELECT c_custkey, 'first_chicago', CASE WHEN NOT unsure THEN 0 END, CASE WHEN NOT unsure THEN round(0.25 * (c_custkey % 800 + 1000), 6) END, CASE WHEN NOT unsure THEN c_custkey % 800 + 1000 END, CASE WHEN unsure THEN 'probabilities must sum to 1' END FROM c"""
+)
+def early_stage_configs(spark, sf_dir):
+    """Nested configurations to the methods they have, what is wrong named (H4, H18, K16, K17): one for each customer."""
+    configs = read(spark, sf_dir, "customer").select("c_custkey", F.expr(_CONFIG).alias("config"))
+    return early_stage.build(configs, "c_custkey").select("entity", "method", *(F.round(e, 6).alias(e) for e in ("low", "mid", "high")), "problem")

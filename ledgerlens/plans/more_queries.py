@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import checks, derived, facts, notes, peers, recipes, reports, retrieval, statements
 from ..operators import valuation as v
 
-from .fixture import Fixture, Spread
+from .fixture import Fixture, Repeated, Spread
 from .fixture_queries import MULTIPLES, PLANS
 from .table_queries import SQL, query, read
 
@@ -50,17 +50,17 @@ def history_doubts(spark, sf_dir):
     return derived.history_notes(YEARS.frame(spark, sf_dir)).select("id", F.array_join("notes", "; ").alias("notes"))
 
 
-CANDIDATES = Fixture("path string, kind string, mapped int, rate double, statements int", [("a", "pdf", 12, 0.5, 3), ("b", "pdf", 12, 0.7, 2), ("c", "pdf", 40, 0.9, 1), ("d", "excel", 8, 0.2, 2), ("e", "html", 7, 0.9, 3)])
+CANDIDATES = Repeated(Fixture("path string, kind string, mapped int, rate double, statements int", [("a", "pdf", 12, 0.5, 3), ("b", "pdf", 12, 0.7, 2), ("c", "pdf", 40, 0.9, 1), ("d", "excel", 8, 0.2, 2), ("e", "html", 7, 0.9, 3)]), ('path', 'kind'))
 
 
 @query(f"SELECT kind, arg_max(path, (mapped, rate)) AS path FROM {CANDIDATES.sql()} WHERE mapped >= 8 AND statements >= 2 GROUP BY kind")
 def best_files(spark, sf_dir):
     """The best file of each kind."""
-    return derived.best_candidates(CANDIDATES.frame(spark)).select("kind", "path")
+    return derived.best_candidates(CANDIDATES.frame(spark, sf_dir)).select("kind", "path")
 
 
-GIVEN = Fixture("id int, wacc double, tax double", [(1, 0.1, None), (2, None, None)])
-KNOWN = Fixture("id int, wacc double, tax double", [(1, 0.2, 0.25)])
+GIVEN = Repeated(Fixture("id int, wacc double, tax double", [(1, 0.1, None), (2, None, None)]), ('id',))
+KNOWN = Repeated(Fixture("id int, wacc double, tax double", [(1, 0.2, 0.25)]), ('id',))
 
 
 @query(
@@ -69,7 +69,7 @@ CASE WHEN g.tax IS NOT NULL THEN 'given' WHEN k.tax IS NOT NULL THEN 'statements
 )
 def config_fill(spark, sf_dir):
     """Facts only where a configuration has nothing."""
-    return derived.fill_absent(GIVEN.frame(spark), KNOWN.frame(spark), "id", ["wacc", "tax"])
+    return derived.fill_absent(GIVEN.frame(spark, sf_dir), KNOWN.frame(spark, sf_dir), "id", ["wacc", "tax"])
 
 
 _LINES = [*notes.RECON_START, *notes.RECON_TARGET, *notes.DA_LINES, *notes.OTHER_LINES]
@@ -124,14 +124,14 @@ def share_structure(spark, sf_dir):
     return pages.select("c_custkey", "s.issued", "s.before", "s.price")
 
 
-QUESTIONS = Fixture("key string, seq int", [("tax", 1), ("wacc", 2), ("x", 3), ("growth", 4)])
+QUESTIONS = Repeated(Fixture("key string, seq int", [("tax", 1), ("wacc", 2), ("x", 3), ("growth", 4)]), ('seq',))
 DONE = Fixture("key string", [("tax",)])
 
 
 @query(f"SELECT key, seq, CASE key WHEN 'growth' THEN 0 WHEN 'wacc' THEN 1 ELSE 2 END AS impact FROM {QUESTIONS.sql()} WHERE key NOT IN (SELECT key FROM {DONE.sql()})")
 def open_questions(spark, sf_dir):
     """What is still to be answered, most impact first."""
-    return recipes.question_plan(QUESTIONS.frame(spark), DONE.frame(spark), ["growth", "wacc"])
+    return recipes.question_plan(QUESTIONS.frame(spark, sf_dir), DONE.frame(spark), ["growth", "wacc"])
 
 
 @query(
@@ -158,32 +158,39 @@ def appraisal(spark, sf_dir):
 _FACTS = json.dumps({"cik": 320193, "entityName": "x", "facts": {"us-gaap": {"Revenues": {"units": {"USD": [{"start": "2020-01-01", "end": "2020-12-31", "val": 5, "filed": "2021-02-01"}, {"end": "oops", "val": 1, "filed": "2021-02-01"}]}}}}})
 
 
-GAPS = Fixture("id int, gap double", [(1, 100.0), (2, 7.0)])
-LINES = Fixture("id int, stmt_order int, row_no int, label string, value double", [(1, 2, 1, "tax", 101.0), (1, 1, 5, "fees", -100.0), (1, 1, 9, "late", 100.0)])
+GAPS = Repeated(Fixture("id int, gap double", [(1, 100.0), (2, 7.0)]), ('id',))
+LINES = Repeated(Fixture("id int, stmt_order int, row_no int, label string, value double", [(1, 2, 1, "tax", 101.0), (1, 1, 5, "fees", -100.0), (1, 1, 9, "late", 100.0)]), ('id',))
 
 
 @query(f"SELECT g.id, gap, arg_min(label, stmt_order * 1000 + row_no) AS explained_by FROM {GAPS.sql()} g LEFT JOIN {LINES.sql()} l ON g.id = l.id AND abs(abs(value) - abs(gap)) <= greatest(abs(gap) * 0.02, 1) GROUP BY g.id, gap")
 def gap_attribution(spark, sf_dir):
     """The row that explains a difference."""
-    return checks.attribute_gap(LINES.frame(spark), GAPS.frame(spark), "id")
+    return checks.attribute_gap(LINES.frame(spark, sf_dir), GAPS.frame(spark, sf_dir), "id")
 
 
-TAGGED = Fixture("cik string, tag string, val double", [("1", "LongTermDebtCurrent", 5.0), ("1", "ShortTermBorrowings", 7.0), ("1", "CashAndCashEquivalentsAtCarryingValue", 1.0), ("2", "LongTermDebt", 9.0), ("2", "LongTermDebtNoncurrent", 8.0)])
+TAGGED = Repeated(Fixture("cik string, tag string, val double", [("1", "LongTermDebtCurrent", 5.0), ("1", "ShortTermBorrowings", 7.0), ("1", "CashAndCashEquivalentsAtCarryingValue", 1.0), ("2", "LongTermDebt", 9.0), ("2", "LongTermDebtNoncurrent", 8.0), ("3", "LongTermDebt", 20.0), ("3", "LongTermDebtCurrent", 6.0), ("3", "CashAndCashEquivalentsAtCarryingValue", 2.0), ("3", "MarketableSecuritiesCurrent", 3.0), ("4", "ShortTermInvestments", 1.0), ("4", "CashAndCashEquivalentsAtCarryingValue", 4.0)]), ('cik',))
 
 
-@query(f"""SELECT cik, CASE WHEN cik = '1' THEN 4.0::DOUBLE END AS net_debt, CASE WHEN cik = '2' THEN 'no cash' END AS gap FROM (SELECT DISTINCT cik FROM {TAGGED.sql()})""")
+_TAG_ORDER = {k: ", ".join(f"max(val) FILTER (tag = '{t}')" for t in tags) for k, tags in facts.NET_DEBT_PARTS.items()}
+
+
+@query(
+    f"""WITH p AS (SELECT cik, {", ".join(f"coalesce({tags}) AS {k}" for k, tags in _TAG_ORDER.items())} FROM {TAGGED.sql()} GROUP BY cik)
+SELECT cik, CASE WHEN cash IS NOT NULL AND coalesce(total_debt, current_debt, noncurrent_debt, finance_lease) IS NOT NULL THEN coalesce(total_debt, coalesce(current_debt, 0) + coalesce(noncurrent_debt, 0)) + coalesce(finance_lease, 0) - cash - coalesce(short_investments, 0) END AS net_debt,
+CASE WHEN cash IS NULL THEN 'no cash' WHEN coalesce(total_debt, current_debt, noncurrent_debt, finance_lease) IS NULL THEN 'no debt item' END AS gap FROM p"""
+)
 def net_debt_by_tags(spark, sf_dir):
     """Net debt from tagged facts, all concepts in one pass."""
-    return facts.net_debt(facts.pivot_concepts(TAGGED.frame(spark), ["cik"], facts.NET_DEBT_PARTS)).select("cik", "net_debt", "gap")
+    return facts.net_debt(facts.pivot_concepts(TAGGED.frame(spark, sf_dir), ["cik"], facts.NET_DEBT_PARTS)).select("cik", "net_debt", "gap")
 
 
-HK = Fixture("code string, metric string, value double", [("00700", "roe", 20.0), ("00700", "pe", 15.0)])
+HK = Repeated(Fixture("code string, metric string, value double", [("00700", "roe", 20.0), ("00700", "pe", 15.0)]), ('code',))
 
 
 @query(f"SELECT code, CASE WHEN metric = 'pe' THEN value ELSE value / 100 END AS value, metric FROM {HK.sql()}")
 def percent_figures(spark, sf_dir):
     """Percent figures as shares of one, multiples as they are."""
-    m = HK.frame(spark).groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("f"))
+    m = HK.frame(spark, sf_dir).groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("f"))
     return peers.percent_fields(m, "f", ["pe"]).select("code", F.explode("f").alias("metric", "value"))
 
 
