@@ -113,13 +113,3 @@ def football_html(band_rows: DataFrame, width: int = 600) -> DataFrame:
     rows = band_rows.join(scale, "entity").select("entity", F.struct("method", F.coalesce(bar, none).alias("row")).alias("r"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]), "")
     return rows.groupBy("entity").agg(F.concat(F.lit("<table>"), lines, F.lit("</table>")).alias("html"))
-
-
-def write_page_cache(pages: DataFrame, path: str) -> None:
-    """OCR text of pages by document, for later runs to read what is there and read only the rest."""
-    pages.write.mode("append").partitionBy("doc").parquet(path)
-
-
-def write_bar_cache(bars: DataFrame, path: str) -> None:
-    """Price rows by source, as landed."""
-    bars.write.mode("append").partitionBy("source").parquet(path)

@@ -54,14 +54,14 @@ def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("term")).where("term <> '' and not startswith(term, '#')").distinct()
 
 
-def parse_answers(lines: DataFrame, line: str = "value") -> DataFrame:
-    """key, value, confidence, source of ``key = value @confidence:source`` lines."""
+def parse_answers(lines: DataFrame, line: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep``, key, value, confidence, source of ``key = value @confidence:source`` lines."""
     t = F.trim(F.col(line))
     kept = lines.where(~F.startswith(t, F.lit("#")) & F.contains(t, F.lit("=")))
     key, right = F.trim(F.split_part(t, F.lit("="), F.lit(1))), F.regexp_extract(t, r"^[^=]*=(.*)$", 1)
     blank = lambda c: F.when(c != "", c)
     value = blank(F.trim(F.regexp_replace(right, r"\s@[^@]*$", "")))
-    return kept.select(key.alias("key"), value.alias("value"), blank(F.regexp_extract(right, r"\s@([^:@]*)", 1)).alias("confidence"), blank(F.trim(F.regexp_extract(right, r"\s@[^:@]*:(.*)$", 1))).alias("source"))
+    return kept.select(*keep, key.alias("key"), value.alias("value"), blank(F.regexp_extract(right, r"\s@([^:@]*)", 1)).alias("confidence"), blank(F.trim(F.regexp_extract(right, r"\s@[^:@]*:(.*)$", 1))).alias("source"))
 
 
 def parse_bars(rows: DataFrame, keys: list[str], row: str = "row") -> DataFrame:
