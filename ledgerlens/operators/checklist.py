@@ -106,10 +106,15 @@ def listed_multiples(records: DataFrame, quotes: DataFrame, year: int, key: str
 def football_html(band_rows: DataFrame, width: int = 600) -> DataFrame:
     """entity, html: the bands of an entity as bars on one scale (B8); methods without a band say why. Names are escaped."""
     scale = band_rows.groupBy("entity").agg(F.min("band_low").alias("_lo"), F.max("band_high").alias("_hi"))
-    escaped = F.replace(F.replace(F.col("method"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    def safe(text: Column) -> Column:
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            text = F.replace(text, F.lit(char), F.lit(entity))
+        return text
+
+    escaped = safe(F.col("method"))
     px = lambda x: F.round((x - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0) * width).cast("int").cast("string")
     bar = F.concat(F.lit('<tr><td>'), escaped, F.lit('</td><td><div style="margin-left:'), px(F.col("band_low")), F.lit('px;width:'), px(F.col("band_high") - F.col("band_low") + F.col("_lo")), F.lit('px">'), F.format_number("band_mid", 2), F.lit("</div></td></tr>"))
-    none = F.concat(F.lit("<tr><td>"), escaped, F.lit("</td><td>"), F.coalesce("note", F.lit("no band")), F.lit("</td></tr>"))
+    none = F.concat(F.lit("<tr><td>"), escaped, F.lit("</td><td>"), safe(F.coalesce("note", F.lit("no band"))), F.lit("</td></tr>"))
     rows = band_rows.join(scale, "entity").select("entity", F.struct("method", F.coalesce(bar, none).alias("row")).alias("r"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]), "")
     return rows.groupBy("entity").agg(F.concat(F.lit("<table>"), lines, F.lit("</table>")).alias("html"))

@@ -75,9 +75,16 @@ def _growth(years: int = 3) -> Callable[[], Column]:
     return lambda: F.when(positive(), F.pow(F.col("revenue") / F.col("revenue_before"), F.lit(1.0 / years)) - 1)
 
 
+def _growth_by_days() -> Column:
+    """By the days between the ends of both periods, revenue_before_end and revenue_end, / 365.25."""
+    span = F.datediff("revenue_end", "revenue_before_end") / F.lit(365.25)
+    fits = (F.col("revenue") > 0) & (F.col("revenue_before") > 0) & (span > 0)
+    return F.when(fits, F.pow(F.col("revenue") / F.col("revenue_before"), 1 / span) - 1)
+
+
 #: Metric → its column over a company's row, for each market.
 METRICS: dict[str, dict[str, Callable[[], Column]]] = {
-    "us": {"revenue_cagr": _growth(), "ebitda_margin": _share("ebitda", "revenue"), "revenue_scale": _figure("revenue")},
+    "us": {"revenue_cagr": _growth_by_days, "ebitda_margin": _share("ebitda", "revenue"), "revenue_scale": _figure("revenue")},
     "cn": {"revenue_cagr": _growth(), "op_margin": _share("operating_income", "revenue"), "revenue_scale": _figure("revenue")},
     "hk": {
         "op_margin": _share("operating_income", "revenue"), "net_margin": _figure("net_margin"), "gross_margin": _figure("gross_margin"), "revenue_yoy": _figure("revenue_yoy"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,9 +21,38 @@ def distribution(peers: DataFrame, keys: list[str], value: str, positive_only: b
     usable = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     if positive_only:
         usable = usable & (v > 0)
-    p = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = peers.where(usable).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), p.alias("_p"), F.max(v).alias("max"), F.avg(v).alias("mean"))
-    return out.select(*keys, "n", "min", F.col("_p")[0].alias("p25"), F.col("_p")[1].alias("median"), F.col("_p")[2].alias("p75"), "max", "mean", (F.col("n") >= MIN_PEERS).alias("enough"))
+    rows = peers.where(usable).select(*keys, v.alias("_v"))
+    figures = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.avg("_v").alias("mean"))
+    shares = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    same = reduce(and_, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
+    both = quantiles(rows, keys, "_v", shares).alias("a").join(figures.alias("b"), same)
+    return both.select(*(F.col(f"a.{k}") for k in keys), "n", "min", *shares, "max", "mean", (F.col("n") >= MIN_PEERS).alias("enough"))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], parts: int = 256) -> DataFrame:
+    """keys and a column for each share: the value at share * (n - 1) in order, between two of them in proportion.
+
+    Exact, however few keys there are: each key's values are cut into about ``parts`` ranges at approximate quantiles and counted by range and value; only the
+    ranges that hold a wanted place are ordered, each by itself. Equal values are one row by then. NULL values don't count.
+    """
+    v = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    same = lambda a, b: reduce(and_, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
+    cuts = v.groupBy(*keys).agg(F.percentile_approx("_v", [k / parts for k in range(1, parts)], 4 * parts).alias("_cuts"))
+    placed = v.alias("a").join(cuts.alias("b"), same("a", "b")).select(*(F.col(f"a.{k}") for k in keys), "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_part"))
+    counted = placed.groupBy(*keys, "_part", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    sums = counted.groupBy(*keys, "_part").agg(F.sum("_c").alias("_sum"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_sum").over(w))
+    place = {name: F.lit(q) * (F.col("_n") - 1) for name, q in shares.items()}
+    holds = [(F.col("_before") <= f(p)) & (f(p) < F.col("_before") + F.col("_sum")) for p in place.values() for f in (F.floor, F.ceil)]
+    wanted = sums.where(reduce(or_, holds))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    kept = counted.alias("a").join(wanted.alias("b"), same("a", "b") & (F.col("a._part") == F.col("b._part"))).select(*(F.col(f"a.{k}") for k in keys), "a._part", "_v", "_c", "_before", "_n")
+    ranked = kept.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))).withColumn("_to", F.col("_from") + F.col("_c"))
+    at = lambda p: F.max(F.when((F.col("_from") <= p) & (p < F.col("_to")), F.col("_v")))
+    ends = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *(at(f(p)).alias(f"_{name}_{e}") for name, p in place.items() for e, f in (("lo", F.floor), ("hi", F.ceil))))
+    between = lambda name, p: (F.ceil(p) - p) * F.col(f"_{name}_lo") + (p - F.floor(p)) * F.col(f"_{name}_hi")
+    return ends.select(*keys, *(F.when(F.floor(p) == F.ceil(p), F.col(f"_{name}_lo")).otherwise(between(name, p)).alias(name) for name, p in place.items()))
 
 
 def percentile_rank(targets: DataFrame, peers: DataFrame, keys: list[str], target: str, value: str, target_id: str, parts: int = 64) -> DataFrame:
