@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text
 from ..functions.text import ASSUMPTION_KINDS, GAAP_MARKERS
-from ..sources import files
+from ..operators import audit, notes, overlap, recipes
+from ..sources import files, markets
 from .label_queries import _list, _pick
 from .table_queries import query, read
 
@@ -104,3 +105,118 @@ def answer_file_lines(spark, sf_dir):
     """Lines of answer files with confidence and source."""
     lines = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(_line(False)).alias("value"))
     return files.parse_answers(lines, keep=("o_orderkey",))
+
+
+_HOSTS = ["data.sec.gov", "www.sec.gov", "localhost", "localhost:11434", "127.0.0.1:80", "qt.gtimg.cn", "hq.sinajs.cn", "example.com", "localhost.example.com", "data.sec.gov.evil.org", "[::1]:9", ""]
+_CONSENTS = [("qt.gtimg.cn", "purchase"), ("hq.sinajs.cn", "click"), ("example.com", "view")]
+
+
+@query(
+    rf"""WITH r AS (SELECT event_id, {_pick(_HOSTS, 'event_id * 5 + user_id', True)} AS host, event_type AS purpose FROM events), c AS (SELECT * FROM (VALUES {", ".join(map(str, _CONSENTS))}) AS v(host, purpose))
+SELECT event_id, host, CASE WHEN regexp_full_match(host, '(localhost|127\.[0-9.]+|\[?::1\]?)(:[0-9]+)?') OR list_contains({_list(audit.ALLOWED_HOSTS, True)}, host) THEN 'ALLOW' WHEN NOT list_contains({_list(audit.CONSENT_HOSTS, True)}, host) THEN 'BLOCK'
+WHEN EXISTS (SELECT 1 FROM c WHERE c.host = r.host AND c.purpose = r.purpose) THEN 'ALLOW-CONSENT' ELSE 'CONSENT-REQUIRED' END AS decision FROM r"""
+)
+def request_decisions(spark, sf_dir):
+    """Who may be asked for what, by list, loopback pattern and consent to host and purpose."""
+    asked = read(spark, sf_dir, "events").select("event_id", F.expr(_pick(_HOSTS, "event_id * 5 + user_id", False)).alias("host"), F.col("event_type").alias("purpose"))
+    return audit.decide(asked, spark.createDataFrame(_CONSENTS, "host string, purpose string")).select("event_id", "host", "decision")
+
+
+_HEADS, _REST = ["AAPL", "file:", "FILE:/x", "/etc/", "C:", "营业收入" * 5, "营业收入" * 6, "x" * 60], ["", " ", "2024", "abcde", "\\\\tmp", "净"]
+
+
+@query(
+    rf"""WITH p AS (SELECT o_orderkey, concat({_pick(_HEADS, "o_orderkey", True)}, {_pick([r.replace(chr(92) * 2, chr(92)) for r in _REST], "o_orderkey * 5 + o_custkey", True)}) AS v FROM orders)
+SELECT o_orderkey, length(v) <= 64 AND NOT regexp_matches(v, '[\r\n\t]') AND NOT regexp_matches(lower(v), '^(file:|/|\\|[a-z]:\\)') AND NOT regexp_matches(v, '[一-鿿]{{21,}}') AS valid FROM p"""
+)
+def parameter_values(spark, sf_dir):
+    """Which values may leave: short, one line, no local path, no long run of Chinese (P10)."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.expr(f"concat({_pick(_HEADS, 'o_orderkey', False)}, {_pick(_REST, 'o_orderkey * 5 + o_custkey', False)})").alias("v"))
+    return rows.select("o_orderkey", overlap.valid_parameter(F.col("v")).alias("valid"))
+
+
+_TRADES = ["SaaS and software ", "物流 freight ", "a restaurant franchise ", "电商 marketplace ", "clinical drug trials ", "芯片 wafer ", "plain ", "advertising 营销 ", "battery 新能源 photovoltaic ", "tuition "]
+_WORDS = ", ".join(f"({i}, '{n}', {_list(words, True)})" for i, (n, words, _) in enumerate(recipes.INDUSTRIES))
+
+
+def _trade(sql: bool) -> str:
+    return f"concat({_pick(_TRADES, 'p_partkey', sql)}, p_name, ' ', {_pick(_TRADES, 'p_partkey * 3 + p_size', sql)}, {_pick(_TRADES, 'p_partkey * 7 + p_size', sql)})"
+
+
+@query(
+    f"""WITH d AS (SELECT p_partkey, lower({_trade(True)}) AS t FROM part), i AS (SELECT * FROM (VALUES {_WORDS}) AS v(place, industry, words)), h AS (SELECT p_partkey, industry, place, len(list_filter(words, lambda w: contains(t, w))) AS n FROM d, i)
+SELECT p_partkey, industry, CAST(n AS INTEGER) AS hits, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, place) AS INTEGER) AS rank FROM h WHERE n > 0 QUALIFY rank <= 4"""
+)
+def industry_ranks(spark, sf_dir):
+    """The industries that a description speaks for, by words that it holds."""
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.expr(_trade(False)).alias("t"))
+    return recipes.propose_industries(rows, "p_partkey", "t").select("p_partkey", "industry", F.size("evidence").alias("hits"), "rank")
+
+
+_COMPANIES, _ENDS, _CODES = ["某集团", "AB", "东方能源", "某某控股", "年度报告 2023", "长名" * 20], ["股份有限公司", "有限公司", "集团有限公司2023年", "公司", "集团", "研究所"], ["股票代码： 600519", "Code 00700", "代碼:123", "代码: 12", "no number", "证券代码 300750 / 代码 1"]
+
+
+def _cover(sql: bool) -> str:
+    newline = "chr(10)"
+    return f"concat({_pick(_COMPANIES, 's_suppkey', sql)}, {newline}, '  ', {_pick(_COMPANIES, 's_suppkey * 5 + 1', sql)}, s_suppkey, {_pick(_ENDS, 's_suppkey * 7', sql)}, {newline}, {_pick(_CODES, 's_suppkey * 11', sql)}, {newline}, {_pick(_COMPANIES, 's_suppkey + 2', sql)}, {_pick(_ENDS, 's_suppkey + 3', sql)})"
+
+
+@query(
+    rf"""WITH c AS (SELECT s_suppkey, {_cover(True)} AS t FROM supplier), l AS (SELECT s_suppkey, t, list_filter(list_transform(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: coalesce(nullif(regexp_extract(x, '^(.{{4,}}(?:公司|集团))(?:2|２０)', 1), ''), x)), lambda x: length(x) BETWEEN 4 AND 40) AS l FROM c)
+SELECT s_suppkey, coalesce(list_filter(l, lambda x: regexp_matches(x, '(股份有限公司|集团有限公司|有限公司)$'))[1], list_filter(l, lambda x: regexp_matches(x, '(公司|集团)$'))[1]) AS company, nullif(regexp_extract(t, '(?i)(?:代码|代碼|code)\s*[:：]?\s*([0-9]{{4,6}})', 1), '') AS code FROM l"""
+)
+def cover_lines(spark, sf_dir):
+    """Company and code on covers with several names."""
+    t = F.col("t")
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_cover(False)).alias("t"))
+    return rows.select("s_suppkey", notes.company_line(t).alias("company"), notes.cover_code(t).alias("code"))
+
+
+def _bar(sql: bool) -> str:
+    day = "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)" if sql else "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+    price = "CAST(o_orderkey % 90 + 1 AS VARCHAR)" if sql else "CAST(o_orderkey % 90 + 1 AS STRING)"
+    shapes = [
+        f"concat('[\"', {day}, '\", \"1\", \"', {price}, '\", \"9\", \"1\", \"5\", \"more\"]')", f"concat('[\"', {day}, '\", 1, ', {price}, ']')", f"concat('[\"2024-13-01\", \"1\", \"', {price}, '\", \"9\", \"1\", \"5\"]')",
+        f"concat('[\"', {day}, '\", \"1\", \"n/a\", \"9\", \"1\", \"5\"]')", f"concat('[\" ', {day}, ' \", 1, ', {price}, '.25, 9, 1, 5]')", "'no list'",
+    ]
+    at = f"CAST((o_orderkey * 5 + o_custkey) % {len(shapes)} AS INT) + 1"
+    return f"[{', '.join(shapes)}][{at}]" if sql else f"element_at(array({', '.join(shapes)}), {at})"
+
+
+@query(
+    rf"""WITH b AS (SELECT o_orderkey AS code, {_bar(True)} AS v FROM orders), p AS (SELECT code, list_transform(string_split(regexp_replace(v, '[\[\]"]', '', 'g'), ','), lambda x: trim(x)) AS a FROM b WHERE starts_with(v, '['))
+SELECT code, try_cast(a[1] AS DATE) AS date, try_cast(a[3] AS DOUBLE) AS close FROM p WHERE len(a) >= 6 AND try_cast(a[1] AS DATE) IS NOT NULL AND try_cast(a[3] AS DOUBLE) IS NOT NULL"""
+)
+def bar_lists(spark, sf_dir):
+    """Bars given as JSON lists in several shapes, short and broken ones dropped."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("code"), F.expr(_bar(False)).alias("value"))
+    return files.parse_bars(markets.bars_from_lists(rows), ["code"]).select("code", "date", "close")
+
+
+_BEFORE, _AMOUNTS = ["", "x ", "附注 "], [" 1,234.5 ", " (30.25)", "：—5", " 无 ", "、无形资产摊销 7", "－10.5 x", " " * 50 + "9"]
+_NET, _CFO = ["净利润 100 ", "净利润 (7.5) ", ""], ["经营活动产生的现金流量净额 125.5", "经营活动产生的现金流量净额 131", ""]
+
+
+def _note(sql: bool) -> str:
+    return f"concat({_pick(_NET, 's_suppkey', sql)}, {_pick(_BEFORE, 's_suppkey * 5', sql)}, '固定资产折旧', {_pick(_AMOUNTS, 's_suppkey * 3', sql)}, ' 无形资产摊销', {_pick(_AMOUNTS, 's_suppkey * 5 + 1', sql)}, ' ', {_pick(_CFO, 's_suppkey * 2', sql)})"
+
+
+def _after(label: str) -> str:
+    """struct of amount and place of the first figure within 48 characters after a label, in SQL."""
+    tail = f"substr(t, instr(t, '{label}') + {len(label)}, 48)"
+    sign = r"^([^0-9]*?)([(\-" + notes.DASHES + r"]?)([0-9][0-9,]*(?:\.[0-9]+)?)"
+    part = lambda k: f"regexp_extract({tail}, '{sign}', {k})"
+    return f"CASE WHEN contains(t, '{label}') AND {part(3)} <> '' THEN {{'a': CASE WHEN {part(2)} = '' THEN 1 ELSE -1 END * CAST(replace({part(3)}, ',', '') AS DOUBLE), 'p': instr(t, '{label}') + {len(label)} + length({part(1)})}} END"
+
+
+@query(
+    f"""WITH n AS (SELECT s_suppkey, {_note(True)} AS t FROM supplier), f AS (SELECT s_suppkey, {_after("净利润")} AS n, {_after("固定资产折旧")} AS d, {_after("无形资产摊销")} AS m, {_after("经营活动产生的现金流量净额")} AS c FROM n),
+u AS (SELECT *, CASE WHEN m.p IS NULL OR m.p IS NOT DISTINCT FROM d.p THEN NULL ELSE m.a END AS own FROM f)
+SELECT s_suppkey, nullif(d.a, 0) AS depreciation, nullif(own, 0) AS amortisation, n.a + coalesce(d.a, 0) + coalesce(own, 0) - c.a AS diff, abs(n.a + coalesce(d.a, 0) + coalesce(own, 0) - c.a) <= greatest(1.0, abs(c.a) * 0.0005) AS ok FROM u"""
+)
+def note_amounts(spark, sf_dir):
+    """Amounts after labels with their signs, a figure that two labels reach once, and the reconciliation."""
+    t = F.col("t")
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_note(False)).alias("t"))
+    d, r = notes.depreciation(t), notes.reconcile(t)
+    return rows.select("s_suppkey", F.try_element_at(d, F.lit("固定资产折旧")).alias("depreciation"), F.try_element_at(d, F.lit("无形资产摊销")).alias("amortisation"), r["diff"].alias("diff"), r["ok"].alias("ok"))
