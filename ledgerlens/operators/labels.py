@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import free_name, simplified, strip_account_label
+from ..sources.work import written
 from .statements import ACCOUNTS, Account, label_candidates
 
 RULES = "kind string, key string, bans array<string>, field string, place int"
@@ -146,9 +147,10 @@ def match_labels(labels: DataFrame, rules: DataFrame, label: str = "label", tag:
     """
     keys = ["label", "tag"] if tag else ["label"]
     own = [F.coalesce(F.col(label), F.lit("")).alias("label"), *([F.coalesce(F.col(tag), F.lit("")).alias("tag")] if tag else [])]
-    distinct = labels.select(*own).distinct()
-    spelled = distinct.select(*keys, F.posexplode(candidates(F.col("label"))).alias("at", "c"))
-    rule = rules.groupBy("kind", "key").agg(F.min_by(F.struct("bans", "field", "place"), "place").alias("r")).select("kind", "key", "r.*")
+    # both are read once for each stage; the rows themselves are read once
+    distinct = written(labels.select(*own).distinct().withColumn("cs", candidates(F.col("label"))), "labels")
+    spelled = distinct.select(*keys, F.posexplode("cs").alias("at", "c"))
+    rule = written(rules.groupBy("kind", "key").agg(F.min_by(F.struct("bans", "field", "place"), "place").alias("r")).select("kind", "key", "r.*"), "rules")
     find = lambda stage, first, second: [*keys, F.struct(F.lit(STAGES.index(stage)).alias("stage"), F.col(first).alias("first"), F.col(second).alias("second"), F.col("field").alias("field")).alias("found")]
     of = lambda stage: rule.where(F.col("kind") == stage).drop("kind")
 
@@ -180,10 +182,10 @@ def match_labels(labels: DataFrame, rules: DataFrame, label: str = "label", tag:
 def identify(rows: DataFrame, rules: DataFrame, label: str = "label", tag: str | None = None) -> DataFrame:
     """Adds field and via to each row, NULL where no rule fits; columns of these names are replaced, others pass through.
 
-    Rows are not moved while the labels that fit are few, by count; else they meet them by shuffle, where Spark may split a label that very many rows have.
+    The distinct labels, with their spellings, and what was found for them are written tables. Rows are not moved while the labels that fit are few, by count; else they meet them by shuffle, where Spark may split a label that very many rows have.
     """
     rows = rows.drop("field", "via")
-    found = match_labels(rows, rules, label, tag)
+    found = written(match_labels(rows, rules, label, tag), "fields")
     few = found.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
     own, own_tag = free_name(rows, "_label"), free_name(rows, "_tag")
     keys = {own: F.coalesce(F.col(label), F.lit("")), **({own_tag: F.coalesce(F.col(tag), F.lit(""))} if tag else {})}
