@@ -21,7 +21,7 @@ def test_results_of_all_methods(spark):
     assert "wacc" in weak["e1"][0] and weak["e3"][1] == ["net_debt"]
     lines = reports.report_lines(found).collect()
     assert len(lines) == len(rows) and lines[0].line.startswith("dcf  ")
-    doc = {r.entity: json.loads(r.json) for r in reports.football_json(v.bands(RESULTS.frame(spark))).collect()}
+    doc = {r.entity: json.loads(r.json) for r in reports.football_json(v.bands(RESULTS.base.frame(spark))).collect()}
     assert [b["method"] for b in doc["a"]["bands"]] == ["dcf", "multiples", "reverse"]
 
 
