@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,14 @@ CJK = "一-鿿㐀-䶿"
 PUNCTUATION = r"""[\s　，。、；：？！“”‘’（）《》【】,.;:?!"'()\[\]{}<>\-—_/\\|*#]+"""
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once for each row, however often ``use`` has it.
+
+    Inside lambdas, and where a text is put into many expressions, Spark works out each mention anew.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case Latin words, then single CJK characters, then their bigrams, all in order.
 

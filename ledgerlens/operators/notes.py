@@ -1,15 +1,17 @@
 """Figures in running text: amounts after labels, share structure, reconciliation notes, text-flow tables.
 
-All are column expressions over a page's text.
+All are column expressions over a page's text; many labels are looked for in Arrow batches.
 """
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
 from .statements import ACCOUNTS
 
 #: Dashes that stand for minus, and marks of the reconciliation and profile pages.
@@ -22,12 +24,12 @@ OTHER_LINES = ["资产减值准备", "信用减值损失", "处置固定资产",
 RECON_START, RECON_TARGET = ["净利润"], ["经营活动产生的现金流量净额"]
 
 
-#: What may stand before a figure, its sign, the figure.
-_SIGNED = rf"^((?s:.*?))([(\-{DASHES}]?)([0-9][0-9,]*(?:\.[0-9]+)?)"
+#: What stands before a figure, with a sign at its end; the figure.
+_BEFORE, _FIGURE = "^[^0-9]*+", r"^[0-9][0-9,]*+(?:\.[0-9]++)?"
 
 
 def _figure(digits: Column) -> Column:
-    return F.regexp_replace(digits, ",", "").try_cast("double")
+    return F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
 
 
 def amount_after(text: Column, label: Column, reach: int = 48) -> Column:
@@ -35,35 +37,79 @@ def amount_after(text: Column, label: Column, reach: int = 48) -> Column:
 
     A bracket or dash right before it negates. NULL without the label or a figure.
     """
-    found = F.position(label, text)
-    after = found + F.length(label)
-    tail = F.substring(text, after, F.lit(reach))
-    part = lambda k: F.regexp_extract(tail, _SIGNED, k)
-    amount = _figure(part(3)) * F.when(part(2) == "", 1.0).otherwise(-1.0)
-    return F.when((found > 0) & (part(3) != ""), F.struct(amount.alias("amount"), (after + F.length(part(1)) - 1).alias("place")))
+    def hit(found: Column) -> Column:
+        after = found + F.length(label)
+        tail = F.substring(text, after, F.lit(reach))
+        before = once(tail, lambda t: F.struct(t.alias("tail"), F.regexp_extract(t, _BEFORE, 0).alias("before")))
 
+        def read(b: Column) -> Column:
+            n, negative = F.length(b["before"]), F.right(b["before"], F.lit(1)).isin("(", "-", *DASHES)
+            digits = F.regexp_extract(F.substring(b["tail"], n + 1, F.lit(reach)), _FIGURE, 0)
+            signed = lambda d: F.struct((_figure(d["digits"]) * F.when(d["negative"], -1.0).otherwise(1.0)).alias("amount"), (after + n - F.when(d["negative"], 1).otherwise(0) - 1).alias("place"))
+            return once(F.struct(digits.alias("digits"), negative.alias("negative")), lambda d: F.when(d["digits"] != "", signed(d)))
 
-def amounts_after(text: Column, labels: list[str]) -> Column:
-    """array<struct<label, amount, place>> of the labels found, in order; a figure that two labels reach belongs to the first."""
-    each = F.transform(F.array(*map(F.lit, labels)), lambda x: F.struct(x.alias("label"), amount_after(text, x).alias("hit")))
-    found = F.transform(F.filter(each, lambda x: x["hit"].isNotNull()), lambda x: F.struct(x["label"].alias("label"), x["hit"]["amount"].alias("amount"), x["hit"]["place"].alias("place")))
-    places = F.transform(found, lambda x: x["place"])
-    return F.filter(found, lambda x, i: F.array_position(places, x["place"]) == i + 1)
+        return once(before, read)
 
+    return once(F.position(label, text), lambda found: F.when(found > 0, hit(found)))
 
-def depreciation(text: Column) -> Column:
-    """map<label, amount>: the depreciation lines of a reconciliation; zeros left out."""
-    lines = F.filter(amounts_after(text, DA_LINES), lambda x: x["amount"] != 0)
-    return F.map_from_entries(F.transform(lines, lambda x: F.struct(x["label"], x["amount"])))
 
+def amounts_after(text: Column, labels: list[str], reach: int = 48) -> Column:
+    """array<struct<label, amount, place>> of the labels found, in order; a figure that two labels reach belongs to the first.
 
-def reconcile(text: Column) -> Column:
+    Many labels are looked for in one go over the text in Python, as ``amount_after`` does for one.
+    """
+    figure, signs = re.compile(r"([0-9][0-9,]*(?:\.[0-9]+)?)"), tuple(f"(-{DASHES}")
+
+    @F.arrow_udf("array<struct<label:string,amount:double,place:int>>")
+    def found(texts: pa.Array) -> pa.Array:
+        offsets, names, amounts, places = [0], [], [], []
+        for raw in texts.cast(pa.binary()).to_pylist():
+            t, taken = (raw or b"").decode("utf-8", "replace"), set()
+            for label in labels:
+                at = t.find(label)
+                after = at + len(label)
+                hit = figure.search(t, after, after + reach) if at >= 0 else None
+                if hit:
+                    start = hit.start()
+                    negative = start > after and t[start - 1] in signs
+                    if start - negative not in taken:
+                        taken.add(start - negative)
+                        names.append(label)
+                        amounts.append(float(hit[1].replace(",", "")) * (-1.0 if negative else 1.0))
+                        places.append(start - negative + 1)
+            offsets.append(len(names))
+        rows = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(amounts, pa.float64()), pa.array(places, pa.int32())], ["label", "amount", "place"])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)
+
+    return found(text)
+
+
+def reconciling_lines(text: Column) -> Column:
+    """amounts_after of all lines of a reconciliation, for ``depreciation`` and ``reconcile`` of one text."""
+    return amounts_after(text, [*DA_LINES, *OTHER_LINES])
+
+
+def depreciation(text: Column, lines: Column | None = None) -> Column:
+    """map<label, amount>: the depreciation lines of a reconciliation; zeros left out.
+
+    ``lines``: the text's reconciling lines where they are there already; depreciation comes first in them, so other lines take no figure from it.
+    """
+    found = amounts_after(text, DA_LINES) if lines is None else F.filter(lines, lambda x: x["label"].isin(*DA_LINES))
+    return F.map_from_entries(F.transform(F.filter(found, lambda x: x["amount"] != 0), lambda x: F.struct(x["label"], x["amount"])))
+
+
+def reconcile(text: Column, lines: Column | None = None) -> Column:
     """struct<net_income, cfo, items, diff, ok> of the reconciliation in a text, NULL without both ends; ok within 0.05 % of cash flow or 1 (V8)."""
     net, cfo = (F.coalesce(*(amount_after(text, F.lit(x))["amount"] for x in labels)) for labels in (RECON_START, RECON_TARGET))
-    lines = amounts_after(text, [*DA_LINES, *OTHER_LINES])
-    diff = net + F.aggregate(lines, F.lit(0.0), lambda a, x: a + x["amount"]) - cfo
-    ok = F.abs(diff) <= F.greatest(F.lit(1.0), F.abs(cfo) * 0.0005)
-    return F.when(net.isNotNull() & cfo.isNotNull(), F.struct(net.alias("net_income"), cfo.alias("cfo"), F.size(lines).alias("items"), diff.alias("diff"), ok.alias("ok")))
+    lines = reconciling_lines(text) if lines is None else lines
+    known = once(lines, lambda x: F.struct(net.alias("net"), cfo.alias("cfo"), F.size(x).alias("items"), F.aggregate(x, F.lit(0.0), lambda a, y: a + y["amount"]).alias("sum")))
+
+    def held(r: Column) -> Column:
+        diff = r["net"] + r["sum"] - r["cfo"]
+        ok = F.abs(diff) <= F.greatest(F.lit(1.0), F.abs(r["cfo"]) * 0.0005)
+        return F.when(r["net"].isNotNull() & r["cfo"].isNotNull(), F.struct(r["net"].alias("net_income"), r["cfo"].alias("cfo"), r["items"].alias("items"), diff.alias("diff"), ok.alias("ok")))
+
+    return once(known, held)
 
 
 _SHARES = r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(万)?\s*股"

@@ -68,6 +68,19 @@ def test_amounts_in_text(spark):
     assert [(r.first, r.last) for r in notes.statement_ranges(toc, "doc").orderBy("first").collect()] == [(10, 13), (14, None)]
 
 
+def test_many_labels_in_many_pages(spark):
+    """Each page is read once, not once for each pair of labels."""
+    from time import time
+
+    odd = spark.createDataFrame([("无形资产摊销、固定资产折旧 (7) 存货的减少9",), (None,), ("",), ("财务费用" + "x" * 47 + "12",)], "t string")
+    got = [[tuple(x) for x in r.a] for r in odd.select(notes.reconciling_lines(F.col("t")).alias("a")).collect()]
+    assert got == [[("固定资产折旧", -7.0, 15), ("存货的减少", 9.0, 24)], [], [], [("财务费用", 1.0, 52)]]
+    pages = spark.range(6000).select(F.concat(F.lit(RECON), F.lit(" ".join(f"{x} 1,{k}00.5" for k, x in enumerate([*notes.DA_LINES[1:], *notes.OTHER_LINES]))), F.col("id").cast("string")).alias("t"))
+    begun = time()
+    assert pages.where(notes.reconcile(F.col("t"))["items"] == 17).count() == 6000
+    assert time() - begun < 15
+
+
 def test_text_flow(spark):
     names = notes.account_names()
     flow = ["项目 货币资金 5 1,000.00 900.00 存货 20 10", "货币资金 1", " ".join(f"存货 {i}" for i in range(9)), None, "", "存货(12.5)—", "应收账款存货 - 7 x 固定资产", "存货 500 1 2 3 4 5 6 7", "存货 18 1 2", "表-货币资金 3"]
