@@ -81,6 +81,12 @@ def test_many_labels_in_many_pages(spark):
     assert time() - begun < 15
 
 
+def test_share_structure_reads_its_page_once(spark):
+    df = spark.createDataFrame([("发行股数 5 股 发行股数 9 股 发行前总股本 7 万股",), (None,), ("发行股数的 3 股",)], "t string").select(notes.share_structure(F.col("t")).alias("s"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert [(r.s.issued, r.s.after, r.s.before, r.s.inferred) for r in df.collect()] == [(5.0, 70005.0, 70000.0, "after"), (None, None, None, None), (None, None, None, None)]
+
+
 def test_text_flow(spark):
     names = notes.account_names()
     flow = ["项目 货币资金 5 1,000.00 900.00 存货 20 10", "货币资金 1", " ".join(f"存货 {i}" for i in range(9)), None, "", "存货(12.5)—", "应收账款存货 - 7 x 固定资产", "存货 500 1 2 3 4 5 6 7", "存货 18 1 2", "表-货币资金 3"]
