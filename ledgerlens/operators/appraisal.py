@@ -33,7 +33,7 @@ def folder_rows(spark: SparkSession, root: str, rules: DataFrame) -> DataFrame:
     cells = spark.read.format("material_cells").load(root).where("gap is null")
     grids = layout.grid_rows(cells.select("path", F.coalesce("sheet", F.col("table_no").cast("string")).alias("sheet"), F.col("row_no").alias("r"), F.col("col_no").alias("c"), F.col("text").alias("value")), ["path", "sheet"])
     texts = spark.read.format("materials").load(root).where("kind = 'text' and gap is null").where(~F.col("path").endswith(f"/{ANSWER_FILE}"))
-    flow = texts.select("path", F.lit("").alias("sheet"), "page", F.posexplode(notes.text_flow(F.col("text"), notes.account_names())).alias("at", "x"))
+    flow = texts.select("path", F.lit("").alias("sheet"), "page", F.posexplode_outer(notes.text_flow(F.col("text"), notes.account_names())).alias("at", "x")).where("at is not null")
     rows = grids.select("path", "sheet", F.col("r").cast("long").alias("r"), "label", "current").unionByName(flow.select("path", "sheet", (F.col("page").cast("long") * 100_000 + F.col("at")).alias("r"), "x.label", "x.current"))
     named = labels.identify(rows, rules).withColumn("field", F.coalesce(*(F.when(F.col("field") == k, n) for k, n in _NAMES.items()), F.col("field")))
     return named.select(entity_of(F.col("path")).alias("entity"), "path", "sheet", "r", "label", "field", lenient_number(F.col("current")).alias("value"))

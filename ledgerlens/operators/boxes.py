@@ -107,7 +107,7 @@ def read_statements(words: DataFrame, doc: str, page: str, rules: DataFrame) ->
     order = Window.partitionBy(doc).orderBy(page, "side", "line")
     boxed = table_rows(words, [doc, page]).select(doc, page, "label", "current", "prior", F.lit("boxes").alias("way"), F.row_number().over(order).alias("r"))
     text = layout.line_texts(words, [doc, page]).groupBy(doc, page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("t"))
-    flow = text.select(doc, page, F.posexplode(notes.text_flow(F.col("t"), notes.account_names())).alias("at", "x")).select(doc, page, "x.label", "x.current", "x.prior", F.lit("flow").alias("way"), (F.col(page) * 100_000 + F.col("at")).cast("int").alias("r"))
+    flow = text.select(doc, page, F.posexplode_outer(notes.text_flow(F.col("t"), notes.account_names())).alias("at", "x")).where("at is not null").select(doc, page, "x.label", "x.current", "x.prior", F.lit("flow").alias("way"), (F.col(page) * 100_000 + F.col("at")).cast("int").alias("r"))
     mapped = labels.identify(boxed.unionByName(flow), rules)
     best = loading.best_reading(mapped, doc, "way", ["boxes", "flow"])
     return best.select(doc, "way", page, "r", "label", "field", "via", lenient_number(F.col("current")).alias("value"), lenient_number(F.col("prior")).alias("prior"))

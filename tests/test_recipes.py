@@ -84,7 +84,16 @@ def test_many_labels_in_many_pages(spark):
 def test_share_structure_reads_its_page_once(spark):
     df = spark.createDataFrame([("发行股数 5 股 发行股数 9 股 发行前总股本 7 万股",), (None,), ("发行股数的 3 股",)], "t string").select(notes.share_structure(F.col("t")).alias("s"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
-    assert [(r.s.issued, r.s.after, r.s.before, r.s.inferred) for r in df.collect()] == [(5.0, 70005.0, 70000.0, "after"), (None, None, None, None), (None, None, None, None)]
+    assert [(r.s.issued, r.s.after, r.s.before, r.s.inferred) for r in df.collect()] == [(5.0, 10.0, 5.0, "after"), (None, None, None, None), (None, None, None, None)]
+
+
+def test_text_flow_rows_read_each_page_once(spark):
+    df = spark.createDataFrame([(1, "货币资金 1 2 " * 8), (2, None), (3, "存货 3"), (4, "无")], "k int, t string")
+    rows = notes.text_flow_rows(df, "t", notes.account_names())
+    assert rows.columns == ["k", "row_no", "label", "note", "current", "prior", "flows"]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(coalesce(") == 1
+    got = [tuple(r) for r in rows.orderBy("k", "row_no").collect()]
+    assert got == [(1, n, "货币资金", "", "1", "2", True) for n in range(8)] + [(3, 0, "存货", "", "3", "", False)]
 
 
 def test_text_flow(spark):
