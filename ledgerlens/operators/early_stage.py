@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+from ..sources.work import written
 from . import valuation as v
 
 CONFIG = (
@@ -32,19 +34,30 @@ def _named(table: dict[str, str], key: Column, default: Column) -> Column:
 
 def figure(spec: Column, default_confidence: str = "low") -> Column:
     """struct<low, mid, high, source, confidence, problem> of a figure's JSON; values are NULL where problem says why."""
-    text = F.trim(spec)
-    number = text.try_cast("double")
-    listed = F.from_json(F.when(text.startswith("["), text), "array<double>")
-    given = F.from_json(F.when(text.startswith("{"), text), _SPEC)
-    mid = F.coalesce(given["mid"], given["value"])
-    whole = lambda c: F.when(F.size(listed) == 3, F.get(listed, F.lit(c)))
-    low = F.coalesce(number, whole(0), F.when(given["mid"].isNotNull(), F.coalesce(given["low"], mid)), mid)
-    middle = F.coalesce(number, whole(1), mid)
-    high = F.coalesce(number, whole(2), F.when(given["mid"].isNotNull(), F.coalesce(given["high"], mid)), mid)
-    problem = F.when(text.isNull() | (text == "null"), "missing").when(listed.isNotNull() & (F.size(listed) != 3), "a range has three numbers").when(low.isNull() | middle.isNull() | high.isNull(), "not understood")
-    confidence = F.when(problem == "missing", "missing").when(given.isNull(), "low").otherwise(_named(CONFIDENCE, given["confidence"], F.lit(default_confidence)))
-    value = lambda c: F.when(problem.isNull(), c)
-    return F.struct(value(low).alias("low"), value(middle).alias("mid"), value(high).alias("high"), given["source"].alias("source"), confidence.alias("confidence"), problem.alias("problem"))
+    def read(text: Column) -> Column:
+        listed, given = F.from_json(F.when(text.startswith("["), text), "array<double>"), F.from_json(F.when(text.startswith("{"), text), _SPEC)
+        return F.struct(text.alias("text"), text.try_cast("double").alias("number"), listed.alias("listed"), given.alias("given"))
+
+    def ends(r: Column) -> Column:
+        number, listed, given = r["number"], r["listed"], r["given"]
+        mid = F.coalesce(given["mid"], given["value"])
+        whole = lambda c: F.when(F.size(listed) == 3, F.get(listed, F.lit(c)))
+        low = F.coalesce(number, whole(0), F.when(given["mid"].isNotNull(), F.coalesce(given["low"], mid)), mid)
+        high = F.coalesce(number, whole(2), F.when(given["mid"].isNotNull(), F.coalesce(given["high"], mid)), mid)
+        return F.struct(r["text"].alias("text"), listed.alias("listed"), given.alias("given"), low.alias("low"), F.coalesce(number, whole(1), mid).alias("mid"), high.alias("high"))
+
+    def judged(r: Column) -> Column:
+        text, listed = r["text"], r["listed"]
+        missing = F.when(text.isNull() | (text == "null"), "missing").when(listed.isNotNull() & (F.size(listed) != 3), "a range has three numbers")
+        return F.struct(r.alias("r"), missing.when(r["low"].isNull() | r["mid"].isNull() | r["high"].isNull(), "not understood").alias("problem"))
+
+    def told(j: Column) -> Column:
+        r, problem = j["r"], j["problem"]
+        confidence = F.when(problem == "missing", "missing").when(r["given"].isNull(), "low").otherwise(_named(CONFIDENCE, r["given"]["confidence"], F.lit(default_confidence)))
+        value = lambda end: F.when(problem.isNull(), r[end]).alias(end)
+        return F.struct(value("low"), value("mid"), value("high"), r["given"]["source"].alias("source"), confidence.alias("confidence"), problem.alias("problem"))
+
+    return once(once(once(once(F.trim(spec), read), ends), judged), told)
 
 
 def parsed(configs: DataFrame, entity: str, json: str) -> DataFrame:
@@ -54,9 +67,9 @@ def parsed(configs: DataFrame, entity: str, json: str) -> DataFrame:
 
 
 def _factors(rows: DataFrame, base: Column, factors: Column) -> DataFrame:
-    """entity, base, factor, f: a row for each factor, one without factor where there are none."""
+    """entity, base, factor, f: a row for each factor, one without factor where there are none; written once, as several steps read it."""
     based = rows.select("entity", figure(base).alias("base"), factors.alias("factors"))
-    return based.select("entity", "base", F.explode_outer("factors").alias("factor", "spec")).withColumn("f", figure(F.col("spec")))
+    return written(based.select("entity", "base", F.explode_outer("factors").alias("factor", "spec")).select("entity", "base", "factor", figure(F.col("spec")).alias("f")), "factors")
 
 
 def _by_factors(rows: DataFrame, method: str, base_name: str, fits: Column, neutral: tuple[str, float], value) -> DataFrame:
@@ -82,7 +95,7 @@ def build(configs: DataFrame, entity: str = "entity", json: str = "config") -> D
     Methods: berkus, scorecard, vc, vc_required_exit (a condition, no valuation), first_chicago. weak: figures of low confidence. An entity
     whose text can't be read, or that has no method, has one row without method and the problem.
     """
-    rows = parsed(configs, entity, json)
+    rows = written(parsed(configs, entity, json), "configs")
     cap = _factors(rows.where("c.berkus is not null"), F.col("c.berkus.per_factor_cap"), F.col("c.berkus.factors"))
     extra = rows.select("entity", figure(F.col("c.berkus.revenue_component"))["mid"].alias("revenue_component"))
     shares = (F.col("f.low") >= 0) & (F.col("f.high") <= 1) & (F.col("base.low") > 0)
@@ -101,6 +114,7 @@ def build(configs: DataFrame, entity: str = "entity", json: str = "config") -> D
     problem = F.when(F.size(gaps) > 0, F.get(gaps, F.lit(0))).when(target, F.lit("target_multiple or target_irr: missing"))
     weak = F.array_sort(F.filter(F.array(*(F.when(F.col(f"{n}.confidence") == "low", F.lit(n)) for n in VC_INPUTS)), lambda x: x.isNotNull()))
     flat = vc.select("entity", "reverse", problem.alias("problem"), weak.alias("weak"), F.col("ask.mid").alias("pre_money_asked"), *(F.col(f"{n}.mid").alias(n) for n in VC_INPUTS)).withColumnsRenamed({"years_to_exit": "years", "future_dilution": "dilution"})
+    flat = written(flat, "ventures")
     forward = v.vc_method(flat).withColumn("problem", F.coalesce("problem", F.when(F.col("pre_money").isNull(), F.lit("inputs out of bounds"))))
     shown = lambda c: [F.when(F.col("problem").isNull(), F.col(c)).alias(e) for e in ("low", "mid", "high")]
     venture = forward.select("entity", F.lit("vc").alias("method"), *shown("pre_money"), F.lit(True).alias("is_valuation"), "problem", "weak")

@@ -60,3 +60,10 @@ def test_what_is_wrong_is_named(spark):
         ("part", "first_chicago"): "an outcome needs label, probability and value", ("text", None): "no method is configured", ("null", None): "no method is configured", ("other", None): "no method is configured",
     }
     assert all(r.mid is None for r in got.values() if r.problem) and got[("ask", "vc")].mid is not None
+
+
+def test_figures_are_parsed_once(spark):
+    df = spark.createDataFrame([("[1, 2, 3]",), ('{"value": 4}',), (None,)], "t string").select(early_stage.figure(F.col("t")).alias("f"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") == 1 and plan.count("from_json(") == 2
+    assert [(r.f.low, r.f.mid, r.f.high, r.f.problem) for r in df.collect()] == [(1.0, 2.0, 3.0, None), (4.0, 4.0, 4.0, None), (None, None, None, "missing")]
