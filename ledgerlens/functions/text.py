@@ -6,6 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,16 +25,26 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def word_hits(text: Column, groups: list[list[str]]) -> Column:
+    """array<int>: how many words of each group a text contains, in Arrow batches."""
+
+    @F.arrow_udf("array<int>")
+    def hits(texts: pa.Array) -> pa.Array:
+        rows = ((raw or b"").decode("utf-8", "replace") for raw in texts.cast(pa.binary()).to_pylist())
+        return pa.array([[sum(w in t for w in g) for g in groups] for t in rows], pa.list_(pa.int32()))
+
+    return hits(text)
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case Latin words, then single CJK characters, then their bigrams, all in order.
 
     Bigrams run over the sequence of CJK characters with everything else removed. NULL: no tokens.
     """
-    low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit("([a-z0-9][a-z0-9.%]*)"), F.lit(1))
-    chars = F.regexp_extract_all(low, F.lit(f"([{CJK}])"), F.lit(1))
-    bigrams = F.when(F.size(chars) > 1, F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars) - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, chars, bigrams)
+    words = lambda low: F.regexp_extract_all(low, F.lit("([a-z0-9][a-z0-9.%]*)"), F.lit(1))
+    chars = lambda low: F.regexp_extract_all(low, F.lit(f"([{CJK}])"), F.lit(1))
+    bigrams = lambda c: F.when(F.size(c) > 1, F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b))).otherwise(F.array().cast("array<string>"))
+    return once(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.concat(words(low), once(chars(low), lambda c: F.concat(c, bigrams(c)))))
 
 
 #: Radical characters that NFKC leaves, and the characters they stand for.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import lenient_number, row_number_like
-from ..functions.text import free_name, normal_form, simplified
+from ..functions.text import free_name, normal_form, simplified, word_hits
 from . import layout, statements
 from .derived import pivot_fields
 
@@ -102,7 +102,7 @@ def page_evidence(pages: DataFrame, text: str = "text", rows: str = "rows") -> D
 
     scored = scored.withColumns({low: F.lower(t), cost: sum(map(price, AGAINST), F.lit(0))})
     for kind, lines in DETAIL_LINES.items():
-        hits = sum((F.contains(F.col(low), F.lit(x)).cast("int") for x in lines), F.lit(0))
+        hits = F.get(word_hits(F.col(low), [lines]), F.lit(0))
         counts = (F.col(kind) > 0) & (F.coalesce(F.col(rows), F.lit(0)) >= MIN_ROWS)
         scored = scored.withColumn(kind, F.when(counts, F.col(kind) + LINE_POINTS * hits - F.col(cost)).otherwise(0))
     return scored.drop(simple, low, cost)

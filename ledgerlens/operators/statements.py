@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_account_label
+from ..functions.text import free_name, once, strip_account_label, word_hits
 
 
 @dataclass(frozen=True)
@@ -228,12 +228,13 @@ def resolve_conflicts(rows: DataFrame, doc: str, field: str, page: str, value: s
 
 def page_scores(pages: DataFrame, markers: dict[str, list[list[str]]], text: str = "text") -> DataFrame:
     """A score column for each kind: 100 for each group of keywords hit and 1 for each keyword, from two groups on."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    for kind, groups in markers.items():
-        hits = [sum((F.contains(low, F.lit(w)).cast("int") for w in g), F.lit(0)) for g in groups]
-        reached = sum(((h > 0).cast("int") for h in hits), F.lit(0))
-        pages = pages.withColumn(kind, F.when(reached >= 2, 100 * reached + sum(hits, F.lit(0))).otherwise(0))
-    return pages
+    low = free_name(pages, "_lower")
+
+    def score(groups: list[list[str]]) -> Column:
+        reached = lambda h: F.size(F.filter(h, lambda n: n > 0))
+        return once(word_hits(F.col(low), groups), lambda h: F.when(reached(h) >= 2, 100 * reached(h) + F.aggregate(h, F.lit(0), lambda a, n: a + n)).otherwise(0))
+
+    return pages.withColumn(low, F.lower(F.coalesce(F.col(text), F.lit("")))).withColumns({kind: score(groups) for kind, groups in markers.items()}).drop(low)
 
 
 #: Groups of words that mark the pages of each statement, in Chinese.

@@ -217,3 +217,9 @@ def test_statement_pages_score_in_both_languages(spark):
     p = spark.createDataFrame([(1, "资产总计 流动资产合计 货币资金"), (2, "Revenue; profit before tax; income tax"), (3, None)], "page int, text string")
     got = {r.page: (r.balance, r.income, r.cash_flow) for r in statements.statement_scores(p).collect()}
     assert got[1] == (303, 0, 0) and got[2][1] > 300 and got[3] == (0, 0, 0)
+
+
+def test_page_scores_lower_a_text_once(spark):
+    df = statements.page_scores(spark.createDataFrame([("Total Assets inventory",), (None,)], "text string"), {"a": [["total assets"], ["cash", "inventory"]], "b": [["x"], ["total"]]})
+    assert df.columns == ["text", "a", "b"] and df._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [(r.a, r.b) for r in df.collect()] == [(202, 0), (0, 0)]
