@@ -43,21 +43,22 @@ def frequencies(tokens: Column) -> Column:
         return F.transform(F.array(first), lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tf"))))[0]
 
     none = F.array().cast("array<struct<term:string,tf:int>>")
-    return F.when(F.size(tokens) > 0, F.transform(F.array(F.array_sort(tokens)), runs)[0]).otherwise(none)
+    return F.when(F.size(tokens) > 0, F.transform(F.array(F.sort_array(tokens)), runs)[0]).otherwise(none)
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", source: str = "source", buckets: int = BUCKETS, group_docs: int = GROUP_DOCS) -> None:
     """Writes the sources that ``docs`` has into the index at ``path``; a source that is there already is replaced, others stay.
 
     A NULL source is ''. Documents of a source are dealt to groups by hash of their key, so a term's list in a group has a bounded length however
-    frequent the term or large the source. One shuffle of the postings, by source, bucket and a range of groups: each such part is one file.
+    frequent the term or large the source. Texts are cut into terms once and written. One shuffle of the postings, by source, bucket and a range of groups: each such part is one file.
     NULL and empty texts count as documents without tokens. Keys should be unique in a source.
     """
     generation = time.time_ns()
-    rows = docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(key).alias("doc"), tokenize(F.col(text)).alias("tokens"))
-    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("tokens").cast("long")).alias("tokens"))
+    tokens = docs.select(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(key).alias("doc"), tokenize(F.col(text)).alias("tokens"))
+    rows = written(tokens.select("source", "doc", F.size("tokens").alias("len"), frequencies(F.col("tokens")).alias("terms")), "terms")
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("len").cast("long")).alias("tokens"))
     counts = written(counts.withColumn("groups", F.ceil(F.col("n_docs") / group_docs).cast("long")), "sources")
-    dealt = rows.join(counts.select("source", "groups"), "source").select("source", F.pmod(F.xxhash64("doc"), F.col("groups")).alias("grp"), "doc", F.size("tokens").alias("len"), F.explode(frequencies(F.col("tokens"))).alias("t"))
+    dealt = rows.join(counts.select("source", "groups"), "source").select("source", F.pmod(F.xxhash64("doc"), F.col("groups")).alias("grp"), "doc", "len", F.explode("terms").alias("t"))
     dealt = dealt.select("source", term_bucket(F.col("t.term"), buckets).alias("bucket"), F.floor(F.col("grp") / FILE_GROUPS).alias("part"), "grp", F.col("t.term").alias("term"), F.struct("doc", F.col("t.tf").alias("tf"), "len").alias("d"))
     grouped = dealt.repartition("source", "bucket", "part").groupBy("source", "bucket", "part", "term", "grp").agg(
         F.count(F.lit(1)).alias("n"), F.max("d.tf").alias("max_tf"), F.min("d.len").alias("min_len"), F.collect_list("d").alias("docs")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import index, retrieval
+from ledgerlens.sources.work import written
 
 ROWS = [
     (1, "apple apple pear", "a"), (2, "pear 资产负债", "a"), (3, None, "a"), (4, "", "b"), (5, "apple plum plum plum", "b"), (6, "资产 apple", None), (7, "pear " * 40, None),
@@ -63,3 +64,13 @@ def test_large_index_reads_few_groups(spark, tmp_path):
     with pytest.raises(ValueError):
         index.write_index(df.limit(5).withColumn("source", F.lit("t")), path, buckets=3)
         index.open_index(spark, path)
+
+
+def test_texts_are_cut_into_terms_once(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    cut = df.select(index.tokenize(F.col("text")).alias("t"))
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    kept = []
+    monkeypatch.setattr(index, "written", lambda rows, label: kept.append((label, rows.columns)) or written(rows, label))
+    index.write_index(df, f"{tmp_path}/ix")
+    assert kept == [("terms", ["source", "doc", "len", "terms"]), ("sources", ["source", "n_docs", "tokens", "groups"])]
